@@ -32,8 +32,11 @@ SET: SET
 
 # dialect section, then "kinds: type". In a type, <n=50> is the length or 50,
 # <p,s> precision and scale, <u> the UNSIGNED mark. "a | b" takes b when
-# precision or scale is unknown. "auto" lines apply to identity columns.
-# "other" is for an unknown kind; "= X" keeps the source text and uses X without one.
+# precision or scale is unknown. A word after the kind narrows the line to
+# columns that are an identity (auto), have a default (default, or now for a
+# clock default of a text column), a length of one or none (one), above one
+# (wide) or above 4000 (long). "other" is for an unknown kind; "= X" keeps the
+# source text and uses X without one.
 DIALECT_TYPES = """
 [mysql]
 TINYINT: TINYINT<u>
@@ -49,8 +52,10 @@ BIT: BIT(<n=1>)
 CHAR: CHAR(<n=1>)
 VARCHAR: VARCHAR(<n=255>)
 TEXT: TEXT
+TEXT now: DATETIME
+TEXT default, JSON default: VARCHAR(<n=255>)
 BLOB: BLOB
-BINARY: VARBINARY(<n=255>)
+BLOB default, BINARY: VARBINARY(<n=255>)
 DATE: DATE
 TIME: TIME
 DATETIME: DATETIME
@@ -64,13 +69,14 @@ other: = TEXT
 [postgres]
 TINYINT, SMALLINT, YEAR: SMALLINT
 INT: INTEGER
-auto INT: SERIAL
+INT auto: SERIAL
 BIGINT: BIGINT
-auto BIGINT: BIGSERIAL
+BIGINT auto: BIGSERIAL
 DECIMAL: NUMERIC(<p,s>) | NUMERIC
 FLOAT: REAL
 DOUBLE: DOUBLE PRECISION
-BOOLEAN: BOOLEAN
+BOOLEAN, BIT one: BOOLEAN
+BIT: BIT(<n=0>)
 CHAR: CHAR(<n=1>)
 VARCHAR: VARCHAR(<n=255>)
 TEXT: TEXT
@@ -99,8 +105,13 @@ BIGINT: BIGINT
 DECIMAL: DECIMAL(<p,s>) | DECIMAL(18,0)
 FLOAT: REAL
 DOUBLE: FLOAT(53)
-BOOLEAN: BIT
-TEXT, JSON: NVARCHAR(MAX)
+BOOLEAN, BIT: BIT
+BIT wide: BINARY(<n=1>)
+CHAR: NCHAR(<n=1>)
+CHAR long: NCHAR(MAX)
+VARCHAR: NVARCHAR(<n=255>)
+VARCHAR long, TEXT, JSON: NVARCHAR(MAX)
+BLOB, BINARY: VARBINARY(<n=MAX>)
 DATE: DATE
 TIME: TIME
 DATETIME, TIMESTAMP: DATETIME2
@@ -194,7 +205,7 @@ other: STRING
 [access]
 TINYINT, SMALLINT, YEAR: SHORT
 INT: LONG
-auto INT: AUTOINCREMENT
+INT auto: AUTOINCREMENT
 BIGINT, DOUBLE: DOUBLE
 DECIMAL: CURRENCY
 FLOAT: SINGLE

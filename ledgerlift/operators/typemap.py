@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,67 +31,50 @@ TYPES = {d: split_lines("\n".join(lines)) for d, lines in sections(fx.DIALECT_TY
 UNKNOWN = ""
 
 
-def _lookup(name: Column) -> Column:
-    chain: Column | None = None
-    for kind, names in KINDS.items():
-        hit = name.isin(*names)
-        chain = F.when(hit, kind) if chain is None else chain.when(hit, kind)
-    return chain
+def _text_map(entries: dict[str, str]) -> Column:
+    """A constant map; one lookup stays one small expression however many entries it has."""
+    return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
+
+
+def _pick(entries: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(_text_map(entries), key)
 
 
 def neutral_kind(base_type: Column) -> Column:
     """Neutral kind of a type name: as written, without its parameters, without UNSIGNED or ZEROFILL. Empty if unknown."""
+    kinds = {n: kind for kind, names in KINDS.items() for n in names}
     name = F.upper(F.trim(base_type))
     bare = F.regexp_replace(name, r"(?s)(?<=.)\s*\(.*", "")
     signed = F.regexp_replace(bare, r"\s*(?: UNSIGNED| ZEROFILL)\z", "")
-    return F.coalesce(_lookup(name), _lookup(bare), _lookup(signed), F.lit(UNKNOWN))
-
-
-def _fill(template: str) -> Column:
-    """Type text with the column's length, precision, scale and UNSIGNED mark put in."""
-    if "|" in template:
-        full, short = (x.strip() for x in template.split("|"))
-        return F.when(F.col("num_precision").isNotNull() & F.col("num_scale").isNotNull(), _fill(full)).otherwise(short)
-    parts: list[Column] = []
-    for piece in re.split(r"(<[^>]*>)", template):
-        if piece.startswith("<n="):
-            length = F.col("char_len")
-            parts.append(F.when(length > 0, length.cast("string")).otherwise(piece[3:-1]))
-        elif piece == "<p,s>":
-            parts.append(F.concat(F.col("num_precision").cast("string"), F.lit(", "), F.col("num_scale").cast("string")))
-        elif piece == "<u>":
-            parts.append(F.when(F.col("is_unsigned"), " UNSIGNED").otherwise(""))
-        elif piece:
-            parts.append(F.lit(piece))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
-def _text_with_default(kind: Column) -> Column:
-    """MySQL gives no default to TEXT, BLOB or JSON: such columns fall back to a type that may have one."""
-    plain = F.trim(F.col("default_value"))
-    has_default = F.coalesce((plain != "") & (F.upper(plain) != "NULL"), F.lit(False))
-    word = F.lower(F.regexp_replace(plain, r"\(\)\z", ""))
-    sized = "(<n=255>)"
-    return (
-        F.when(has_default & (kind == "TEXT") & word.isin(*fx.TEMPORAL_DEFAULTS), "DATETIME")
-        .when(has_default & kind.isin("TEXT", "JSON"), _fill("VARCHAR" + sized))
-        .when(has_default & (kind == "BLOB"), _fill("VARBINARY" + sized))
-    )
+    return F.coalesce(_pick(kinds, name), _pick(kinds, bare), _pick(kinds, signed), F.lit(UNKNOWN))
 
 
-def _length_rules(dialect: str, kind: Column) -> Column | None:
-    """The few types whose form depends on the length itself."""
-    n = F.col("char_len")
-    if dialect == "postgres":
-        return F.when((kind == "BIT") & (n.isNull() | (n == 1)), "BOOLEAN").when(kind == "BIT", _fill("BIT(<n=0>)"))
-    if dialect == "mssql":
-        chain = F.when((kind == "BIT") & (n > 1), _fill("BINARY(<n=1>)")).when(kind == "BIT", "BIT")
-        for k, name, default in (("CHAR", "NCHAR", 1), ("VARCHAR", "NVARCHAR", 255)):
-            chain = chain.when((kind == k) & (n > 4000), f"{name}(MAX)").when(kind == k, _fill(f"{name}(<n={default}>)"))
-        return chain.when(kind.isin("BLOB", "BINARY"), _fill("VARBINARY(<n=MAX>)"))
-    if dialect == "mysql":
-        return _text_with_default(kind)
-    return None
+def _variants() -> dict[str, Column]:
+    """When each narrowing word of a type line applies to a column."""
+    n, plain = F.col("char_len"), F.trim(F.col("default_value"))
+    has_default = (plain != "") & (F.upper(plain) != "NULL")
+    word = F.lower(F.regexp_replace(plain, r"\(\)\z", ""))
+    return {
+        "auto": F.col("is_auto"),
+        "now": has_default & word.isin(*fx.TEMPORAL_DEFAULTS),
+        "default": has_default,
+        "long": n > 4000,
+        "one": n.isNull() | (n == 1),
+        "wide": n > 1,
+    }
+
+
+def _fill(template: Column) -> Column:
+    """Put length, precision, scale and the UNSIGNED mark of the row into a type text."""
+    digits, scale, n = F.col("num_precision"), F.col("num_scale"), F.col("char_len")
+    known = digits.isNotNull() & scale.isNotNull()
+    form = F.when(known, F.regexp_replace(template, r" \| .*", "")).otherwise(F.regexp_replace(template, r".* \| ", ""))
+    pair = F.concat_ws(", ", digits.cast("string"), scale.cast("string"))
+    sized = F.when(n > 0, F.regexp_replace(form, F.lit(r"<n=[^>]*>"), n.cast("string"))).otherwise(
+        F.regexp_replace(form, r"<n=([^>]*)>", "$1")
+    )
+    marked = F.replace(sized, F.lit("<u>"), F.when(F.col("is_unsigned"), " UNSIGNED").otherwise(""))
+    return F.replace(marked, F.lit("<p,s>"), pair)
 
 
 def target_type(dialect: str, kind: Column) -> Column:
@@ -102,27 +83,20 @@ def target_type(dialect: str, kind: Column) -> Column:
     Reads the catalog columns ``data_type, char_len, num_precision, num_scale,
     is_unsigned, is_auto, default_value`` of the row.
     """
-    binary = "BYTES" if dialect == "cockroachdb" else None
-    dialect = fx.SAME_TYPES_AS.get(dialect, dialect)
-    chain = F.when(F.lit(False), F.lit(""))
-    if binary:
-        chain = chain.when(kind.isin("BLOB", "BINARY"), binary)
-    fallback: Column = F.lit("")
-    lines = TYPES[dialect]
-    for kinds, template in sorted(lines, key=lambda x: not x[0].startswith("auto ")):
-        if kinds == "other":
-            keep = template.startswith("=")
-            spare = template.lstrip("= ")
-            source = F.col("data_type")
-            fallback = F.when(source != "", source).otherwise(spare) if keep else F.lit(spare)
-            continue
-        auto = kinds.startswith("auto ")
-        names = [k.strip() for k in kinds.removeprefix("auto ").split(",")]
-        hit = kind.isin(*names)
-        chain = chain.when(hit & F.col("is_auto") if auto else hit, _fill(template))
-    text = chain.otherwise(fallback)
-    special = _length_rules(dialect, kind)
-    return text if special is None else F.coalesce(special, text)
+    lines = dict(TYPES[fx.SAME_TYPES_AS.get(dialect, dialect)])
+    other = lines.pop("other")
+    by_kind = {k.strip(): template for kinds, template in lines.items() for k in kinds.split(",")}
+    if dialect == "cockroachdb":
+        by_kind |= {"BLOB": "BYTES", "BINARY": "BYTES"}
+    tries: list[Column] = []
+    for word, applies in _variants().items():
+        narrowed = {k.split()[0]: t for k, t in by_kind.items() if k.endswith(" " + word)}
+        if narrowed:
+            tries.append(F.when(applies, _pick(narrowed, kind)))
+    plain = {k: t for k, t in by_kind.items() if " " not in k}
+    source, spare = F.col("data_type"), other.lstrip("= ")
+    fallback = F.when(source != "", source).otherwise(spare) if other.startswith("=") else F.lit(spare)
+    return F.coalesce(_fill(F.coalesce(*tries, _pick(plain, kind))), fallback)
 
 
 def folded_type(c: Column) -> Column:
@@ -134,11 +108,8 @@ def change_note(dialect: str, kind: Column) -> Column:
     notes = {k.strip(): note for kinds, note in split_lines(fx.CHANGE_NOTES) for k in kinds.split(",")}
     if dialect in fx.POSTGRES_FAMILY and dialect != "timescaledb":
         notes |= {"JSON": fx.JSON_NOTE_POSTGRES, "DATETIME": fx.TIME_NOTE_POSTGRES, "TIMESTAMP": fx.TIME_NOTE_POSTGRES}
-    chain = F.when(F.lit(False), "")
-    for k, note in notes.items():
-        chain = chain.when(kind == k, note)
     unsigned = fx.UNSIGNED_KEPT if dialect in ("mysql", "mariadb", "tidb", "oceanbase") else fx.UNSIGNED_LOST
-    return chain.when(F.col("is_unsigned"), unsigned).otherwise("")
+    return F.coalesce(_pick(notes, kind), F.when(F.col("is_unsigned"), unsigned), F.lit(""))
 
 
 def with_target_types(cat: DataFrame, dialect: str) -> DataFrame:
