@@ -19,6 +19,11 @@ PREVIEW_KEEP = 47
 BINARY_PREFIX = "hex:"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def is_number(t: T.DataType) -> bool:
     return isinstance(t, INTEGRAL + FLOATING + (T.DecimalType,))
 

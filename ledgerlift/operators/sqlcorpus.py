@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.functions.sqltokens import COMMENT, is_code, join, map_code, mask_literals, split_statements, sql_pattern, tokens
+from ledgerlift.functions.sqltokens import (
+    WHITE, ascii_upper, is_code, is_comment, join, let, map_code, mask_literals, needles, split_statements, sql_pattern,
+    strip_white, tokens, upper_pattern,
+)
 from ledgerlift.operators import fixed_rules as fr
 from ledgerlift.operators import fixed_types as fx
 from ledgerlift.operators.typemap import split_lines
@@ -48,10 +51,19 @@ def _hits(line: Column, pattern: str) -> Column:
 
 def _lines(df: DataFrame, text: str) -> DataFrame:
     """One row per line, as written and with literals and comments blanked."""
-    both = F.arrays_zip(F.split(mask_literals(F.col(text)), "\n").alias("code"), F.split(text, "\n").alias("written"))
+    code = ascii_upper(mask_literals(F.col(text)))
+    both = F.arrays_zip(F.split(code, "\n").alias("code"), F.split(text, "\n").alias("written"))
     return df.select(*[c for c in df.columns if c != text], F.posexplode(both).alias("_line", "_l"))
 
 
+def _may_hit(line: Column, pattern: str) -> Column:
+    """Cheap look for the rule's keyword before its pattern is tried."""
+    found = F.lit(False)
+    for word in needles(pattern):
+        found = found | line.contains(word)
+    return found
+
+
 def _finding(facts: list[Column]):
     return lambda h: F.struct(*facts, h["start"].alias("start"), h["hit_len"].alias("hit_len"))
 
@@ -65,9 +77,9 @@ def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool =
     code = F.col("_l")["code"]
     lists = []
     for rule_id, category, severity, pattern in rules_for(target):
-        p = sql_pattern(pattern)
+        p = upper_pattern(pattern)
         facts = [F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"), F.lit(severity).alias("severity")]
-        lists.append(F.when(code.rlike(p), F.transform(_hits(code, p), _finding(facts))))
+        lists.append(F.when(_may_hit(code, pattern) & code.rlike(p), F.transform(_hits(code, p), _finding(facts))))
     found = F.flatten(F.array_compact(F.array(*lists)))
     keep = [c for c in df.columns if c != text]
     spread = F.explode_outer(found) if keep_clean else F.explode(found)
@@ -88,7 +100,7 @@ def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool =
 
 
 def _matches(pattern: str):
-    return lambda line: line.rlike(pattern)
+    return lambda line: _may_hit(line, pattern) & line.rlike(upper_pattern(pattern))
 
 
 def _count_hits(pattern: str):
@@ -98,8 +110,8 @@ def _count_hits(pattern: str):
 def rule_match(df: DataFrame, target: str, text: str = "sql") -> DataFrame:
     """Scripts and the rules that hit their code at least once."""
     keep = [c for c in df.columns if c != text]
-    lines = F.split(mask_literals(F.col(text)), "\n")
-    hit = [F.when(F.exists("_lines", _matches(sql_pattern(p))), F.lit(rule_id)) for rule_id, _, _, p in rules_for(target)]
+    lines = F.split(ascii_upper(mask_literals(F.col(text))), "\n")
+    hit = [F.when(F.exists("_lines", _matches(p)), F.lit(rule_id)) for rule_id, _, _, p in rules_for(target)]
     rows = df.select(*keep, lines.alias("_lines"))
     return rows.select(*keep, F.explode(F.array_compact(F.array(*hit))).alias("rule_id"))
 
@@ -117,14 +129,13 @@ def explode_statements(df: DataFrame, text: str = "sql") -> DataFrame:
     """One row per statement, numbered in script order; blank pieces are left out."""
     keep = [c for c in df.columns if c != text]
     cut = df.select(*keep, F.posexplode(split_statements(F.col(text))).alias("_i", "_s"))
-    trimmed = F.regexp_replace("_s", r"^\s+|\s+\z", "")
-    return cut.select(*keep, (F.col("_i") + 1).alias("statement_no"), trimmed.alias("statement")).filter(F.col("statement") != "")
+    return cut.select(*keep, (F.col("_i") + 1).alias("statement_no"), strip_white(F.col("_s")).alias("statement")).filter(F.col("statement") != "")
 
 
 def statement_class(statement: Column) -> Column:
     """Class by the first words of code; comments in front do not count."""
-    bare = join(F.filter(tokens(statement), lambda t: ~t.rlike(COMMENT)))
-    head = F.regexp_replace(F.upper(F.left(F.regexp_replace(bare, r"^\s+", ""), F.lit(200))), r"\z", " ")
+    bare = join(F.filter(tokens(statement), lambda t: ~is_comment(t)))
+    head = F.concat(F.upper(F.left(F.ltrim(bare, F.lit(WHITE)), F.lit(200))), F.lit(" "))
     chain: Column | None = None
     for name, pattern in fr.STATEMENT_CLASSES:
         chain = F.when(head.rlike(pattern), name) if chain is None else chain.when(head.rlike(pattern), name)
@@ -185,29 +196,34 @@ def rewrite_statement(statement: Column, source: str, target: str) -> Column:
     """One statement in the target's dialect where that is safe; literals and comments stay as written."""
     if source == target:
         return statement
-    parts = tokens(statement)
-    code = join(F.transform(parts, lambda t: F.when(is_code(t), t).otherwise(" ")))
+    return let(tokens(statement), lambda parts: _rewrite_tokens(parts, source, target))
+
+
+def _rewrite_tokens(parts: Column, source: str, target: str) -> Column:
+    swaps = [(sql_pattern(p), to) for _, p, to in _replacements(source, target)]
+
+    def swap(t: Column) -> Column:
+        for pattern, to in swaps:
+            t = F.regexp_replace(t, pattern, to)
+        return t
+
+    if source != "mssql" or target == "mssql":
+        return join(map_code(parts, swap))
     top = sql_pattern(fr.TOP_NUMBER)
-    moves_top = source == "mssql" and target != "mssql"
-    counts = F.regexp_extract_all(code, F.lit(top), F.lit(1))
+    code = join(F.transform(parts, lambda t: F.when(is_code(t), t).otherwise(" ")))
     # TOP moves only when the statement has exactly one and the limit is a plain number of rows.
-    move = (F.size(counts) == 1) & ~code.rlike(sql_pattern(fr.TOP_UNSAFE)) if moves_top else F.lit(False)
+    safe = ~code.rlike(sql_pattern(fr.TOP_UNSAFE))
+    limits = F.when(safe, F.regexp_extract_all(code, F.lit(top), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
-    def change(t: Column) -> Column:
-        out = t
-        if moves_top:
-            out = F.when(move, F.regexp_replace(F.regexp_replace(t, top, ""), fr.BLANKS, " ")).otherwise(t)
-        for _, pattern, to in _replacements(source, target):
-            out = F.regexp_replace(out, sql_pattern(pattern), to)
-        return out
+    def with_limits(found: Column) -> Column:
+        without = map_code(parts, lambda t: swap(F.regexp_replace(F.regexp_replace(t, top, ""), fr.BLANKS, " ")))
+        # After a trailing line comment the limit needs a line of its own.
+        last = F.element_at(parts, -1)
+        gap = F.when(last.startswith("--") | last.startswith("#"), "\n").otherwise(" ")
+        limited = F.concat(F.rtrim(join(without), F.lit(" \t\r\n")), gap, F.lit("LIMIT "), found[0])
+        return F.when(F.size(found) == 1, limited).otherwise(join(map_code(parts, swap)))
 
-    body = join(map_code(parts, change))
-    if not moves_top:
-        return body
-    # After a trailing line comment the limit needs a line of its own.
-    gap = F.when(F.element_at(parts, -1).rlike(r"^(?:--|#)"), "\n").otherwise(" ")
-    limited = F.concat(F.regexp_replace(body, r"[ \t\r\n]+\z", ""), gap, F.lit("LIMIT "), F.element_at(counts, 1))
-    return F.when(move, limited).otherwise(body)
+    return let(limits, with_limits)
 
 
 def rewrite_sql(df: DataFrame, source: str, target: str, text: str = "sql") -> DataFrame:
@@ -215,12 +231,12 @@ def rewrite_sql(df: DataFrame, source: str, target: str, text: str = "sql") -> D
     if source == target:
         return df
     sql = F.col(text)
-    pieces = split_statements(sql)
-    last_blank = F.trim(F.regexp_replace(F.element_at(pieces, -1), r"\s", "")) == ""
-    kept = F.when(last_blank, F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+    ends_open = strip_white(F.element_at("_p", -1)) != ""
+    kept = F.when(ends_open, F.col("_p")).otherwise(F.slice("_p", F.lit(1), F.size("_p") - 1))
     out = F.array_join(F.transform(kept, lambda s: rewrite_statement(s, source, target)), ";\n")
-    closed = F.when(sql.rlike(r";[ \t\r\n]*\z"), F.concat(out, F.lit(";"))).otherwise(out)
-    return df.select(*[F.when(sql.rlike(r"\S"), closed).otherwise(sql).alias(c) if c == text else F.col(c) for c in df.columns])
+    cut = df.withColumn("_p", split_statements(sql))
+    closed = F.when(F.rtrim(sql, F.lit(" \t\r\n")).endswith(";"), F.concat(out, F.lit(";"))).otherwise(out)
+    return cut.select(*[F.when(sql.rlike(r"\S"), closed).otherwise(sql).alias(c) if c == text else F.col(c) for c in df.columns])
 
 
 def rewrite_changes(df: DataFrame, source: str, target: str, text: str = "sql") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlift.functions.timetext import format_timestamp
+from ledgerlift.functions.values import let
 from ledgerlift.operators import fixed_types as fx
 
 
@@ -64,17 +67,34 @@ def _variants() -> dict[str, Column]:
     }
 
 
-def _fill(template: Column) -> Column:
-    """Put length, precision, scale and the UNSIGNED mark of the row into a type text."""
+def _spec(template: str) -> dict[str, str]:
+    """Parts of a type text: what stands before and after its parameter, the parameter, and the form without one."""
+    full, _, short = (x.strip() for x in template.partition("|"))
+    head, mark, tail = re.match(r"([^<]*)(<[^>]*>)?(.*)", full).groups()
+    mark = mark or ""
+    if mark.startswith("<n="):
+        short = mark[3:-1]
+    return {"head": head, "mark": mark[1:2], "tail": tail, "short": short}
+
+
+def _spec_map(entries: dict[str, str]) -> Column:
+    pairs = [(F.lit(k), F.struct(*[F.lit(v).alias(n) for n, v in _spec(t).items()])) for k, t in entries.items()]
+    return F.create_map(*[x for kv in pairs for x in kv])
+
+
+def _fill(spec: Column) -> Column:
+    """Type text with the row's length (n), precision and scale (p) or UNSIGNED mark (u) put in."""
     digits, scale, n = F.col("num_precision"), F.col("num_scale"), F.col("char_len")
-    known = digits.isNotNull() & scale.isNotNull()
-    form = F.when(known, F.regexp_replace(template, r" \| .*", "")).otherwise(F.regexp_replace(template, r".* \| ", ""))
-    pair = F.concat_ws(", ", digits.cast("string"), scale.cast("string"))
-    sized = F.when(n > 0, F.regexp_replace(form, F.lit(r"<n=[^>]*>"), n.cast("string"))).otherwise(
-        F.regexp_replace(form, r"<n=([^>]*)>", "$1")
+    head, tail, short = spec["head"], spec["tail"], spec["short"]
+    sized = F.concat(head, F.when(n > 0, n.cast("string")).otherwise(short), tail)
+    pair = F.concat(head, digits.cast("string"), F.lit(", "), scale.cast("string"), tail)
+    return (
+        F.when(spec["mark"] == "", head)
+        .when(spec["mark"] == "n", sized)
+        .when(spec["mark"] == "p", F.coalesce(pair, short))
+        .when(F.col("is_unsigned"), F.concat(head, F.lit(" UNSIGNED")))
+        .when(spec.isNotNull(), head)
     )
-    marked = F.replace(sized, F.lit("<u>"), F.when(F.col("is_unsigned"), " UNSIGNED").otherwise(""))
-    return F.replace(marked, F.lit("<p,s>"), pair)
 
 
 def target_type(dialect: str, kind: Column) -> Column:
@@ -92,11 +112,12 @@ def target_type(dialect: str, kind: Column) -> Column:
     for word, applies in _variants().items():
         narrowed = {k.split()[0]: t for k, t in by_kind.items() if k.endswith(" " + word)}
         if narrowed:
-            tries.append(F.when(applies, _pick(narrowed, kind)))
+            tries.append(F.when(applies, F.try_element_at(_spec_map(narrowed), kind)))
     plain = {k: t for k, t in by_kind.items() if " " not in k}
     source, spare = F.col("data_type"), other.lstrip("= ")
     fallback = F.when(source != "", source).otherwise(spare) if other.startswith("=") else F.lit(spare)
-    return F.coalesce(_fill(F.coalesce(*tries, _pick(plain, kind))), fallback)
+    spec = F.coalesce(*tries, F.try_element_at(_spec_map(plain), kind))
+    return F.coalesce(let(spec, _fill), fallback)
 
 
 def folded_type(c: Column) -> Column:

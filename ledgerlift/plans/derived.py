@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.sources.tables import read_table
+from ledgerlift.sources.tables import read_table, spread_few_files
 
 Recipe = list[tuple[str, str]]
 
@@ -357,7 +357,7 @@ SCRIPTS_SQL = sql_of("documents", SCRIPTS)
 
 
 def scripts(spark: SparkSession, sf: str) -> DataFrame:
-    return derive(spark, sf, "documents", SCRIPTS)
+    return spread_few_files(derive(spark, sf, "documents", SCRIPTS))
 
 
 def tables_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

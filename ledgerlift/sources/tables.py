@@ -18,6 +18,15 @@ def read_table(spark: SparkSession, source: str, name: str, fmt: str = "parquet"
     return spark.read.format(fmt).load(f"{source.rstrip('/')}/{name}{suffix}")
 
 
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few files over all cores, for steps that cost far more than moving the rows.
+
+    Many files already give many tasks, so a large table is read in place without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def jdbc_options(url: str, table: str, has_lob: bool = False, **extra: str) -> dict[str, str]:
     """Options of a JDBC read. Large objects lower the fetch size, so that a page fits in memory."""
     return {
