@@ -19,6 +19,20 @@ PREVIEW_KEEP = 47
 BINARY_PREFIX = "hex:"
 
 
+def sql_text(v) -> str:
+    """A Python constant (text, list or dict) as a Spark SQL literal, built in one call instead of one per entry."""
+    if isinstance(v, dict):
+        return "named_struct(" + ", ".join(f"{sql_text(k)}, {sql_text(x)}" for k, x in v.items()) + ")"
+    if isinstance(v, list | tuple):
+        return "array(" + ", ".join(sql_text(x) for x in v) + ")"
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def constant_map(entries: dict) -> Column:
+    """A constant map; one lookup stays one small expression however many entries it has."""
+    return F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in entries.items()) + ")")
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once per row."""
     return F.transform(F.array(value), use)[0]

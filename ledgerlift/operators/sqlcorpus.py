@@ -12,6 +12,7 @@ from ledgerlift.functions.sqltokens import (
     WHITE, ascii_upper, is_code, is_comment, join, let, map_code, mask_literals, needles, split_statements, sql_pattern,
     strip_white, tokens, upper_pattern,
 )
+from ledgerlift.functions.values import sql_text
 from ledgerlift.operators import fixed_rules as fr
 from ledgerlift.operators import fixed_types as fx
 from ledgerlift.operators.typemap import split_lines
@@ -32,9 +33,9 @@ def rules_for(target: str) -> list[tuple[str, str, str, str]]:
     return [(i, c, s, p) for i, c, s, scope, p in fr.RULES if applies(scope)]
 
 
-def _hits(line: Column, pattern: str) -> Column:
+def _hits(line: Column, pattern: Column) -> Column:
     """Start and length of every match in a line, from the pieces between the matches."""
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(line, pattern, F.lit(0))
     steps = F.zip_with(
         F.slice(F.split(line, pattern), F.lit(1), F.size(found)), found,
         lambda before, hit: F.struct(F.char_length(before).alias("gap"), F.char_length(hit).alias("hit_len")),
@@ -56,16 +57,18 @@ def _lines(df: DataFrame, text: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != text], F.posexplode(both).alias("_line", "_l"))
 
 
-def _may_hit(line: Column, pattern: str) -> Column:
-    """Cheap look for the rule's keyword before its pattern is tried."""
-    found = F.lit(False)
-    for word in needles(pattern):
-        found = found | line.contains(word)
-    return found
+def _rules(target: str) -> Column:
+    """The target's rules as one constant array, so that the plan does not grow with their number."""
+    facts = [
+        {"rule_id": i, "category": c, "severity": s, "suggestion": ADVICE[i], "pattern": upper_pattern(p), "words": needles(p)}
+        for i, c, s, p in rules_for(target)
+    ]
+    return F.expr(sql_text(facts))
 
 
-def _finding(facts: list[Column]):
-    return lambda h: F.struct(*facts, h["start"].alias("start"), h["hit_len"].alias("hit_len"))
+def _matching(rules: Column, line: Column) -> Column:
+    """Rules whose keyword is in the line (a cheap look) and whose pattern then matches."""
+    return F.filter(rules, lambda r: F.exists(r["words"], lambda w: F.contains(line, w)) & F.rlike(line, r["pattern"]))
 
 
 def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool = False) -> DataFrame:
@@ -75,18 +78,17 @@ def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool =
     ``keep_clean`` keeps one empty row for each line without a hit.
     """
     code = F.col("_l")["code"]
-    lists = []
-    for rule_id, category, severity, pattern in rules_for(target):
-        p = upper_pattern(pattern)
-        facts = [F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"), F.lit(severity).alias("severity")]
-        lists.append(F.when(_may_hit(code, pattern) & code.rlike(p), F.transform(_hits(code, p), _finding(facts))))
-    found = F.flatten(F.array_compact(F.array(*lists)))
+
+    def findings(r: Column) -> Column:
+        facts = [r[n].alias(n) for n in ("rule_id", "category", "severity", "suggestion")]
+        return F.transform(_hits(code, r["pattern"]), lambda h: F.struct(*facts, h["start"].alias("start"), h["hit_len"].alias("hit_len")))
+
+    found = F.flatten(F.transform(_matching(_rules(target), code), findings))
     keep = [c for c in df.columns if c != text]
     spread = F.explode_outer(found) if keep_clean else F.explode(found)
     rows = _lines(df, text).select(*keep, F.col("_line"), F.col("_l")["written"].alias("_written"), spread.alias("f"))
     snippet = F.substring(F.col("_written"), F.col("f.start"), F.col("f.hit_len"))
     short = F.when(F.char_length(snippet) > fr.SNIPPET_LIMIT, F.concat(F.left(snippet, F.lit(fr.SNIPPET_KEEP)), F.lit("..."))).otherwise(snippet)
-    advice = F.try_element_at(F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv]), F.col("f.rule_id"))
     return rows.select(
         *keep,
         (F.col("_line") + 1).alias("line_no"),
@@ -95,14 +97,10 @@ def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool =
         "f.category",
         "f.severity",
         F.trim(short).alias("snippet"),
-        advice.alias("suggestion"),
+        "f.suggestion",
     )
 
 
-def _matches(pattern: str):
-    return lambda line: _may_hit(line, pattern) & line.rlike(upper_pattern(pattern))
-
-
 def _count_hits(pattern: str):
     return lambda total, s: total + F.regexp_count(s, F.lit(pattern))
 
@@ -111,9 +109,9 @@ def rule_match(df: DataFrame, target: str, text: str = "sql") -> DataFrame:
     """Scripts and the rules that hit their code at least once."""
     keep = [c for c in df.columns if c != text]
     lines = F.split(ascii_upper(mask_literals(F.col(text))), "\n")
-    hit = [F.when(F.exists("_lines", _matches(p)), F.lit(rule_id)) for rule_id, _, _, p in rules_for(target)]
     rows = df.select(*keep, lines.alias("_lines"))
-    return rows.select(*keep, F.explode(F.array_compact(F.array(*hit))).alias("rule_id"))
+    hit = F.flatten(F.transform("_lines", lambda line: F.transform(_matching(_rules(target), line), lambda r: r["rule_id"])))
+    return rows.select(*keep, F.explode(F.array_distinct(hit)).alias("rule_id"))
 
 
 def audit_summary(df: DataFrame, target: str, key: str = "script_id", text: str = "sql") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlift.functions.timetext import format_timestamp
-from ledgerlift.functions.values import let
+from ledgerlift.functions.values import constant_map, let
 from ledgerlift.operators import fixed_types as fx
 
 
@@ -34,13 +34,8 @@ TYPES = {d: split_lines("\n".join(lines)) for d, lines in sections(fx.DIALECT_TY
 UNKNOWN = ""
 
 
-def _text_map(entries: dict[str, str]) -> Column:
-    """A constant map; one lookup stays one small expression however many entries it has."""
-    return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
-
-
 def _pick(entries: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(_text_map(entries), key)
+    return F.try_element_at(constant_map(entries), key)
 
 
 def neutral_kind(base_type: Column) -> Column:
@@ -78,8 +73,7 @@ def _spec(template: str) -> dict[str, str]:
 
 
 def _spec_map(entries: dict[str, str]) -> Column:
-    pairs = [(F.lit(k), F.struct(*[F.lit(v).alias(n) for n, v in _spec(t).items()])) for k, t in entries.items()]
-    return F.create_map(*[x for kv in pairs for x in kv])
+    return constant_map({k: _spec(t) for k, t in entries.items()})
 
 
 def _fill(spec: Column) -> Column:
