@@ -24,8 +24,9 @@ def list_snapshots(catalog: DataFrame) -> DataFrame:
     proper = name.rlike(SNAPSHOT_NAME)
     original = F.when(proper, F.regexp_extract(name, SNAPSHOT_NAME, 1)).otherwise(F.substring(name, len(SNAPSHOT_PREFIX) + 1, 10_000))
     return catalog.filter(name.startswith(SNAPSHOT_PREFIX)).select(
-        name.alias("snapshot_name"), original.alias("original_name"), proper.alias("can_restore")
-    )
+        name.alias("snapshot_name"), original.alias("original_name"), proper.alias("can_restore"),
+        *[c for c in catalog.columns if c != "table_name"],
+    )
 
 
 def resolve_target(

@@ -25,12 +25,16 @@ def offset_page(df: DataFrame, order_cols: list[str], offset: int, n: int) -> Da
 
 
 def incremental_rows(df: DataFrame, key: str, last: Any) -> DataFrame:
-    """Rows written since the recorded high-water key. A NULL key can never be resumed, so it is an error."""
-    checked = df.select(
-        *[c for c in df.columns if c != key],
-        F.coalesce(F.col(key), F.raise_error(F.lit(f"key {key} is NULL")).cast(df.schema[key].dataType)).alias(key),
-    ).select(*df.columns)
-    return checked if last is None else checked.filter(F.col(key) > F.lit(last))
+    """Rows written since the recorded high-water key.
+
+    The key filter stays plain, so it prunes the scan. A NULL key could never be
+    resumed past, so such a row is an error; looking for one is a pruned scan too.
+    """
+    kind = df.schema[key].dataType
+    fail = F.raise_error(F.lit(f"key {key} is NULL")).cast(kind).alias(key)
+    unkeyed = df.filter(F.col(key).isNull()).select(*[fail if c == key else F.col(c) for c in df.columns])
+    newer = df.filter(F.col(key).isNotNull() if last is None else F.col(key) > F.lit(last))
+    return newer.unionByName(unkeyed)
 
 
 def sample_rows(df: DataFrame, key: str, n: int = 100) -> DataFrame:

@@ -88,17 +88,21 @@ def _in_both(a: DataFrame, names: DataFrame) -> DataFrame:
     return a.join(names, "table_name", "left_semi")
 
 
-def column_diff(cat_a: DataFrame, cat_b: DataFrame) -> DataFrame:
-    """Differences of columns of tables that exist on both sides, one row per finding."""
+def column_diff(cat_a: DataFrame, cat_b: DataFrame, names_a: DataFrame | None = None, names_b: DataFrame | None = None) -> DataFrame:
+    """Differences of columns of tables that exist on both sides, one row per finding.
+
+    ``names_a`` and ``names_b`` give the table names where they are already known.
+    """
+    names_a = cat_a.select("table_name").distinct() if names_a is None else names_a
+    names_b = cat_b.select("table_name").distinct() if names_b is None else names_b
     facts = ["column_name", "base_type", "data_type", "is_nullable", "is_auto", "default_value"]
 
     def side(cat: DataFrame, other: DataFrame, p: str) -> DataFrame:
-        kept = _in_both(cat, other.select("table_name").distinct())
-        return kept.select(
+        return _in_both(cat, other).select(
             "table_name", F.lower("column_name").alias("_name"), *[F.col(c).alias(f"{p}_{c}") for c in facts]
         )
 
-    both = side(cat_a, cat_b, "a").join(side(cat_b, cat_a, "b"), ["table_name", "_name"], "full_outer")
+    both = side(cat_a, names_b, "a").join(side(cat_b, names_a, "b"), ["table_name", "_name"], "full_outer")
     in_a, in_b = F.col("a_column_name").isNotNull(), F.col("b_column_name").isNotNull()
     paired = in_a & in_b
     ka, kb = neutral_kind(F.col("a_base_type")), neutral_kind(F.col("b_base_type"))
@@ -228,12 +232,13 @@ ITEM = ("table_name", "object_name", "category", "severity", "message")
 
 def structure_report(a: Catalog, b: Catalog) -> DataFrame:
     """Every structural difference, one row each. Lost tables are reported once, not column by column."""
-    common = b.names()
-    items = table_diff(a.names(), common).select(
+    names, common = a.names(), b.names()
+    items = table_diff(names, common).select(
         "table_name", F.lit("").alias("object_name"), F.lit("schema").alias("category"),
         F.lit("error").alias("severity"), F.lit("table missing in target").alias("message"),
     )
-    items = items.unionByName(column_diff(_in_both(a.columns, common), _in_both(b.columns, a.names())).withColumnRenamed("column_name", "object_name"))
+    columns = column_diff(a.columns, b.columns, names, common)
+    items = items.unionByName(columns.withColumnRenamed("column_name", "object_name"))
     if a.indexes is not None and b.indexes is not None:
         lost = _in_both(index_diff(a.indexes, b.indexes), common)
         kind = F.when(F.col("is_unique"), "unique index ").otherwise("index ")

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ledgerlift.operators import naming, reports
+from ledgerlift.operators.reconcile import row_counts
 from ledgerlift.plans import derived as d
 from ledgerlift.plans.copyjob import CopySpec, TableCopy, copy_tables, run_row
 from ledgerlift.plans.queries_rows import DATES_SQL, ORDER_COLS, _norm_sql
@@ -63,9 +64,8 @@ def snapshot_roundtrip(spark, sf):
     db = _database(spark)
     sinks.write_table(read_table(spark, sf, "orders"), db, "orders")
     copy_tables(spark, [TableCopy("orders", d.orders_tgt(spark, sf))], CopySpec(db, policy="backup", run_ts=RUN_TS))
-    name = sinks.snapshot_name("orders", RUN_TS)
-    kept = spark.table(f"`{db}`.`{name}`").agg(F.count("*").alias("n_rows")).withColumn("snapshot_name", F.lit(name))
-    return naming.list_snapshots(sinks.catalog_tables(spark, db)).join(kept, "snapshot_name")
+    taken = [r["snapshot_name"] for r in naming.list_snapshots(sinks.catalog_tables(spark, db)).collect()]  # one row per table
+    return naming.list_snapshots(row_counts({name: spark.table(f"`{db}`.`{name}`") for name in taken}))
 
 
 @query("restore_roundtrip", f"SELECT {ORDER_COLS} FROM orders")

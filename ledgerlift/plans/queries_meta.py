@@ -430,7 +430,7 @@ def select_tables(spark, sf):
     f" ELSE substr(table_name, 6) END AS original_name, regexp_matches(table_name, '^_bak_(.+)_\\d{{8}}_\\d{{6}}$') AS can_restore FROM ({_TBL_A}) WHERE starts_with(table_name, '_bak_')",
 )
 def list_snapshots(spark, sf):
-    return naming.list_snapshots(d.derive(spark, sf, "customer", d.TABLES_A))
+    return naming.list_snapshots(d.derive(spark, sf, "customer", d.TABLES_A).select("table_name"))
 
 
 RULES = [("([", "broken"), (r"^tmp_", "temp"), (r"^user", "sec"), (r"^ods_(\w+)$", "archive.$1")]
