@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -61,25 +62,38 @@ def target_names(spark: SparkSession, names: list[str], spec: CopySpec) -> dict[
 
 
 def copy_one(spark: SparkSession, no: int, table: TableCopy, target: str, spec: CopySpec) -> tuple:
-    """Copy one table; after a failure the snapshot taken by this run comes back."""
+    """Copy one table.
+
+    Rows are written under a name of their own and take the target's name only
+    when all of them are there, so a failed copy leaves the old table in place.
+    ``rolled_back`` marks a failure under the backup policy after which the
+    target holds its old rows, whether they never moved or came back.
+    """
+    db = spec.database
+    existed = sinks.table_exists(spark, db, target)
     snapshot = None
     try:
-        snapshot = sinks.prepare_target(spark, spec.database, target, spec.policy, spec.run_ts)
-        mode = "append" if spec.policy == "append" else "errorifexists"
-        columns = None
-        if mode == "append" and sinks.table_exists(spark, spec.database, target):
-            columns = spark.table(f"`{spec.database}`.`{target}`").schema
-        written = sinks.write_table(prepare_rows(table.rows, table.generated, spec.dialect), spec.database, target, mode, columns)
+        if spec.policy == "error" and existed:
+            raise ValueError(f"target table {target} exists")
+        rows = prepare_rows(table.rows, table.generated, spec.dialect)
+        if spec.policy == "append" and existed:
+            columns = spark.table(f"`{db}`.`{target}`").schema
+            written = sinks.write_table(rows, db, target, "append", columns)
+        else:
+            stage = f"{target}__load_{uuid.uuid4().hex[:8]}"
+            written = sinks.write_table(rows, db, stage)
+            snapshot = sinks.prepare_target(spark, db, target, spec.policy, spec.run_ts)
+            spark.sql(f"ALTER TABLE `{db}`.`{stage}` RENAME TO `{db}`.`{target}`")
         return (no, table.name, target, "success", written, snapshot, False, None)
     except Exception as e:
         reason = str(e).splitlines()[0]
-        if snapshot is None:
-            return (no, table.name, target, "failed", 0, None, False, reason)
         try:
-            sinks.restore_table(spark, spec.database, snapshot, target)
+            if snapshot is not None:
+                sinks.restore_table(spark, db, snapshot, target)
         except Exception as again:
             return (no, table.name, target, "failed", 0, snapshot, False, f"{reason}; restore: {str(again).splitlines()[0]}")
-        return (no, table.name, target, "rolled_back", 0, snapshot, True, reason)
+        back = spec.policy == "backup" and existed
+        return (no, table.name, target, "rolled_back" if back else "failed", 0, None, back, reason)
 
 
 def copy_tables(spark: SparkSession, tables: list[TableCopy], spec: CopySpec) -> DataFrame:
