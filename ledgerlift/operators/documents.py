@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,45 +17,45 @@ SPARK_OF = {
 }
 
 
-def _field_type(variant_type: Column) -> Column:
-    return (
-        F.when(variant_type == "BIGINT", "BIGINT")
-        .when(variant_type.startswith("DECIMAL") | variant_type.isin("DOUBLE", "FLOAT"), "DOUBLE")
-        .when(variant_type == "BOOLEAN", "BOOLEAN")
-        .when(variant_type == "STRING", "VARCHAR")
-        .when(variant_type.startswith("OBJECT"), "JSON")
-        .when(variant_type != "VOID", "TEXT")
-    )
+def _field_type(shown: str) -> str:
+    """Column type of a merged variant type; a mix of types was merged to VARIANT."""
+    simple = {"BIGINT": "BIGINT", "BOOLEAN": "BOOLEAN", "STRING": "VARCHAR", "VARIANT": "VARCHAR", "DOUBLE": "DOUBLE", "FLOAT": "DOUBLE"}
+    word = re.match(r"\w*", shown)[0]
+    return {"DECIMAL": "DOUBLE", "OBJECT": "JSON"}.get(word) or simple.get(word, "TEXT")
+
+
+def _object_fields(shown: str) -> dict[str, str]:
+    """Fields of ``OBJECT<name: TYPE, ...>`` as Spark prints it; unusual names stand in backticks."""
+    if not shown.startswith("OBJECT<"):
+        return {}
+    fields, depth = {}, 0
+    body, at = shown[len("OBJECT<") : -1], 0
+    for part in re.finditer(r"(?:`(?:[^`]|``)*`|[^`,<>()]|[<>()])+|,", body):
+        text = part[0]
+        bare = re.sub(r"`(?:[^`]|``)*`", "", text)
+        if text == "," and depth == 0:
+            at = part.end()
+        depth += sum(bare.count(c) for c in "<(") - sum(bare.count(c) for c in ">)")
+        closes = part.end() == len(body) or (depth == 0 and body[part.end()] == ",")
+        if text != "," and closes and depth == 0:
+            name, _, kind = re.match(r"\s*(`(?:[^`]|``)*`|[^:]*)(: )(.*)", body[at : part.end()], re.S).groups()
+            fields[name[1:-1].replace("``", "`") if name.startswith("`") else name] = kind
+    return fields
 
 
 def infer_document_schema(df: DataFrame, json_col: str, sample: int | None = None) -> DataFrame:
     """One row per field: name, type, nullable. All documents are read unless ``sample`` is given.
 
-    The widest type wins: whole numbers give way to fractions, any other mix to
-    text; objects are JSON, arrays TEXT. Counting (field, type) pairs happens
-    map-side, so the shuffle carries a handful of rows.
+    One pass: each task merges its documents to one type, and only those types
+    travel. The widest type wins: whole numbers give way to fractions, any other
+    mix to text; objects are JSON, arrays TEXT.
     """
     docs = df.select(json_col) if sample is None else df.select(json_col).limit(sample)
-    pairs = (
-        docs.select(F.from_json(json_col, "map<string,variant>").alias("m"))
-        .select(F.explode("m").alias("field", "v"))
-        .groupBy("field", _field_type(F.schema_of_variant("v")).alias("t"))
-        .agg(F.count("*").alias("n"))
-    )
-    kinds = F.array_sort(F.collect_set("t"))
-    merged = (
-        F.when(F.col("field") == ID, "OBJECTID")
-        .when(F.size("ts") == 1, F.element_at("ts", 1))
-        .when(F.col("ts") == F.array(F.lit("BIGINT"), F.lit("DOUBLE")), "DOUBLE")
-        .when(F.size("ts") == 0, "TEXT")
-        .otherwise("VARCHAR")
-    )
-    return (
-        pairs.groupBy("field")
-        .agg(kinds.alias("ts"))
-        .select("field", merged.alias("data_type"), (F.col("field") != ID).alias("is_nullable"), (F.col("field") == ID).alias("is_pk"))
-        .orderBy(F.col("field") != ID, "field")
-    )
+    merged = docs.agg(F.schema_of_variant_agg(F.try_parse_json(json_col)).alias("t")).first()["t"]  # one text
+    fields = _object_fields(merged or "")
+    names = sorted(fields, key=lambda f: (f != ID, f))
+    rows = [(f, "OBJECTID" if f == ID else _field_type(fields[f]), f != ID, f == ID) for f in names]
+    return df.sparkSession.createDataFrame(rows, "field string, data_type string, is_nullable boolean, is_pk boolean")
 
 
 def field_types(schema_rows: DataFrame) -> dict[str, str]:

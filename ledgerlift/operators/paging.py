@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlift.session import default_buckets
+from ledgerlift.session import default_buckets, ensure_checkpoint_dir
 
-SAMPLES_PER_RANGE = 64
+PLACE_BITS = 33  # monotonically_increasing_id: row place in the low bits, partition above
 
 
 def keyset_page(df: DataFrame, key: str, last: Any, n: int) -> DataFrame:
@@ -42,61 +42,30 @@ def sample_rows(df: DataFrame, key: str, n: int = 100) -> DataFrame:
     return df.orderBy(key).limit(max(1, min(n, 10_000)))
 
 
-def _range_bounds(df: DataFrame, order_cols: list[str], n: int) -> list[tuple]:
-    """About ``n`` ordering tuples that cut the table into similar ranges.
-
-    A seeded sample of roughly 64 tuples per range reaches the driver, whatever
-    the table size; the bounds need not be exact for the result to be exact.
-    """
-    keys = df.select(*order_cols)
-    total = keys.count()
-    if total == 0 or n < 2:
-        return []
-    fraction = min(1.0, SAMPLES_PER_RANGE * n / total)
-    sampled = [tuple(r) for r in keys.sample(False, fraction, seed=17).orderBy(*order_cols).collect()]
-    picks = sorted({len(sampled) * i // n for i in range(1, n)}) if sampled else []
-    bounds: list[tuple] = []
-    for i in picks:
-        if not bounds or bounds[-1] != sampled[i]:
-            bounds.append(sampled[i])
-    return bounds
-
-
-def _range_number(df: DataFrame, order_cols: list[str], bounds: list[tuple]) -> Column:
-    """Index of the range a row falls in, by halving the list of bounds."""
-    row = F.struct(*[F.col(c) for c in order_cols])
-    kinds = [df.schema[c].dataType for c in order_cols]
-
-    def bound(i: int) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(bounds[i], kinds, order_cols)])
-
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(row <= bound(mid), pick(lo, mid)).otherwise(pick(mid + 1, hi))
-
-    return pick(0, len(bounds))
-
-
-def number_rows(df: DataFrame, order_cols: list[str], name: str = "row_no", buckets: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, order_cols: list[str], name: str = "row_no", partitions: int | None = None) -> DataFrame:
     """``ROW_NUMBER()`` over a whole table without sorting it in one task.
 
-    Rows are cut into key ranges, numbered inside each range, and shifted by the
-    number of rows in the ranges before. ``order_cols`` must be a total order.
+    Rows are range-partitioned and sorted, then checkpointed so that the
+    partitions stay the same whatever executor is lost later. A row's number is
+    its place in its partition plus the size of the partitions before, so no
+    second shuffle and no window is needed. ``order_cols`` must be a total
+    order; with all of them in the range key, a hot first column splits too.
     """
-    n = buckets or default_buckets(df.sparkSession)
-    ranged = df.withColumn("_range", _range_number(df, order_cols, _range_bounds(df, order_cols, n)))
-    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
-    before, shift = {}, 0
-    for i in sorted(sizes):
-        before[i] = shift
-        shift += sizes[i]
-    if not before:
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    placed = df.repartitionByRange(partitions or default_buckets(spark), *order_cols).sortWithinPartitions(*order_cols)
+    rows = placed.checkpoint().withColumn("_place", F.monotonically_increasing_id())
+    part = F.shiftright("_place", PLACE_BITS)
+    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one per partition
+    starts, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        starts.append(str(total))
+        total += sizes.get(p, 0)
+    if not starts:
         return df.withColumn(name, F.lit(0).cast("long"))
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order_cols))
-    return ranged.withColumn(name, start.cast("long") + inside).drop("_range")
+    start = F.element_at(F.expr(f"array({', '.join(starts)})"), part.cast("int") + 1).cast("long")
+    inside = F.col("_place").bitwiseAND(F.lit(2**PLACE_BITS - 1))
+    return rows.select(*df.columns, (start + inside + 1).alias(name))
 
 
 def key_splits(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -42,6 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Let ``checkpoint()`` write to the shared folder."""
+    folder = shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared folder for one run."""
     return f"{shared_dir(spark).rstrip('/')}/ledgerlift/{label}-{uuid.uuid4().hex}"

@@ -22,8 +22,7 @@ def test_query_matches_sql(spark, sf, name):
 def test_plans_stay_distributed(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not [f for f in FORBIDDEN if f in plan]
-    if "Window" in plan:
-        assert "Exchange SinglePartition" not in plan
+    assert "Window" not in plan
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):

@@ -13,14 +13,14 @@ from ledgerlift.sources import tables as src
 def test_number_rows_with_one_hot_key(spark):
     # A third of all rows share one key, and some keys are NULL.
     df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id END AS k", "id")
-    got = {r["id"]: r["row_no"] for r in pg.number_rows(df, ["k", "id"], buckets=8).collect()}
+    got = {r["id"]: r["row_no"] for r in pg.number_rows(df, ["k", "id"], partitions=8).collect()}
     want = sorted(df.collect(), key=lambda r: (r["k"] is not None, r["k"] or 0, r["id"]))
     assert got == {r["id"]: i + 1 for i, r in enumerate(want)}
 
 
 def test_number_rows_of_text_and_nothing(spark):
     df = spark.createDataFrame([(x,) for x in "zaébcä"], "k string")
-    rows = pg.number_rows(df, ["k"], buckets=4).orderBy("row_no").collect()
+    rows = pg.number_rows(df, ["k"], partitions=4).orderBy("row_no").collect()
     assert [r["k"] for r in rows] == sorted("zaébcä")
     assert pg.number_rows(df.limit(0), ["k"]).count() == 0
 

@@ -21,6 +21,12 @@ def test_document_types(spark):
     assert documents.infer_document_schema(df, "doc").first()["field"] == "_id"
 
 
+def test_unusual_field_names(spark):
+    df = docs(spark, '{"a b":{"x, y":[{"p":1.5}]},"c`d":"t","e<f":1,"plain":[1,"x"]}')
+    assert documents.field_types(documents.infer_document_schema(df, "doc")) == {"a b": "JSON", "c`d": "VARCHAR", "e<f": "BIGINT", "plain": "TEXT"}
+    assert documents.infer_document_schema(docs(spark, "[1]", "nonsense"), "doc").count() == 0
+
+
 def test_documents_to_table_and_back(spark):
     df = docs(spark, '{"_id":"65a1b2c3d4e5f60718293a4b","n":1,"m":3,"o":{"a":{"b":[1,2]}},"s":"x\\"y"}', '{"_id":"k","n":null,"m":"t","s":"é"}')
     flat = documents.read_documents(df, "doc", documents.field_types(documents.infer_document_schema(df, "doc"))).orderBy("_id")
