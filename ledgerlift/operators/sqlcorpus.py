@@ -20,6 +20,7 @@ from ledgerlift.operators.typemap import split_lines
 ADVICE = dict(split_lines(fr.ADVICE))
 FAMILIES = {"mysql": fx.MYSQL_FAMILY, "postgres": fx.POSTGRES_FAMILY}
 HIT = "struct<start:int,hit_len:int>"
+CHUNK = 256
 
 
 def rules_for(target: str) -> list[tuple[str, str, str, str]]:
@@ -33,21 +34,39 @@ def rules_for(target: str) -> list[tuple[str, str, str, str]]:
     return [(i, c, s, p) for i, c, s, scope, p in fr.RULES if applies(scope)]
 
 
+def _running(steps: Column, start: Column) -> Column:
+    """Place of each step (gap before it, length) when laid end to end from ``start``."""
+
+    def step(acc: Column, x: Column) -> Column:
+        here = acc["at"] + x["gap"]
+        entry = F.struct(here.alias("start"), x["hit_len"].alias("hit_len"))
+        return F.struct((here + x["hit_len"]).alias("at"), F.concat(acc["out"], F.array(entry)).alias("out"))
+
+    zero = F.struct(start.alias("at"), F.array().cast(f"array<{HIT}>").alias("out"))
+    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+
+
 def _hits(line: Column, pattern: Column) -> Column:
-    """Start and length of every match in a line, from the pieces between the matches."""
+    """Start and length of every match in a line, from the pieces between the matches.
+
+    Long lists are laid out in chunks, so a line with very many hits costs
+    little more than its length.
+    """
     found = F.regexp_extract_all(line, pattern, F.lit(0))
     steps = F.zip_with(
         F.slice(F.split(line, pattern), F.lit(1), F.size(found)), found,
         lambda before, hit: F.struct(F.char_length(before).alias("gap"), F.char_length(hit).alias("hit_len")),
     )
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{HIT}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        here = acc["at"] + x["gap"]
-        entry = F.struct(here.alias("start"), x["hit_len"].alias("hit_len"))
-        return F.struct((here + x["hit_len"]).alias("at"), F.concat(acc["out"], F.array(entry)).alias("out"))
+    def place(all_steps: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(all_steps), F.lit(CHUNK))
+        chunks = F.transform(firsts, lambda i: F.slice(all_steps, i, F.lit(CHUNK)))
+        widths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + x["hit_len"]))
+        whole = F.transform(widths, lambda w: F.struct(F.lit(0).alias("gap"), w.alias("hit_len")))
+        chunked = F.zip_with(chunks, _running(whole, F.lit(1)), lambda c, w: _running(c, w["start"]))
+        return F.when(F.size(all_steps) <= CHUNK, _running(all_steps, F.lit(1))).otherwise(F.flatten(chunked))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return let(steps, place)
 
 
 def _lines(df: DataFrame, text: str) -> DataFrame:

@@ -19,8 +19,10 @@ def _exprs(recipe: Recipe) -> list[str]:
     return [f"{e} AS {n}" for n, e in recipe]
 
 
-def derive(spark: SparkSession, sf: str, base: str, recipe: Recipe, where: str | None = None) -> DataFrame:
+def derive(spark: SparkSession, sf: str, base: str, recipe: Recipe, where: str | None = None, spread: bool = False) -> DataFrame:
+    """Rows of a recipe. ``spread`` deals a few files over all cores first, for costly steps behind it."""
     df = read_table(spark, sf, base)
+    df = spread_few_files(df) if spread else df
     return (df.filter(where) if where else df).selectExpr(*_exprs(recipe))
 
 
@@ -357,7 +359,7 @@ SCRIPTS_SQL = sql_of("documents", SCRIPTS)
 
 
 def scripts(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_few_files(derive(spark, sf, "documents", SCRIPTS))
+    return derive(spark, sf, "documents", SCRIPTS, spread=True)
 
 
 def tables_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

@@ -23,7 +23,7 @@ _KV_ROWS = d.sql_of("events", d.KV_ROWS)
      field <> '_id' AS is_nullable, field = '_id' AS is_pk FROM g""",
 )
 def doc_schema(spark, sf):
-    return documents.infer_document_schema(d.derive(spark, sf, "events", d.DOCS), "doc")
+    return documents.infer_document_schema(d.derive(spark, sf, "events", d.DOCS, spread=True), "doc")
 
 
 @query(
@@ -33,7 +33,7 @@ def doc_schema(spark, sf):
     json_extract_string(doc, '$.score') = 'n/a' AS score_is_text, CAST(json_extract(doc, '$.tags') AS VARCHAR) AS tags, replace(CAST(json_extract(doc, '$.props') AS VARCHAR), ' ', '') AS props FROM ({_DOCS})""",
 )
 def doc_flatten(spark, sf):
-    docs = d.derive(spark, sf, "events", d.DOCS)
+    docs = d.derive(spark, sf, "events", d.DOCS, spread=True)
     fields = documents.field_types(documents.infer_document_schema(docs, "doc"))
     flat = documents.read_documents(docs, "doc", fields)
     return flat.withColumn("score_is_text", F.col("score") == "n/a").drop("score")
@@ -90,7 +90,7 @@ def kv_counts(spark, sf):
     UNION ALL SELECT key, type, 0, NULL, json_extract_string(value, '$[0].Member'), CAST(json_extract_string(value, '$[0].Score') AS DOUBLE) FROM r WHERE type = 'zset'""",
 )
 def kv_explode(spark, sf):
-    return keyvalue.explode_keyvalue(d.derive(spark, sf, "events", d.KV_ROWS), "tgt")
+    return keyvalue.explode_keyvalue(d.derive(spark, sf, "events", d.KV_ROWS, spread=True), "tgt")
 
 
 @query(

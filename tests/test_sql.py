@@ -103,9 +103,32 @@ def test_audit_places(spark):
     assert long == "`" + "n" * 56 + "..."
 
 
-def test_every_rule_can_fire(spark):
-    assert {r[0] for r in RULES} == set(sc.ADVICE) and len(RULES) == 28
-    assert len(sc.rules_for("postgres")) < len(RULES)
+EXAMPLES = {
+    "backtick_name": "`a`", "bracket_name": "[a b]", "limit_mssql": "limit 5", "limit_dameng": "LIMIT 5", "top": "select top 3 x",
+    "limit_pair": "LIMIT 1 , 2", "getdate": "GetDate ( )", "last_identity": "@@rowcount", "datediff": "DATEDIFF(d, a, b)", "charindex": "CHARINDEX(a",
+    "isnull": "ISNULL(a, b)", "last_insert_id": "LAST_INSERT_ID()", "on_duplicate_key": "on duplicate key update", "replace_into": "REPLACE INTO t",
+    "group_concat": "GROUP_CONCAT(a)", "date_format": "DATE_FORMAT(a)", "if_call": "IF(a, b, c)", "ifnull": "x, IFNULL(a, b)", "returning": "RETURNING",
+    "on_conflict_mssql": "ON CONFLICT", "nvl": "NVL(a, b)", "merge": "MERGE INTO t", "on_conflict_mysql": "on conflict (a)",
+    "identity_query": "select @@identity", "call": "CALL p()", "exec": "execute dbo.p", "dollar_parameter": "a = $12", "at_parameter": "@p1",
+}
+TARGETS = ("mysql", "postgres", "mssql", "dameng")
+
+
+def test_every_rule_fires(spark):
+    assert {r[0] for r in RULES} == set(sc.ADVICE) == set(EXAMPLES) and len(RULES) == 28
+    df = spark.createDataFrame(list(EXAMPLES.items()), "script_id string, sql string")
+    fired = {(r["script_id"], r["rule_id"]) for t in TARGETS for r in sc.audit_sql(df, t).collect()}
+    assert {(i, i) for i in EXAMPLES} <= fired
+    matched = {(r["script_id"], r["rule_id"]) for t in TARGETS for r in sc.rule_match(df, t).collect()}
+    assert matched == fired
+
+
+def test_places_in_a_line_with_very_many_hits(spark):
+    line = "".join(f"`n{i}`, 'lit' " for i in range(3000))
+    found = audit(spark, line, "postgres")
+    assert len(found) == 3000
+    assert all(line[f["column_no"] - 1 :].startswith(f["snippet"]) for f in found)
+    assert [f["snippet"] for f in found] == [f"`n{i}`" for i in range(3000)]
 
 
 def test_summary_counts_clean_scripts(spark):
