@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,13 @@ def constant_map(entries: dict) -> Column:
     return F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in entries.items()) + ")")
 
 
+def literal(v, t: T.DataType) -> Column:
+    """A constant to compare with a column of type ``t``; wall times stay wall times in every session zone."""
+    if isinstance(t, T.TimestampNTZType) and isinstance(v, datetime):
+        return F.lit(v.isoformat(sep=" ")).cast(t)
+    return F.lit(v)
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once per row."""
     return F.transform(F.array(value), use)[0]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlift.functions.values import literal
 from ledgerlift.session import default_buckets, ensure_checkpoint_dir
 
 PLACE_BITS = 33  # monotonically_increasing_id: row place in the low bits, partition above
@@ -15,7 +16,7 @@ PLACE_BITS = 33  # monotonically_increasing_id: row place in the low bits, parti
 
 def keyset_page(df: DataFrame, key: str, last: Any, n: int) -> DataFrame:
     """The ``n`` rows after ``last`` in key order; ``last=None`` gives the first page."""
-    rows = df if last is None else df.filter(F.col(key) > F.lit(last))
+    rows = df if last is None else df.filter(F.col(key) > literal(last, df.schema[key].dataType))
     return rows.orderBy(key).limit(n)
 
 
@@ -33,7 +34,7 @@ def incremental_rows(df: DataFrame, key: str, last: Any) -> DataFrame:
     kind = df.schema[key].dataType
     fail = F.raise_error(F.lit(f"key {key} is NULL")).cast(kind).alias(key)
     unkeyed = df.filter(F.col(key).isNull()).select(*[fail if c == key else F.col(c) for c in df.columns])
-    newer = df.filter(F.col(key).isNotNull() if last is None else F.col(key) > F.lit(last))
+    newer = df.filter(F.col(key).isNotNull() if last is None else F.col(key) > literal(last, kind))
     return newer.unionByName(unkeyed)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlift.functions.values import TOLERANCE, normalize_key, preview_value, values_equal
+from ledgerlift.functions.values import TOLERANCE, literal, normalize_key, preview_value, values_equal
 from ledgerlift.operators.paging import sample_rows
 
 
@@ -177,7 +177,7 @@ def sample_compare(
     key = keys[0]
     head = sample_rows(src.filter(_not_null(keys)), key, n)
     last = head.agg(F.max(key)).first()[0]  # one value
-    return reconcile(head, tgt.filter(F.col(key) <= F.lit(last)), keys, tol=tol, unique_keys=unique_keys)
+    return reconcile(head, tgt.filter(F.col(key) <= literal(last, tgt.schema[key].dataType)), keys, tol=tol, unique_keys=unique_keys)
 
 
 def reconcile_keyless(a: DataFrame, b: DataFrame, trim: bool = True) -> DataFrame:

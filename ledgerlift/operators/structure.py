@@ -186,7 +186,10 @@ def constraint_columns(constraints: DataFrame, key_cols: DataFrame, ref_cols: Da
 
 
 def assemble_indexes(parts: DataFrame) -> DataFrame:
-    """One row per index with its columns in order, from one row per index column."""
+    """One row per index with its columns in order, from one row per index column.
+
+    The lists stay short: databases allow an index a few dozen columns.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("position", "column_name")))
     return (
         parts.groupBy("table_name", "index_name")

@@ -9,7 +9,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ledgerlift.functions.values import literal
 from ledgerlift.operators.constraints import fk_orphans
 from ledgerlift.operators.naming import resolve_target
 from ledgerlift.operators.reports import run_status
@@ -134,7 +136,7 @@ def run_row(report: DataFrame, run_id: int, spec: CopySpec, error: str = "") ->
     ok = F.count_if(status == "success")
     return report.agg(
         F.lit(run_id).cast("long").alias("run_id"),
-        F.lit(spec.run_ts).cast("timestamp_ntz").alias("created_at"),
+        literal(spec.run_ts, T.TimestampNTZType()).alias("created_at"),
         F.count("*").alias("tables_total"),
         ok.alias("tables_success"),
         F.count_if(status.isin("failed", "rolled_back")).alias("tables_failed"),

@@ -1,5 +1,7 @@
 """Paging, splits, reconciliation and constraints on small tables with known answers."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,16 @@ def test_pages_walk_the_whole_table(spark):
     assert [r[0] for r in pg.offset_page(df, ["id"], 20, 10).collect()] == [20, 21, 22]
 
 
+def test_time_keys_keep_wall_time_in_any_zone(spark):
+    df = spark.sql("SELECT timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, id) AS t FROM range(24)")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert [r[0].hour for r in pg.keyset_page(df, "t", datetime(2026, 1, 1, 20), 2).collect()] == [21, 22]
+        assert pg.incremental_rows(df, "t", datetime(2026, 1, 1, 20)).count() == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_incremental_rejects_null_keys(spark):
     df = spark.createDataFrame([(1,), (5,), (None,)], "k int")
     with pytest.raises(Exception, match="key k is NULL"):
@@ -158,6 +170,41 @@ def test_range_limits(spark):
     assert got == {"t": 2, "b": 1}
 
 
+def test_only_small_inputs_are_dealt_out_again(spark, sf, monkeypatch):
+    docs = src.read_table(spark, sf, "documents")
+    assert "Exchange RoundRobin" in src.spread_few_files(docs)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(src, "SPREAD_BYTES", 10)
+    assert src.spread_few_files(docs) is docs
+
+
 def test_jdbc_options():
     assert src.jdbc_options("u", "t")["fetchsize"] == "5000" and src.jdbc_options("u", "t", has_lob=True)["fetchsize"] == "200"
     assert src.partition_options("id", 1, 3, 8) == {"partitionColumn": "id", "lowerBound": "1", "upperBound": "4", "numPartitions": "3"}
+
+
+def staff(spark):
+    rows = [(i, f"emp{i}", i % 3 + 1, None if i % 7 == 0 else i * 10.5, f"2024-01-{i % 28 + 1:02d} 08:00:00") for i in range(1, 51)]
+    return spark.createDataFrame(rows, "id int, name string, dept_id int, salary double, hired string")
+
+
+def test_added_lost_and_tampered_rows_are_told_apart(spark):
+    src_rows = staff(spark)
+    added = src_rows.unionByName(staff(spark).limit(1).withColumn("id", F.lit(999)))
+    tampered = src_rows.withColumn("name", F.when(F.col("id") == 7, "changed").otherwise(F.col("name")))
+    as_text = src_rows.select("id", F.rpad("name", 20, " ").alias("name"), "dept_id", F.col("salary").cast("string").alias("salary"), F.col("hired").cast("timestamp_ntz").alias("hired"))
+    out = rec.validate_tables({
+        "all": (src_rows, as_text, ["id"], True), "added": (src_rows, added, ["id"], True),
+        "tampered": (src_rows, tampered, ["id"], True), "lost": (src_rows, None, ["id"], True),
+    })
+    facts = {r["table_name"]: r for r in out.collect()}
+    assert {n: r["status"] for n, r in facts.items()} == {"all": "match", "added": "row_count_mismatch", "tampered": "sample_mismatch", "lost": "missing_target"}
+    assert (facts["added"]["extra_rows"], facts["tampered"]["changed_rows"]) == (1, 1)
+    diff = rec.field_diffs(rec.pair_rows(src_rows, tampered, ["id"], unique_keys=True)).collect()
+    assert [tuple(r) for r in diff] == [(7, "name", "emp7", "changed")]
+
+
+def test_only_common_columns_are_compared(spark):
+    a = staff(spark)
+    assert rec.common_columns(a, a.drop("salary").withColumn("extra", F.lit(1)), ["id"]) == ["name", "dept_id", "hired"]
+    statuses = rec.reconcile(a, a.drop("salary").withColumn("extra", F.lit(1)), ["id"], unique_keys=True).select("status").distinct()
+    assert [r[0] for r in statuses.collect()] == ["same"]
