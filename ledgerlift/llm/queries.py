@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlift.llm import bpe, decontam, quality, sharding, substrings, urls
+from ledgerlift.llm import bpe, decontam, ngramjoin, quality, sharding, substrings, urls
 from ledgerlift.llm.texts import ship
 
 QUERIES = {}
@@ -65,3 +65,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.link_documents(table(spark, sf_dir, "documents"))
