@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlift.llm import bpe, decontam, lines, ngramjoin, quality, sharding, substrings, urls
+from ledgerlift.llm import bpe, decontam, langid, lines, ngramjoin, quality, sharding, substrings, urls
 from ledgerlift.llm.texts import ship
 
 QUERIES = {}
@@ -77,3 +77,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce(F.col("dedup.kept"), F.lit("")).cast("binary")
     return found.select("doc_id", F.col("dedup.n_lines").alias("n_lines"), F.col("dedup.n_removed").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
