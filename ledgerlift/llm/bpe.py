@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from ledgerlift.llm.texts import longs, pick, slices
+from ledgerlift.llm.texts import longs, pick, slices, tick
 
 FINAL = 256  # added to a word's last byte: the end-of-word mark
 TABLE_ARCS = 400_000  # transitions a worker keeps before its table starts anew
@@ -291,11 +291,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document row: n_tokens, ids (packed little-endian unsigned 32-bit), decoded text.
 
     NULL and empty texts have no tokens and decode to an empty text. Rows are mapped
-    one by one, without a shuffle; repeated rows and NULL ids pass through. The
+    one by one, without a shuffle; repeated rows and NULL ids pass through. Columns
+    named in ``keep`` go along; their names must not be those of the result. The
     vocabulary file must be readable under ``vocabulary`` on every executor.
     """
 
@@ -307,9 +308,12 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
                 columns = [batch.column(0).slice(start, len(rows)), longs(np.array([len(p) // 4 for p in packed], np.int64)), pa.array(packed, pa.binary())]
                 if decode:
                     columns.append(pa.array(map(own.decode, packed), pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
-
-    names = ["doc_id", "n_tokens", "ids", "decoded"]
-    kind = docs.select(F.col(f"`{doc_id}`")).dtypes[0][1]
-    schema = f"doc_id {kind}, n_tokens bigint, ids binary" + (", decoded string" if decode else "")
-    return pick(docs, doc_id=doc_id, text=text).mapInArrow(run, schema)
+                columns += [batch.column(2 + i).slice(start, len(rows)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    source = pick(docs, doc_id=doc_id, text=text, **{c: c for c in keep})
+    result = ["n_tokens bigint", "ids binary", *["decoded string"] * decode]
+    names = ["doc_id", *[r.split()[0] for r in result], *keep]
+    kinds = dict(source.dtypes)
+    schema = ", ".join([f"doc_id {kinds['doc_id']}", *result, *[f"{tick(c)} {kinds[c]}" for c in keep]])
+    return source.mapInArrow(run, schema)

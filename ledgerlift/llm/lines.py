@@ -126,36 +126,37 @@ def _drop_udf():
 
 def repeated_lines(docs: DataFrame, doc_id: str, text: str, k: int, share: tuple[int, int]) -> DataFrame:
     """(row, lines): the removed line numbers of each row that loses any; ``row`` is a hash of doc_id and text."""
+    space = px.Workspace(docs.sparkSession, "lines")
     body = pick(docs, doc_id=doc_id, text=text)
     kind = body.dtypes[0][1]
     table = px.rarity_table(body.select("text"), _tokens(k))
     source = body.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     schema = f"doc_id {kind}, row bigint, line int, class bigint, n int, prefix array<bigint>"
-    facts = px.stash(source.mapInArrow(_describe(k, share, table), schema), "lines")
+    facts = space.stash(source.mapInArrow(_describe(k, share, table), schema), "lines")
     place = F.struct("doc_id", "row", "line")
-    classes = px.stash(facts.groupBy("class").agg(F.min(place).alias("first"), F.max("n").alias("n")), "classes")
+    classes = space.stash(facts.groupBy("class").agg(F.min(place).alias("first"), F.max("n").alias("n")), "classes")
 
     # Lists of classes by prefix token, and the classes that share any.
     group = Window.partitionBy("token")
     posted = facts.where("prefix IS NOT NULL").select("class", F.explode("prefix").alias("token"))
     lists = posted.withColumn("low", F.min("class").over(group)).withColumn("high", F.max("class").over(group)).where("low < high").select("token", "class").distinct()
-    lists = px.stash(lists.join(classes, "class").select("token", "class", "first", "n"), "lists")
+    lists = space.stash(lists.join(classes, "class").select("token", "class", "first", "n"), "lists")
     led = lists.withColumn("lead", F.min(F.struct("first", "class", "n")).over(group))
     m, n = F.col("lead.n"), F.col("n")
     star = led.where((F.col("class") != F.col("lead.class")) & (F.least(m, n) * share[1] >= F.greatest(m, n) * share[0]))
-    star = px.stash(star.select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
+    star = space.stash(star.select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
 
     # The text of one line of each such class.
     wanted = lists.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.struct(F.col("first.line").alias("line"), "class").alias("want"))
     wanted = wanted.groupBy("row").agg(F.collect_list("want").alias("wanted"))
     maybe = px.membership(wanted.select("row"))
     found = source.select("row", "text").where(maybe(F.col("row"))).join(wanted, "row").select("row", "text", "wanted")
-    bodies = px.stash(found.mapInArrow(_wanted_lines, "class bigint, text string").groupBy("class").agg(F.min("text").alias("text")), "bodies")
+    bodies = space.stash(found.mapInArrow(_wanted_lines, "class bigint, text string").groupBy("class").agg(F.min("text").alias("text")), "bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = bodies.select(F.col("class").alias("a"), F.col("text").alias("x"))
         y = bodies.select(F.col("class").alias("b"), F.col("text").alias("y"))
-        return px.stash(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(k, share), "a bigint, b bigint"), "links")
+        return space.stash(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(k, share), "a bigint, b bigint"), "links")
 
     # a always stands before b, so b goes.
     gone = verified(star).select(F.col("b").alias("class")).distinct()
@@ -171,7 +172,9 @@ def repeated_lines(docs: DataFrame, doc_id: str, text: str, k: int, share: tuple
 
     fates = classes.join(gone.withColumn("gone", F.lit(True)), "class", "left").select("class", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     lost = facts.select("class", "doc_id", "row", "line").join(fates, "class").where(F.col("gone") | ~place.eqNullSafe(F.col("first")))
-    return px.stash(lost.groupBy("row").agg(F.collect_set("line").alias("lines")), "lost")
+    lost = space.stash(lost.groupBy("row").agg(F.collect_set("line").alias("lines")), "lost")
+    space.clear(lost)
+    return lost
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlift.llm import prefixes as px
-from ledgerlift.llm.texts import hash_words, longs, pick, shingles, slices, word_lists
+from ledgerlift.llm.texts import hash_words, longs, pick, shingles, slices, tick, word_lists
 
 SHINGLE = 3
 SHARE = (9, 10)
@@ -106,20 +106,21 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stand. A component whose ids are all NULL has component_id NULL. An empty table
     gives no rows.
     """
+    space = px.Workspace(docs.sparkSession, "ngramjoin")
     body = pick(docs, doc_id=doc_id, text=text)
     table = px.rarity_table(body.select("text"), _tokens(k))
     kind = body.dtypes[0][1]
     source = body.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    facts = px.stash(source.mapInArrow(_describe(k, share, table), f"doc_id {kind}, hash bigint, n bigint, class bigint, grp bigint, prefix array<bigint>"), "sets")
+    facts = space.stash(source.mapInArrow(_describe(k, share, table), f"doc_id {kind}, hash bigint, n bigint, class bigint, grp bigint, prefix array<bigint>"), "sets")
     some = facts.where("n > 0")
-    classes = px.stash(
+    classes = space.stash(
         some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("hash").alias("hash"), F.min("grp").alias("grp"), F.min("n").alias("n")), "classes"
     )
     shown = some.where("prefix IS NOT NULL")
     group = Window.partitionBy("token")
     posted = shown.select("grp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
     lists = posted.withColumn("lo", F.min("grp").over(group)).withColumn("hi", F.max("grp").over(group)).where("lo < hi")
-    lists = px.stash(lists.select("token", "grp", "n", "lo").distinct(), "lists")
+    lists = space.stash(lists.select("token", "grp", "n", "lo").distinct(), "lists")
 
     # First links: groups with the first group of their lists, classes with the first class of their group.
     heads = classes.groupBy("grp").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("members"))
@@ -133,31 +134,31 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = star.where(_sizes_fit(na, nb, share) & (meet + F.greatest(_rest(na, share), _rest(nb, share)) >= _needed(na, nb, share)))
     star = star.join(heads.select(F.col("grp").alias("ga"), F.col("head").alias("a")), "ga")
     star = star.join(classes.select(F.col("grp").alias("gb"), F.col("class").alias("b")), "gb")
-    first_pairs = px.stash(star.select("a", "b").union(in_group), "pairs")
+    first_pairs = space.stash(star.select("a", "b").union(in_group), "pairs")
 
     # The texts of all classes that may be in a pair, one each.
     paired = lists.select("grp").union(heads.where("members > 1").select("grp")).distinct()
     wanted = classes.join(paired, "grp", "left_semi").select("hash", "class")
     maybe = px.membership(wanted.select("hash"))
     found = source.select("hash", "text").where(maybe(F.col("hash"))).mapInArrow(_one_of_each, "hash bigint, text string")
-    bodies = px.stash(found.join(wanted, "hash").groupBy("class").agg(F.min("text").alias("text")), "bodies")
+    bodies = space.stash(found.join(wanted, "hash").groupBy("class").agg(F.min("text").alias("text")), "bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = bodies.select(F.col("class").alias("a"), F.col("text").alias("x"))
         y = bodies.select(F.col("class").alias("b"), F.col("text").alias("y"))
-        return px.stash(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(k, share), "a bigint, b bigint"), "links")
+        return space.stash(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(k, share), "a bigint, b bigint"), "links")
 
     links = verified(first_pairs)
     labels = px.components(links)
 
     # Then what is still unconnected within a list or a group.
-    labelled = px.stash(
+    labelled = space.stash(
         classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "grp", "n", "first_id", F.coalesce("label", "class").alias("label")), "labels"
     )
     spans = labelled.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     open_lists = lists.drop("lo").join(spans, "grp")
     open_lists = open_lists.withColumn("list_low", F.min("low").over(group)).withColumn("list_high", F.max("high").over(group)).where("list_low < list_high")
-    open_lists = px.stash(open_lists.select("token", "grp", "n", "low", "high"), "open")
+    open_lists = space.stash(open_lists.select("token", "grp", "n", "low", "high"), "open")
     one = open_lists.select("token", F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("high").alias("ha"))
     two = open_lists.select("token", F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
     apart = ~((F.col("la") == F.col("ha")) & (F.col("lb") == F.col("hb")) & (F.col("la") == F.col("lb")))
@@ -173,11 +174,33 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         labels = px.components(links.union(late))
         labelled = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "first_id", F.coalesce("label", "class").alias("label"))
     lowest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(lowest, "label").select("class", "component_id")
+    named = space.stash(labelled.join(lowest, "label").select("class", "component_id"), "named")
+    space.clear(facts, named)
     lone = facts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(lone)
 
 
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
+    """The documents, with all their columns, less those that are linked with one of a smaller doc_id.
+
+    Of each component one row stays: the smallest doc_id (NULL before all), of rows
+    that share it the first as stored. Documents without words all stay. The rows are
+    written down once, so that each has a name of its own. Texts of documents that
+    surely stay (by a membership filter of fixed size) are not shuffled.
+    """
+    space = px.Workspace(docs.sparkSession, "keep-one")
+    rows = space.stash(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    linked = link_documents(rows, "__row", text, k, share)
+    ids = rows.select("__row", F.col(tick(doc_id)).alias("__id"))
+    groups = linked.withColumnRenamed("doc_id", "__row").join(ids, "__row").select("component_id", F.struct("__id", "__row").alias("one"))
+    best = groups.groupBy("component_id").agg(F.min("one").alias("best"))
+    gone = groups.join(best, "component_id").where(F.col("one.__row") != F.col("best.__row")).select(F.col("one.__row").alias("__row"))
+    gone = space.stash(gone, "gone")
+    marked = rows.withColumn("__maybe", px.membership(gone)(F.col("__row")))
+    kept = marked.where("NOT __maybe").union(marked.where("__maybe").join(gone, "__row", "left_anti").select(*marked.columns))
+    return kept.drop("__row", "__maybe")
+
+
 def _one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per key of a batch; the rest of a batch's copies need not travel."""
     for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlift.llm.texts import mix, slices
 from ledgerlift.session import work_dir
@@ -17,11 +17,29 @@ FILTER_BITS = 25  # bits of a membership filter, whatever the input's size
 CHUNKS, FAN = 64, 32
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it from there."""
-    path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+class Workspace:
+    """Tables of one run in a folder of its own under the shared folder."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.names, self.made = spark, work_dir(spark, label), [], 0
+
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table and read it from there."""
+        self.made += 1
+        place = f"{self.path}/{self.made}-{name}"
+        df.write.parquet(place)
+        self.names.append(place)
+        return self.spark.read.parquet(place)
+
+    def clear(self, *keep: DataFrame) -> None:
+        """Delete the tables no longer needed: all but those that ``keep`` reads."""
+        kept = [f for df in keep for f in df.inputFiles()]
+        for place in list(self.names):
+            tail = place.split("://")[-1]
+            if not any(tail in f for f in kept):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                self.names.remove(place)
 
 
 def _fold(parts: DataFrame, join: np.ufunc, dtype: type) -> bytes:
@@ -148,7 +166,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     before the shuffle) and a join whose many-edged side Spark can split; edges
     between steps lie in the shared folder.
     """
-    now = stash(edges.select(F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo")).where("hi > lo").distinct(), "edges")
+    space = Workspace(edges.sparkSession, "components")
+    now = space.stash(edges.select(F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo")).where("hi > lo").distinct(), "edges")
     mark = None
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
@@ -157,10 +176,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi")
         stars = small.select("hi", F.col("m").alias("lo")).union(small.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
-        now = stash(stars.distinct(), "edges")
+        now = space.stash(stars.distinct(), "edges")
+        space.clear(now)
         seen = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("hi", "lo") % 1_000_003), F.lit(0))).first())
         if seen == mark:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
         mark = seen
-
-
