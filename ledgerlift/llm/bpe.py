@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from ledgerlift.llm.texts import longs, pick, slices, tick
+from ledgerlift.llm.texts import longs, pick, slices
 
 FINAL = 256  # added to a word's last byte: the end-of-word mark
 TABLE_ARCS = 400_000  # transitions a worker keeps before its table starts anew
@@ -301,19 +301,20 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        coder = encoder(vocabulary)
         for batch in batches:
             for start, rows in slices(batch.column(1), 6 << 20):
-                packed = own.encode([t.decode() if t else "" for t in rows])
+                packed = coder.encode([t.decode() if t else "" for t in rows])
                 columns = [batch.column(0).slice(start, len(rows)), longs(np.array([len(p) // 4 for p in packed], np.int64)), pa.array(packed, pa.binary())]
                 if decode:
-                    columns.append(pa.array(map(own.decode, packed), pa.binary()).cast(pa.string()))
+                    columns.append(pa.array(map(coder.decode, packed), pa.binary()).cast(pa.string()))
                 columns += [batch.column(2 + i).slice(start, len(rows)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    source = pick(docs, doc_id=doc_id, text=text, **{c: c for c in keep})
+    own = [f"keep_{i}" for i in range(len(keep))]  # a column name may hold a dot
+    source = pick(docs, doc_id=doc_id, text=text, **dict(zip(own, keep, strict=True)))
     result = ["n_tokens bigint", "ids binary", *["decoded string"] * decode]
-    names = ["doc_id", *[r.split()[0] for r in result], *keep]
+    names = ["doc_id", *[r.split()[0] for r in result], *own]
     kinds = dict(source.dtypes)
-    schema = ", ".join([f"doc_id {kinds['doc_id']}", *result, *[f"{tick(c)} {kinds[c]}" for c in keep]])
-    return source.mapInArrow(run, schema)
+    schema = ", ".join([f"doc_id {kinds['doc_id']}", *result, *[f"{c} {kinds[c]}" for c in own]])
+    return source.mapInArrow(run, schema).toDF(*names[: len(result) + 1], *keep)

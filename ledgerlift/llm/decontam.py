@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlift.llm.texts import longs, pick, settle, text_udf
+from ledgerlift.llm.texts import longs, pick, settle, spare, text_udf, tick
 
 WINDOW = 13
 BLOCK = 3
@@ -165,8 +165,8 @@ def find_contamination(
     Every document row gets a row, repeated and NULL ids included. NULL or empty
     text has no words. Repeated items count once; an item with a NULL id hits words
     but has no name to report; items without words, and an empty benchmark, hit
-    nothing. ``keep`` adds the result as column ``match`` to all of the document's
-    own columns instead.
+    nothing. ``keep`` adds the result, as a struct in one last column, to all of the
+    document's own columns instead.
 
     The benchmark is measured first. Up to ``item_bytes`` of it is compiled into one
     search and sent to the executors; a larger one is cut into as many parts as
@@ -177,24 +177,23 @@ def find_contamination(
     total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-total // item_bytes))
     rows = docs if keep else pick(docs, doc_id=doc_id, text=text)
-    body = text if keep else "text"
-    for part in range(parts):
+    body = F.col(tick(text if keep else "text"))
+    found, hits = [spare(rows, f"__match_{p}") for p in range(parts)], spare(rows, "__hit")
+    for part, name in enumerate(found):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == part)
         search = Searcher([(r["item"], r["body"].encode() if r["body"] is not None else None) for r in mine.collect()], window)
-        rows = rows.withColumn(f"__match_{part}", text_udf(search, _MATCH, ["n_words", "runs", "items"])(F.col(f"`{body}`")))
+        rows = rows.withColumn(name, text_udf(search, _MATCH, ["n_words", "runs", "items"])(body))
         if parts > 1:
             rows = settle(rows)
-    matches = [F.col(f"__match_{p}") for p in range(parts)]
-    covered = F.arrow_udf(_covered_udf(), "bigint")
+    matches = [F.col(name) for name in found]
     n_words = matches[0]["n_words"]
     runs = F.flatten(F.array(*[m["runs"] for m in matches]))
-    n_hit = covered(runs)
-    found = F.array_sort(F.array_distinct(F.flatten(F.array(*[m["items"] for m in matches]))))
-    out = rows.withColumn("__hit", n_hit)
-    hit = F.col("__hit")
-    fields = [n_words.alias("n_words"), hit.alias("n_hit"), found.alias("items"), ((hit > 0) & (20 * hit >= n_words)).alias("contaminated")]
+    out = rows.withColumn(hits, F.arrow_udf(_covered_udf(), "bigint")(runs))
+    hit = F.col(hits)
+    names = F.array_sort(F.array_distinct(F.flatten(F.array(*[m["items"] for m in matches]))))
+    fields = [n_words.alias("n_words"), hit.alias("n_hit"), names.alias("items"), ((hit > 0) & (20 * hit >= n_words)).alias("contaminated")]
     if keep:
-        return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*fields).alias("match"))
+        return out.select(*[F.col(tick(c)) for c in docs.columns], F.struct(*fields).alias(spare(docs, "match")))
     return out.select("doc_id", *fields)
 
 
@@ -209,4 +208,5 @@ def _covered_udf():
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
     judged = find_contamination(docs, benchmark, doc_id, text, keep=True, **options)
-    return judged.where(~F.col("match.contaminated")).drop("match")
+    match = judged.columns[-1]
+    return judged.where(~F.col(match)["contaminated"]).drop(match)

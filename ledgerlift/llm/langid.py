@@ -127,7 +127,8 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> Model | None:
     score, right = best.max(axis=1), best.argmax(axis=1) == truth
     order = np.argsort(-score)
     good = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    passing = np.flatnonzero(good >= PRECISION)
+    ends = np.append(score[order][1:] < score[order][:-1], True)  # equal scores pass together or not at all
+    passing = np.flatnonzero((good >= PRECISION) & ends)
     threshold = float(score[order[passing[-1]]]) if len(passing) else 1.0
     return Model(labels, (table @ weights).astype(np.float32), bias, temperature, threshold)
 

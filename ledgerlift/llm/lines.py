@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlift.llm import prefixes as px
-from ledgerlift.llm.texts import hash_words, longs, pick, shingles, slices, tick
+from ledgerlift.llm.texts import hash_words, longs, pick, shingles, slices, spare, tick
 
 SHINGLE = 5
 SHARE = (4, 5)
@@ -188,12 +188,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     Texts that surely lose nothing (by a membership filter of fixed size) are not
     shuffled.
     """
-    lost = repeated_lines(docs, doc_id, text, k, share).withColumnRenamed("row", "__row")
-    rows = docs.withColumn("__row", F.xxhash64(F.col(tick(doc_id)), F.col(tick(text))))
+    row, maybe, gone = spare(docs, "__row"), spare(docs, "__maybe"), spare(docs, "__gone")
+    lost = repeated_lines(docs, doc_id, text, k, share).toDF(row, gone)
     drop = _drop_udf()
     names = [F.col(tick(c)) for c in docs.columns]
-    maybe = px.membership(lost.select("__row"))
-    marked = rows.withColumn("__maybe", maybe(F.col("__row")))
-    touched = marked.where("__maybe").join(lost, "__row", "left").select(*names, drop(F.col(tick(text)), F.col("lines")).alias("dedup"))
-    whole = marked.where("NOT __maybe").select(*names, drop(F.col(tick(text)), F.lit(None).cast("array<int>")).alias("dedup"))
+    marked = docs.withColumn(row, F.xxhash64(F.col(tick(doc_id)), F.col(tick(text))))
+    marked = marked.withColumn(maybe, px.membership(lost.select(row))(F.col(row)))
+    touched = marked.where(F.col(maybe)).join(lost, row, "left").select(*names, drop(F.col(tick(text)), F.col(gone)).alias("dedup"))
+    whole = marked.where(~F.col(maybe)).select(*names, drop(F.col(tick(text)), F.lit(None).cast("array<int>")).alias("dedup"))
     return touched.union(whole)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlift.llm import prefixes as px
-from ledgerlift.llm.texts import hash_words, longs, pick, shingles, slices, tick, word_lists
+from ledgerlift.llm.texts import hash_words, longs, pick, shingles, slices, spare, tick, word_lists
 
 SHINGLE = 3
 SHARE = (9, 10)
@@ -189,16 +189,17 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     surely stay (by a membership filter of fixed size) are not shuffled.
     """
     space = px.Workspace(docs.sparkSession, "keep-one")
-    rows = space.stash(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    linked = link_documents(rows, "__row", text, k, share)
-    ids = rows.select("__row", F.col(tick(doc_id)).alias("__id"))
-    groups = linked.withColumnRenamed("doc_id", "__row").join(ids, "__row").select("component_id", F.struct("__id", "__row").alias("one"))
+    row, maybe = spare(docs, "__row"), spare(docs, "__maybe")
+    rows = space.stash(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    linked = link_documents(rows, row, text, k, share).withColumnRenamed("doc_id", "row")
+    groups = linked.join(pick(rows, row=row, id=doc_id), "row").select("component_id", F.struct("id", "row").alias("one"))
     best = groups.groupBy("component_id").agg(F.min("one").alias("best"))
-    gone = groups.join(best, "component_id").where(F.col("one.__row") != F.col("best.__row")).select(F.col("one.__row").alias("__row"))
+    gone = groups.join(best, "component_id").where(F.col("one.row") != F.col("best.row")).select(F.col("one.row").alias(row))
     gone = space.stash(gone, "gone")
-    marked = rows.withColumn("__maybe", px.membership(gone)(F.col("__row")))
-    kept = marked.where("NOT __maybe").union(marked.where("__maybe").join(gone, "__row", "left_anti").select(*marked.columns))
-    return kept.drop("__row", "__maybe")
+    marked = rows.withColumn(maybe, px.membership(gone)(F.col(row)))
+    stay = marked.where(~F.col(maybe))
+    kept = stay.union(marked.where(F.col(maybe)).join(gone, row, "left_anti").select(*[F.col(tick(c)) for c in marked.columns]))
+    return kept.drop(row, maybe)
 
 
 def _one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -198,10 +198,12 @@ def train(x: np.ndarray, y: np.ndarray, kinds: np.ndarray) -> Trees:
     for i, kind in enumerate(KINDS):
         mine = back & (kinds == i)
         order = np.argsort(-scores[mine], kind="stable")
+        ranked = scores[mine][order]
         good = np.cumsum(y[mine][order]) / np.arange(1, mine.sum() + 1)
-        passing = np.flatnonzero(good >= PRECISION)
+        ends = np.append(ranked[1:] < ranked[:-1], True)[: len(ranked)]  # equal scores pass together or not at all
+        passing = np.flatnonzero((good >= PRECISION) & ends)
         if len(passing) and passing[-1] + 1 >= LEAST_SPANS:
-            model.thresholds[kind] = float(scores[mine][order][passing[-1]])
+            model.thresholds[kind] = float(ranked[passing[-1]])
     return model
 
 

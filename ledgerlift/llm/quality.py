@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlift.llm.texts import longs, mix, pick, text_udf
+from ledgerlift.llm.texts import longs, mix, pick, spare, text_udf, tick
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -124,5 +124,6 @@ def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents whose verdict is kept, with their own columns."""
-    rows = docs.withColumn("__q", text_udf(_measure_all, DDL, FIELDS)(F.col(f"`{text}`")))
-    return rows.where(_verdict(F.col("__q"))[1]).drop("__q")
+    q = spare(docs, "__q")
+    rows = docs.withColumn(q, text_udf(_measure_all, DDL, FIELDS)(F.col(tick(text))))
+    return rows.where(_verdict(F.col(q))[1]).drop(q)

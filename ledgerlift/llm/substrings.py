@@ -6,7 +6,8 @@ words are anchored: positions modulo 21 that lie in the difference cover
 positions after the same number of steps (fewer than 21), so two equal windows of
 35 words always share an aligned anchor. Repeated anchors are then extended: only
 the windows around them are hashed in full (128 bits), and windows found twice are
-removed. The text is shuffled once; both joins read the same exchange.
+removed. The text is shuffled once, packed; both joins read the same exchange. A
+text is known by 44 bits of one hash and 31 of another.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerlift.llm.texts import hash_words, longs, mix, pick, slices, word_lists
+from ledgerlift.llm.texts import PACKED_BYTES, hash_words, longs, mix, packed, pick, slices, unpacked, word_lists
 
 WINDOW = 35
 PERIOD = 21
@@ -85,9 +86,9 @@ def _anchors(window: int):
                 owner, place = cover_places(np.diff(starts), window)
                 name = rolled(hashes, starts[owner] + place, window - PERIOD + 1, BASES[0])
                 key = np.array([keys[r] for r in rows], np.int64)[owner] if len(owner) else np.zeros(0, np.int64)
-                packed = (key >> PLACE_BITS << PLACE_BITS) | (place & ((1 << PLACE_BITS) - 1))
-                name, known = _first_of_each(name, copied[owner] if len(owner) else np.zeros(0, bool), mix(packed.view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([longs(name), longs(packed), pa.array(known)], ["name", "packed", "known"])
+                named = (key << PLACE_BITS) | (place & ((1 << PLACE_BITS) - 1))
+                name, known = _first_of_each(name, copied[owner] if len(owner) else np.zeros(0, bool), mix(named.view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([longs(name), longs(named), pa.array(known)], ["name", "packed", "known"])
 
     return run
 
@@ -113,10 +114,11 @@ def _short_key(text: bytes) -> int:
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch.column(1)):
+            for start, frames in slices(batch.column(1), PACKED_BYTES):
+                texts = unpacked(frames)
                 keys = batch.column(2).slice(start, len(texts)).to_pylist()
                 rows, copied = _distinct(texts, keys)
-                found = batch.column(4).slice(start, len(texts))
+                found = batch.column(3).slice(start, len(texts))
                 hashes, starts = hash_words(word_lists([texts[r] for r in rows]))
                 at = [candidate_starts(np.asarray(found[r].values, np.int64), int(n), window) for r, n in zip(rows, np.diff(starts), strict=True)]
                 owner = np.repeat(np.arange(len(rows)), [len(a) for a in at])
@@ -132,14 +134,13 @@ def _windows(window: int):
 
 
 def _finish(window: int):
-    def cut(text: bytes | None, key: int, hits) -> tuple[int, int, bytes]:
+    def cut(text: bytes | None, hits: np.ndarray | None) -> tuple[int, int, bytes]:
         words = text.split() if text else []
         if hits is None or len(words) < window:
             return len(words), 0, b" ".join(words)
-        keys, shorts = (np.asarray(hits.values.field(i), np.int64) for i in (0, 1))
-        mine = shorts[(keys == key) & (shorts >> 32 == np.int64(_short_key(text)))] if len(keys) else shorts
+        mine = hits[hits >> 32 == np.int64(_short_key(text))]
         edges = np.zeros(len(words) + 1, np.int64)
-        places = np.unique(mine & 0xFFFFFFFF)
+        places = mine & 0xFFFFFFFF
         edges[places] += 1
         edges[places + window] -= 1
         kept = np.cumsum(edges[:-1]) == 0
@@ -147,14 +148,14 @@ def _finish(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch.column(1)):
-                keys = batch.column(2).slice(start, len(texts)).to_pylist()
-                hits = batch.column(4).slice(start, len(texts))
+            for start, frames in slices(batch.column(1), PACKED_BYTES):
+                hits = batch.column(3).slice(start, len(frames))
                 out = []
-                for (text, key), same in groupby(range(len(texts)), lambda i: (texts[i], keys[i])):  # noqa: B023
+                for frame, same in groupby(range(len(frames)), lambda i: frames[i]):  # noqa: B023
                     rows = list(same)  # copies of a text stand together and are cut once
-                    out += [cut(text, key, hits[rows[0]] if hits[rows[0]].is_valid else None)] * len(rows)
-                ids = batch.column(0).slice(start, len(texts))
+                    found = hits[rows[0]]
+                    out += [cut(*unpacked([frame]), np.asarray(found.values, np.int64) if found.is_valid else None)] * len(rows)
+                ids = batch.column(0).slice(start, len(frames))
                 counts = np.array([o[:2] for o in out], np.int64).reshape(len(out), 2)
                 kept = pa.array([o[2] for o in out], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([ids, longs(counts[:, 0].copy()), longs(counts[:, 1].copy()), kept], ["doc_id", "n_words", "n_removed", "kept"])
@@ -177,19 +178,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     long_enough = F.coalesce(F.length("text") >= 2 * window - 1, F.lit(False))
     # A text that cannot hold a window is dealt out by its id as well; it is never looked for.
     dealt = F.when(long_enough, F.shiftright(hashed, PLACE_BITS)).otherwise(F.shiftright(F.xxhash64("doc_id", "text"), PLACE_BITS))
-    source = pick(docs, doc_id=doc_id, text=text).select("doc_id", "text", hashed.alias("hash"), dealt.alias("key"))
-    anchors = source.where(F.length("text") >= 2 * window - 1).select("text", "hash").mapInArrow(_anchors(window), "name bigint, packed bigint, known boolean")
+    rows = pick(docs, doc_id=doc_id, text=text)
+    long_rows = rows.where(F.length("text") >= 2 * window - 1)
+    anchors = long_rows.select("text", F.shiftright(hashed, PLACE_BITS).alias("key")).mapInArrow(_anchors(window), "name bigint, packed bigint, known boolean")
     times = F.count(F.lit(1)).over(Window.partitionBy("name"))
     again = anchors.withColumn("times", times).where("known OR times > 1").select(
         F.shiftright("packed", PLACE_BITS).alias("key"), F.col("packed").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place")
     )
     places = again.groupBy("key").agg(F.collect_set("place").alias("places"))
-    near = source.join(places, "key").select("doc_id", "text", "hash", "key", "places")
+    source = rows.select("doc_id", packed(F.col("text")).alias("frame"), dealt.alias("key"))
+    near = source.join(places, "key").select("doc_id", "frame", "key", "places")
     windows = near.mapInArrow(_windows(window), "one bigint, two bigint, key bigint, short bigint, known boolean")
     times = F.count(F.lit(1)).over(Window.partitionBy("one", "two"))
-    twice = windows.withColumn("times", times).where("known OR times > 1").select(
-        F.shiftright("key", PLACE_BITS).alias("deal"), F.struct("key", "short").alias("hit")
-    )
-    hits = twice.groupBy(F.col("deal").alias("key")).agg(F.collect_set("hit").alias("hits"))
-    joined = source.join(hits, "key", "left").select("doc_id", "text", "hash", "key", "hits")
+    twice = windows.withColumn("times", times).where("known OR times > 1")
+    hits = twice.groupBy("key").agg(F.collect_set("short").alias("hits"))
+    joined = source.join(hits, "key", "left").select("doc_id", "frame", "key", "hits")
     return joined.mapInArrow(_finish(window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")

@@ -12,11 +12,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlift.session import ensure_checkpoint_dir
 
 SLICE_BYTES = 8 << 20  # texts turned into Python objects at a time
+PACKED_BYTES = 3 << 20  # the same for packed texts
 TABLE_WORDS = 300_000  # word hashes kept by a worker before its table starts anew
 
 
@@ -50,6 +52,14 @@ def tick(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names; other columns cannot clash."""
     return df.select(*[F.col(tick(c)).alias(name) for name, c in columns.items()])
@@ -74,6 +84,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(text: Column) -> Column:
+    """Texts as zstd frames, for shuffles that move many of them; NULL stays NULL."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        press = zstandard.ZstdCompressor(level=1)
+        return pa.concat_arrays([pa.array([None if t is None else press.compress(t) for t in rows], pa.binary()) for _, rows in slices(texts)] or [pa.array([], pa.binary())])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "binary")(text)
+
+
+def unpacked(frames: list[bytes | None]) -> list[bytes | None]:
+    press = zstandard.ZstdDecompressor()
+    return [None if f is None else press.decompress(f) for f in frames]
+
+
 class WordHashes(dict):
     """64-bit hash of each word, computed once per worker; starts anew when it has grown large."""
 
