@@ -125,25 +125,25 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # First links: groups with the first group of their lists, classes with the first class of their group.
     heads = classes.groupBy("grp").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("members"))
     in_group = classes.join(heads.where("members > 1"), "grp").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
-    sets = shown.groupBy("grp").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix"))
-    star = lists.where("grp <> lo").select(F.col("lo").alias("ga"), F.col("grp").alias("gb")).distinct()
-    star = star.join(sets.select(F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "ga")
-    star = star.join(sets.select(F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "gb")
+    sets = space.stash(shown.groupBy("grp").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix")), "groups")
     na, nb = F.col("na"), F.col("nb")
+    star = lists.where("grp <> lo").select(F.col("lo").alias("ga"), F.col("grp").alias("gb"), F.col("n").alias("nb")).distinct()
+    star = star.join(sets.select(F.col("grp").alias("ga"), F.col("n").alias("na")), "ga").where(_sizes_fit(na, nb, share))
+    star = space.stash(star, "meetings")  # the prefixes join only what is left
+    star = star.join(sets.select(F.col("grp").alias("ga"), F.col("prefix").alias("pa")), "ga").join(sets.select(F.col("grp").alias("gb"), F.col("prefix").alias("pb")), "gb")
     meet = F.size(F.array_intersect("pa", "pb"))
-    star = star.where(_sizes_fit(na, nb, share) & (meet + F.greatest(_rest(na, share), _rest(nb, share)) >= _needed(na, nb, share)))
+    star = star.where(meet + F.greatest(_rest(na, share), _rest(nb, share)) >= _needed(na, nb, share)).select("ga", "gb")
     star = star.join(heads.select(F.col("grp").alias("ga"), F.col("head").alias("a")), "ga")
     star = star.join(classes.select(F.col("grp").alias("gb"), F.col("class").alias("b")), "gb")
     first_pairs = space.stash(star.select("a", "b").union(in_group), "pairs")
 
-    # The texts of all classes that may be in a pair, one each.
-    paired = lists.select("grp").union(heads.where("members > 1").select("grp")).distinct()
-    wanted = classes.join(paired, "grp", "left_semi").select("hash", "class")
-    maybe = px.membership(wanted.select("hash"))
-    found = source.select("hash", "text").where(maybe(F.col("hash"))).mapInArrow(_one_of_each, "hash bigint, text string")
-    bodies = space.stash(found.join(wanted, "hash").groupBy("class").agg(F.min("text").alias("text")), "bodies")
-
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that reach the similarity, by the texts of the classes in them, one each."""
+        used = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        wanted = space.stash(classes.join(used, "class").select("hash", "class"), "wanted")
+        maybe = px.membership(wanted.select("hash"))
+        found = source.select("hash", "text").where(maybe(F.col("hash"))).mapInArrow(_one_of_each, "hash bigint, text string")
+        bodies = space.stash(found.join(wanted, "hash").groupBy("class").agg(F.min("text").alias("text")), "bodies")
         x = bodies.select(F.col("class").alias("a"), F.col("text").alias("x"))
         y = bodies.select(F.col("class").alias("b"), F.col("text").alias("y"))
         return space.stash(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(k, share), "a bigint, b bigint"), "links")
@@ -169,7 +169,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mine = labelled.select(F.col("grp").alias("ga"), F.col("class").alias("a"), F.col("label").alias("ka"))
     yours = labelled.select(F.col("grp").alias("gb"), F.col("class").alias("b"), F.col("label").alias("kb"))
     rest = pairs.join(mine, "ga").join(yours, "gb").where("ka <> kb AND (ga <> gb OR a < b)").select("a", "b")
-    late = verified(rest.join(first_pairs, ["a", "b"], "left_anti"))
+    late = verified(space.stash(rest.join(first_pairs, ["a", "b"], "left_anti"), "pairs"))
     if not late.isEmpty():
         labels = px.components(links.union(late))
         labelled = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "first_id", F.coalesce("label", "class").alias("label"))

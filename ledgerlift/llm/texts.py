@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlift.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 8 << 20  # texts turned into Python objects at a time
-PACKED_BYTES = 3 << 20  # the same for packed texts
-TABLE_WORDS = 300_000  # word hashes kept by a worker before its table starts anew
+SLICE_BYTES = 2 << 20  # texts turned into Python objects at a time
+PACKED_BYTES = 1 << 20  # the same for packed texts
+TABLE_WORDS = 100_000  # word hashes kept by a worker before its table starts anew
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes | None]]]:
