@@ -49,7 +49,7 @@ def normalize_compare_time(c: Column) -> Column:
     The zone suffix goes first, so that a bare `` UTC`` is recognised too.
     """
     s = F.translate(F.regexp_replace(F.trim(c), ZONE_SUFFIX, ""), "T", " ")
-    tail = F.regexp_replace(F.substring(s, 11, 1_000_000), r"(?s)[+-].*", "")
+    tail = F.regexp_replace(F.substring(s, F.lit(11), F.char_length(s)), r"(?s)[+-].*", "")
     return F.trim(F.concat(F.left(s, F.lit(10)), tail))
 
 

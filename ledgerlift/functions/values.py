@@ -62,11 +62,18 @@ def encode_binary(c: Column) -> Column:
 
 def decode_binary(c: Column) -> Column:
     """Bytes of a prefixed hex text; NULL when the text is not one."""
-    body = F.substring(c, len(BINARY_PREFIX) + 1, 2_000_000_000)
+    body = F.substring(c, F.lit(len(BINARY_PREFIX) + 1), F.char_length(c))
     ok = c.startswith(BINARY_PREFIX) & (F.char_length(c) % 2 == 0) & body.rlike(r"^[0-9A-Fa-f]*+\z")
     return F.when(ok, F.unhex(body))
 
 
+def is_json(c: Column) -> Column:
+    """Whether the whole text is one JSON value: inside brackets it is the only element, inside braces the only field."""
+    in_list = F.json_array_length(F.concat(F.lit("["), c, F.lit("\n]"))) == 1
+    in_object = F.json_object_keys(F.concat(F.lit('{"v":'), c, F.lit("\n}"))) == F.array(F.lit("v"))
+    return F.coalesce(in_list & in_object, F.lit(False))
+
+
 def preview_value(c: Column, t: T.DataType | None = None) -> Column:
     """Short text for a report: NULL, a byte count, or the value cut to 50 characters."""
     if isinstance(t, T.BinaryType):
@@ -115,13 +122,22 @@ def _bytes_text(c: Column, t: T.DataType) -> Column:
 def values_equal(a: Column, ta: T.DataType, b: Column, tb: T.DataType, tol: float = TOLERANCE) -> Column:
     """Equality across stores; never NULL.
 
-    Two NULLs are equal. Numbers agree within ``tol`` (whole numbers exactly),
-    times by instant, text after padding is trimmed. A number or a time facing
+    Two NULLs are equal. Numbers agree within ``tol`` (whole numbers exactly, a
+    boolean counts as 0 or 1), times by instant, bytes exactly, text (and bytes
+    facing text) after padding is trimmed. A number or a time facing
     text is compared after parsing the text; unparsable text is different.
     """
+    if isinstance(ta, T.BooleanType) and is_number(tb):
+        return values_equal(a.cast("int"), T.IntegerType(), b, tb, tol)
+    if isinstance(tb, T.BooleanType) and is_number(ta):
+        return values_equal(b, tb, a, ta, tol)
     if is_number(ta) and is_number(tb):
         if isinstance(ta, INTEGRAL) and isinstance(tb, INTEGRAL):
             return a.eqNullSafe(b)
+        if isinstance(ta, INTEGRAL) or isinstance(tb, INTEGRAL):  # a double would hide differences beyond 2^53
+            wide = T.DecimalType(38, 10)
+            x, y = a.try_cast(wide), b.try_cast(wide)
+            return (a.isNull() & b.isNull()) | F.coalesce(F.abs(F.try_subtract(x, y)) < F.lit(tol), F.lit(False))
         if isinstance(ta, FLOATING) or isinstance(tb, FLOATING):
             x, y = a.cast("double"), b.cast("double")
             return x.eqNullSafe(y) | F.coalesce(F.abs(x - y) < F.lit(tol), F.lit(False))
@@ -140,6 +156,8 @@ def values_equal(a: Column, ta: T.DataType, b: Column, tb: T.DataType, tol: floa
         near = F.abs(F.try_subtract(a.try_cast(kind), other)) < F.lit(tol)
         same = a.try_cast(kind) == other
         return (a.isNull() & b.isNull()) | F.coalesce(same | near, F.lit(False))
+    if isinstance(ta, T.BinaryType) and isinstance(tb, T.BinaryType):
+        return a.eqNullSafe(b)
     if isinstance(ta, T.BinaryType) or isinstance(tb, T.BinaryType):
         return _bytes_text(a, ta).eqNullSafe(_bytes_text(b, tb))
     return text_form(a, ta).eqNullSafe(text_form(b, tb))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlift.functions.values import BINARY_PREFIX, decode_binary
+from ledgerlift.functions.values import decode_binary, is_json
 
 ID = "_id"
 SPARK_OF = {
@@ -17,45 +15,42 @@ SPARK_OF = {
 }
 
 
-def _field_type(shown: str) -> str:
-    """Column type of a merged variant type; a mix of types was merged to VARIANT."""
-    simple = {"BIGINT": "BIGINT", "BOOLEAN": "BOOLEAN", "STRING": "VARCHAR", "VARIANT": "VARCHAR", "DOUBLE": "DOUBLE", "FLOAT": "DOUBLE"}
-    word = re.match(r"\w*", shown)[0]
-    return {"DECIMAL": "DOUBLE", "OBJECT": "JSON"}.get(word) or simple.get(word, "TEXT")
-
-
-def _object_fields(shown: str) -> dict[str, str]:
-    """Fields of ``OBJECT<name: TYPE, ...>`` as Spark prints it; unusual names stand in backticks."""
-    if not shown.startswith("OBJECT<"):
-        return {}
-    fields, depth = {}, 0
-    body, at = shown[len("OBJECT<") : -1], 0
-    for part in re.finditer(r"(?:`(?:[^`]|``)*`|[^`,<>()]|[<>()])+|,", body):
-        text = part[0]
-        bare = re.sub(r"`(?:[^`]|``)*`", "", text)
-        if text == "," and depth == 0:
-            at = part.end()
-        depth += sum(bare.count(c) for c in "<(") - sum(bare.count(c) for c in ">)")
-        closes = part.end() == len(body) or (depth == 0 and body[part.end()] == ",")
-        if text != "," and closes and depth == 0:
-            name, _, kind = re.match(r"\s*(`(?:[^`]|``)*`|[^:]*)(: )(.*)", body[at : part.end()], re.S).groups()
-            fields[name[1:-1].replace("``", "`") if name.startswith("`") else name] = kind
-    return fields
+def _is_object(c: Column) -> Column:
+    return is_json(c) & F.coalesce(F.ltrim(c, F.lit(" \t\r\n")).startswith("{"), F.lit(False))
+
+
+def document_rejects(df: DataFrame, json_col: str) -> DataFrame:
+    """Rows that hold no document, with the reason: missing, broken (not JSON, or text behind it) or not an object."""
+    c = F.col(json_col)
+    reason = F.when(c.isNull(), "missing").when(~is_json(c), "broken").otherwise("not an object")
+    return df.filter(~_is_object(c)).withColumn("reason", reason)
 
 
 def infer_document_schema(df: DataFrame, json_col: str, sample: int | None = None) -> DataFrame:
     """One row per field: name, type, nullable. All documents are read unless ``sample`` is given.
 
-    One pass: each task merges its documents to one type, and only those types
-    travel. The widest type wins: whole numbers give way to fractions, any other
-    mix to text; objects are JSON, arrays TEXT.
+    Fields are listed per document and reduced by name to the few kinds of value
+    each was seen with, combined before the shuffle; rows that are no document are
+    left to ``document_rejects``. The widest type wins: whole numbers give way to
+    fractions, any other mix to text; objects are JSON, arrays TEXT.
     """
     docs = df.select(json_col) if sample is None else df.select(json_col).limit(sample)
-    merged = docs.agg(F.schema_of_variant_agg(F.try_parse_json(json_col)).alias("t")).first()["t"]  # one text
-    fields = _object_fields(merged or "")
-    names = sorted(fields, key=lambda f: (f != ID, f))
-    rows = [(f, "OBJECTID" if f == ID else _field_type(fields[f]), f != ID, f == ID) for f in names]
-    return df.sparkSession.createDataFrame(rows, "field string, data_type string, is_nullable boolean, is_pk boolean")
+    fields = F.from_json(json_col, "map<string,variant>")
+    listed = docs.filter(_is_object(F.col(json_col))).select(F.explode(fields).alias("field", "value"))
+    kind = F.regexp_extract(F.schema_of_variant("value"), r"^\w+", 0)
+    seen = listed.select("field", kind.alias("kind")).groupBy("field").agg(F.collect_set("kind").alias("kinds"))
+    kinds = F.array_remove(F.coalesce("kinds", F.array()), "VOID")
+
+    def only(*names: str) -> Column:
+        return (F.size(kinds) > 0) & (F.size(F.array_except(kinds, F.array(*map(F.lit, names)))) == 0)
+
+    data_type = (
+        F.when(F.col("field") == ID, "OBJECTID").when(F.size(kinds) == 0, "TEXT").when(only("BIGINT"), "BIGINT")
+        .when(only("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "DOUBLE").when(only("BOOLEAN"), "BOOLEAN")
+        .when(only("OBJECT"), "JSON").when(only("ARRAY"), "TEXT").otherwise("VARCHAR")
+    )
+    is_id = F.col("field") == ID
+    return seen.select("field", data_type.alias("data_type"), (~is_id).alias("is_nullable"), is_id.alias("is_pk")).orderBy(~is_id, "field")
 
 
 def field_types(schema_rows: DataFrame) -> dict[str, str]:
@@ -64,7 +59,10 @@ def field_types(schema_rows: DataFrame) -> dict[str, str]:
 
 
 def read_documents(df: DataFrame, json_col: str, fields: dict[str, str]) -> DataFrame:
-    """Typed columns from documents; nested values stay JSON text, mixed values become text."""
+    """Typed columns from documents; nested values stay JSON text, mixed values become text.
+
+    Rows that hold no document give no row here; ``document_rejects`` has them.
+    """
     schema = T.StructType(
         [T.StructField(f, T.VariantType() if t in ("JSON", "TEXT", "VARCHAR") else SPARK_OF[t]) for f, t in fields.items()]
     )
@@ -72,37 +70,38 @@ def read_documents(df: DataFrame, json_col: str, fields: dict[str, str]) -> Data
 
     def shown(f: str, t: str) -> Column:
         c = F.col("_doc")[f]
+        if t in ("JSON", "TEXT", "VARCHAR"):
+            c = F.when(~F.is_variant_null(c), c)
         if t in ("JSON", "TEXT"):
             return F.to_json(c).alias(f)
         if t == "VARCHAR":
             return F.coalesce(F.try_variant_get(c, "$", "string"), F.to_json(c)).alias(f)
         return c.alias(f)
 
-    parsed = df.select(*kept, F.from_json(json_col, schema).alias("_doc"))
+    parsed = df.filter(_is_object(F.col(json_col))).select(*kept, F.from_json(json_col, schema).alias("_doc"))
     return parsed.select(*kept, *[shown(f, t) for f, t in fields.items()])
 
 
-def write_documents(df: DataFrame, nested: dict[str, str] | None = None, binary: list[str] | None = None) -> DataFrame:
-    """One JSON document per row.
+def write_documents(df: DataFrame, nested: list[str] | None = None, binary: list[str] | None = None) -> DataFrame:
+    """One JSON document per row; every column is in it, NULL ones as null.
 
-    ``nested`` names text columns that hold JSON objects with their schema; text
-    that is not such an object is kept as text. ``binary`` columns holding
-    prefixed hex text become bytes (base64 in JSON). A 24-hex ``_id`` becomes an
+    ``nested`` names text columns that hold JSON; text that is not JSON is kept as
+    text. ``binary`` columns holding prefixed hex text become bytes (base64 in
+    JSON); other text, wrong hex included, is kept. A 24-hex ``_id`` becomes an
     object id in extended JSON form.
     """
-    nested, binary = nested or {}, binary or []
+    nested, binary = nested or [], binary or []
 
     def one(f: T.StructField) -> Column:
         c = F.col(f.name)
         if f.name == ID and isinstance(f.dataType, T.StringType):
             is_oid = c.rlike(r"^[0-9a-fA-F]{24}\z")
-            return F.when(is_oid, F.to_variant_object(F.struct(c.alias("$oid")))).otherwise(
-                F.try_parse_json(F.concat(F.lit('"'), c, F.lit('"')))
-            )
+            return F.when(is_oid, F.to_variant_object(F.struct(c.alias("$oid")))).otherwise(c.cast("variant"))
         if f.name in nested:
-            return F.from_json(c, nested[f.name])
+            return F.coalesce(F.when(is_json(c), F.try_parse_json(c)), c.cast("variant"))
         if f.name in binary:
-            return F.when(c.startswith(BINARY_PREFIX), F.base64(decode_binary(c))).otherwise(c)
+            return F.coalesce(F.base64(decode_binary(c)), c)
         return c
 
-    return df.select(F.to_json(F.struct(*[one(f).alias(f.name) for f in df.schema.fields])).alias("doc"))
+    fields = F.struct(*[one(f).alias(f.name) for f in df.schema.fields])
+    return df.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("doc"))

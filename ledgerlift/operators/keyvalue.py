@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlift.functions.values import is_json
+from ledgerlift.operators.paging import number_rows
+
 DEFAULT_TABLE = "_default"
 
 
@@ -27,24 +30,24 @@ def read_keyvalue(entries: DataFrame, part_rows: int = 100_000) -> DataFrame:
     """(key, type, part, value) from entry rows (key, type, field, member, score, seq).
 
     A hash becomes an object, a list and a set arrays, a sorted set an array of
-    {Score, Member}; a plain string keeps its member. A key of up to
-    ``part_rows`` entries gives one row, part 0. A larger key is dealt over
-    several parts, each a complete JSON value of the same form, so no task and
-    no text holds an unbounded key. List parts follow the list order; the parts
-    of the other types split the members by hash.
+    {Score, Member}; a plain string keeps its member. Every key is cut by one rule:
+    an entry's part is its place in the type's own order (field, list order,
+    member, or score and member) divided by ``part_rows``. Each part is a complete
+    JSON value, and the parts one after the other are the whole value in order, so
+    no task and no text holds an unbounded key. Places come from row numbers over
+    sorted ranges, which also split a single very large key.
     """
-    deduped = _last_entries(entries)
-    sizes = deduped.groupBy("key", "type").agg(F.count("*").alias("_n")).filter(F.col("_n") > part_rows)
-    # Only oversized keys are in `sizes`; adaptive execution broadcasts them when they turn out few.
-    dealt = deduped.join(sizes, ["key", "type"], "left_outer")
-    pieces = F.ceil(F.col("_n") / part_rows)
-    spread = F.pmod(F.xxhash64("field", "member"), pieces)
-    part = F.when(F.col("_n").isNull(), F.lit(0).cast("long")).when(
-        F.col("type") == "list", F.floor(F.col("seq") / part_rows)
-    ).otherwise(spread)
+    kind = F.col("type")
+    order = {
+        "_score": F.when(kind == "zset", F.col("score")), "_seq": F.when(kind == "list", F.col("seq")),
+        "_name": F.when(kind == "hash", F.col("field")).when(kind != "list", F.col("member")),
+    }
+    placed = number_rows(_last_entries(entries).withColumns(order), ["key", "type", *order], "_place")
+    firsts = placed.groupBy(F.col("key").alias("_key"), F.col("type").alias("_type")).agg(F.min("_place").alias("_first"))
+    dealt = placed.join(firsts, F.col("key").eqNullSafe(F.col("_key")) & F.col("type").eqNullSafe(F.col("_type")), "left_outer")
+    part = F.floor((F.col("_place") - F.col("_first")) / part_rows)
     entry = F.struct("seq", "score", "member", "field")
     grouped = dealt.groupBy("key", "type", part.cast("long").alias("part")).agg(F.collect_list(entry).alias("e"))
-    kind = F.col("type")
     by_seq = F.transform(F.array_sort("e"), lambda x: x["member"])
     members = F.array_sort(F.transform("e", lambda x: x["member"]))
     pairs = F.array_sort(F.transform("e", lambda x: F.struct(x["field"].alias("k"), x["member"].alias("v"))))
@@ -78,10 +81,11 @@ def explode_keyvalue(df: DataFrame, table: str) -> DataFrame:
     value that is not JSON of its type is stored whole, as the store's writer does.
     """
     key, kind, value = F.col("key"), F.col("type"), F.col("value")
-    rest = F.when(key.contains(":"), F.substring(key, F.instr(key, ":") + 1, F.lit(2_000_000_000))).otherwise(key)
-    fields = F.from_json(value, "map<string,string>")
-    items = F.from_json(value, "array<string>")
-    scored = F.from_json(value, "array<struct<Score:double,Member:string>>")
+    rest = F.when(key.contains(":"), F.substring(key, F.instr(key, ":") + 1, F.char_length(key))).otherwise(key)
+    whole_json = F.when(is_json(value), value)  # text that goes on behind a JSON value is no JSON
+    fields = F.from_json(whole_json, "map<string,string>")
+    items = F.from_json(whole_json, "array<string>")
+    scored = F.from_json(whole_json, "array<struct<Score:double,Member:string>>")
     none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
 
     def entry(field: Column, member: Column, score: Column) -> Column:

@@ -22,7 +22,7 @@ def list_snapshots(catalog: DataFrame) -> DataFrame:
     """Snapshot tables with the table each belongs to; only a full name may be restored or dropped."""
     name = F.col("table_name")
     proper = name.rlike(SNAPSHOT_NAME)
-    original = F.when(proper, F.regexp_extract(name, SNAPSHOT_NAME, 1)).otherwise(F.substring(name, len(SNAPSHOT_PREFIX) + 1, 10_000))
+    original = F.when(proper, F.regexp_extract(name, SNAPSHOT_NAME, 1)).otherwise(F.substring(name, F.lit(len(SNAPSHOT_PREFIX) + 1), F.char_length(name)))
     return catalog.filter(name.startswith(SNAPSHOT_PREFIX)).select(
         name.alias("snapshot_name"), original.alias("original_name"), proper.alias("can_restore"),
         *[c for c in catalog.columns if c != "table_name"],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,9 @@ def null_key_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Later row wins. Aggregated map-side first, so a key with very many rows never meets in one task whole."""
+    """The last row by ``order`` wins. Aggregated map-side first, so a key with very many rows never meets in one task whole."""
+    if not order:
+        raise ValueError("which row is the later one needs an order")
     rest = [c for c in df.columns if c not in keys]
     lead = order + [c for c in rest if c not in order]
     newest = F.max(F.struct(*[F.col(c) for c in lead])).alias("_row")
@@ -80,6 +82,8 @@ def pair_rows(
     if unique_keys:
         both = s.join(t, joined, "full_outer")
     else:
+        if not extra_order:
+            raise ValueError("keys that may repeat need an order that says which row is the later one")
         ordering = [f"_o_{c}" for c in extra_order]
         t = last_per_key(t, joined, ordering)
         found = s.join(t, joined, "left_outer")
@@ -180,12 +184,8 @@ def sample_compare(
     return reconcile(head, tgt.filter(F.col(key) <= literal(last, tgt.schema[key].dataType)), keys, tol=tol, unique_keys=unique_keys)
 
 
-def reconcile_keyless(a: DataFrame, b: DataFrame, trim: bool = True) -> DataFrame:
-    """Multiset difference of two tables without a key: each differing row with its count on both sides.
-
-    Both sides are stacked and counted in one grouping, so the only shuffle
-    carries rows already counted map-side; identical rows cost no join.
-    """
+def _multiset(a: DataFrame, b: DataFrame, trim: bool = True) -> DataFrame:
+    """Each distinct row of two tables over their common columns with its count on both sides, in one grouping."""
     cols = [c for c in a.columns if c in set(b.columns)]
 
     def side(df: DataFrame, left: int) -> DataFrame:
@@ -194,13 +194,22 @@ def reconcile_keyless(a: DataFrame, b: DataFrame, trim: bool = True) -> DataFram
         ]
         return df.select(*shown, F.lit(left).cast("long").alias("_l"), F.lit(1 - left).cast("long").alias("_r"))
 
-    return (
-        side(a, 1)
-        .unionByName(side(b, 0))
-        .groupBy(*cols)
-        .agg(F.sum("_l").alias("source_count"), F.sum("_r").alias("target_count"))
-        .filter(F.col("source_count") != F.col("target_count"))
-    )
+    stacked = side(a, 1).unionByName(side(b, 0))
+    return stacked.groupBy(*cols).agg(F.sum("_l").alias("source_count"), F.sum("_r").alias("target_count"))
+
+
+def reconcile_keyless(a: DataFrame, b: DataFrame, trim: bool = True) -> DataFrame:
+    """Multiset difference of two tables without a key: each differing row with its count on both sides.
+
+    Both sides are stacked and counted in one grouping, so the only shuffle
+    carries rows already counted map-side; identical rows cost no join.
+    """
+    return _multiset(a, b, trim).filter(F.col("source_count") != F.col("target_count"))
+
+
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that stand on more than one row, with their row counts; rows with a NULL in the key have no key."""
+    return df.filter(_not_null(keys)).groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -254,7 +263,7 @@ def table_facts(
     unique_keys: bool = False,
     order: list[str] | None = None,
 ) -> DataFrame:
-    """One row of counts for one table. Without a key only the row counts are compared."""
+    """One row of counts for one table. Without a key the rows are compared as multisets."""
     zero = F.lit(0).cast("long")
     none = F.lit(None).cast("string")
     if tgt is None:
@@ -264,11 +273,14 @@ def table_facts(
         )
         return counted
     if not keys:
-        both = src.select(F.lit(1).alias("s"), F.lit(0).alias("t")).unionAll(tgt.select(F.lit(0), F.lit(1)))
-        return both.agg(F.sum("s").alias("source_rows"), F.sum("t").alias("target_rows")).select(
-            F.lit(name).alias("table_name"), F.lit(True).alias("target_exists"),
-            F.coalesce("source_rows", zero).alias("source_rows"), F.coalesce("target_rows", zero).alias("target_rows"),
-            *[zero.alias(c) for c in FACTS[3:8]], none.alias("error"),
+        l, r = F.col("source_count"), F.col("target_count")
+        total = lambda c: F.coalesce(F.sum(c), zero)
+        return _multiset(src, tgt).agg(
+            total(l).alias("source_rows"), total(r).alias("target_rows"), total(F.least(l, r)).alias("compared_rows"),
+            total(F.greatest(l - r, zero)).alias("missing_rows"), total(F.greatest(r - l, zero)).alias("extra_rows"),
+        ).select(
+            F.lit(name).alias("table_name"), F.lit(True).alias("target_exists"), *FACTS[1:6],
+            *[zero.alias(c) for c in FACTS[6:8]], none.alias("error"),
         )
     pairs = pair_rows(src, tgt, keys, None, unique_keys, order)
     seen = pairs.select("in_src", "in_tgt", row_status(pairs, tol).alias("status"), F.lit(False).alias("null_src"), F.lit(False).alias("null_tgt"))
@@ -297,16 +309,32 @@ def table_facts(
     return out.drop("target_rows").join(total, "table_name").select("table_name", *FACTS)
 
 
-def validate_tables(tables: dict[str, tuple]) -> DataFrame:
-    """``{name: (source, target or None, keys or None, unique_keys)}`` to one verdict row per table, in that order."""
-    parts = [
-        table_facts(name, src, tgt, keys, unique_keys=unique).withColumn("table_no", F.lit(i))
-        for i, (name, (src, tgt, keys, unique)) in enumerate(tables.items())
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return table_status(out)
+VERDICT = (
+    "table_name string, target_exists boolean, source_rows bigint, target_rows bigint, compared_rows bigint, missing_rows bigint,"
+    " extra_rows bigint, changed_rows bigint, null_key_rows bigint, error string, table_no int"
+)
+
+
+def validate_tables(spark: SparkSession, tables: dict[str, tuple]) -> DataFrame:
+    """``{name: (source, target or None, keys or None, unique_keys)}`` to one verdict row per table, in that order.
+
+    Tables are judged one after the other, so one that fails gets the verdict
+    ``error`` and the others go on. A declared key that repeats on either side is
+    such an error, as its rows could not be aligned one to one.
+    """
+    rows = []
+    for i, (name, (src, tgt, keys, unique)) in enumerate(tables.items()):
+        try:
+            if tgt is not None and keys and unique:
+                for side, df in (("source", src), ("target", tgt)):
+                    n = repeated_keys(df, keys).count()
+                    if n:
+                        raise ValueError(f"{n} keys repeat in the {side}")
+            found = table_facts(name, src, tgt, keys, unique_keys=unique).first()  # one row of counts
+            rows.append((*found, i))
+        except Exception as e:
+            rows.append((name, tgt is not None, *[0] * 7, str(e).splitlines()[0], i))
+    return table_status(spark.createDataFrame(rows, VERDICT))
 
 
 def validate_report(verdicts: DataFrame) -> DataFrame:

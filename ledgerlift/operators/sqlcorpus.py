@@ -64,7 +64,7 @@ def _hits(line: Column, pattern: Column) -> Column:
         widths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + x["hit_len"]))
         whole = F.transform(widths, lambda w: F.struct(F.lit(0).alias("gap"), w.alias("hit_len")))
         chunked = F.zip_with(chunks, _running(whole, F.lit(1)), lambda c, w: _running(c, w["start"]))
-        return F.when(F.size(all_steps) <= CHUNK, _running(all_steps, F.lit(1))).otherwise(F.flatten(chunked))
+        return F.flatten(chunked)
 
     return let(steps, place)
 
@@ -152,7 +152,7 @@ def explode_statements(df: DataFrame, text: str = "sql") -> DataFrame:
 def statement_class(statement: Column) -> Column:
     """Class by the first words of code; comments in front do not count."""
     bare = join(F.filter(tokens(statement), lambda t: ~is_comment(t)))
-    head = F.concat(F.upper(F.left(F.ltrim(bare, F.lit(WHITE)), F.lit(200))), F.lit(" "))
+    head = F.concat(F.upper(F.ltrim(bare, F.lit(WHITE))), F.lit(" "))
     chain: Column | None = None
     for name, pattern in fr.STATEMENT_CLASSES:
         chain = F.when(head.rlike(pattern), name) if chain is None else chain.when(head.rlike(pattern), name)

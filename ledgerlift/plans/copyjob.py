@@ -73,10 +73,12 @@ def copy_one(spark: SparkSession, no: int, table: TableCopy, target: str, spec:
     """
     db = spec.database
     existed = sinks.table_exists(spark, db, target)
-    snapshot = None
+    snapshot = stage = None
     try:
         if spec.policy == "error" and existed:
             raise ValueError(f"target table {target} exists")
+        if spec.policy == "backup" and existed and sinks.table_exists(spark, db, sinks.snapshot_name(target, spec.run_ts)):
+            raise ValueError(f"snapshot {sinks.snapshot_name(target, spec.run_ts)} exists")
         rows = prepare_rows(table.rows, table.generated, spec.dialect)
         if spec.policy == "append" and existed:
             columns = spark.table(f"`{db}`.`{target}`").schema
@@ -90,6 +92,8 @@ def copy_one(spark: SparkSession, no: int, table: TableCopy, target: str, spec:
     except Exception as e:
         reason = str(e).splitlines()[0]
         try:
+            if stage is not None:
+                spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{stage}`")
             if snapshot is not None:
                 sinks.restore_table(spark, db, snapshot, target)
         except Exception as again:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.sources.tables import read_table, spread_few_files
+from ledgerlift.sources.tables import read_table
 
 Recipe = list[tuple[str, str]]
 
@@ -19,10 +19,9 @@ def _exprs(recipe: Recipe) -> list[str]:
     return [f"{e} AS {n}" for n, e in recipe]
 
 
-def derive(spark: SparkSession, sf: str, base: str, recipe: Recipe, where: str | None = None, spread: bool = False) -> DataFrame:
-    """Rows of a recipe. ``spread`` deals a few files over all cores first, for costly steps behind it."""
+def derive(spark: SparkSession, sf: str, base: str, recipe: Recipe, where: str | None = None) -> DataFrame:
+    """Rows of a recipe."""
     df = read_table(spark, sf, base)
-    df = spread_few_files(df) if spread else df
     return (df.filter(where) if where else df).selectExpr(*_exprs(recipe))
 
 
@@ -288,6 +287,20 @@ DOCS: Recipe = [
         " || ',\"tags\":[\"' || event_type || '\"],\"props\":' || props || '}'",
     ),
 ]
+ODD_DOCS: Recipe = [
+    ("event_id", "event_id"),
+    (
+        "doc",
+        "CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '{broken' WHEN 2 THEN '{\"a\":' || CAST(user_id AS STRING) || '} junk' WHEN 3 THEN '[' || CAST(user_id AS STRING) || ']'"
+        " WHEN 4 THEN '\"text\"' WHEN 5 THEN 'null' WHEN 6 THEN '{\"a\":1},{\"a\":2}' WHEN 7 THEN '{\"a\":[1,{\"b\":null}]}' ELSE ' {\"a\":' || CAST(user_id AS STRING) || '} ' END",
+    ),
+]
+DOC_ROWS: Recipe = [
+    ("_id", "CASE event_id % 3 WHEN 0 THEN lpad(CAST(event_id AS STRING), 24, '0') WHEN 1 THEN 'a\"b' || CAST(event_id AS STRING) ELSE 'x' || chr(92) || 'y' || CAST(event_id AS STRING) END"),
+    ("user", "CASE WHEN event_id % 7 <> 0 THEN user_id END"),
+    ("props", "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN '{\"k\":1} tail' ELSE props END"),
+    ("blob", "CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'hex:zz' WHEN 2 THEN 'plain ' || event_type ELSE 'hex:' || lower(hex(event_type)) END"),
+]
 KV_ENTRIES: Recipe = [
     ("key", "CASE user_id % 4 WHEN 0 THEN 'profile:' WHEN 1 THEN 'feed:' WHEN 2 THEN 'seen:' ELSE 'rank:' END || CAST(user_id AS STRING)"),
     ("type", "CASE user_id % 4 WHEN 0 THEN 'hash' WHEN 1 THEN 'list' WHEN 2 THEN 'set' ELSE 'zset' END"),
@@ -359,7 +372,7 @@ SCRIPTS_SQL = sql_of("documents", SCRIPTS)
 
 
 def scripts(spark: SparkSession, sf: str) -> DataFrame:
-    return derive(spark, sf, "documents", SCRIPTS, spread=True)
+    return derive(spark, sf, "documents", SCRIPTS)
 
 
 def tables_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

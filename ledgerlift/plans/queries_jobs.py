@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ledgerlift.operators import naming, reports
-from ledgerlift.operators.reconcile import row_counts
+from ledgerlift.operators.reconcile import field_diffs, pair_rows, row_counts, validate_tables
 from ledgerlift.plans import derived as d
-from ledgerlift.plans.copyjob import CopySpec, TableCopy, copy_tables, run_row
+from ledgerlift.plans.copyjob import CopySpec, TableCopy, copy_tables, prepare_rows, run_row
 from ledgerlift.plans.queries_rows import DATES_SQL, ORDER_COLS, _norm_sql
 from ledgerlift.plans.registry import query
 from ledgerlift.sources import sinks
@@ -26,12 +26,13 @@ def _database(spark) -> str:
 
 @query(
     "copy_orders",
-    f"SELECT o_orderkey, {_norm_sql('dt_text')} AS dt_text, {_norm_sql('note')} AS note FROM ({DATES_SQL})",
+    f"SELECT {', '.join('orders.' + c.strip() for c in ORDER_COLS.split(','))}, {_norm_sql('dt_text')} AS dt_text, {_norm_sql('note')} AS note FROM orders JOIN ({DATES_SQL}) t USING (o_orderkey)",
 )
 def copy_orders(spark, sf):
-    """Copies the orders with dates as text and returns the target table."""
+    """Copies all order columns and more dates as text and returns the target table."""
     spec = CopySpec(_database(spark), run_ts=RUN_TS)
-    rows = d.derive(spark, sf, "orders", d.DATE_TEXT).withColumn("computed", F.col("o_orderkey") * 2)
+    texts = [f"{e} AS {n}" for n, e in d.DATE_TEXT if n != "o_orderkey"]
+    rows = read_table(spark, sf, "orders").selectExpr("*", *texts).withColumn("computed", F.col("o_orderkey") * 2)
     report = copy_tables(spark, [TableCopy("orders", rows, generated=("computed",))], spec).first()
     if report["status"] != "success":
         raise RuntimeError(report["error"])
@@ -49,6 +50,45 @@ def copy_report(spark, sf):
     return copy_tables(spark, tables, spec).select("table_no", "table_name", "status", "n_rows")
 
 
+COPY_FORMS = ("sqlite", "mongodb", "access")
+COPY_KEYS = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "lineitem": None}
+
+
+@query(
+    "copy_then_reconcile",
+    " UNION ALL ".join(f"SELECT '{form}' AS dialect, '{t}' AS table_name, 'match' AS status, count(*) AS compared_rows FROM {t}" for form in COPY_FORMS for t in COPY_KEYS),
+)
+def copy_then_reconcile(spark, sf):
+    """Whole tables copied into several stores' forms, then checked by the reconciliation."""
+    out = None
+    for form in COPY_FORMS:
+        spec = CopySpec(_database(spark), run_ts=RUN_TS, dialect=form)
+        sources = {t: read_table(spark, sf, t) for t in COPY_KEYS}
+        copy_tables(spark, [TableCopy(t, rows) for t, rows in sources.items()], spec)
+        # A table without a key is compared in the form that the copy gives it.
+        shown = {t: rows if COPY_KEYS[t] else prepare_rows(rows, (), form) for t, rows in sources.items()}
+        checks = {t: (rows, spark.table(f"`{spec.database}`.`{t}`"), COPY_KEYS[t], COPY_KEYS[t] is not None) for t, rows in shown.items()}
+        found = validate_tables(spark, checks).select(F.lit(form).alias("dialect"), "table_name", "status", "compared_rows")
+        out = found if out is None else out.unionByName(found)
+        spark.sql(f"DROP DATABASE `{spec.database}` CASCADE")  # the verdicts are rows of their own
+    return out
+
+
+@query("copy_faults", "SELECT o_orderkey, 'o_totalprice' AS column_name FROM orders WHERE o_orderkey % 97 = 3 UNION ALL SELECT o_orderkey, 'o_orderdate' FROM orders WHERE o_orderkey % 83 = 11")
+def copy_faults(spark, sf):
+    """A copy with damaged fields: the check finds exactly those."""
+    spec = CopySpec(_database(spark), run_ts=RUN_TS, dialect="sqlite")
+    orders = read_table(spark, sf, "orders")
+    copy_tables(spark, [TableCopy("orders", orders)], spec)
+    damaged = spark.table(f"`{spec.database}`.`orders`").withColumns(
+        {
+            "o_totalprice": F.expr("CASE WHEN o_orderkey % 97 = 3 THEN o_totalprice + 0.5D ELSE o_totalprice END"),
+            "o_orderdate": F.expr("CASE WHEN o_orderkey % 83 = 11 THEN concat(o_orderdate, '1') ELSE o_orderdate END"),
+        }
+    )
+    return field_diffs(pair_rows(orders, damaged, ["o_orderkey"], unique_keys=True)).select("o_orderkey", "column_name")
+
+
 @query("write_roundtrip", f"SELECT {ORDER_COLS}, CAST(NULL AS VARCHAR) AS note FROM orders")
 def write_roundtrip(spark, sf):
     db = _database(spark)

@@ -351,7 +351,7 @@ def sample_compare(spark, sf):
     return rec.sample_compare(read_table(spark, sf, "orders"), d.orders_tgt(spark, sf), KEY, 1000)
 
 
-_COUNTED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
+_COUNTED = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @query("row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _COUNTED))
@@ -377,13 +377,16 @@ def compare_counts(spark, sf):
 def verdicts(spark, sf):
     orphans = d.derive(spark, sf, "customer", d.ORPHANS)
     return rec.validate_tables(
+        spark,
         {
             "orders": (read_table(spark, sf, "orders"), d.orders_tgt(spark, sf), KEY, True),
             "customer": (read_table(spark, sf, "customer"), orphans, ["c_custkey"], True),
             "part": (read_table(spark, sf, "part"), read_table(spark, sf, "part"), ["p_partkey"], True),
             "lineitem": (read_table(spark, sf, "lineitem"), d.lineitem_tgt(spark, sf), None, False),
             "events": (read_table(spark, sf, "events"), None, ["event_id"], True),
-        }
+            "failing": (read_table(spark, sf, "part").withColumn("p_size", F.col("p_name").cast("int")), read_table(spark, sf, "part"), ["p_partkey"], True),
+            "repeating": (read_table(spark, sf, "lineitem"), read_table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], True),
+        },
     )
 
 
@@ -392,16 +395,17 @@ _STATUS_SQL = f"""{_PAIRS}, o AS (SELECT count_if(in_src) AS sr, count_if(in_tgt
  v AS (SELECT 0 AS table_no, 'orders' AS table_name, true AS target_exists, sr AS source_rows, tr AS target_rows, cr AS compared_rows, mr AS missing_rows, er AS extra_rows, ch AS changed_rows FROM o
  UNION ALL SELECT 1, 'customer', true, count(*), count(*), count(*), 0, 0, count_if(c_custkey % 50 IN (0, 1)) FROM customer
  UNION ALL SELECT 2, 'part', true, count(*), count(*), count(*), 0, 0, 0 FROM part
- UNION ALL SELECT 3, 'lineitem', true, (SELECT count(*) FROM lineitem), (SELECT count(*) FROM ({d.LINEITEM_TGT_SQL})), 0, 0, 0, 0
- UNION ALL SELECT 4, 'events', false, count(*), 0, 0, 0, 0, 0 FROM events),
+ UNION ALL SELECT 3, 'lineitem', true, sum(a), sum(b), sum(least(a, b)), sum(greatest(a - b, 0)), sum(greatest(b - a, 0)), 0 FROM (SELECT sum(l) AS a, sum(r) AS b FROM (
+   SELECT {_LINE_GROUP}, 1 AS l, 0 AS r FROM lineitem UNION ALL SELECT {_LINE_GROUP}, 0, 1 FROM ({d.LINEITEM_TGT_SQL})) GROUP BY {_LINE_KEYS})
+ UNION ALL SELECT 4, 'events', false, count(*), 0, 0, 0, 0, 0 FROM events UNION ALL SELECT 5, 'failing', true, 0, 0, 0, 0, 0, 0 UNION ALL SELECT 6, 'repeating', true, 0, 0, 0, 0, 0, 0),
  w AS (SELECT table_no, table_name, target_exists, CAST(source_rows AS BIGINT) AS source_rows, CAST(target_rows AS BIGINT) AS target_rows, CAST(compared_rows AS BIGINT) AS compared_rows,
-  CAST(missing_rows AS BIGINT) AS missing_rows, CAST(extra_rows AS BIGINT) AS extra_rows, CAST(changed_rows AS BIGINT) AS changed_rows, CAST(0 AS BIGINT) AS null_key_rows, CAST(NULL AS VARCHAR) AS error,
-  CASE WHEN NOT target_exists THEN 'missing_target' WHEN source_rows <> target_rows THEN 'row_count_mismatch' WHEN missing_rows + extra_rows + changed_rows > 0 THEN 'sample_mismatch' ELSE 'match' END AS status FROM v)"""
+  CAST(missing_rows AS BIGINT) AS missing_rows, CAST(extra_rows AS BIGINT) AS extra_rows, CAST(changed_rows AS BIGINT) AS changed_rows, CAST(0 AS BIGINT) AS null_key_rows, table_no > 4 AS failed,
+  CASE WHEN table_no > 4 THEN 'error' WHEN NOT target_exists THEN 'missing_target' WHEN source_rows <> target_rows THEN 'row_count_mismatch' WHEN missing_rows + extra_rows + changed_rows > 0 THEN 'sample_mismatch' ELSE 'match' END AS status FROM v)"""
 
 
 @query("table_status", f"{_STATUS_SQL} SELECT * FROM w")
 def table_status(spark, sf):
-    return verdicts(spark, sf)
+    return verdicts(spark, sf).withColumn("error", F.col("error").isNotNull()).withColumnRenamed("error", "failed")
 
 
 @query(

@@ -55,8 +55,8 @@ _CLASS = (
     + " ELSE 'other' END"
 )
 CL_CTE = (
-    f"{ST_CTE}, cl AS (SELECT script_id, statement_no, {_CLASS} AS class FROM (SELECT script_id, statement_no, upper(left(ltrim(array_to_string(list_filter({_tokens('statement')},"
-    " lambda t: NOT (t LIKE '#%' OR t LIKE '--%' OR t LIKE '/*%')), ''), ' ' || chr(10)), 200)) || ' ' AS head FROM stm))"
+    f"{ST_CTE}, cl AS (SELECT script_id, statement_no, {_CLASS} AS class FROM (SELECT script_id, statement_no, upper(ltrim(array_to_string(list_filter({_tokens('statement')},"
+    " lambda t: NOT (t LIKE '#%' OR t LIKE '--%' OR t LIKE '/*%')), ''), ' ' || chr(10))) || ' ' AS head FROM stm))"
 )
 
 

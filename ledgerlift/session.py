@@ -27,9 +27,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for written tables and checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) does a temporary folder stand in, and it is registered with
-    the session so that later calls agree on it.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session
+    without that setting (tests) gets a temporary folder, which is registered so
+    that later calls agree on it; elsewhere a missing setting is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ledgerlift-", dir="/tmp"))
     return context.getCheckpointDir()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -78,10 +79,9 @@ def restore_table(spark: SparkSession, db: str, snapshot: str, table: str | None
     if not is_snapshot(snapshot) or not table_exists(spark, db, snapshot):
         raise ValueError(f"{snapshot} is not a snapshot")
     name = table or re.match(SNAPSHOT_NAME.replace(r"\z", r"\Z"), snapshot)[1]
-    aside = f"{name}__replaced"
+    aside = f"{name}__replaced_{uuid.uuid4().hex[:8]}"  # no user's table
     had_current = table_exists(spark, db, name)
     if had_current:
-        spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{aside}`")
         spark.sql(f"ALTER TABLE `{db}`.`{name}` RENAME TO `{db}`.`{aside}`")
     spark.sql(f"ALTER TABLE `{db}`.`{snapshot}` RENAME TO `{db}`.`{name}`")
     if had_current:

@@ -8,7 +8,6 @@ from ledgerlift.operators.paging import split_predicates
 
 PAGE_ROWS = 5000  # fixed values: rows per fetch, and per fetch when large objects are present
 LOB_PAGE_ROWS = 200
-SPREAD_BYTES = 1 << 30  # inputs up to this size may be dealt out again
 
 
 def read_table(spark: SparkSession, source: str, name: str, fmt: str = "parquet") -> DataFrame:
@@ -19,21 +18,6 @@ def read_table(spark: SparkSession, source: str, name: str, fmt: str = "parquet"
     return spark.read.format(fmt).load(f"{source.rstrip('/')}/{name}{suffix}")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of what a query reads, from Spark's own estimate of the plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input in few files over all cores, ahead of steps that cost far more than moving them.
-
-    Anything larger is read in place: it already gives many tasks, and moving it would cost a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = input_bytes(df) <= SPREAD_BYTES and len(df.inputFiles()) < cores
-    return df.repartition(cores) if small else df
-
-
 def jdbc_options(url: str, table: str, has_lob: bool = False, **extra: str) -> dict[str, str]:
     """Options of a JDBC read. Large objects lower the fetch size, so that a page fits in memory."""
     return {

@@ -170,11 +170,21 @@ def test_range_limits(spark):
     assert got == {"t": 2, "b": 1}
 
 
-def test_only_small_inputs_are_dealt_out_again(spark, sf, monkeypatch):
-    docs = src.read_table(spark, sf, "documents")
-    assert "Exchange RoundRobin" in src.spread_few_files(docs)._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(src, "SPREAD_BYTES", 10)
-    assert src.spread_few_files(docs) is docs
+def test_samples_are_not_capped(spark):
+    df = spark.range(20_500).withColumnRenamed("id", "k")
+    assert pg.sample_rows(df, "k", 20_000).count() == 20_000
+    assert sorted(r.k for r in pg.offset_page(df, ["k"], 20_490, 50).collect()) == list(range(20_490, 20_500))
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from ledgerlift import session
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    remote = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError):
+        session.shared_dir(remote)
 
 
 def test_jdbc_options():

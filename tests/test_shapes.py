@@ -25,6 +25,10 @@ def test_unusual_field_names(spark):
     df = docs(spark, '{"a b":{"x, y":[{"p":1.5}]},"c`d":"t","e<f":1,"plain":[1,"x"]}')
     assert documents.field_types(documents.infer_document_schema(df, "doc")) == {"a b": "JSON", "c`d": "VARCHAR", "e<f": "BIGINT", "plain": "TEXT"}
     assert documents.infer_document_schema(docs(spark, "[1]", "nonsense"), "doc").count() == 0
+    mixed = docs(spark, '{"a":1}', "[1]", '"text"', "null", '{"a":2} junk', "{broken")
+    assert documents.field_types(documents.infer_document_schema(mixed, "doc")) == {"a": "BIGINT"}
+    assert [r["a"] for r in documents.read_documents(mixed, "doc", {"a": "BIGINT"}).collect()] == [1]
+    assert sorted(r["reason"] for r in documents.document_rejects(mixed, "doc").collect()) == ["broken"] * 2 + ["not an object"] * 3
 
 
 def test_documents_to_table_and_back(spark):
@@ -33,7 +37,7 @@ def test_documents_to_table_and_back(spark):
     rows = [r.asDict() for r in flat.collect()]
     assert rows[0] == {"_id": "65a1b2c3d4e5f60718293a4b", "m": "3", "n": 1, "o": '{"a":{"b":[1,2]}}', "s": 'x"y'}
     assert rows[1]["n"] is None and rows[1]["m"] == "t"
-    built = [json.loads(r["doc"]) for r in documents.write_documents(flat, {"o": "struct<a:struct<b:array<int>>>"}).collect()]
+    built = [json.loads(r["doc"]) for r in documents.write_documents(flat, ["o"]).collect()]
     assert built[0]["_id"] == {"$oid": "65a1b2c3d4e5f60718293a4b"} and built[0]["o"] == {"a": {"b": [1, 2]}}
     assert built[1]["_id"] == "k"
 
@@ -51,8 +55,9 @@ def test_large_keys_come_in_parts(spark):
     assert all(len(p) > 1 for p in by_type.values())
     assert sum(by_type["list"], []) == [f"m{i}" for i in range(1000)]
     assert {k: v for p in by_type["hash"] for k, v in p.items()} == {f"f{i}": f"m{i}" for i in range(1000)}
-    assert sorted(sum(by_type["set"], [])) == sorted(f"m{i}" for i in range(1000))
-    assert {e["Member"]: e["Score"] for p in by_type["zset"] for e in p} == {f"m{i}": float(i % 7) for i in range(1000)}
+    assert sum(by_type["set"], []) == sorted(f"m{i}" for i in range(1000))
+    assert [(e["Score"], e["Member"]) for p in by_type["zset"] for e in p] == sorted((float(i % 7), f"m{i}") for i in range(1000))
+    assert all(len(v) == 100 for parts in by_type.values() for v in parts)
 
 
 def test_later_entries_replace_earlier_ones(spark):
@@ -62,6 +67,8 @@ def test_later_entries_replace_earlier_ones(spark):
 
 
 def test_values_that_are_not_of_their_type(spark):
+    junk = spark.createDataFrame([("a:1", "hash", '{"a":"1"} junk')], "key string, type string, value string")
+    assert [(r["field"], r["member"]) for r in keyvalue.explode_keyvalue(junk, "t").collect()] == [("value", '{"a":"1"} junk')]
     df = spark.createDataFrame([("a:1", "zset", "oops"), ("a:2", "hash", "{}"), ("a:3", "list", "x"), ("", "string", "v"), ("plain", "other", "v"), (None, "string", "v")], "key string, type string, value string")
     out = {r["key"]: (r["type"], r["field"], r["member"]) for r in keyvalue.explode_keyvalue(df, "t").collect()}
     assert out == {"t:1": ("string", None, "oops"), "t:2": ("hash", "value", "{}"), "t:3": ("list", None, "x"), "t:plain": ("string", None, "v")}
