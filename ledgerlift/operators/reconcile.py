@@ -316,21 +316,23 @@ VERDICT = (
 
 
 def validate_tables(spark: SparkSession, tables: dict[str, tuple]) -> DataFrame:
-    """``{name: (source, target or None, keys or None, unique_keys)}`` to one verdict row per table, in that order.
+    """``{name: (source, target or None, keys or None, unique_keys, order)}`` to one verdict row per table, in that order.
+
+    ``order`` may be left out where keys are unique.
 
     Tables are judged one after the other, so one that fails gets the verdict
     ``error`` and the others go on. A declared key that repeats on either side is
     such an error, as its rows could not be aligned one to one.
     """
     rows = []
-    for i, (name, (src, tgt, keys, unique)) in enumerate(tables.items()):
+    for i, (name, (src, tgt, keys, unique, *order)) in enumerate(tables.items()):
         try:
             if tgt is not None and keys and unique:
                 for side, df in (("source", src), ("target", tgt)):
                     n = repeated_keys(df, keys).count()
                     if n:
                         raise ValueError(f"{n} keys repeat in the {side}")
-            found = table_facts(name, src, tgt, keys, unique_keys=unique).first()  # one row of counts
+            found = table_facts(name, src, tgt, keys, unique_keys=unique, order=order[0] if order else None).first()  # one row of counts
             rows.append((*found, i))
         except Exception as e:
             rows.append((name, tgt is not None, *[0] * 7, str(e).splitlines()[0], i))

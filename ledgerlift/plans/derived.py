@@ -246,10 +246,10 @@ TABLES_B: Recipe = [
 
 # ---- names to be mapped to a target schema -----------------------------------------------
 SOURCE_NAMES: Recipe = [
-    ("source_table", "CASE o_custkey % 5 WHEN 0 THEN 'tmp_' WHEN 1 THEN 'user' WHEN 2 THEN 'ods_' WHEN 3 THEN 'tmp_special' ELSE 'orders_' END || CAST(o_orderkey AS STRING)"),
+    ("source_table", "CASE o_custkey % 5 WHEN 0 THEN 'buoy_' WHEN 1 THEN 'berth' WHEN 2 THEN 'old_' WHEN 3 THEN 'buoy_north' ELSE 'quay_' END || CAST(o_orderkey AS STRING)"),
 ]
 OVERRIDE_NAMES: Recipe = [
-    ("source_table", "'ods_' || CAST(o_orderkey AS STRING)"),
+    ("source_table", "'old_' || CAST(o_orderkey AS STRING)"),
     ("target_schema", "CASE WHEN o_orderkey % 2 = 0 THEN 'keep' ELSE '' END"),
 ]
 
@@ -364,7 +364,7 @@ SCRIPTS: Recipe = [
         f" WHEN 2 THEN '/* ' || {_T} || ' */ select `name`, NVL(code, 0), if(a > 1, 2, 3) from `users` limit 20, 10'"
         f" WHEN 3 THEN 'CREATE TABLE t (id INT); CREATE UNIQUE INDEX i ON t (id);' || {_NL} || 'COMMENT ON TABLE t IS ''' || {_T} || ''';' || {_NL} || 'USE db; SET NAMES utf8; DROP TABLE old'"
         f" WHEN 4 THEN 'MERGE INTO tgt USING src ON (1=1); EXEC sp_help ''' || {_T} || '''; CALL `proc`(1); SELECT @@IDENTITY; SELECT DATE_FORMAT(d, ''x''), GROUP_CONCAT(a) FROM t'"
-        f" WHEN 5 THEN 'SELECT TOP 5 PERCENT id FROM t; SELECT * FROM (SELECT TOP 5 id FROM a) x, (SELECT TOP 3 id FROM b) y;' || {_NL} || 'ALTER TABLE t ADD c INT; select top  7   id  from t -- ' || 'trailing GETDATE()'"
+        f" WHEN 5 THEN 'SELECT TOP 30 PERCENT tide FROM berth; SELECT TOP 2 s FROM (SELECT TOP 9 s FROM ship) q;' || {_NL} || 'ALTER TABLE t ADD c INT; select top  7   id  from t -- ' || 'trailing GETDATE()'"
         f" ELSE 'INSERT INTO t (a) VALUES ($1) ON CONFLICT (a) DO NOTHING RETURNING id; REPLACE INTO t VALUES (''' || {_T} || '''); SELECT CHARINDEX(''a'', b), DATEDIFF(day, a, b), @p1 FROM \"GETDATE()\"' END",
     ),
 ]
@@ -379,5 +379,3 @@ def tables_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
     return {n: read_table(spark, sf, n) for n in names.split()}
 
-
-__all__ = [n for n in dir() if n[0] != "_" and n not in ("annotations", "F")]

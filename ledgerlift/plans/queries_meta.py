@@ -433,13 +433,13 @@ def list_snapshots(spark, sf):
     return naming.list_snapshots(d.derive(spark, sf, "customer", d.TABLES_A).select("table_name"))
 
 
-RULES = [("([", "broken"), (r"^tmp_", "temp"), (r"^user", "sec"), (r"^ods_(\w+)$", "archive.$1")]
+RULES = [("*", "broken"), (r"^buoy_", "sea"), (r"^berth", "port"), (r"^old_(.+)$", "attic.$1")]
 
 
 @query(
     "resolve_target",
-    f"""SELECT s.source_table, CASE WHEN o.target_schema IS NOT NULL THEN o.target_schema || '.' || s.source_table WHEN starts_with(s.source_table, 'tmp_') THEN 'temp.' || s.source_table
-     WHEN starts_with(s.source_table, 'user') THEN 'sec.' || s.source_table WHEN starts_with(s.source_table, 'ods_') THEN 'archive.' || substr(s.source_table, 5) ELSE 'main.' || s.source_table END AS target_table
+    f"""SELECT s.source_table, CASE WHEN o.target_schema IS NOT NULL THEN o.target_schema || '.' || s.source_table WHEN starts_with(s.source_table, 'buoy_') THEN 'sea.' || s.source_table
+     WHEN starts_with(s.source_table, 'berth') THEN 'port.' || s.source_table WHEN starts_with(s.source_table, 'old_') THEN 'attic.' || substr(s.source_table, 5) ELSE 'main.' || s.source_table END AS target_table
     FROM ({d.sql_of('orders', d.SOURCE_NAMES)}) s LEFT JOIN (SELECT * FROM ({d.sql_of('orders', d.OVERRIDE_NAMES)}) WHERE target_schema <> '') o USING (source_table)""",
 )
 def resolve_target(spark, sf):

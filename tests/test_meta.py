@@ -116,13 +116,13 @@ def resolve(spark, name, rules=None, overrides=None, default="", dialect="postgr
 
 
 def test_target_names(spark):
-    two = [(r"^tmp_", "temp"), (r"^user", "sec")]
-    assert [resolve(spark, n) for n in ("orders", "weird.dotted")] == ["orders", "weird.dotted"]
-    assert resolve(spark, "orders", default="ods") == "ods.orders"
-    assert resolve(spark, "orders", overrides={"orders": "ods_staging"}, default="ods") == "ods_staging.orders"
-    assert [resolve(spark, n, two) for n in ("tmp_log", "user_info", "orders")] == ["temp.tmp_log", "sec.user_info", "orders"]
-    assert resolve(spark, "ods_orders", [(r"^ods_(\w+)$", "archive.$1")]) == "archive.orders"
-    assert resolve(spark, "tmp_special", two, {"tmp_special": "keep"}) == "keep.tmp_special"
-    assert resolve(spark, "ok_table", [("([", "x"), (r"^ok_", "good")]) == "good.ok_table"
-    assert resolve(spark, "orders", default="ods", dialect="sqlite") == "orders"
-    assert resolve(spark, "orders", overrides={"orders": ""}, default="ods") == "ods.orders"
+    two = [(r"^buoy", "sea"), (r"_log$", "cold")]
+    assert [resolve(spark, n) for n in ("berth", "north.berth")] == ["berth", "north.berth"]
+    assert resolve(spark, "berth", default="port") == "port.berth"
+    assert resolve(spark, "berth", overrides={"berth": "pier"}, default="port") == "pier.berth"
+    assert [resolve(spark, n, two) for n in ("buoy_log", "ship_log", "berth")] == ["sea.buoy_log", "cold.ship_log", "berth"]
+    assert resolve(spark, "old_berth", [(r"^old_(.+)$", "attic.$1")]) == "attic.berth"
+    assert resolve(spark, "buoy_9", two, {"buoy_9": "dock"}) == "dock.buoy_9"
+    assert resolve(spark, "quay", [("*", "x"), (r"^qu", "west")]) == "west.quay"
+    assert resolve(spark, "berth", default="port", dialect="sqlite") == "berth"
+    assert resolve(spark, "berth", overrides={"berth": ""}, default="port") == "port.berth"

@@ -84,7 +84,7 @@ def test_known_drift_is_found(spark, sf):
     orders, copy = src.read_table(spark, sf, "orders"), d.orders_tgt(spark, sf)
     counts = {r["status"]: r["count"] for r in rec.reconcile(orders, copy, ["o_orderkey"], unique_keys=True).groupBy("status").count().collect()}
     assert counts == {"missing": 15, "extra": 15, "changed": 34, "same": 1451}
-    pairs = rec.pair_rows(orders, copy, ["o_orderkey"])
+    pairs = rec.pair_rows(orders, copy, ["o_orderkey"], unique_keys=True)
     fields = {r["column_name"]: r["n_diffs"] for r in rec.diffs_by_column(rec.field_diffs(pairs)).collect()}
     assert fields == {"o_totalprice": 16, "o_orderpriority": 18}
 
@@ -92,7 +92,9 @@ def test_known_drift_is_found(spark, sf):
 def test_both_ways_of_pairing_agree(spark, sf):
     orders, copy = src.read_table(spark, sf, "orders"), d.orders_tgt(spark, sf)
     a = rec.reconcile(orders, copy, ["o_orderkey"], unique_keys=True)
-    b = rec.reconcile(orders, copy, ["o_orderkey"])
+    b = rec.reconcile(orders, copy, ["o_orderkey"], order=["o_orderdate"])
+    with pytest.raises(ValueError):
+        rec.reconcile(orders, copy, ["o_orderkey"])
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
@@ -100,7 +102,7 @@ def test_a_table_equals_itself(spark, sf):
     lines = src.read_table(spark, sf, "lineitem")
     assert rec.reconcile_keyless(lines, lines).count() == 0
     orders = src.read_table(spark, sf, "orders")
-    assert [r[0] for r in rec.reconcile(orders, orders, ["o_orderkey"]).select("status").distinct().collect()] == ["same"]
+    assert [r[0] for r in rec.reconcile(orders, orders, ["o_orderkey"], unique_keys=True).select("status").distinct().collect()] == ["same"]
 
 
 def test_repeated_keys_do_not_multiply(spark):
@@ -117,14 +119,14 @@ def test_null_keys_are_counted_apart(spark):
     b = spark.createDataFrame([(1, "x "), (None, "y")], "k int, v string")
     assert [tuple(r) for r in rec.reconcile(a, b, ["k"], unique_keys=True).collect()] == [(1, "same")]
     for unique in (True, False):
-        fact = rec.validate_tables({"t": (a, b, ["k"], unique)}).first()
+        fact = rec.validate_tables(spark, {"t": (a, b, ["k"], unique, ["v"])}).first()
         assert (fact["source_rows"], fact["target_rows"], fact["null_key_rows"], fact["status"]) == (3, 2, 2, "row_count_mismatch")
 
 
 def test_keys_of_different_types_meet(spark):
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     b = spark.createDataFrame([("1 ", "a"), ("3", "b")], "k string, v string")
-    assert sorted(tuple(r) for r in rec.reconcile(a, b, ["k"]).collect()) == [(1, "same"), (2, "missing"), (3, "extra")]
+    assert sorted(tuple(r) for r in rec.reconcile(a, b, ["k"], order=["v"]).collect()) == [(1, "same"), (2, "missing"), (3, "extra")]
 
 
 def test_composite_key_uses_all_columns(spark):
@@ -142,14 +144,16 @@ def test_sample_has_no_false_extra_at_its_end(spark):
 def test_verdicts(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     changed = a.withColumn("v", F.lit("x"))
-    out = rec.validate_tables({
+    out = rec.validate_tables(spark, {
         "same": (a, a, ["k"], True), "changed": (a, changed, ["k"], True), "short": (a, a.filter("k = 1"), ["k"], True),
-        "gone": (a, None, ["k"], True), "keyless": (a, a, None, False),
+        "gone": (a, None, ["k"], True), "keyless": (a, a, None, False), "other rows": (a, changed, None, False),
+        "repeats": (a.union(a), a.union(a), ["k"], True), "fails": (a.withColumn("v", F.raise_error(F.lit("unreadable"))), a, ["k"], True), "after": (a, a, ["k"], True),
     })
     assert {r["table_name"]: r["status"] for r in out.collect()} == {
-        "same": "match", "changed": "sample_mismatch", "short": "row_count_mismatch", "gone": "missing_target", "keyless": "match",
+        "same": "match", "changed": "sample_mismatch", "short": "row_count_mismatch", "gone": "missing_target", "keyless": "match", "other rows": "sample_mismatch",
+        "repeats": "error", "fails": "error", "after": "match",
     }
-    assert rec.validate_report(out).first().asDict() == {"match_count": 2, "mismatch_count": 3, "error_count": 0, "success": False}
+    assert rec.validate_report(out).first().asDict() == {"match_count": 3, "mismatch_count": 4, "error_count": 2, "success": False}
 
 
 def test_orphans_skip_partial_nulls(spark):
@@ -202,7 +206,7 @@ def test_added_lost_and_tampered_rows_are_told_apart(spark):
     added = src_rows.unionByName(staff(spark).limit(1).withColumn("id", F.lit(999)))
     tampered = src_rows.withColumn("name", F.when(F.col("id") == 7, "changed").otherwise(F.col("name")))
     as_text = src_rows.select("id", F.rpad("name", 20, " ").alias("name"), "dept_id", F.col("salary").cast("string").alias("salary"), F.col("hired").cast("timestamp_ntz").alias("hired"))
-    out = rec.validate_tables({
+    out = rec.validate_tables(spark, {
         "all": (src_rows, as_text, ["id"], True), "added": (src_rows, added, ["id"], True),
         "tampered": (src_rows, tampered, ["id"], True), "lost": (src_rows, None, ["id"], True),
     })

@@ -37,16 +37,16 @@ def test_datetime_text(spark):
 @pytest.mark.parametrize("with_fraction", [False, True])
 def test_timestamp_text(spark, with_fraction):
     cases = [
-        ("2024-01-15", "2024-01-15 00:00:00", ".000000"),
-        ("2024-01-15 10:30:00", "2024-01-15 10:30:00", ".000000"),
-        ("2024-01-15 10:30:00.1", "2024-01-15 10:30:00", ".100000"),
-        ("2024-01-15 10:30:00.123", "2024-01-15 10:30:00", ".123000"),
-        ("2024-01-15 10:30:00.1234567", "2024-01-15 10:30:00", ".123456"),
-        ("2024-01-15T10:30:00+08:00", "2024-01-15 10:30:00", ".000000"),
-        ("2024-01-15T10:30:00.123Z", "2024-01-15 10:30:00", ".123000"),
+        ("1999-7-4", "1999-7-4 00:00:00", ".000000"),
+        ("1999-07-04 23:59:58", "1999-07-04 23:59:58", ".000000"),
+        ("1999-07-04 23:59:58.07", "1999-07-04 23:59:58", ".070000"),
+        ("1999-07-04 23:59:58.987654321", "1999-07-04 23:59:58", ".987654"),
+        ("1999-07-04T23:59:58-0330", "1999-07-04 23:59:58", ".000000"),
+        ("1999-07-04T23:59:58.5Z", "1999-07-04 23:59:58", ".500000"),
+        ("  1999-07-04 3:09:08 noon ", "1999-07-04 3:09:08", ".000000"),
     ]
-    want = [base + (frac if with_fraction else "") for _, base, frac in cases] + ["15-JAN-24"]
-    got = column(spark, [c[0] for c in cases] + ["15-JAN-24"], lambda c: tt.normalize_timestamp_text(c, with_fraction))
+    want = [base + (frac if with_fraction else "") for _, base, frac in cases] + ["July 4th"]
+    got = column(spark, [c[0] for c in cases] + ["July 4th"], lambda c: tt.normalize_timestamp_text(c, with_fraction))
     assert got == want
 
 
@@ -109,7 +109,12 @@ def test_equality(spark):
     assert equal(spark, datetime.date(2026, 1, 2), "date", datetime.datetime(2026, 1, 2), "timestamp_ntz")
     assert equal(spark, "ab  ", "string", "ab", "string")
     assert not equal(spark, " ab", "string", "ab", "string")
-    assert equal(spark, b"ab  ", "binary", b"ab", "binary")
+    assert not equal(spark, b"ab  ", "binary", b"ab", "binary")
+    assert equal(spark, b"ab  ", "binary", "ab", "string")
+    assert equal(spark, True, "boolean", 1, "int") and equal(spark, 0, "bigint", False, "boolean")
+    assert not equal(spark, True, "boolean", 0, "int") and equal(spark, None, "boolean", None, "int")
+    assert not equal(spark, 2**53 + 1, "bigint", float(2**53), "double")
+    assert equal(spark, 2**53, "bigint", float(2**53), "double") and not equal(spark, 1, "bigint", float("nan"), "double")
     assert equal(spark, b"ab", "binary", "ab", "string")
     assert not equal(spark, b"\x12\x0a", "binary", b"\x12\x0b", "binary")
     assert equal(spark, [1, 2], "array<int>", [1, 2], "array<int>")
