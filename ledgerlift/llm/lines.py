@@ -56,7 +56,7 @@ def _describe(k: int, share: tuple[int, int], table: np.ndarray):
                 words, owner, number = _cut(texts)
                 tokens, at, of = px.sorted_sets(*shingles(*hash_words(words), k))
                 sizes, names = np.diff(at), px.set_names(tokens, at)
-                prefix, begins = px.rare_prefixes(tokens, at, of, table, share)
+                prefix, begins, _ = px.rare_prefixes(tokens, at, of, table, share)
                 first = np.zeros(len(words), bool)
                 first[np.unique(names, return_index=True)[1]] = True
                 first &= sizes > 1  # a set of one token is similar to equal sets only

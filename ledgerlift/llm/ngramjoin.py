@@ -6,9 +6,9 @@ rarest first; a pair of groups is kept only if sizes and prefixes allow the
 similarity, then it is expanded to its classes, which are verified on their texts.
 
 Pairs within a long token list are not all emitted. First each group meets only the
-smallest group of each of its lists, and each class only the first class of its own
-group. What those links connect needs no further check; then the pairs between
-groups that are still unconnected are checked, so no link between components is lost.
+leader of each of its lists, and each class only the first class of its own group.
+What is linked with one leader needs no further check; then the pairs that this does
+not connect are checked, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def _describe(k: int, share: tuple[int, int], table: np.ndarray):
             for start, texts in slices(batch.column(1)):
                 tokens, at, owner = px.sorted_sets(*shingles(*hash_words(word_lists(texts, lower=True)), k))
                 sizes, names = np.diff(at), px.set_names(tokens, at)
-                prefix, begins = px.rare_prefixes(tokens, at, owner, table, share)
+                prefix, begins, common = px.rare_prefixes(tokens, at, owner, table, share)
                 groups = np.zeros(len(texts), np.uint64)
                 first = np.zeros(len(texts), bool)
                 seen = set()
@@ -52,8 +52,8 @@ def _describe(k: int, share: tuple[int, int], table: np.ndarray):
                     first[i] = g not in seen
                     seen.add(g)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), batch.column(2).slice(start, len(texts)), longs(sizes), longs(names), longs(groups), px.lists_of(prefix, begins, first)],
-                    ["doc_id", "hash", "n", "class", "grp", "prefix"],
+                    [batch.column(0).slice(start, len(texts)), batch.column(2).slice(start, len(texts)), longs(sizes), longs(names), longs(groups), longs(common), px.lists_of(prefix, begins, first)],
+                    ["doc_id", "hash", "n", "class", "grp", "common", "prefix"],
                 )
 
     return run
@@ -111,23 +111,25 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table = px.rarity_table(body.select("text"), _tokens(k))
     kind = body.dtypes[0][1]
     source = body.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    facts = space.stash(source.mapInArrow(_describe(k, share, table), f"doc_id {kind}, hash bigint, n bigint, class bigint, grp bigint, prefix array<bigint>"), "sets")
+    facts = space.stash(source.mapInArrow(_describe(k, share, table), f"doc_id {kind}, hash bigint, n bigint, class bigint, grp bigint, common bigint, prefix array<bigint>"), "sets")
     some = facts.where("n > 0")
     classes = space.stash(
         some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("hash").alias("hash"), F.min("grp").alias("grp"), F.min("n").alias("n")), "classes"
     )
     shown = some.where("prefix IS NOT NULL")
     group = Window.partitionBy("token")
-    posted = shown.select("grp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    posted = shown.select("grp", F.col("n").cast("int").alias("n"), F.col("common").cast("int").alias("common"), F.explode("prefix").alias("token"))
     lists = posted.withColumn("lo", F.min("grp").over(group)).withColumn("hi", F.max("grp").over(group)).where("lo < hi")
-    lists = space.stash(lists.select("token", "grp", "n", "lo").distinct(), "lists")
+    lists = lists.withColumn("lead", F.max(F.struct("common", "grp")).over(group)["grp"])
+    lists = space.stash(lists.select("token", "grp", "n", "lead").distinct(), "lists")
 
-    # First links: groups with the first group of their lists, classes with the first class of their group.
+    # First links: groups with the leader of each of their lists, classes with the first class of their group. A
+    # leader is the group whose prefix is commonest: what copies changed is rare, so it is the nearest to their origin.
     heads = classes.groupBy("grp").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("members"))
     in_group = classes.join(heads.where("members > 1"), "grp").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
     sets = space.stash(shown.groupBy("grp").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix")), "groups")
     na, nb = F.col("na"), F.col("nb")
-    star = lists.where("grp <> lo").select(F.col("lo").alias("ga"), F.col("grp").alias("gb"), F.col("n").alias("nb")).distinct()
+    star = lists.where("grp <> lead").select(F.col("lead").alias("ga"), F.col("grp").alias("gb"), F.col("n").alias("nb")).distinct()
     star = star.join(sets.select(F.col("grp").alias("ga"), F.col("n").alias("na")), "ga").where(_sizes_fit(na, nb, share))
     star = space.stash(star, "meetings")  # the prefixes join only what is left
     star = star.join(sets.select(F.col("grp").alias("ga"), F.col("prefix").alias("pa")), "ga").join(sets.select(F.col("grp").alias("gb"), F.col("prefix").alias("pb")), "gb")
@@ -149,14 +151,13 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return space.stash(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(k, share), "a bigint, b bigint"), "links")
 
     links = verified(first_pairs)
-    labels = px.components(links)
-
-    # Then what is still unconnected within a list or a group.
+    # Classes linked with one leader are connected. Then what may be unconnected within a list or a group.
+    labels = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
     labelled = space.stash(
         classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "grp", "n", "first_id", F.coalesce("label", "class").alias("label")), "labels"
     )
     spans = labelled.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_lists = lists.drop("lo").join(spans, "grp")
+    open_lists = lists.drop("lead").join(spans, "grp")
     open_lists = open_lists.withColumn("list_low", F.min("low").over(group)).withColumn("list_high", F.max("high").over(group)).where("list_low < list_high")
     open_lists = space.stash(open_lists.select("token", "grp", "n", "low", "high"), "open")
     one = open_lists.select("token", F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("high").alias("ha"))
@@ -170,9 +171,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     yours = labelled.select(F.col("grp").alias("gb"), F.col("class").alias("b"), F.col("label").alias("kb"))
     rest = pairs.join(mine, "ga").join(yours, "gb").where("ka <> kb AND (ga <> gb OR a < b)").select("a", "b")
     late = verified(space.stash(rest.join(first_pairs, ["a", "b"], "left_anti"), "pairs"))
-    if not late.isEmpty():
-        labels = px.components(links.union(late))
-        labelled = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "first_id", F.coalesce("label", "class").alias("label"))
+    labels = px.components(links.union(late))
+    labelled = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "first_id", F.coalesce("label", "class").alias("label"))
     lowest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = space.stash(labelled.join(lowest, "label").select("class", "component_id"), "named")
     space.clear(facts, named)

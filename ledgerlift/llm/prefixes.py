@@ -14,7 +14,7 @@ from ledgerlift.session import work_dir
 
 TABLE_BITS = 20  # counters of the rarity table, whatever the input's size
 FILTER_BITS = 25  # bits of a membership filter, whatever the input's size
-CHUNKS, FAN = 64, 32
+CHUNKS, FAN = 16, 32
 
 
 class Workspace:
@@ -74,14 +74,16 @@ def rarity_table(texts: DataFrame, tokens: Callable[[list[bytes | None]], np.nda
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << TABLE_BITS, np.int64)
+        counts = None
         for batch in batches:
             for _, rows in slices(batch.column(0)):
-                counts += np.bincount((tokens(list(set(rows))) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(counts))
-        yield _chunked(counts)
+                found = np.bincount((tokens(list(set(rows))) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
+                counts = found.astype(np.float32) if counts is None else np.add(counts, found, out=counts, casting="unsafe")
+        if counts is not None:
+            yield _chunked(counts)
 
-    body = _fold(texts.mapInArrow(run, "chunk int, slot int, body binary"), np.add, np.int64)
-    counts = np.frombuffer(body, np.int64) if body else np.zeros(1 << TABLE_BITS, np.int64)
+    body = _fold(texts.mapInArrow(run, "chunk int, slot int, body binary"), np.add, np.float32)
+    counts = np.frombuffer(body, np.float32) if body else np.zeros(1 << TABLE_BITS, np.float32)
     return np.minimum(255, 4 * np.log2(1 + counts)).astype(np.uint8)
 
 
@@ -93,10 +95,12 @@ def membership(keys: DataFrame) -> Callable[[pa.Array], pa.Array]:
         return np.concatenate([h >> np.uint64(64 - FILTER_BITS), h & np.uint64((1 << FILTER_BITS) - 1)]).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = None
         for batch in batches:
+            bits = np.zeros(1 << FILTER_BITS, bool) if bits is None else bits
             bits[places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))] = True
-        yield _chunked(np.packbits(bits))
+        if bits is not None:
+            yield _chunked(np.packbits(bits))
 
     body = np.frombuffer(_fold(keys.mapInArrow(run, "chunk int, slot int, body binary"), np.bitwise_or, np.uint8) or bytes((1 << FILTER_BITS) // 8), np.uint8)
 
@@ -132,8 +136,8 @@ def set_names(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, mix(sums[at[1:]] - sums[at[:-1]] + sizes * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0))
 
 
-def rare_prefixes(tokens: np.ndarray, at: np.ndarray, owner: np.ndarray, table: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of each set, rarest tokens first, and where each begins.
+def rare_prefixes(tokens: np.ndarray, at: np.ndarray, owner: np.ndarray, table: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix of each set, rarest tokens first, where each begins, and how common its tokens are in sum.
 
     Sets of similarity ``share`` (a fraction) or more have a token in common within
     their first n - ceil(share * n) + 1 tokens, under any order that all sets obey.
@@ -146,7 +150,8 @@ def rare_prefixes(tokens: np.ndarray, at: np.ndarray, owner: np.ndarray, table:
     length = np.where(sizes > 0, sizes - -(-sizes * share[0] // share[1]) + 1, 0)
     begins = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
     take = np.repeat(at[:-1] - begins[:-1], length) + np.arange(begins[-1])
-    return tokens[order[take]], begins
+    sums = np.concatenate([[0], np.cumsum(cls[order[take]].astype(np.int64))])
+    return tokens[order[take]], begins, sums[begins[1:]] - sums[begins[:-1]]
 
 
 def lists_of(values: np.ndarray, begins: np.ndarray, show: np.ndarray) -> pa.Array:
