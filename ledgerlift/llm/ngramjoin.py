@@ -83,8 +83,14 @@ def _verify(k: int, share: tuple[int, int]):
     return run
 
 
-def _sizes_fit(m: Column, n: Column, share: tuple[int, int]) -> Column:
-    return F.least(m, n) * share[1] >= F.greatest(m, n) * share[0]
+def _may_meet(m: Column, i: Column, n: Column, j: Column, share: tuple[int, int]) -> Column:
+    """Whether sets of these sizes can reach the similarity if their first common token stands at these places.
+
+    Length filter and positional filter: behind the first common token the overlap is
+    at most what is left of either set.
+    """
+    fits = F.least(m, n) * share[1] >= F.greatest(m, n) * share[0]
+    return fits & (F.least(m - i, n - j) * (share[0] + share[1]) >= (m + n) * share[0])
 
 
 def _needed(m: Column, n: Column, share: tuple[int, int]) -> Column:
@@ -118,23 +124,27 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     shown = some.where("prefix IS NOT NULL")
     group = Window.partitionBy("token")
-    posted = shown.select("grp", F.col("n").cast("int").alias("n"), F.col("common").cast("int").alias("common"), F.explode("prefix").alias("token"))
+    posted = shown.select("grp", F.col("n").cast("int").alias("n"), F.col("common").cast("int").alias("common"), F.posexplode("prefix").alias("at", "token"))
     lists = posted.withColumn("lo", F.min("grp").over(group)).withColumn("hi", F.max("grp").over(group)).where("lo < hi")
-    lists = lists.withColumn("lead", F.max(F.struct("common", "grp")).over(group)["grp"])
-    lists = space.stash(lists.select("token", "grp", "n", "lead").distinct(), "lists")
+    lists = lists.withColumn("lead", F.max(F.struct("common", "grp", "n", "at")).over(group))
+    lists = space.stash(lists.select("token", "grp", "n", "at", "lead").distinct(), "lists")
 
     # First links: groups with the leader of each of their lists, classes with the first class of their group. A
     # leader is the group whose prefix is commonest: what copies changed is rare, so it is the nearest to their origin.
     heads = classes.groupBy("grp").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("members"))
     in_group = classes.join(heads.where("members > 1"), "grp").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
     sets = space.stash(shown.groupBy("grp").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix")), "groups")
-    na, nb = F.col("na"), F.col("nb")
-    star = lists.where("grp <> lead").select(F.col("lead").alias("ga"), F.col("grp").alias("gb"), F.col("n").alias("nb")).distinct()
-    star = star.join(sets.select(F.col("grp").alias("ga"), F.col("n").alias("na")), "ga").where(_sizes_fit(na, nb, share))
-    star = space.stash(star, "meetings")  # the prefixes join only what is left
-    star = star.join(sets.select(F.col("grp").alias("ga"), F.col("prefix").alias("pa")), "ga").join(sets.select(F.col("grp").alias("gb"), F.col("prefix").alias("pb")), "gb")
-    meet = F.size(F.array_intersect("pa", "pb"))
-    star = star.where(meet + F.greatest(_rest(na, share), _rest(nb, share)) >= _needed(na, nb, share)).select("ga", "gb")
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Group pairs whose prefixes share enough: what lies behind them cannot make up for more."""
+        pairs = pairs.join(sets.select(F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "ga")
+        pairs = pairs.join(sets.select(F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "gb")
+        na, nb = F.col("na"), F.col("nb")
+        meet = F.size(F.array_intersect("pa", "pb"))
+        return pairs.where(meet + F.greatest(_rest(na, share), _rest(nb, share)) >= _needed(na, nb, share)).select("ga", "gb")
+
+    star = lists.where((F.col("grp") != F.col("lead.grp")) & _may_meet(F.col("lead.n"), F.col("lead.at"), F.col("n"), F.col("at"), share))
+    star = bounded(star.select(F.col("lead.grp").alias("ga"), F.col("grp").alias("gb")).distinct())
     star = star.join(heads.select(F.col("grp").alias("ga"), F.col("head").alias("a")), "ga")
     star = star.join(classes.select(F.col("grp").alias("gb"), F.col("class").alias("b")), "gb")
     first_pairs = space.stash(star.select("a", "b").union(in_group), "pairs")
@@ -159,13 +169,12 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = labelled.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     open_lists = lists.drop("lead").join(spans, "grp")
     open_lists = open_lists.withColumn("list_low", F.min("low").over(group)).withColumn("list_high", F.max("high").over(group)).where("list_low < list_high")
-    open_lists = space.stash(open_lists.select("token", "grp", "n", "low", "high"), "open")
-    one = open_lists.select("token", F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    two = open_lists.select("token", F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    open_lists = space.stash(open_lists.select("token", "grp", "n", "at", "low", "high"), "open")
+    one = open_lists.select("token", F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    two = open_lists.select("token", F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("low").alias("lb"), F.col("high").alias("hb"))
     apart = ~((F.col("la") == F.col("ha")) & (F.col("lb") == F.col("hb")) & (F.col("la") == F.col("lb")))
-    pairs = one.join(two, "token").where((F.col("ga") < F.col("gb")) & apart & _sizes_fit(na, nb, share))
-    pairs = pairs.groupBy("ga", "gb", "na", "nb").agg(F.count(F.lit(1)).alias("meet"))
-    pairs = pairs.where(F.col("meet") + F.greatest(_rest(na, share), _rest(nb, share)) >= _needed(na, nb, share)).select("ga", "gb")
+    meet = _may_meet(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), share)
+    pairs = bounded(one.join(two, "token").where((F.col("ga") < F.col("gb")) & apart & meet).select("ga", "gb").distinct())
     pairs = pairs.union(spans.where("low < high").select(F.col("grp").alias("ga"), F.col("grp").alias("gb")))
     mine = labelled.select(F.col("grp").alias("ga"), F.col("class").alias("a"), F.col("label").alias("ka"))
     yours = labelled.select(F.col("grp").alias("gb"), F.col("class").alias("b"), F.col("label").alias("kb"))
