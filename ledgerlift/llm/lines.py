@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlift.llm import prefixes as px
 from ledgerlift.llm.texts import hash_words, longs, pick, shingles, slices, spare, tick
@@ -124,6 +124,16 @@ def _drop_udf():
     return F.arrow_udf(drop, "struct<n_lines:bigint,n_removed:bigint,kept:string>").asNondeterministic()
 
 
+def _may_meet(m: Column, i: Column, n: Column, j: Column, share: tuple[int, int]) -> Column:
+    """Whether sets of these sizes can reach the similarity if their first common token stands at these places.
+
+    Length filter and positional filter: behind the first common token the overlap is
+    at most what is left of either set.
+    """
+    fits = F.least(m, n) * share[1] >= F.greatest(m, n) * share[0]
+    return fits & (F.least(m - i, n - j) * (share[0] + share[1]) >= (m + n) * share[0])
+
+
 def repeated_lines(docs: DataFrame, doc_id: str, text: str, k: int, share: tuple[int, int]) -> DataFrame:
     """(row, lines): the removed line numbers of each row that loses any; ``row`` is a hash of doc_id and text."""
     space = px.Workspace(docs.sparkSession, "lines")
@@ -138,12 +148,11 @@ def repeated_lines(docs: DataFrame, doc_id: str, text: str, k: int, share: tuple
 
     # Lists of classes by prefix token, and the classes that share any.
     group = Window.partitionBy("token")
-    posted = facts.where("prefix IS NOT NULL").select("class", F.explode("prefix").alias("token"))
-    lists = posted.withColumn("low", F.min("class").over(group)).withColumn("high", F.max("class").over(group)).where("low < high").select("token", "class").distinct()
-    lists = space.stash(lists.join(classes, "class").select("token", "class", "first", "n"), "lists")
-    led = lists.withColumn("lead", F.min(F.struct("first", "class", "n")).over(group))
-    m, n = F.col("lead.n"), F.col("n")
-    star = led.where((F.col("class") != F.col("lead.class")) & (F.least(m, n) * share[1] >= F.greatest(m, n) * share[0]))
+    posted = facts.where("prefix IS NOT NULL").select("class", F.posexplode("prefix").alias("at", "token"))
+    lists = posted.withColumn("low", F.min("class").over(group)).withColumn("high", F.max("class").over(group)).where("low < high").select("token", "class", "at").distinct()
+    lists = space.stash(lists.join(classes, "class").select("token", "class", "at", "first", "n"), "lists")
+    led = lists.withColumn("lead", F.min(F.struct("first", "class", "n", "at")).over(group))
+    star = led.where((F.col("class") != F.col("lead.class")) & _may_meet(F.col("lead.n"), F.col("lead.at"), F.col("n"), F.col("at"), share))
     star = space.stash(star.select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
 
     # The text of one line of each such class.
@@ -160,14 +169,10 @@ def repeated_lines(docs: DataFrame, doc_id: str, text: str, k: int, share: tuple
 
     # a always stands before b, so b goes.
     gone = verified(star).select(F.col("b").alias("class")).distinct()
-    later = lists.join(gone, "class", "left_anti").select("token", F.col("class").alias("b"), F.col("first").alias("fb"), F.col("n").alias("nb"))
-    earlier = lists.select("token", F.col("class").alias("a"), F.col("first").alias("fa"), F.col("n").alias("na"))
-    na, nb = F.col("na"), F.col("nb")
-    fits = F.least(na, nb) * share[1] >= F.greatest(na, nb) * share[0]
-    pairs = earlier.join(later, "token").where((F.col("fa") < F.col("fb")) & fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("meet"))
-    # All shared tokens lie in both prefixes or behind the earlier-ending one.
-    rest = F.greatest(*[F.ceil(x * share[0] / share[1]) - 1 for x in (na, nb)])
-    pairs = pairs.where(F.col("meet") + rest >= (na + nb) * share[0] / (share[0] + share[1])).select("a", "b")
+    later = lists.join(gone, "class", "left_anti").select("token", F.col("class").alias("b"), F.col("first").alias("fb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    earlier = lists.select("token", F.col("class").alias("a"), F.col("first").alias("fa"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    meet = _may_meet(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), share)
+    pairs = earlier.join(later, "token").where((F.col("fa") < F.col("fb")) & meet).select("a", "b").distinct()
     gone = gone.union(verified(pairs.join(star, ["a", "b"], "left_anti")).select(F.col("b").alias("class"))).distinct()
 
     fates = classes.join(gone.withColumn("gone", F.lit(True)), "class", "left").select("class", "first", F.coalesce("gone", F.lit(False)).alias("gone"))

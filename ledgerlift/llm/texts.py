@@ -148,21 +148,22 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, k: int, salt: int = 0) -> t
     A list of fewer than k words, but not none, has one shingle: its whole sequence.
     """
     factors = _factors(k, salt)
-    sizes = np.diff(starts)
-    counts = np.where(sizes >= k, sizes - k + 1, (sizes > 0).astype(np.int64))
+    sizes, n = np.diff(starts), len(hashes)
+    rolled = np.zeros(n, np.uint64)
+    for j in range(min(k, n)):
+        rolled[: n - j] += hashes[j:] * factors[j]
+    valid = np.ones(n, bool)  # starts of whole shingles: not the last k - 1 words of a list
+    ends = starts[1:]
+    for j in range(1, k):
+        at = ends - j
+        valid[at[at >= starts[:-1]]] = False
+    for i in np.flatnonzero((sizes > 0) & (sizes < k)).tolist():
+        s, e = int(starts[i]), int(starts[i + 1])
+        valid[s] = True
+        rolled[s] = (hashes[s:e] * factors[: e - s]).sum() + np.uint64(sum(range(e - s + 1, k + 1)))
     at = np.zeros(len(sizes) + 1, np.int64)
-    np.cumsum(counts, out=at[1:])
-    owner = np.repeat(np.arange(len(sizes)), counts)
-    first = starts[owner] + (np.arange(at[-1]) - at[owner])
-    out = np.zeros(len(first), np.uint64)
-    padded = np.concatenate([hashes, np.zeros(k, np.uint64)])
-    short = sizes < k
-    for j in range(k):
-        step = padded[first + j] * factors[j]
-        if short.any():  # words beyond the end of a short list do not count
-            step = np.where(short[owner] & (j >= sizes[owner]), np.uint64(j + 1), step)
-        out += step
-    return mix(out), at
+    np.cumsum(np.where(sizes >= k, sizes - k + 1, (sizes > 0).astype(np.int64)), out=at[1:])
+    return mix(rolled[valid]), at
 
 
 def longs(x: np.ndarray) -> pa.Array:
