@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlift.llm import bpe, decontam, langid, lines, ngramjoin, pii, quality, sharding, substrings, urls
+from ledgerlift.llm.oracles import ORACLES
 from ledgerlift.llm.texts import ship
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
