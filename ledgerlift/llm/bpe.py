@@ -34,8 +34,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from ledgerlift.llm.texts import longs, pick, slices
 
 FINAL = 256  # added to a word's last byte: the end-of-word mark
-TABLE_ARCS = 400_000  # transitions a worker keeps before its table starts anew
-CACHE_PIECES = 120_000  # encoded pieces after which a worker lets the older ones go
+TABLE_ARCS = 200_000  # transitions a worker keeps before its table starts anew
+CACHE_PIECES = 60_000  # encoded pieces after which a worker lets the older ones go
 
 # The pre-split pattern of the vocabulary and the white space it knows.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -303,7 +303,7 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         for batch in batches:
-            for start, rows in slices(batch.column(1), 6 << 20):
+            for start, rows in slices(batch.column(1)):
                 packed = coder.encode([t.decode() if t else "" for t in rows])
                 columns = [batch.column(0).slice(start, len(rows)), longs(np.array([len(p) // 4 for p in packed], np.int64)), pa.array(packed, pa.binary())]
                 if decode:
