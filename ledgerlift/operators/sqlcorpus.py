@@ -46,15 +46,15 @@ def _running(steps: Column, start: Column) -> Column:
     return F.aggregate(steps, zero, step, lambda acc: acc["out"])
 
 
-def _hits(line: Column, pattern: Column) -> Column:
-    """Start and length of every match in a line, from the pieces between the matches.
+def _hits(code: Column, pattern: Column) -> Column:
+    """Start and length of every match in a text, from the pieces between the matches.
 
-    Long lists are laid out in chunks, so a line with very many hits costs
-    little more than its length.
+    Lists are laid out in chunks, so that finding very many hits costs little
+    more than the text's length.
     """
-    found = F.regexp_extract_all(line, pattern, F.lit(0))
+    found = F.regexp_extract_all(code, pattern, F.lit(0))
     steps = F.zip_with(
-        F.slice(F.split(line, pattern), F.lit(1), F.size(found)), found,
+        F.slice(F.split(code, pattern), F.lit(1), F.size(found)), found,
         lambda before, hit: F.struct(F.char_length(before).alias("gap"), F.char_length(hit).alias("hit_len")),
     )
 
@@ -69,13 +69,6 @@ def _hits(line: Column, pattern: Column) -> Column:
     return let(steps, place)
 
 
-def _lines(df: DataFrame, text: str) -> DataFrame:
-    """One row per line, as written and with literals and comments blanked."""
-    code = ascii_upper(mask_literals(F.col(text)))
-    both = F.arrays_zip(F.split(code, "\n").alias("code"), F.split(text, "\n").alias("written"))
-    return df.select(*[c for c in df.columns if c != text], F.posexplode(both).alias("_line", "_l"))
-
-
 def _rules(target: str) -> Column:
     """The target's rules as one constant array, so that the plan does not grow with their number."""
     facts = [
@@ -85,18 +78,19 @@ def _rules(target: str) -> Column:
     return F.expr(sql_text(facts))
 
 
-def _matching(rules: Column, line: Column) -> Column:
-    """Rules whose keyword is in the line (a cheap look) and whose pattern then matches."""
-    return F.filter(rules, lambda r: F.exists(r["words"], lambda w: F.contains(line, w)) & F.rlike(line, r["pattern"]))
+def _matching(rules: Column, code: Column) -> Column:
+    """Rules whose keyword is in the code (a cheap look) and whose pattern then matches."""
+    return F.filter(rules, lambda r: F.exists(r["words"], lambda w: F.contains(code, w)) & F.rlike(code, r["pattern"]))
 
 
 def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool = False) -> DataFrame:
     """Every construct the target does not take: where, which rule, how bad, and what to write instead.
 
-    All hits of all rules are reported, with 1-based line and column.
-    ``keep_clean`` keeps one empty row for each line without a hit.
+    Rules see a script as a whole, so a construct broken over lines is found too.
+    All hits of all rules are reported, with the 1-based line and column of their
+    start. ``keep_clean`` keeps one empty row for each script without a hit.
     """
-    code = F.col("_l")["code"]
+    code = F.col("_code")
 
     def findings(r: Column) -> Column:
         facts = [r[n].alias(n) for n in ("rule_id", "category", "severity", "suggestion")]
@@ -105,13 +99,15 @@ def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool =
     found = F.flatten(F.transform(_matching(_rules(target), code), findings))
     keep = [c for c in df.columns if c != text]
     spread = F.explode_outer(found) if keep_clean else F.explode(found)
-    rows = _lines(df, text).select(*keep, F.col("_line"), F.col("_l")["written"].alias("_written"), spread.alias("f"))
+    masked = df.select(*keep, F.col(text).alias("_written"), ascii_upper(mask_literals(F.col(text))).alias("_code"))
+    rows = masked.select(*keep, "_written", spread.alias("f"))
+    before = F.substring(F.col("_written"), F.lit(1), F.col("f.start") - 1)
     snippet = F.substring(F.col("_written"), F.col("f.start"), F.col("f.hit_len"))
     short = F.when(F.char_length(snippet) > fr.SNIPPET_LIMIT, F.concat(F.left(snippet, F.lit(fr.SNIPPET_KEEP)), F.lit("..."))).otherwise(snippet)
     return rows.select(
         *keep,
-        (F.col("_line") + 1).alias("line_no"),
-        F.col("f.start").alias("column_no"),
+        (F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line_no"),
+        (F.char_length(F.substring_index(before, "\n", -1)) + 1).alias("column_no"),
         "f.rule_id",
         "f.category",
         "f.severity",
@@ -127,18 +123,18 @@ def _count_hits(pattern: str):
 def rule_match(df: DataFrame, target: str, text: str = "sql") -> DataFrame:
     """Scripts and the rules that hit their code at least once."""
     keep = [c for c in df.columns if c != text]
-    lines = F.split(ascii_upper(mask_literals(F.col(text))), "\n")
-    rows = df.select(*keep, lines.alias("_lines"))
-    hit = F.flatten(F.transform("_lines", lambda line: F.transform(_matching(_rules(target), line), lambda r: r["rule_id"])))
+    rows = df.select(*keep, ascii_upper(mask_literals(F.col(text))).alias("_code"))
+    hit = F.transform(_matching(_rules(target), F.col("_code")), lambda r: r["rule_id"])
     return rows.select(*keep, F.explode(F.array_distinct(hit)).alias("rule_id"))
 
 
 def audit_summary(df: DataFrame, target: str, key: str = "script_id", text: str = "sql") -> DataFrame:
     """Findings per script by severity; a clean script shows zeros."""
-    found = audit_sql(df.select(key, text), target, text, keep_clean=True)
+    lines = F.size(F.split(text, "\n")).cast("long").alias("_lines")
+    found = audit_sql(df.select(key, lines, text), target, text, keep_clean=True)
     return found.groupBy(key).agg(
         *[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in ("error", "warning", "info")],
-        F.max("line_no").cast("long").alias("total_lines"),
+        F.max("_lines").alias("total_lines"),
     )
 
 

@@ -31,22 +31,23 @@ def _cut(c: str) -> str:
 
 
 S_CTE = f"s AS ({d.SCRIPTS_SQL}), m AS (SELECT script_id, sql, {_mask('sql')} AS masked FROM s)"
-L_CTE = f"{S_CTE}, ll AS (SELECT script_id, string_split(sql, chr(10)) AS w, string_split(masked, chr(10)) AS c FROM m), l AS (SELECT script_id, generate_subscripts(w, 1) AS line_no, unnest(w) AS written, unnest(c) AS code FROM ll)"
+L_CTE = f"{S_CTE}, l AS (SELECT script_id, sql AS written, masked AS code FROM m)"
 
 
 def _hits_sql(rule: tuple[str, str, str, str]) -> str:
     i, category, severity, p = rule
     pat = "(?i)" + p.replace("'", "''")
-    return f"""SELECT script_id, line_no, written, '{i}' AS rule_id, '{category}' AS category, '{severity}' AS severity, '{sc.ADVICE[i].replace("'", "''")}' AS suggestion,
+    return f"""SELECT script_id, written, '{i}' AS rule_id, '{category}' AS category, '{severity}' AS severity, '{sc.ADVICE[i].replace("'", "''")}' AS suggestion,
      string_split_regex(code, '{pat}') AS gaps, regexp_extract_all(code, '{pat}') AS hits FROM l WHERE regexp_matches(code, '{pat}')"""
 
 
 F_CTE = (
     f"{L_CTE}, r AS ({' UNION ALL '.join(_hits_sql(r) for r in sc.rules_for(TARGET))}), n AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM r),"
-    """ p AS (SELECT script_id, line_no, rule_id, category, severity, suggestion, written, len(hits[i]) AS n_chars,
-     1 + list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS column_no FROM n),
-     f AS (SELECT script_id, CAST(line_no AS INT) AS line_no, CAST(column_no AS INT) AS column_no, rule_id, category, severity, suggestion,
-     trim(CASE WHEN n_chars > 60 THEN substr(written, CAST(column_no AS BIGINT), 57) || '...' ELSE substr(written, CAST(column_no AS BIGINT), n_chars) END) AS snippet FROM p)"""
+    """ p0 AS (SELECT script_id, rule_id, category, severity, suggestion, written, len(hits[i]) AS n_chars,
+     1 + list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS pos FROM n),
+     p AS (SELECT *, string_split(substr(written, 1, CAST(pos AS BIGINT) - 1), chr(10)) AS before FROM p0),
+     f AS (SELECT script_id, CAST(len(before) AS INT) AS line_no, CAST(len(before[-1]) + 1 AS INT) AS column_no, rule_id, category, severity, suggestion,
+     trim(CASE WHEN n_chars > 60 THEN substr(written, CAST(pos AS BIGINT), 57) || '...' ELSE substr(written, CAST(pos AS BIGINT), n_chars) END) AS snippet FROM p)"""
 )
 ST_CTE = f"{S_CTE}, pieces AS (SELECT script_id, {_cut('sql')} AS p FROM s), st AS (SELECT script_id, CAST(generate_subscripts(p, 1) AS INT) AS statement_no, unnest(p) AS raw FROM pieces), stm AS (SELECT script_id, statement_no, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS statement FROM st WHERE regexp_matches(raw, '\\S'))"
 _CLASS = (
@@ -87,7 +88,7 @@ def sql_audit(spark, sf):
 
 @query(
     "sql_audit_summary",
-    f"""WITH {F_CTE}, c AS (SELECT script_id, max(line_no) AS total_lines FROM l GROUP BY script_id)
+    f"""WITH {F_CTE}, c AS (SELECT script_id, len(string_split(written, chr(10))) AS total_lines FROM l)
     SELECT c.script_id, coalesce(count_if(severity = 'error'), 0)::BIGINT AS errors, coalesce(count_if(severity = 'warning'), 0)::BIGINT AS warnings, coalesce(count_if(severity = 'info'), 0)::BIGINT AS infos, max(total_lines) AS total_lines
     FROM c LEFT JOIN f ON c.script_id = f.script_id GROUP BY c.script_id""",
 )

@@ -4,8 +4,9 @@ import pytest
 from oracle import compare
 
 import __spark_entry__ as entry
+from ledgerlift.plans import all_queries
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries()  # the text queries have tests of their own
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
 

@@ -103,6 +103,16 @@ def test_audit_places(spark):
     assert long == "`" + "n" * 56 + "..."
 
 
+def test_audit_sees_constructs_broken_over_lines(spark):
+    found = audit(spark, "INSERT INTO buoy VALUES (1)\n  ON DUPLICATE\n KEY\tUPDATE lit = 1", "postgres")
+    assert [(f["rule_id"], f["line_no"], f["column_no"]) for f in found] == [("on_duplicate_key", 2, 3)]
+
+
+def test_long_heads_are_classified(spark):
+    df = spark.createDataFrame([("CREATE" + " " * 500 + "TABLE t (i INT)",)], "statement string")
+    assert sc.classify_statements(df).first()["class"] == "create_table"
+
+
 EXAMPLES = {
     "backtick_name": "`a`", "bracket_name": "[a b]", "limit_mssql": "limit 5", "limit_dameng": "LIMIT 5", "top": "select top 3 x",
     "limit_pair": "LIMIT 1 , 2", "getdate": "GetDate ( )", "last_identity": "@@rowcount", "datediff": "DATEDIFF(d, a, b)", "charindex": "CHARINDEX(a",
