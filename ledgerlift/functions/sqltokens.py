@@ -1,7 +1,10 @@
 """SQL text as tokens: code, string literals and comments. Built-in expressions only.
 
 A string ends at its quote; a doubled quote simply starts the next string, so
-both halves stay literals. Unclosed strings and comments run to the end.
+both halves stay literals. Unclosed strings and comments run to the end. What else
+counts depends on the source: the MySQL family has backslash escapes, ``#``
+comments and backtick names, the Postgres family dollar quotes, SQL Server bracket
+names. Without a source, ``#`` starts a comment and names are plain code.
 """
 
 from __future__ import annotations
@@ -21,6 +24,19 @@ TOKEN = (
     r"|/\*[\s\S]*?(?:\*/|\z)"
     r"|(?:[^'\"#/\-]++|-(?!-)|/(?!\*))++"
 )
+_ENDS = r"""|--[^\n]*|/\*[\s\S]*?(?:\*/|\z)"""
+_PLAIN = r"""'[^']*(?:'|\z)|"[^"]*(?:"|\z)"""
+_TAG = r"[A-Za-z_][A-Za-z_0-9]*"
+TOKENS = {
+    None: TOKEN,
+    "mysql": r"""'(?:[^'\\]++|\\[\s\S]|\\\z)*+(?:'|\z)|"(?:[^"\\]++|\\[\s\S]|\\\z)*+(?:"|\z)|`[^`]*(?:`|\z)|#[^\n]*"""
+    + _ENDS + r"""|(?:[^'"`#/\-]++|-(?!-)|/(?!\*))++""",
+    "postgres": _PLAIN + rf"""|(?<![A-Za-z_0-9$])\$({_TAG}|)\$[\s\S]*?(?:\$\1\$|\z)""" + _ENDS
+    + rf"""|(?:[^'"$/\-]++|(?<=[A-Za-z_0-9$])\$|\$(?!(?:{_TAG})?\$)|-(?!-)|/(?!\*))++""",
+    "mssql": _PLAIN + r"""|\[[^\]]*(?:\]|\z)""" + _ENDS + r"""|(?:[^'"\[/\-]++|-(?!-)|/(?!\*))++""",
+}
+DOLLAR = rf"^\$(?:{_TAG})?\$"
+CLOSED = {"'": r"^'(?:[^'\\]|\\[\s\S])*'\z", '"': r'^"(?:[^"\\]|\\[\s\S])*"\z'}
 WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WHITE = " \t\r\n\f\u000b"
@@ -56,41 +72,65 @@ def ascii_upper(c: Column) -> Column:
     return F.translate(c, LOWER, UPPER)
 
 
-def tokens(sql: Column) -> Column:
+def tokens(sql: Column, family: str | None = None) -> Column:
     """Array of tokens that concatenate to the text."""
-    return F.regexp_extract_all(sql, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(sql, F.lit(TOKENS[family]), F.lit(0))
 
 
-def is_comment(token: Column) -> Column:
-    return token.startswith("--") | token.startswith("/*") | token.startswith("#")
+def is_comment(token: Column, family: str | None = None) -> Column:
+    found = token.startswith("--") | token.startswith("/*")
+    return found | token.startswith("#") if family in (None, "mysql") else found
 
 
-def is_code(token: Column) -> Column:
-    return ~(token.startswith("'") | token.startswith('"') | is_comment(token))
+def is_name(token: Column, family: str | None = None) -> Column:
+    """A quoted name that is a token of its own."""
+    return token.startswith("`") if family == "mysql" else token.startswith("[") if family == "mssql" else F.lit(False)
+
+
+def is_code(token: Column, family: str | None = None) -> Column:
+    literal = token.startswith("'") | token.startswith('"')
+    if family == "postgres":
+        literal = literal | token.rlike(DOLLAR)
+    return ~(literal | is_comment(token, family))
 
 
 def strip_white(c: Column) -> Column:
     return F.trim(c, F.lit(WHITE))
 
 
-def map_code(parts: Column, change) -> Column:
+def map_code(parts: Column, change, family: str | None = None) -> Column:
     """Apply ``change`` to code tokens; literals and comments pass through."""
-    return F.transform(parts, lambda t: F.when(is_code(t), change(t)).otherwise(t))
+    return F.transform(parts, lambda t: F.when(is_code(t, family), change(t)).otherwise(t))
 
 
 def join(parts: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def mask_literals(sql: Column) -> Column:
+def mask_literals(sql: Column, family: str | None = None) -> Column:
     """The text with literals and comments blanked, same length, line breaks kept."""
-    blank = lambda t: F.when(is_code(t), t).otherwise(F.regexp_replace(t, r"[^\n]", " "))
-    return join(F.transform(tokens(sql), blank))
+    blank = lambda t: F.when(is_code(t, family), t).otherwise(F.regexp_replace(t, r"[^\n]", " "))
+    return join(F.transform(tokens(sql, family), blank))
 
 
-def split_statements(sql: Column) -> Column:
-    """Array of statements, cut at semicolons in code. Comments and literals stay as written."""
+def split_statements(sql: Column, family: str | None = None) -> Column:
+    """Array of statements, cut at semicolons in code. Comments, literals and quoted names stay as written."""
     mark, escape = "\u0001\u0003", "\u0001\u0002"
     safe = F.replace(sql, F.lit("\u0001"), F.lit(escape))
-    cut = join(map_code(tokens(safe), lambda t: F.replace(t, F.lit(";"), F.lit(mark))))
+    cut = join(map_code(tokens(safe, family), lambda t: F.when(is_name(t, family), t).otherwise(F.replace(t, F.lit(";"), F.lit(mark))), family))
     return F.transform(F.split(cut, mark), lambda s: F.replace(s, F.lit(escape), F.lit("\u0001")))
+
+
+def ends_open(sql: Column, family: str | None = None) -> Column:
+    """Whether the text ends inside a string, a quoted name or a block comment."""
+    last = F.try_element_at(tokens(sql, family), F.lit(-1))
+    start = F.left(last, F.lit(1))
+    text = r"^'[^']*'\z", r'^"[^"]*"\z'
+    one, two = (CLOSED["'"], CLOSED['"']) if family == "mysql" else text
+    opened = (
+        ((start == "'") & ~last.rlike(one)) | ((start == '"') & ~last.rlike(two)) | (last.startswith("/*") & ~last.rlike(r"^/\*[\s\S]*\*/\z"))
+        | (is_name(last, family) & ~last.rlike(r"^(?:`[^`]*`|\[[^\]]*\])\z"))
+    )
+    if family == "postgres":
+        opened = opened | (last.rlike(DOLLAR) & ~last.rlike(rf"^\$({_TAG}|)\$[\s\S]*\$\1\$\z"))
+    return F.coalesce(opened, F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.functions.sqltokens import (
-    WHITE, ascii_upper, is_code, is_comment, join, let, map_code, mask_literals, needles, split_statements, sql_pattern,
+    WHITE, ascii_upper, ends_open, is_code, is_comment, join, let, map_code, mask_literals, needles, split_statements, sql_pattern,
     strip_white, tokens, upper_pattern,
 )
 from ledgerlift.functions.values import sql_text
@@ -23,6 +23,16 @@ HIT = "struct<start:int,hit_len:int>"
 CHUNK = 256
 
 
+def family_of(source: str | None) -> str | None:
+    """Whose quoting rules a source dialect follows."""
+    return next((f for f, members in FAMILIES.items() if source in members), "mssql" if source == "mssql" else None)
+
+
+def open_scripts(df: DataFrame, text: str = "sql", source: str | None = None) -> DataFrame:
+    """Scripts that end inside a string, a quoted name or a comment: they cannot be cut or audited with certainty."""
+    return df.filter(ends_open(F.col(text), family_of(source)))
+
+
 def rules_for(target: str) -> list[tuple[str, str, str, str]]:
     """Rules that apply to a target: id, category, severity, pattern."""
 
@@ -83,12 +93,13 @@ def _matching(rules: Column, code: Column) -> Column:
     return F.filter(rules, lambda r: F.exists(r["words"], lambda w: F.contains(code, w)) & F.rlike(code, r["pattern"]))
 
 
-def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool = False) -> DataFrame:
+def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool = False, source: str | None = None) -> DataFrame:
     """Every construct the target does not take: where, which rule, how bad, and what to write instead.
 
     Rules see a script as a whole, so a construct broken over lines is found too.
     All hits of all rules are reported, with the 1-based line and column of their
-    start. ``keep_clean`` keeps one empty row for each script without a hit.
+    start. ``keep_clean`` keeps one empty row for each script without a hit. ``source``
+    is the dialect the scripts are written in.
     """
     code = F.col("_code")
 
@@ -99,7 +110,7 @@ def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool =
     found = F.flatten(F.transform(_matching(_rules(target), code), findings))
     keep = [c for c in df.columns if c != text]
     spread = F.explode_outer(found) if keep_clean else F.explode(found)
-    masked = df.select(*keep, F.col(text).alias("_written"), ascii_upper(mask_literals(F.col(text))).alias("_code"))
+    masked = df.select(*keep, F.col(text).alias("_written"), ascii_upper(mask_literals(F.col(text), family_of(source))).alias("_code"))
     rows = masked.select(*keep, "_written", spread.alias("f"))
     before = F.substring(F.col("_written"), F.lit(1), F.col("f.start") - 1)
     snippet = F.substring(F.col("_written"), F.col("f.start"), F.col("f.hit_len"))
@@ -120,10 +131,10 @@ def _count_hits(pattern: str):
     return lambda total, s: total + F.regexp_count(s, F.lit(pattern))
 
 
-def rule_match(df: DataFrame, target: str, text: str = "sql") -> DataFrame:
+def rule_match(df: DataFrame, target: str, text: str = "sql", source: str | None = None) -> DataFrame:
     """Scripts and the rules that hit their code at least once."""
     keep = [c for c in df.columns if c != text]
-    rows = df.select(*keep, ascii_upper(mask_literals(F.col(text))).alias("_code"))
+    rows = df.select(*keep, ascii_upper(mask_literals(F.col(text), family_of(source))).alias("_code"))
     hit = F.transform(_matching(_rules(target), F.col("_code")), lambda r: r["rule_id"])
     return rows.select(*keep, F.explode(F.array_distinct(hit)).alias("rule_id"))
 
@@ -138,10 +149,10 @@ def audit_summary(df: DataFrame, target: str, key: str = "script_id", text: str
     )
 
 
-def explode_statements(df: DataFrame, text: str = "sql") -> DataFrame:
+def explode_statements(df: DataFrame, text: str = "sql", source: str | None = None) -> DataFrame:
     """One row per statement, numbered in script order; blank pieces are left out."""
     keep = [c for c in df.columns if c != text]
-    cut = df.select(*keep, F.posexplode(split_statements(F.col(text))).alias("_i", "_s"))
+    cut = df.select(*keep, F.posexplode(split_statements(F.col(text), family_of(source))).alias("_i", "_s"))
     return cut.select(*keep, (F.col("_i") + 1).alias("statement_no"), strip_white(F.col("_s")).alias("statement")).filter(F.col("statement") != "")
 
 

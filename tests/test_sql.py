@@ -52,6 +52,38 @@ def test_statements(spark):
     assert got == ["SELECT 'a;b' FROM t", "-- one; two\nSELECT 2", "\u0001"]
 
 
+@pytest.mark.parametrize(
+    ("source", "sql", "want"),
+    [
+        ("mysql", r"INSERT INTO buoy VALUES ('it\'s; lit'); DELETE FROM buoy", [r"INSERT INTO buoy VALUES ('it\'s; lit')", "DELETE FROM buoy"]),
+        ("mysql", "SELECT `a;b` FROM t # one; two\n; SELECT 2", ["SELECT `a;b` FROM t # one; two", "SELECT 2"]),
+        ("mssql", "SELECT * INTO #tmp FROM t; SELECT [x;y] FROM #tmp", ["SELECT * INTO #tmp FROM t", "SELECT [x;y] FROM #tmp"]),
+        ("postgres", "DO $f$ a; b $f$; SELECT $1, $$ ; $$; SELECT a$b; SELECT c$b", ["DO $f$ a; b $f$", "SELECT $1, $$ ; $$", "SELECT a$b", "SELECT c$b"]),
+        ("postgres", r"SELECT 'back\'; SELECT 2", [r"SELECT 'back\'", "SELECT 2"]),
+    ],
+)
+def test_statements_by_source(spark, source, sql, want):
+    assert [r["statement"] for r in sc.explode_statements(scripts(spark, sql), source=source).orderBy("statement_no").collect()] == want
+    family = sc.family_of(source)
+    row = scripts(spark, sql).select(st.join(st.tokens(F.col("sql"), family)), F.length(st.mask_literals(F.col("sql"), family))).first()
+    assert tuple(row) == (sql, len(sql))
+
+
+def test_open_scripts(spark):
+    for source, opened, closed in [
+        ("mysql", [r"a 'b\'", "x `y", '"q', "/* c", "a 'b\\"], [r"a 'b\\'", "x `y`", "a # it's", "1"]),
+        ("postgres", ["$t$ a $$", "'x", "$$ y"], ["$t$ a $t$", r"'x\'", "$1"]),
+        ("mssql", ["[a b", "a 'b"], ["[a b]", "#t"]),
+        (None, ["'x", '"', "/*/"], ["'x'", "", "a -- 'b"]),
+    ]:
+        assert [r["sql"] for r in sc.open_scripts(scripts(spark, *opened, *closed), source=source).orderBy("script_id").collect()] == opened
+
+
+def test_audit_by_source(spark):
+    found = sc.audit_sql(scripts(spark, "SELECT * INTO #tmp FROM t WHERE d < GETDATE()"), "postgres", source="mssql").collect()
+    assert [f["rule_id"] for f in found] == ["getdate"]
+
+
 def test_classes(spark):
     cases = {
         "create  table t (i int)": "create_table", "INSERT\tINTO t VALUES (1)": "insert", "CREATE UNIQUE INDEX i ON t (a)": "create_index",
