@@ -105,15 +105,18 @@ def _verify(k: int, share: tuple[int, int]):
 
 def _drop_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
     """(lines with a word, lines removed, kept lines) of each text."""
-    counts, removed, kept = [], [], []
-    for text, lines in zip(texts.cast(pa.large_binary()).to_pylist(), gone.to_pylist(), strict=True):
-        own = text.split(b"\n") if text else []
-        counts.append(sum(1 for x in own if x.strip(b" \t\n\x0b\x0c\r")))
-        out = set(lines or ())
-        removed.append(len(out))
-        kept.append(text if not out else b"\n".join([x for i, x in enumerate(own) if i not in out]))
-    parts = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-    return pa.StructArray.from_arrays(parts, ["n_lines", "n_removed", "kept"])
+    names, done = ["n_lines", "n_removed", "kept"], []
+    for start, rows in slices(texts):
+        counts, removed, kept = [], [], []
+        for text, lines in zip(rows, gone.slice(start, len(rows)).to_pylist(), strict=True):
+            own = text.split(b"\n") if text else []
+            counts.append(sum(1 for x in own if x.strip(b" \t\n\x0b\x0c\r")))
+            out = set(lines or ())
+            removed.append(len(out))
+            kept.append(text if not out else b"\n".join([x for i, x in enumerate(own) if i not in out]))
+        parts = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        done.append(pa.StructArray.from_arrays(parts, names))
+    return pa.concat_arrays(done) if done else pa.StructArray.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string())], names)
 
 
 def _drop_udf():

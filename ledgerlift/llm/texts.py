@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -22,6 +23,14 @@ PACKED_BYTES = 1 << 20  # the same for packed texts
 TABLE_WORDS = 100_000  # word hashes kept by a worker before its table starts anew
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, as idle workers stay around for a while."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes | None]]]:
     """(first row, texts as bytes) for runs of rows of about ``most`` bytes; a longer text is alone."""
     raw = texts.cast(pa.large_binary())
@@ -32,6 +41,8 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield start, raw.slice(start, stop - start).to_pylist()
         start = stop
+    del raw
+    give_back()
 
 
 def text_udf(fn: Callable[[list[bytes | None]], list[pa.Array]], ddl: str, names: list[str]) -> Callable[[Column], Column]:
