@@ -4,17 +4,22 @@ Four base kinds follow fixed patterns and always stay. Looser generators propose
 further spans, which may overlap (obfuscated addresses, numbers with other
 separators, telephone numbers without a plus sign). Boosted trees score each
 proposal from its format and the words around it. They learn from the corpus
-itself: proposals that coincide with a base span of their kind are examples, ones
-that overlap a base span of another kind, or fail the kind's own test, are
-counter-examples. The threshold of each kind is the lowest score at which proposals
-kept back from training reach the wanted precision.
+itself: base spans rewritten in their text into loose forms are examples;
+proposals that overlap a span of another kind, fail the kind's own test, stand
+inside a word or fall on a decoy (a domain after "at" without its local part, a
+short list, a date, a bare number) are counter-examples. The threshold of each
+kind is the lowest score at which labelled proposals that the trees have not seen
+reach the wanted precision. What fails its kind's own test is never added.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +54,8 @@ NEAR = {
     "phone": re.compile(r"phone|tel|call|fax|mobil|ruf", re.I),
 }
 CONTEXT = 40
+DOT = re.compile(r"[\[(](?:at|dot)[\])]| dot ")  # what marks an obfuscated address
+FORMS = 3  # loose forms in which a labelled text is seen
 
 
 def luhn(digits: str) -> bool:
@@ -104,33 +111,126 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
 
 
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Format and context of a proposal."""
+    """Format and context of a proposal; nothing that only restates a base pattern (plus sign, check digit, values of parts)."""
     span, digits = text[start:end], _digits(text[start:end])
     before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-    parts = [int(p) for p in re.split(r"[^0-9]+", span) if p and len(p) < 10]
+    parts = [p for p in re.split(r"[^0-9]+", span) if p]
     return [
-        float(KINDS.index(kind)), len(span), len(digits), len(span) - len(digits), len(parts), max(parts, default=0), float(luhn(digits)) if digits else -1.0,
-        span.count("."), span.count("-"), span.count(" "), span.count("/") + span.count(":") + span.count(","), float("(" in span), float(span[0] == "+"),
-        float(span[0] == "0"), float(digits[:1] or -1), float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after),
+        float(KINDS.index(kind)), len(span), len(digits), len(span) - len(digits), len(parts), max(map(len, parts), default=0),
+        span.count("."), span.count("-"), span.count(" "), span.count("/"), span.count(":"), span.count(","), float("(" in span or "[" in span),
+        len(DOT.findall(span)), len(re.split(r" at |[\[( ]", span, maxsplit=1)[0]), float(span[0] == "0"), float(digits[:1] or -1),
+        float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(after[:1] in ",;:"),
         *[float(bool(p.search(before))) for p in NEAR.values()], sum(c.isdigit() for c in before), sum(c.isdigit() for c in after),
     ]
 
 
-def label(proposal: tuple[str, int, int], base: list[tuple[str, int, int]], text: str) -> int | None:
-    """1 example, 0 counter-example, None unknown."""
+def passes(kind: str, span: str) -> bool:
+    """The kind's own test, as far as it does not hang on separators: check digit of cards, values of address parts, no time of day as a domain."""
+    if kind == "email":
+        return not re.split(r"[^\w-]+", span.rstrip(")] "))[-1].isdigit()
+    if kind == "card":
+        return luhn(_digits(span))
+    return kind != "ip" or all(_small(p) for p in re.split(r"[^0-9]+", span) if p)
+
+
+def loose_forms(kind: str, span: str, form: int) -> list[str]:
+    """A base span as people write it to escape the pattern; two strings stand side by side."""
+    if kind == "email":
+        at, dot = ((" (at) ", "."), (" at ", " dot "), ("[at]", "[dot]"), (" at ", "."), ("(at)", " (dot) "))[form % 5]
+        if form % 2 and (at, dot) != (" at ", "."):  # addresses without numbers are marked as well
+            span = re.sub(r"(?<=[A-Za-z])[.0-9_+-]*[0-9]+(?=[@.])", "", span)
+        local, _, domain = span.partition("@")
+        return [local + at + domain.replace(".", dot)]
+    if kind == "ip":
+        return [span.replace(".", ":,"[form % 2])]
+    digits = _digits(span)
+    if kind == "card":
+        if form % 5 == 4:
+            return [digits, digits]
+        return [("/", ".", "_", ". ")[form % 5].join(digits[i : i + 4] for i in range(0, len(digits), 4))]
+    groups = re.findall(r"[0-9]+", span)
+    local = groups[1:] if len(groups) > 1 and len(_digits("".join(groups[1:]))) >= 7 else [digits]
+    trunk = [local[0] if local[0][0] == "0" else "0" + local[0], *local[1:]]
+    rest = trunk[1:]
+    forms = ("00" + span[1:], "/".join(filter(None, [trunk[0], "".join(rest)])), ".".join(trunk), f"({trunk[0]}) {'-'.join(rest)}".strip(), " ".join(trunk), f"{trunk[0]} {'-'.join(rest)}".strip())
+    return [forms[form % len(forms)]]
+
+
+def decoy(kind: str, span: str, form: int) -> str:
+    """Something that a loose pattern takes for the kind and that is none."""
+    if kind == "email":
+        return "at " + span.partition("@")[2]
+    if kind == "ip":
+        return ":,"[form % 2].join(str(form % 7 + i) for i in range(4))
+    if kind == "card":
+        return span
+    digits = _digits(span)
+    n = int(digits)
+    date = [f"{1950 + n % 100}", f"{1 + n % 12:02d}", f"{1 + n % 28:02d}"]
+    return (digits.lstrip("0") or "1", "-".join(date), ".".join(date[::-1]), "/".join(date))[form % 4]
+
+
+Region = tuple[str, int, int, bool]
+
+
+def rewritten(text: str, base: list[tuple[str, int, int]], form: int | None) -> tuple[str, list[Region]]:
+    """The text with every base span in a loose form, or as a decoy without a form, and where they stand (True: example)."""
+    out: list[str] = []
+    regions: list[Region] = []
+    at = length = 0
+    for i, (kind, start, end) in enumerate(base):
+        if start < at or (form is None and kind == "card"):
+            continue
+        span = text[start:end]
+        turn = i + crc32(span.encode())
+        out.append(text[at:start])
+        length += start - at
+        for n, piece in enumerate([decoy(kind, span, turn)] if form is None else loose_forms(kind, span, turn + form)):
+            if n:
+                out.append(" ")
+                length += 1
+            out.append(piece)
+            regions.append((kind, length, length + len(piece), form is not None))
+            length += len(piece)
+        at = end
+    return "".join([*out, text[at:]]), regions
+
+
+def label(proposal: tuple[str, int, int], hits: list[Region], text: str) -> int | None:
+    """1 example, 0 counter-example, None unknown; ``hits`` are the regions that the proposal touches."""
     kind, start, end = proposal
-    for k, s, e in base:
-        if s < end and start < e:
-            return int(k == kind and s >= start - 1 and e <= end + 1)
-    digits = _digits(text[start:end])
-    if kind == "card" and not luhn(digits):
+    if not passes(kind, text[start:end]):
         return 0
-    if kind == "ip" and not all(_small(p) for p in re.split(r"[^0-9]+", text[start:end]) if p):
+    if hits:
+        k, s, e, example = hits[0]
+        return int(example and len(hits) == 1 and k == kind and abs(s - start) < 2 and abs(e - end) < 2)
+    if kind != "email" and (text[max(0, start - 1) : start].isalnum() or text[end : end + 1].isalnum()):
         return 0
     return None
 
 
+def examples(text: str, most: int | None = None) -> Iterator[tuple[int, list[float]]]:
+    """Labelled proposals, at most ``most`` of a kind and version, of a text as it stands, with its base spans in loose forms, and as decoys.
+
+    Base spans as they stand are no examples: what is added later never touches one.
+    """
+    base = base_spans(text)
+    versions = [(text, [(*b, True) for b in base])]
+    versions += [rewritten(text, base, form) for form in (*range(FORMS), None)] if base else []
+    for v, (body, regions) in enumerate(versions):
+        regions.sort(key=lambda r: r[1])
+        starts, ends = [r[1] for r in regions], list(accumulate((r[2] for r in regions), max))
+        taken = dict.fromkeys(KINDS, 0)
+        for p in proposals(body):
+            if most is not None and taken[p[0]] >= most:
+                continue
+            y = label(p, [r for r in regions[bisect_right(ends, p[1]) : bisect_left(starts, p[2])] if r[2] > p[1]], body)
+            if y is not None and (v or not y):
+                taken[p[0]] += 1
+                yield y, describe(body, *p)
+
+
 @dataclass
 class Trees:
     """Boosted regression trees on binned features, with one threshold per kind."""
@@ -202,8 +302,10 @@ def train(x: np.ndarray, y: np.ndarray, kinds: np.ndarray) -> Trees:
         good = np.cumsum(y[mine][order]) / np.arange(1, mine.sum() + 1)
         ends = np.append(ranked[1:] < ranked[:-1], True)[: len(ranked)]  # equal scores pass together or not at all
         passing = np.flatnonzero((good >= PRECISION) & ends)
+        passing = np.array([i for i in passing if y[mine][order][ranked == ranked[i]].any()], np.int64)  # the lowest is an example
         if len(passing) and passing[-1] + 1 >= LEAST_SPANS:
-            model.thresholds[kind] = float(ranked[passing[-1]])
+            low = int(passing[-1])
+            model.thresholds[kind] = float(ranked[low : low + 2].mean())  # midway to the next lower proposal
     return model
 
 
@@ -211,7 +313,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Trees) -> li
     """Proposals the model selects that touch no base span; of overlapping ones the best score stays."""
     if not model.thresholds:
         return []
-    loose = [p for p in proposals(text) if p[0] in model.thresholds and not any(s < p[2] and p[1] < e for _, s, e in base)]
+    loose = [p for p in proposals(text) if p[0] in model.thresholds and passes(p[0], text[p[1] : p[2]]) and not any(s < p[2] and p[1] < e for _, s, e in base)]
     if not loose:
         return []
     scores = model.margin(np.array([describe(text, *p) for p in loose], np.float64))
@@ -247,12 +349,9 @@ def _examples(texts: list[bytes | None]) -> list[pa.Array]:
     out = []
     for raw in texts:
         text = raw.decode() if raw else ""
-        base = base_spans(text)
         rows: list[float] = []
-        for p in proposals(text)[:SAMPLE_PROPOSALS]:
-            y = label(p, base, text)
-            if y is not None:
-                rows += [float(y), *describe(text, *p)]
+        for y, features in examples(text, SAMPLE_PROPOSALS // len(KINDS)):
+            rows += [float(y), *features]
         out.append(rows)
     return [pa.array(out, pa.list_(pa.float64()))]
 

@@ -125,6 +125,35 @@ def test_personal_data_learns_other_separators(spark):
     assert pii.redact("pay by card 4111/1111/1111/1111 now 7", found[5000].spans) == "pay by card <card> now 7"
 
 
+LOOSE_ROWS = [
+    ("email", "mail to jane.doe (at) example (dot) org now"),
+    ("ip", "address 10:20:130:40 is up"),
+    ("card", "pay by card 4111/1111/1111/1111 now"),
+    ("phone", "please call 030 1234-5678 now"),
+]
+
+
+def personal_rows(n):
+    card = ["4111111111111111", "5500005555555559", "6011000990139424"]
+    forms = (
+        lambda i: f"mail to user.{i}@host{i % 7}.example.com now",
+        lambda i: f"address {i % 200}.20.{i % 90 + 10}.{i % 250} is up",
+        lambda i: f"pay by card {card[i % 3] if i % 8 < 4 else card[i % 3][:-1] + '7'} now x{i}",
+        lambda i: f"please call +49 30 {1000 + i}-{9999 - i} now",
+    )
+    return [(i, forms[i % 4](i)) for i in range(n)]
+
+
+def test_personal_data_adds_every_kind(spark):
+    ship(spark)
+    rows = personal_rows(1600) + [(5000 + i, t) for i, (_, t) in enumerate(LOOSE_ROWS)]
+    rows += [(6000, "see you at example.org now"), (6001, "rows 1,2,3,4 of it"), (6002, "on 2024-01-02 we"), (6003, "address 10:20:999:40 is up")]
+    found = {r.doc_id: r for r in pii.find_personal_data(data.frame(spark, rows)).where("doc_id >= 5000").collect()}
+    for i, (kind, text) in enumerate(LOOSE_ROWS):
+        assert found[5000 + i].base == "" and f"<{kind}>" in pii.redact(text, found[5000 + i].spans)
+    assert [found[i].spans for i in range(6000, 6004)] == [""] * 4
+
+
 def test_sharding(docs, nothing):
     found = sharding.shard_rows(docs).collect()
     same([(r.doc_id, r.size, r.text_crc32) for r in found], [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in ROWS])
