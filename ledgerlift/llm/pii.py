@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlift.llm.texts import pick, text_udf
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_TEXTS = 3000  # texts, by a hash, whose proposals the trees may learn from
-SAMPLE_PROPOSALS = 40  # of each such text, at most, as fitting sample
+SAMPLE_TEXTS = 3000  # texts, about, by a hash, whose proposals the trees may learn from: a fifth of them for each kind, a fifth of any
+SAMPLE_PROPOSALS = 40  # of each version of such a text, at most, as fitting sample
+FOLDS = 5  # one in so many texts is never learned from
 ROUNDS, DEPTH, RATE, BINS = 40, 3, 0.2, 16
 PRECISION = 0.98
-LEAST_SPANS = 50  # kept-back proposals above a threshold without which a kind adds nothing
+STEPS, REACH = 32, 8  # scores are counted in steps of 1/32, those beyond +-8 at the ends
 
 # The patterns of the base kinds. A run of digits is entered at its beginning only.
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
@@ -160,7 +161,9 @@ def loose_forms(kind: str, span: str, form: int) -> list[str]:
 def decoy(kind: str, span: str, form: int) -> str:
     """Something that a loose pattern takes for the kind and that is none."""
     if kind == "email":
-        return "at " + span.partition("@")[2]
+        domain = span.partition("@")[2]
+        short = ".".join(domain.split(".")[-2:])
+        return "at " + (domain, re.sub(r"(?<=[A-Za-z])[0-9]+", "", domain), short, re.sub(r"(?<=[A-Za-z])[0-9]+", "", short))[form % 4]
     if kind == "ip":
         return ":,"[form % 2].join(str(form % 7 + i) for i in range(4))
     if kind == "card":
@@ -278,37 +281,46 @@ def _grow(b: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> tuple[np.n
     return feature, cut, value, value[leaf]
 
 
-def train(x: np.ndarray, y: np.ndarray, kinds: np.ndarray) -> Trees:
-    """Fit on labelled proposals; every fifth is kept back for the thresholds."""
+def fit(x: np.ndarray, y: np.ndarray) -> Trees:
+    """Trees fitted on labelled proposals, without thresholds."""
     model = Trees()
-    back = np.arange(len(y)) % 5 == 0
-    if len(y) < 20 or len(set(y[~back].tolist())) < 2:
+    if len(set(y.tolist())) < 2:
         return model
     model.edges = np.stack([np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1]) for j in range(x.shape[1])])
     b = model.bins(x)
-    share = y[~back].mean()
+    share = y.mean()
     model.start = float(np.log(share / (1 - share)))
-    margin = np.full(int((~back).sum()), model.start)
+    margin = np.full(len(y), model.start)
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-margin))
-        feature, cut, value, step = _grow(b[~back], y[~back] - p, p * (1 - p))
+        feature, cut, value, step = _grow(b, y - p, p * (1 - p))
         model.trees.append((feature, cut, value))
         margin += step
-    scores = model.margin_of(b)
-    for i, kind in enumerate(KINDS):
-        mine = back & (kinds == i)
-        order = np.argsort(-scores[mine], kind="stable")
-        ranked = scores[mine][order]
-        good = np.cumsum(y[mine][order]) / np.arange(1, mine.sum() + 1)
-        ends = np.append(ranked[1:] < ranked[:-1], True)[: len(ranked)]  # equal scores pass together or not at all
-        passing = np.flatnonzero((good >= PRECISION) & ends)
-        passing = np.array([i for i in passing if y[mine][order][ranked == ranked[i]].any()], np.int64)  # the lowest is an example
-        if len(passing) and passing[-1] + 1 >= LEAST_SPANS:
-            low = int(passing[-1])
-            model.thresholds[kind] = float(ranked[low : low + 2].mean())  # midway to the next lower proposal
     return model
 
 
+def steps(margin: np.ndarray) -> np.ndarray:
+    """Scores as whole steps from 0 on."""
+    return np.clip(np.floor((margin + REACH) * STEPS), 0, 2 * REACH * STEPS - 1).astype(np.int64)
+
+
+def thresholds(counts: np.ndarray) -> dict[str, float]:
+    """From labelled proposals per kind, label and step: the lowest step of an example from which on the precision holds.
+
+    The threshold lies midway to the next lower labelled proposal. However few
+    proposals a kind has, they decide: no number of them switches a kind off.
+    """
+    found = {}
+    for kind, (bad, good) in zip(KINDS, counts, strict=True):
+        above_good, above_all = good[::-1].cumsum()[::-1], (good + bad)[::-1].cumsum()[::-1]
+        passing = np.flatnonzero((good > 0) & (above_good >= PRECISION * above_all))
+        if len(passing):
+            low = int(passing[0])
+            below = np.flatnonzero((good + bad)[:low])
+            found[kind] = ((low + below[-1] + 1) / 2 if len(below) else low) / STEPS - REACH
+    return found
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]], model: Trees) -> list[tuple[str, int, int]]:
     """Proposals the model selects that touch no base span; of overlapping ones the best score stays."""
     if not model.thresholds:
@@ -344,30 +356,73 @@ def _finder(model: Trees) -> Callable[[list[bytes | None]], list[pa.Array]]:
     return find
 
 
+def _base_kinds(texts: list[bytes | None]) -> list[pa.Array]:
+    """Bit per kind that has a base span in the text, and one that every text has."""
+    masks = [sum(1 << KINDS.index(k) for k in {k for k, _, _ in base_spans(raw.decode() if raw else "")}) for raw in texts]
+    return [pa.array([m | 1 << len(KINDS) for m in masks], pa.int32())]
+
+
 def _examples(texts: list[bytes | None]) -> list[pa.Array]:
     """Labelled proposals of each text, flattened: label, then features."""
     out = []
     for raw in texts:
-        text = raw.decode() if raw else ""
         rows: list[float] = []
-        for y, features in examples(text, SAMPLE_PROPOSALS // len(KINDS)):
+        for y, features in examples(raw.decode() if raw else "", SAMPLE_PROPOSALS // len(KINDS)):
             rows += [float(y), *features]
-        out.append(rows)
-    return [pa.array(out, pa.list_(pa.float64()))]
+        out.append(np.array(rows, np.float32).tobytes())
+    return [pa.array(out, pa.binary())]
+
+
+def _judged(model: Trees) -> Callable[[list[bytes | None]], list[pa.Array]]:
+    def judge(texts: list[bytes | None]) -> list[pa.Array]:
+        """Kind, label and step of every labelled proposal of each text, as one number."""
+        out = []
+        for raw in texts:
+            found = list(examples(raw.decode() if raw else ""))
+            if found:
+                x = np.array([f for _, f in found], np.float64)
+                code = (x[:, 0].astype(np.int64) * 2 + np.array([y for y, _ in found])) * (2 * REACH * STEPS) + steps(model.margin(x))
+                out.append(code.astype(np.int32))
+            else:
+                out.append(np.zeros(0, np.int32))
+        return [pa.array(out, pa.list_(pa.int32()))]
+
+    return judge
 
 
 def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Trees:
-    """Train on proposals of the first ``sample_texts`` texts by hash; numbers come to the driver, no texts."""
+    """Fit on texts by hash, drawn for each kind apart so that rare kinds are seen; calibrate on the labelled proposals of all other texts.
+
+    Numbers come to the driver, no texts: features of the sample, and one count
+    per kind, label and step of the score.
+    """
     width = 1 + len(describe("0", "ip", 0, 1))
-    mark = F.xxhash64("text")
-    marks = docs.where("text RLIKE '[0-9@]'").select(mark.alias("mark"))
-    limit = marks.distinct().orderBy("mark").limit(sample_texts).agg(F.max("mark").alias("m")).first()["m"]
-    if limit is None:
-        return Trees()
-    chosen = docs.where("text RLIKE '[0-9@]'").where(mark <= limit).select("text", mark.alias("mark")).dropDuplicates(["mark"])
-    rows = chosen.withColumn("__x", text_udf(_examples, "struct<x:array<double>>", ["x"])(F.col("text"))).select("mark", "__x.x").orderBy("mark").collect()
-    flat = np.array([v for r in rows for v in r["x"]], np.float64).reshape(-1, width)
-    return train(flat[:, 1:], flat[:, 0], flat[:, 1].astype(np.int64))
+    bits = [F.col("__k.k").bitwiseAND(1 << i) > 0 for i in range(len(KINDS) + 1)]
+    marked = docs.where("text RLIKE '[0-9@]'").select("text", F.xxhash64("text").alias("mark"))
+    kinds = marked.withColumn("__k", text_udf(_base_kinds, "struct<k:int>", ["k"])(F.col("text")))
+    sizes = kinds.select("mark", *[b.alias(f"b{i}") for i, b in enumerate(bits)]).agg(
+        *[F.approx_count_distinct(F.when(F.col(f"b{i}"), F.col("mark"))).alias(f"n{i}") for i in range(len(bits))]
+    )
+    share = max(1, sample_texts // len(bits))
+    # A mark is any number of 64 bits: those up to a kind's limit are about its share of texts, however often a text is repeated.
+    limits = [min(2**63 - 1, -(2**63) + (share * 2**64) // max(1, n)) for n in sizes.first()]
+    drawn = F.lit(False)
+    for b, limit in zip(bits, limits, strict=True):
+        drawn = drawn | (b & (F.col("mark") <= F.lit(limit)))
+    learned = F.pmod("mark", F.lit(FOLDS)) > 0
+    chosen = kinds.where(F.col("mark") <= F.lit(max(limits))).where(learned).where(drawn)
+    chosen = chosen.select("mark", text_udf(_examples, "struct<x:binary>", ["x"])(F.col("text")).alias("__x")).select("mark", "__x.x")
+    rows = chosen.where(F.length("x") > 0).dropDuplicates(["mark"]).orderBy("mark").collect()
+    flat = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, width).astype(np.float64)
+    model = fit(flat[:, 1:], flat[:, 0])
+    if not model.trees:
+        return model
+    others = kinds.where(~(learned & drawn)).select(text_udf(_judged(model), "struct<c:array<int>>", ["c"])(F.col("text")).alias("__c"))
+    counts = np.zeros((len(KINDS), 2, 2 * REACH * STEPS), np.int64)
+    for code, n in others.select(F.explode("__c.c").alias("code")).groupBy("code").count().collect():
+        counts.reshape(-1)[code] = n
+    model.thresholds = thresholds(counts)
+    return model
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
@@ -375,8 +430,8 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Spans are written kind:start:end in code points, end exclusive, by start and then
     kind. NULL and empty texts have none. Every row is judged by itself; repeated
-    rows, NULL ids and further columns change nothing. Where the sample holds too
-    little to learn from, only base spans are returned.
+    rows, NULL ids and further columns change nothing. Where the sample holds no
+    example or no counter-example, only base spans are returned.
     """
     body = pick(docs, doc_id=doc_id, text=text)
     names = [*[f"n_{k}" for k in KINDS], "base", "spans"]

@@ -154,6 +154,25 @@ def test_personal_data_adds_every_kind(spark):
     assert [found[i].spans for i in range(6000, 6004)] == [""] * 4
 
 
+@pytest.mark.parametrize("n, sample_texts", [(400, 3000), (1600, 500)])
+def test_personal_data_needs_no_number_of_spans(spark, n, sample_texts):
+    """Few texts of a kind, or one kind among very many texts of another, add spans all the same."""
+    ship(spark)
+    rows = personal_rows(n) if n < 1000 else [r for r in personal_rows(n) if r[0] % 4 or r[0] < 160]
+    rows += [(5000 + i, t) for i, (_, t) in enumerate(LOOSE_ROWS)]
+    found = {r.doc_id: r for r in pii.find_personal_data(data.frame(spark, rows), sample_texts=sample_texts).where("doc_id >= 5000").collect()}
+    for i, (kind, text) in enumerate(LOOSE_ROWS):
+        assert f"<{kind}>" in pii.redact(text, found[5000 + i].spans)
+
+
+def test_thresholds():
+    counts = np.zeros((4, 2, 2 * pii.REACH * pii.STEPS), np.int64)
+    counts[0, 1, 300], counts[0, 0, 200] = 3, 9  # three examples are enough
+    counts[1, 1, [300, 100]], counts[1, 0, [200, 99]] = (98, 1), (3, 1)
+    counts[2, 0, 300] = 5
+    assert pii.thresholds(counts) == {"email": 250.5 / pii.STEPS - pii.REACH, "ip": 250.5 / pii.STEPS - pii.REACH}
+
+
 def test_sharding(docs, nothing):
     found = sharding.shard_rows(docs).collect()
     same([(r.doc_id, r.size, r.text_crc32) for r in found], [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in ROWS])
