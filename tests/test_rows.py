@@ -222,3 +222,29 @@ def test_only_common_columns_are_compared(spark):
     assert rec.common_columns(a, a.drop("salary").withColumn("extra", F.lit(1)), ["id"]) == ["name", "dept_id", "hired"]
     statuses = rec.reconcile(a, a.drop("salary").withColumn("extra", F.lit(1)), ["id"], unique_keys=True).select("status").distinct()
     assert [r[0] for r in statuses.collect()] == ["same"]
+
+
+def test_repeated_keys_are_compared_in_every_column(spark, sf, monkeypatch):
+    from oracle import compare, duck
+
+    from ledgerlift.plans.queries_rows import reconcile_repeated_keys
+
+    edits = {
+        "l_partkey": "l_partkey + 1", "l_suppkey": "l_suppkey + 1", "l_extendedprice": "l_extendedprice + 1", "l_discount": "l_discount + 0.5",
+        "l_tax": "l_tax + 0.5", "l_returnflag": "'X'", "l_linestatus": "'X'", "l_quantity": "l_quantity + 1",
+    }
+    edits = {c: f"CASE WHEN l_orderkey % 53 = {i} THEN {e} ELSE {c} END" for i, (c, e) in enumerate(edits.items())}
+    whole = d.lineitem_tgt
+    monkeypatch.setattr(d, "lineitem_tgt", lambda *a: whole(*a).selectExpr(*[f"{edits.get(c, c)} AS {c}" for c in d.LINE_COLS]))
+    target = f"SELECT {', '.join(f'{edits.get(c, c)} AS {c}' for c in d.LINE_COLS)} FROM ({d.LINEITEM_TGT_SQL})"
+    rest = ["l_shipdate", "l_quantity", *[c for c in d.LINE_COLS if c not in ("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")]]
+    texts = ("l_returnflag", "l_linestatus", "l_shipdate")
+    same = " AND ".join(f"rtrim(CAST(s.{c} AS VARCHAR)) = rtrim(CAST(t.{c} AS VARCHAR))" if c in texts else f"abs(s.{c} - t.{c}) < 0.000000001" for c in rest)
+    sql = f"""WITH t AS (SELECT * FROM ({target}) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(c + ' DESC' for c in rest)}) = 1),
+    j AS (SELECT coalesce(s.l_orderkey, t.l_orderkey) AS l_orderkey, coalesce(s.l_linenumber, t.l_linenumber) AS l_linenumber,
+     CASE WHEN t.l_orderkey IS NULL THEN 'missing' WHEN s.l_orderkey IS NULL THEN 'extra' WHEN {same} THEN 'same' ELSE 'changed' END AS status
+     FROM lineitem s FULL OUTER JOIN t ON s.l_orderkey = t.l_orderkey AND s.l_linenumber = t.l_linenumber)
+    SELECT l_orderkey, l_linenumber, status, count(*) AS n_rows FROM j GROUP BY ALL"""
+    changed = duck(sf).execute(f"SELECT count(*) FROM ({sql}) WHERE status = 'changed' AND l_orderkey % 53 < 7").fetchone()[0]
+    assert changed > 100
+    assert compare(spark, "reconcile_repeated_keys", reconcile_repeated_keys, sql, sf) is None
