@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlift.llm import bpe, decontam, langid, lines, ngramjoin, pii, quality, sharding, substrings, urls
+from ledgerlift.llm import bpe, decontam, langid, lines, ngramjoin, pii, quality, sharding, substrings, urls, whitening
 from ledgerlift.llm.oracles import ORACLES
 from ledgerlift.llm.texts import ship
 
@@ -90,3 +90,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
