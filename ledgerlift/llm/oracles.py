@@ -93,4 +93,15 @@ g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 100 * line_chars > 50 * word_chars {" ".join(f"OR 100 * chars{n} > 20 * word_chars" for n in _LENGTHS)}) AS kept FROM g"""
 
-ORACLES = {"op1_decontaminate": OP1, "op2_repeats": OP2, "op3_line_dedup": OP3, "op4_ngram_join": OP4, "op8_url_filter": OP8, "op9_quality": OP9}
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, ws, len(ws) AS n FROM (SELECT doc_id, {_PLAIN.format(_LOW)} AS ws FROM documents) WHERE len(ws) > 0),
+a AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, a GROUP BY term),
+i AS (SELECT DISTINCT item_id, unnest({_PLAIN.format(_LOW)}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN d USING (r), a GROUP BY item_id, doc_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 50"""
+
+ORACLES = {"op1_decontaminate": OP1, "op2_repeats": OP2, "op3_line_dedup": OP3, "op4_ngram_join": OP4, "op8_url_filter": OP8, "op9_quality": OP9, "op12_ranked_search": OP12}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlift.llm import bpe, decontam, langid, lines, ngramjoin, pii, quality, sharding, substrings, urls, whitening
+from ledgerlift.llm import bpe, decontam, langid, lexical, lines, ngramjoin, pii, quality, sharding, substrings, urls, whitening
 from ledgerlift.llm.oracles import ORACLES
 from ledgerlift.llm.texts import ship
 
@@ -96,3 +96,8 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
