@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlift.llm import bpe, decontam, langid, lexical, lines, ngramjoin, pii, quality, sharding, substrings, urls, whitening
+from ledgerlift.llm import bpe, decontam, langid, lexical, lines, ngramjoin, packing, pii, quality, sharding, substrings, urls, whitening
 from ledgerlift.llm.oracles import ORACLES
 from ledgerlift.llm.texts import ship
 
@@ -23,10 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -101,3 +101,8 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).drop("ids")
