@@ -29,14 +29,14 @@ _PLAIN = r"""'[^']*(?:'|\z)|"[^"]*(?:"|\z)"""
 _TAG = r"[A-Za-z_][A-Za-z_0-9]*"
 TOKENS = {
     None: TOKEN,
-    "mysql": r"""'(?:[^'\\]++|\\[\s\S]|\\\z)*+(?:'|\z)|"(?:[^"\\]++|\\[\s\S]|\\\z)*+(?:"|\z)|`[^`]*(?:`|\z)|#[^\n]*"""
+    "mysql": r"""'(?:[^'\\]++|\\[\s\S]|\\\z)*+(?:'|\z)|"(?:[^"\\]++|\\[\s\S]|\\\z)*+(?:"|\z)|`(?:[^`]++|``)*+(?:`|\z)|#[^\n]*"""
     + _ENDS + r"""|(?:[^'"`#/\-]++|-(?!-)|/(?!\*))++""",
     "postgres": _PLAIN + rf"""|(?<![A-Za-z_0-9$])\$({_TAG}|)\$[\s\S]*?(?:\$\1\$|\z)""" + _ENDS
     + rf"""|(?:[^'"$/\-]++|(?<=[A-Za-z_0-9$])\$|\$(?!(?:{_TAG})?\$)|-(?!-)|/(?!\*))++""",
-    "mssql": _PLAIN + r"""|\[[^\]]*(?:\]|\z)""" + _ENDS + r"""|(?:[^'"\[/\-]++|-(?!-)|/(?!\*))++""",
+    "mssql": _PLAIN + r"""|\[(?:[^\]]++|\]\])*+(?:\]|\z)""" + _ENDS + r"""|(?:[^'"\[/\-]++|-(?!-)|/(?!\*))++""",
 }
 DOLLAR = rf"^\$(?:{_TAG})?\$"
-CLOSED = {"'": r"^'(?:[^'\\]|\\[\s\S])*'\z", '"': r'^"(?:[^"\\]|\\[\s\S])*"\z'}
+CLOSED = {"'": r"^'(?:[^'\\]++|\\[\s\S])*+'\z", '"': r'^"(?:[^"\\]++|\\[\s\S])*+"\z'}
 WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WHITE = " \t\r\n\f\u000b"
@@ -69,7 +69,7 @@ def needles(p: str) -> list[str]:
 
 def ascii_upper(c: Column) -> Column:
     """Upper case of ASCII letters only, so that positions stay the same."""
-    return F.translate(c, LOWER, UPPER)
+    return let(c, lambda x: F.when(F.char_length(x) == F.octet_length(x), F.upper(x)).otherwise(F.translate(x, LOWER, UPPER)))
 
 
 def tokens(sql: Column, family: str | None = None) -> Column:
@@ -129,7 +129,7 @@ def ends_open(sql: Column, family: str | None = None) -> Column:
     one, two = (CLOSED["'"], CLOSED['"']) if family == "mysql" else text
     opened = (
         ((start == "'") & ~last.rlike(one)) | ((start == '"') & ~last.rlike(two)) | (last.startswith("/*") & ~last.rlike(r"^/\*[\s\S]*\*/\z"))
-        | (is_name(last, family) & ~last.rlike(r"^(?:`[^`]*`|\[[^\]]*\])\z"))
+        | (is_name(last, family) & ~last.rlike(r"^(?:`(?:[^`]++|``)*+`|\[(?:[^\]]++|\]\])*+\])\z"))
     )
     if family == "postgres":
         opened = opened | (last.rlike(DOLLAR) & ~last.rlike(rf"^\$({_TAG}|)\$[\s\S]*\$\1\$\z"))

@@ -68,7 +68,7 @@ at_parameter: $n
 SNIPPET_LIMIT = 60
 SNIPPET_KEEP = 57
 
-# Rewrite patterns.
+# Rewrite patterns.
 TOP_NUMBER = r"\bTOP\s+(\d+)\b"
 TOP_UNSAFE = r"\bTOP\s+\d+\s+(?:PERCENT|WITH\s+TIES)"
 GETDATE = r"\bGETDATE\s*\(\s*\)"
@@ -76,10 +76,11 @@ ISNULL = r"\bISNULL\s*\("
 IFNULL = r"\bIFNULL\s*\("
 NVL = r"\bNVL\s*\("
 BACKTICK = r"`([^`\n]+)`"
-BRACKET = r"\[([A-Za-z_][^\[\]\n]*)\]"
+BACKTICK_NAME = r"^`(?:[^`\n]++|``)++`\z"
+BRACKET_NAME = r"^\[[A-Za-z_](?:[^\[\]\n]++|\]\])*+\]\z"
 BLANKS = r"[ \t]{2,}"
 
-# Statement classes: first words, and what the converter does with the class.
+# Statement classes, by first words, and what the converter does with the class.
 STATEMENT_CLASSES = [
     ("create_table", r"^CREATE\s+TABLE"),
     ("insert", r"^INSERT\s"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.functions.sqltokens import (
-    WHITE, ascii_upper, ends_open, is_code, is_comment, join, let, map_code, mask_literals, needles, split_statements, sql_pattern,
+    WHITE, ascii_upper, ends_open, is_code, is_comment, is_name, join, let, map_code, mask_literals, needles, split_statements, sql_pattern,
     strip_white, tokens, upper_pattern,
 )
 from ledgerlift.functions.values import sql_text
@@ -19,8 +19,10 @@ from ledgerlift.operators.typemap import split_lines
 
 ADVICE = dict(split_lines(fr.ADVICE))
 FAMILIES = {"mysql": fx.MYSQL_FAMILY, "postgres": fx.POSTGRES_FAMILY}
-HIT = "struct<start:int,hit_len:int>"
-CHUNK = 256
+MOVE = "struct<chars:int,breaks:int,tail:int>"
+HIT = f"struct<at:{MOVE},hit_len:int>"
+CHUNK = 64  # matches laid out at a time
+PAGE = 256  # characters of a page of the written text
 
 
 def family_of(source: str | None) -> str | None:
@@ -44,39 +46,74 @@ def rules_for(target: str) -> list[tuple[str, str, str, str]]:
     return [(i, c, s, p) for i, c, s, scope, p in fr.RULES if applies(scope)]
 
 
+def _move(text: Column) -> Column:
+    """What reading a text does to the place: characters passed, line breaks passed, characters since the last break."""
+    n = F.char_length(text)
+    return F.struct(n.alias("chars"), (n - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))).alias("breaks"), F.char_length(F.substring_index(text, "\n", -1)).alias("tail"))
+
+
+def _then(a: Column, b: Column) -> Column:
+    """One move after another."""
+    tail = F.when(b["breaks"] > 0, b["tail"]).otherwise(a["tail"] + b["tail"])
+    return F.struct((a["chars"] + b["chars"]).alias("chars"), (a["breaks"] + b["breaks"]).alias("breaks"), tail.alias("tail"))
+
+
 def _running(steps: Column, start: Column) -> Column:
-    """Place of each step (gap before it, length) when laid end to end from ``start``."""
+    """Place of each step (gap before it, match, both together) when laid end to end from ``start``."""
 
     def step(acc: Column, x: Column) -> Column:
-        here = acc["at"] + x["gap"]
-        entry = F.struct(here.alias("start"), x["hit_len"].alias("hit_len"))
-        return F.struct((here + x["hit_len"]).alias("at"), F.concat(acc["out"], F.array(entry)).alias("out"))
+        entry = F.struct(_then(acc["at"], x["gap"]).alias("at"), x["hit"]["chars"].alias("hit_len"))
+        return F.struct(_then(acc["at"], x["both"]).alias("at"), F.concat(acc["out"], F.array(entry)).alias("out"))
 
     zero = F.struct(start.alias("at"), F.array().cast(f"array<{HIT}>").alias("out"))
     return F.aggregate(steps, zero, step, lambda acc: acc["out"])
 
 
+def _start() -> Column:
+    return F.struct(*[F.lit(0).alias(n) for n in ("chars", "breaks", "tail")])
+
+
 def _hits(code: Column, pattern: Column) -> Column:
-    """Start and length of every match in a text, from the pieces between the matches.
+    """Place (characters, line breaks, characters since the last break before it) and length of every match.
 
-    Lists are laid out in chunks, so that finding very many hits costs little
-    more than the text's length.
+    Each piece between matches is measured once, and the measures are summed in
+    chunks, so the work follows the text's length and the number of matches.
     """
     found = F.regexp_extract_all(code, pattern, F.lit(0))
-    steps = F.zip_with(
-        F.slice(F.split(code, pattern), F.lit(1), F.size(found)), found,
-        lambda before, hit: F.struct(F.char_length(before).alias("gap"), F.char_length(hit).alias("hit_len")),
-    )
+
+    def steps(hits: Column) -> Column:
+        moves = F.zip_with(
+            F.slice(F.split(code, pattern), F.lit(1), F.size(hits)), hits,
+            lambda before, hit: F.struct(_move(before).alias("gap"), _move(hit).alias("hit")),
+        )
+        return F.transform(moves, lambda m: F.struct(m["gap"].alias("gap"), m["hit"].alias("hit"), _then(m["gap"], m["hit"]).alias("both")))
 
     def place(all_steps: Column) -> Column:
         firsts = F.sequence(F.lit(1), F.size(all_steps), F.lit(CHUNK))
         chunks = F.transform(firsts, lambda i: F.slice(all_steps, i, F.lit(CHUNK)))
-        widths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + x["hit_len"]))
-        whole = F.transform(widths, lambda w: F.struct(F.lit(0).alias("gap"), w.alias("hit_len")))
-        chunked = F.zip_with(chunks, _running(whole, F.lit(1)), lambda c, w: _running(c, w["start"]))
-        return F.flatten(chunked)
+        whole = F.transform(chunks, lambda c: F.aggregate(c, _start(), lambda at, x: _then(at, x["both"])))
+        wide = F.transform(whole, lambda w: F.struct(_start().alias("gap"), w.alias("hit"), w.alias("both")))
+        return F.flatten(F.zip_with(chunks, _running(wide, _start()), lambda c, w: _running(c, w["at"])))
+
+    return let(let(found, steps), place)
+
 
-    return let(steps, place)
+def _snippets(written: Column, found: Column) -> Column:
+    """Findings with the text they stand on, taken from pages of the written text, so that no prefix is read again."""
+    kept = ("rule_id", "category", "severity", "suggestion")
+
+    def cut(pages: Column, f: Column) -> Column:
+        page = F.floor(f["hit"]["at"]["chars"] / PAGE).cast("int")
+        near = F.concat(F.get(pages, page), F.coalesce(F.get(pages, page + 1), F.lit("")))
+        n = f["hit"]["hit_len"]
+        shown = F.substring(near, f["hit"]["at"]["chars"] % PAGE + 1, F.when(n > fr.SNIPPET_LIMIT, fr.SNIPPET_KEEP).otherwise(n))
+        return F.struct(
+            (f["hit"]["at"]["breaks"] + 1).alias("line_no"), (f["hit"]["at"]["tail"] + 1).alias("column_no"), *[f[k].alias(k) for k in kept],
+            F.trim(F.when(n > fr.SNIPPET_LIMIT, F.concat(shown, F.lit("..."))).otherwise(shown)).alias("snippet"),
+        )
+
+    pages = F.regexp_extract_all(written, F.lit(rf"[\s\S]{{1,{PAGE}}}"), F.lit(0))
+    return let(found, lambda all_found: let(F.when(F.size(all_found) > 0, pages), lambda p: F.transform(all_found, lambda f: cut(p, f))))
 
 
 def _rules(target: str) -> Column:
@@ -105,26 +142,18 @@ def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool =
 
     def findings(r: Column) -> Column:
         facts = [r[n].alias(n) for n in ("rule_id", "category", "severity", "suggestion")]
-        return F.transform(_hits(code, r["pattern"]), lambda h: F.struct(*facts, h["start"].alias("start"), h["hit_len"].alias("hit_len")))
+        return F.transform(_hits(code, r["pattern"]), lambda h: F.struct(*facts, h.alias("hit")))
 
-    found = F.flatten(F.transform(_matching(_rules(target), code), findings))
     keep = [c for c in df.columns if c != text]
+    masked = df.select(*keep, F.col(text).alias("_written"), _masked(text, source).alias("_code"))
+    found = _snippets(F.col("_written"), F.flatten(F.transform(_matching(_rules(target), code), findings)))
     spread = F.explode_outer(found) if keep_clean else F.explode(found)
-    masked = df.select(*keep, F.col(text).alias("_written"), ascii_upper(mask_literals(F.col(text), family_of(source))).alias("_code"))
-    rows = masked.select(*keep, "_written", spread.alias("f"))
-    before = F.substring(F.col("_written"), F.lit(1), F.col("f.start") - 1)
-    snippet = F.substring(F.col("_written"), F.col("f.start"), F.col("f.hit_len"))
-    short = F.when(F.char_length(snippet) > fr.SNIPPET_LIMIT, F.concat(F.left(snippet, F.lit(fr.SNIPPET_KEEP)), F.lit("..."))).otherwise(snippet)
-    return rows.select(
-        *keep,
-        (F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line_no"),
-        (F.char_length(F.substring_index(before, "\n", -1)) + 1).alias("column_no"),
-        "f.rule_id",
-        "f.category",
-        "f.severity",
-        F.trim(short).alias("snippet"),
-        "f.suggestion",
-    )
+    shown = ("line_no", "column_no", "rule_id", "category", "severity", "snippet", "suggestion")
+    return masked.select(*keep, spread.alias("_f")).select(*keep, *[F.col(f"_f.{n}").alias(n) for n in shown])
+
+
+def _masked(text: str, source: str | None) -> Column:
+    return ascii_upper(mask_literals(F.col(text), family_of(source)))
 
 
 def _count_hits(pattern: str):
@@ -134,19 +163,23 @@ def _count_hits(pattern: str):
 def rule_match(df: DataFrame, target: str, text: str = "sql", source: str | None = None) -> DataFrame:
     """Scripts and the rules that hit their code at least once."""
     keep = [c for c in df.columns if c != text]
-    rows = df.select(*keep, ascii_upper(mask_literals(F.col(text), family_of(source))).alias("_code"))
+    rows = df.select(*keep, _masked(text, source).alias("_code"))
     hit = F.transform(_matching(_rules(target), F.col("_code")), lambda r: r["rule_id"])
     return rows.select(*keep, F.explode(F.array_distinct(hit)).alias("rule_id"))
 
 
-def audit_summary(df: DataFrame, target: str, key: str = "script_id", text: str = "sql") -> DataFrame:
-    """Findings per script by severity; a clean script shows zeros."""
-    lines = F.size(F.split(text, "\n")).cast("long").alias("_lines")
-    found = audit_sql(df.select(key, lines, text), target, text, keep_clean=True)
-    return found.groupBy(key).agg(
-        *[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in ("error", "warning", "info")],
-        F.max("_lines").alias("total_lines"),
-    )
+def audit_summary(df: DataFrame, target: str, key: str = "script_id", text: str = "sql", source: str | None = None) -> DataFrame:
+    """Findings per script by severity; a clean script shows zeros. Matches are counted, not placed."""
+    levels = ("error", "warning", "info")
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(s) for s in levels])
+
+    def add(total: Column, r: Column) -> Column:
+        return let(F.regexp_count("_code", r["pattern"]), lambda n: F.struct(*[(total[s] + F.when(r["severity"] == s, n).otherwise(0)).alias(s) for s in levels]))
+
+    lines = (F.char_length(text) - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    rows = df.select(key, lines.alias("_lines"), _masked(text, source).alias("_code"))
+    counted = rows.select(key, "_lines", F.aggregate(_matching(_rules(target), F.col("_code")), zero, add).alias("_n"))
+    return counted.groupBy(key).agg(*[F.coalesce(F.sum(f"_n.{s}"), F.lit(0)).alias(f"{s}s") for s in levels], F.max("_lines").alias("total_lines"))
 
 
 def explode_statements(df: DataFrame, text: str = "sql", source: str | None = None) -> DataFrame:
@@ -156,25 +189,30 @@ def explode_statements(df: DataFrame, text: str = "sql", source: str | None = No
     return cut.select(*keep, (F.col("_i") + 1).alias("statement_no"), strip_white(F.col("_s")).alias("statement")).filter(F.col("statement") != "")
 
 
-def statement_class(statement: Column) -> Column:
+def statement_class(statement: Column, source: str | None = None) -> Column:
     """Class by the first words of code; comments in front do not count."""
-    bare = join(F.filter(tokens(statement), lambda t: ~is_comment(t)))
+    family = family_of(source)
+    bare = join(F.filter(tokens(statement, family), lambda t: ~is_comment(t, family)))
     head = F.concat(F.upper(F.ltrim(bare, F.lit(WHITE))), F.lit(" "))
-    chain: Column | None = None
-    for name, pattern in fr.STATEMENT_CLASSES:
-        chain = F.when(head.rlike(pattern), name) if chain is None else chain.when(head.rlike(pattern), name)
-    return chain.otherwise("other")
 
+    def first(h: Column) -> Column:
+        chain: Column | None = None
+        for name, pattern in fr.STATEMENT_CLASSES:
+            chain = F.when(h.rlike(pattern), name) if chain is None else chain.when(h.rlike(pattern), name)
+        return chain.otherwise("other")
 
-def classify_statements(statements: DataFrame, column: str = "statement") -> DataFrame:
-    return statements.withColumn("class", statement_class(F.col(column)))
+    return let(head, first)
 
 
-def conversion_summary(statements: DataFrame, key: str = "script_id") -> DataFrame:
+def classify_statements(statements: DataFrame, column: str = "statement", source: str | None = None) -> DataFrame:
+    return statements.withColumn("class", statement_class(F.col(column), source))
+
+
+def conversion_summary(statements: DataFrame, key: str = "script_id", source: str | None = None) -> DataFrame:
     """Per script: statements converted by structure, passed with a rewrite, and skipped."""
     kind = F.col("class")
     return (
-        classify_statements(statements)
+        classify_statements(statements, source=source)
         .groupBy(key)
         .agg(
             F.count("*").alias("total_statements"),
@@ -191,12 +229,12 @@ def _now(target: str) -> str:
     return "SYSDATE" if target == "dameng" else "CURRENT_TIMESTAMP"
 
 
-def _name_quote(target: str) -> str:
-    return "`" if target in fx.MYSQL_FAMILY else '"'
+def _name_quotes(target: str) -> tuple[str, str]:
+    return ("`", "`") if target in fx.MYSQL_FAMILY else ("[", "]") if target == "mssql" else ('"', '"')
 
 
 def _replacements(source: str, target: str) -> list[tuple[str, str, str]]:
-    """Change name, pattern and replacement of the rewrites that keep the meaning."""
+    """Change name, pattern and replacement of the rewrites of code that keep the meaning."""
     out = []
     from_mssql, from_mysql = source == "mssql", source in fx.MYSQL_FAMILY
     if from_mssql and target != "mssql":
@@ -207,69 +245,105 @@ def _replacements(source: str, target: str) -> list[tuple[str, str, str]]:
         out.append(("coalesce_calls", fr.IFNULL, "COALESCE("))
     if from_mysql or from_mssql or source == "dameng":
         out.append(("coalesce_calls", fr.NVL, "COALESCE("))
-    if target not in fx.MYSQL_FAMILY:
-        opening, closing = ("[", "]") if target == "mssql" else (_name_quote(target),) * 2
+    if target not in fx.MYSQL_FAMILY and not from_mysql:
+        opening, closing = _name_quotes(target)
         out.append(("quoted_names", fr.BACKTICK, f"{opening}$1{closing}"))
-    if from_mssql and target != "mssql":
-        q = _name_quote(target)
-        out.append(("quoted_names", fr.BRACKET, f"{q}$1{q}"))
     return out
 
 
+def _is_renamed(token: Column, source: str, target: str) -> Column:
+    """A quoted name of the source whose quotes the target does not know."""
+    if source in fx.MYSQL_FAMILY and target not in fx.MYSQL_FAMILY:
+        return token.rlike(fr.BACKTICK_NAME)
+    return token.rlike(fr.BRACKET_NAME) if source == "mssql" and target != "mssql" else F.lit(False)
+
+
+def _renamed(token: Column, source: str, target: str) -> Column:
+    """A quoted name in the target's quotes; doubled closing quotes inside are undone and done anew."""
+    old, (opening, closing) = "`" if source in fx.MYSQL_FAMILY else "]", _name_quotes(target)
+    name = F.replace(F.substring(token, F.lit(2), F.char_length(token) - 2), F.lit(old * 2), F.lit(old))
+    return F.concat(F.lit(opening), F.replace(name, F.lit(closing), F.lit(closing * 2)), F.lit(closing))
+
+
 def rewrite_statement(statement: Column, source: str, target: str) -> Column:
-    """One statement in the target's dialect where that is safe; literals and comments stay as written."""
+    """One statement in the target's dialect where that is safe; literals, comments and other names stay as written.
+
+    What is a literal, a comment or a name follows the source's own quoting.
+    """
     if source == target:
         return statement
-    return let(tokens(statement), lambda parts: _rewrite_tokens(parts, source, target))
+    return let(tokens(statement, family_of(source)), lambda parts: _rewrite_tokens(parts, source, target))
+
+
+def _plain_code(parts: Column, family: str | None) -> Column:
+    """Code without literals, comments and quoted names, a blank for each."""
+    return join(F.transform(parts, lambda t: F.when(is_code(t, family) & ~is_name(t, family), t).otherwise(" ")))
 
 
 def _rewrite_tokens(parts: Column, source: str, target: str) -> Column:
-    swaps = [(sql_pattern(p), to) for _, p, to in _replacements(source, target)]
+    swaps, family = [(sql_pattern(p), to) for _, p, to in _replacements(source, target)], family_of(source)
 
-    def swap(t: Column) -> Column:
-        for pattern, to in swaps:
-            t = F.regexp_replace(t, pattern, to)
-        return t
+    def changed(before) -> Column:
+        def change(t: Column) -> Column:
+            code = before(t)
+            for pattern, to in swaps:
+                code = F.regexp_replace(code, pattern, to)
+            return F.when(_is_renamed(t, source, target), _renamed(t, source, target)).when(is_name(t, family), t).otherwise(code)
+
+        return join(map_code(parts, change, family))
 
     if source != "mssql" or target == "mssql":
-        return join(map_code(parts, swap))
+        return changed(lambda t: t)
     top = sql_pattern(fr.TOP_NUMBER)
-    code = join(F.transform(parts, lambda t: F.when(is_code(t), t).otherwise(" ")))
     # TOP moves only when the statement has exactly one and the limit is a plain number of rows.
-    safe = ~code.rlike(sql_pattern(fr.TOP_UNSAFE))
-    limits = F.when(safe, F.regexp_extract_all(code, F.lit(top), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    limits = let(
+        _plain_code(parts, family),
+        lambda code: F.when(~code.rlike(sql_pattern(fr.TOP_UNSAFE)), F.regexp_extract_all(code, F.lit(top), F.lit(1))).otherwise(F.array().cast("array<string>")),
+    )
 
     def with_limits(found: Column) -> Column:
-        without = map_code(parts, lambda t: swap(F.regexp_replace(F.regexp_replace(t, top, ""), fr.BLANKS, " ")))
         # After a trailing line comment the limit needs a line of its own.
-        last = F.element_at(parts, -1)
-        gap = F.when(last.startswith("--") | last.startswith("#"), "\n").otherwise(" ")
-        limited = F.concat(F.rtrim(join(without), F.lit(" \t\r\n")), gap, F.lit("LIMIT "), found[0])
-        return F.when(F.size(found) == 1, limited).otherwise(join(map_code(parts, swap)))
+        gap = F.when(is_comment(F.element_at(parts, -1), family) & ~F.element_at(parts, -1).startswith("/*"), "\n").otherwise(" ")
+        without = changed(lambda t: F.regexp_replace(F.regexp_replace(t, top, ""), fr.BLANKS, " "))
+        limited = F.concat(F.rtrim(without, F.lit(" \t\r\n")), gap, F.lit("LIMIT "), found[0])
+        return F.when(F.size(found) == 1, limited).otherwise(changed(lambda t: t))
 
     return let(limits, with_limits)
 
 
 def rewrite_sql(df: DataFrame, source: str, target: str, text: str = "sql") -> DataFrame:
-    """Scripts with every statement rewritten, joined by ``;`` and a line break as the converter prints them."""
+    """Scripts with every statement rewritten, joined by ``;`` and a line break as the converter prints them.
+
+    A script that ends inside a literal, a name or a comment is returned as written;
+    ``convert_scripts`` returns such scripts apart.
+    """
     if source == target:
         return df
     sql = F.col(text)
-    ends_open = strip_white(F.element_at("_p", -1)) != ""
-    kept = F.when(ends_open, F.col("_p")).otherwise(F.slice("_p", F.lit(1), F.size("_p") - 1))
+    unfinished = strip_white(F.element_at("_p", -1)) != ""
+    kept = F.when(unfinished, F.col("_p")).otherwise(F.slice("_p", F.lit(1), F.size("_p") - 1))
     out = F.array_join(F.transform(kept, lambda s: rewrite_statement(s, source, target)), ";\n")
-    cut = df.withColumn("_p", split_statements(sql))
+    cut = df.withColumn("_p", F.when(~ends_open(sql, family_of(source)), split_statements(sql, family_of(source))))
     closed = F.when(F.rtrim(sql, F.lit(" \t\r\n")).endswith(";"), F.concat(out, F.lit(";"))).otherwise(out)
-    return cut.select(*[F.when(sql.rlike(r"\S"), closed).otherwise(sql).alias(c) if c == text else F.col(c) for c in df.columns])
+    return cut.select(*[F.when(sql.rlike(r"\S") & F.col("_p").isNotNull(), closed).otherwise(sql).alias(c) if c == text else F.col(c) for c in df.columns])
+
+
+def convert_scripts(df: DataFrame, source: str, target: str, text: str = "sql") -> tuple[DataFrame, DataFrame]:
+    """(scripts rewritten, scripts that cannot be cut with certainty, with a reason)."""
+    is_open = ends_open(F.col(text), family_of(source))
+    rejected = df.filter(is_open).withColumn("reason", F.lit("a quote, a quoted name or a comment never closes"))
+    return rewrite_sql(df.filter(~is_open), source, target, text), rejected
 
 
 def rewrite_changes(df: DataFrame, source: str, target: str, text: str = "sql") -> DataFrame:
-    """How often each kind of rewrite applies, per script."""
+    """How often each kind of rewrite applies, per script. Scripts that stay as written, being open, show zeros."""
     keep = [c for c in df.columns if c != text]
     names = ["top_to_limit", "now_calls", "coalesce_calls", "quoted_names"]
-    zero = F.lit(0)
+    zero, family = F.lit(0), family_of(source)
     totals = {n: zero for n in names}
-    rows = df.select(*keep, F.transform(split_statements(F.col(text)), mask_literals).alias("_code"))
+    parts = F.transform(split_statements(F.col(text), family), lambda s: tokens(s, family))
+    closed = df.select(*keep, F.when(ends_open(F.col(text), family), F.array().cast("array<array<string>>")).otherwise(parts).alias("_parts"))
+    rows = closed.select(*keep, "_parts", F.transform("_parts", lambda p: _plain_code(p, family)).alias("_code"))
     if source == "mssql" and target != "mssql":
         single = F.filter(
             "_code",
@@ -278,9 +352,12 @@ def rewrite_changes(df: DataFrame, source: str, target: str, text: str = "sql")
         totals["top_to_limit"] = F.size(single)
     for name, pattern, _ in _replacements(source, target):
         totals[name] = totals[name] + F.aggregate("_code", zero, _count_hits(sql_pattern(pattern)))
+    renamed = F.size(F.filter(F.flatten("_parts"), lambda t: _is_renamed(t, source, target)))
+    totals["quoted_names"] = totals["quoted_names"] + renamed
     return rows.select(*keep, *[totals[n].cast("int").alias(n) for n in names])
 
 
-def requote_inserts(statement: Column) -> Column:
+def requote_inserts(statement: Column, source: str | None = None) -> Column:
     """Backtick names of an INSERT as double-quoted names, outside literals."""
-    return join(map_code(tokens(statement), lambda t: F.regexp_replace(t, fr.BACKTICK, '"$1"')))
+    family = family_of(source)
+    return join(map_code(tokens(statement, family), lambda t: F.regexp_replace(t, fr.BACKTICK, '"$1"'), family))

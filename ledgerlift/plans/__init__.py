@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("queries_rows", "queries_meta", "queries_shapes", "queries_sql", "queries_jobs")
+AREAS = ("queries_rows", "queries_meta", "queries_shapes", "queries_sql", "queries_dialects", "queries_jobs")
 
 
 def all_queries() -> tuple[dict, dict]:

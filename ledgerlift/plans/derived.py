@@ -379,3 +379,49 @@ def tables_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
     return {n: read_table(spark, sf, n) for n in names.split()}
 
+
+# ---- scripts in the quoting of one source each; one in five never closes its last quote ------------
+_B = "chr(92)"
+_MY = f"replace(replace(text, {_B}, {_B} || {_B}), '''', {_B} || '''')"
+MYSQL_SCRIPTS: Recipe = [
+    ("script_id", "doc_id"),
+    (
+        "sql",
+        "CASE doc_id % 5"
+        f" WHEN 0 THEN 'SELECT `id;x`, IFNULL(note, ''' || {_MY} || ''') FROM `t``s` WHERE a = NVL(b, ''it' || {_B} || '''s; NVL(1'');' || {_NL} || 'SELECT `p\"q`, 2;'"
+        f" WHEN 1 THEN '# NVL(1); note' || {_NL} || 'INSERT INTO t VALUES (''' || {_MY} || '; IFNULL(''); USE db; SET NAMES utf8'"
+        f" WHEN 2 THEN '-- x; y' || {_NL} || 'CREATE TABLE t (a INT); ALTER TABLE `t` ADD b INT # tail; IFNULL(' || {_NL} || '; DROP TABLE old;'"
+        f" WHEN 3 THEN 'SELECT IFNULL(a, ''' || {_MY} || {_B} || ''''"
+        f" ELSE 'SELECT \"a' || {_B} || '\"; IFNULL(\", ifnull(`x`, 1) FROM t /* ; `y` */; COMMENT ON TABLE t IS ''' || {_MY} || '''' END",
+    ),
+]
+MSSQL_SCRIPTS: Recipe = [
+    ("script_id", "doc_id"),
+    (
+        "sql",
+        "CASE doc_id % 5"
+        f" WHEN 0 THEN 'SELECT TOP 10 * INTO #tmp FROM [a b] WHERE d < GETDATE();' || {_NL} || 'SELECT [x;y], ISNULL(n, ''' || {_T} || ''') FROM #tmp;'"
+        f" WHEN 1 THEN '-- TOP 3' || {_NL} || 'CREATE TABLE #t (a INT); INSERT INTO #t VALUES (''' || {_T} || '''); DROP TABLE #t'"
+        " WHEN 2 THEN 'select top  7   [TOP 4], [GETDATE()], NVL(x, 1) from [o]]p] -- tail'"
+        f" WHEN 3 THEN 'SELECT NVL(a, ''' || {_T}"
+        f" ELSE 'SELECT TOP 30 PERCENT x FROM t; EXEC sp_help ''' || {_T} || ''';' || {_NL} || ' MERGE INTO t USING s ON (1=1); SELECT @@IDENTITY, DATEDIFF(day, `a`, GETDATE())' END",
+    ),
+]
+_PG = "replace(text, '$', '')"
+POSTGRES_SCRIPTS: Recipe = [
+    ("script_id", "doc_id"),
+    (
+        "sql",
+        "CASE doc_id % 5"
+        f" WHEN 0 THEN 'DO $$ NVL(a; ''b $$; SELECT `x`, ''' || {_T} || ''';'"
+        f" WHEN 1 THEN 'CREATE INDEX i ON t (a); INSERT INTO t VALUES ($1, ''' || {_B} || '''); USE x'"
+        f" WHEN 2 THEN 'SELECT $f$ ' || {_PG} || '; `y` $f$, a # `b` FROM t;' || {_NL} || 'SET x = 1'"
+        f" WHEN 3 THEN 'SELECT `z`; SELECT $f$ ' || {_PG}"
+        f" ELSE 'COMMENT ON TABLE t IS ''' || {_T} || '''; ALTER TABLE t ADD c INT; select `a;b`, `c`' END",
+    ),
+]
+DIALECT_SCRIPTS = {"mysql": MYSQL_SCRIPTS, "mssql": MSSQL_SCRIPTS, "postgres": POSTGRES_SCRIPTS}
+
+
+def dialect_scripts(spark: SparkSession, sf: str, source: str) -> DataFrame:
+    return derive(spark, sf, "documents", DIALECT_SCRIPTS[source])

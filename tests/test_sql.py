@@ -1,5 +1,7 @@
 """SQL scripts: masking, splitting, classes, audit and rewrite."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,14 @@ def test_open_scripts(spark):
         assert [r["sql"] for r in sc.open_scripts(scripts(spark, *opened, *closed), source=source).orderBy("script_id").collect()] == opened
 
 
+def test_long_literals_and_names_need_no_recursion(spark):
+    body = r"x \' y `` ]] " * 50_000
+    for source, text in [("mysql", f"'{body}'"), ("mysql", f"`{body}`"), ("mssql", f"[{body}]"), ("postgres", f"$a$ {body} $a$")]:
+        df = scripts(spark, text, text[:-1])
+        assert [r["script_id"] for r in sc.open_scripts(df, source=source).collect()] == [1]
+        assert sc.rewrite_sql(df, source, "sqlite").count() == 2
+
+
 def test_audit_by_source(spark):
     found = sc.audit_sql(scripts(spark, "SELECT * INTO #tmp FROM t WHERE d < GETDATE()"), "postgres", source="mssql").collect()
     assert [f["rule_id"] for f in found] == ["getdate"]
@@ -173,6 +183,27 @@ def test_places_in_a_line_with_very_many_hits(spark):
     assert [f["snippet"] for f in found] == [f"`n{i}`" for i in range(3000)]
 
 
+def test_audit_time_follows_the_hits(spark):
+    """Ten times the matches in ten times the text, on one line and on many: about ten times the work, not a hundred times."""
+    for sep in ("", "\n"):
+        small, large = ("".join(f"`n{i}`, 'lit' {sep}" for i in range(n)) for n in (5_000, 50_000))
+        audit(spark, small, "postgres")
+        took = []
+        for text in (small, large):
+            start = time.perf_counter()
+            found = sc.audit_sql(scripts(spark, text), "postgres").selectExpr("count(*)", "max(line_no)", "sum(length(snippet))").first()
+            took.append(time.perf_counter() - start)
+            n = text.count("`") // 2
+            assert tuple(found) == (n, n if sep else 1, sum(len(f"`n{i}`") for i in range(n)))
+        assert took[1] < 30 * max(took[0], 0.3)
+
+
+def test_snippets_across_pages_and_wide_characters(spark):
+    text = "é" * 250 + "😀 `nämé" + "x" * 40 + "`\n" + "ß" * 700 + " GETDATE ( )"
+    found = audit(spark, text, "postgres")
+    assert [(f["line_no"], f["column_no"], f["snippet"]) for f in found] == [(1, 253, "`nämé" + "x" * 40 + "`"), (2, 702, "GETDATE ( )")]
+
+
 def test_summary_counts_clean_scripts(spark):
     out = sc.audit_summary(scripts(spark, "SELECT 1\n", "SELECT `a`, GETDATE() FROM t LIMIT 10"), "postgres").orderBy("script_id")
     assert [tuple(r) for r in out.collect()] == [(0, 0, 0, 0, 2), (1, 2, 0, 0, 1)]
@@ -210,6 +241,37 @@ def test_rewrite(spark, sql, source, target, want):
     assert rewrite(spark, sql, source, target) == want
 
 
+@pytest.mark.parametrize(
+    ("sql", "source", "target", "want"),
+    [
+        (r"SELECT 'it\'s IFNULL(', IFNULL(a, 1) FROM `t`", "mysql", "postgres", r"""SELECT 'it\'s IFNULL(', COALESCE(a, 1) FROM "t" """[:-1]),
+        (r"INSERT INTO t VALUES ('x\'; y'); SELECT NVL(a, b)", "mariadb", "postgres", "INSERT INTO t VALUES ('x\\'; y');\n SELECT COALESCE(a, b)"),
+        ("SELECT * INTO #tmp FROM [a b] WHERE d < GETDATE(); SELECT TOP 3 x FROM #tmp", "mssql", "mysql", "SELECT * INTO #tmp FROM `a b` WHERE d < NOW();\n SELECT x FROM #tmp LIMIT 3"),
+        ("SELECT [TOP 4], [GETDATE()], [a]]b] FROM [q`r]", "mssql", "mysql", "SELECT `TOP 4`, `GETDATE()`, `a]b` FROM `q``r`"),
+        ("SELECT `NVL(`, `a``b`, `c\"d` FROM t", "mysql", "postgres", 'SELECT "NVL(", "a`b", "c""d" FROM t'),
+        ("SELECT $q$ NVL(`a`) $q$, `b`", "postgres", "mssql", "SELECT $q$ NVL(`a`) $q$, [b]"),
+        ("SELECT NVL(a, 'open", "mysql", "postgres", "SELECT NVL(a, 'open"),
+    ],
+)
+def test_rewrite_by_source(spark, sql, source, target, want):
+    assert rewrite(spark, sql, source, target) == want
+
+
+def test_open_scripts_are_converted_apart(spark):
+    done, rejected = sc.convert_scripts(scripts(spark, "SELECT NVL(a, b)", r"SELECT 'a\'", "/* x"), "mysql", "postgres")
+    assert [r["sql"] for r in done.collect()] == ["SELECT COALESCE(a, b)"]
+    assert [(r["script_id"], bool(r["reason"])) for r in rejected.orderBy("script_id").collect()] == [(1, True), (2, True)]
+    counts = sc.rewrite_changes(scripts(spark, "SELECT `a`, NVL(`b`, 'NVL(')", "NVL( 'x"), "mysql", "postgres").orderBy("script_id").collect()
+    assert [tuple(r) for r in counts] == [(0, 0, 0, 1, 2), (1, 0, 0, 0, 0)]
+
+
+def test_classes_by_source(spark):
+    df = spark.createDataFrame([("# note\nINSERT INTO t VALUES (1)",), ("#tmp",)], "statement string")
+    assert [r["class"] for r in sc.classify_statements(df, source="mysql").collect()] == ["insert", "other"]
+    df = spark.createDataFrame([("INSERT INTO #tmp VALUES (1)",)], "statement string")
+    assert sc.classify_statements(df, source="mssql").first()["class"] == "insert"
+
+
 def test_rewrite_leaves_literals_and_comments(spark):
     sql = "SELECT s FROM ship -- NVL(p, q)\nWHERE sign IN ('TOP 4', \"GETDATE()\");"
     assert rewrite(spark, sql, "mssql", "mysql") == sql
