@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,8 +59,11 @@ def pair_rows(
 ) -> DataFrame:
     """Key columns, ``in_src``, ``in_tgt`` and ``s_<col>``/``t_<col>`` for every row of either side.
 
-    ``unique_keys=True`` (a declared primary or unique key on both sides) needs
-    one full outer join. Otherwise repeated keys are expected: the last target
+    ``unique_keys=True`` (a declared primary or unique key on both sides) stacks the
+    two sides and groups them by key once: each side's rows are counted and one row
+    kept, combined before the shuffle, so a key that repeats after all neither
+    multiplies nor meets in one task, and shows in ``in_src_rows`` and
+    ``in_tgt_rows``. Otherwise repeated keys are expected: the last target
     row per key is kept, each source row is checked on its own, and the two
     joins can have a hot source key split by adaptive execution.
     Rows with a NULL key are left out; see ``null_key_rows``.
@@ -65,6 +71,8 @@ def pair_rows(
     cols = common_columns(src, tgt, keys) if compare is None else compare
     src_keys, tgt_keys = _join_keys(src, tgt, keys)
     joined = [f"_k{i}" for i in range(len(keys))]
+    if unique_keys:
+        return _stacked_pairs(src, tgt, keys, cols).filter(_not_null(keys))
     s = src.filter(_not_null(keys)).select(
         *[k.alias(j) for k, j in zip(src_keys, joined)],
         *[F.col(k).alias(f"_s_{k}") for k in keys],
@@ -72,6 +80,8 @@ def pair_rows(
         F.lit(True).alias("in_src"),
     )
     extra_order = [c for c in (order or []) if c not in keys]
+    if not extra_order:
+        raise ValueError("keys that may repeat need an order that says which row is the later one")
     t = tgt.filter(_not_null(keys)).select(
         *[k.alias(j) for k, j in zip(tgt_keys, joined)],
         *[F.col(k).alias(f"_t_{k}") for k in keys],
@@ -79,16 +89,10 @@ def pair_rows(
         *[F.col(c).alias(f"_o_{c}") for c in extra_order],
         F.lit(True).alias("in_tgt"),
     )
-    if unique_keys:
-        both = s.join(t, joined, "full_outer")
-    else:
-        if not extra_order:
-            raise ValueError("keys that may repeat need an order that says which row is the later one")
-        ordering = [f"_o_{c}" for c in extra_order]
-        t = last_per_key(t, joined, ordering)
-        found = s.join(t, joined, "left_outer")
-        alone = t.join(s.select(*joined).distinct(), joined, "left_anti")
-        both = found.unionByName(alone, allowMissingColumns=True)
+    t = last_per_key(t, joined, [f"_o_{c}" for c in extra_order])
+    found = s.join(t, joined, "left_outer")
+    alone = t.join(s.select(*joined).distinct(), joined, "left_anti")
+    both = found.unionByName(alone, allowMissingColumns=True)
     return both.select(
         *[F.coalesce(F.col(f"_s_{k}"), F.col(f"_t_{k}").cast(src.schema[k].dataType)).alias(k) for k in keys],
         F.coalesce(F.col("in_src"), F.lit(False)).alias("in_src"),
@@ -98,6 +102,31 @@ def pair_rows(
     )
 
 
+def _stacked_pairs(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Both sides in one grouping by key: how many rows each has, and one row of each. NULL in a key is a key here."""
+    src_keys, tgt_keys = _join_keys(src, tgt, keys)
+    joined = [f"_k{i}" for i in range(len(keys))]
+
+    def side(df: DataFrame, own_keys: list[Column], is_src: bool) -> DataFrame:
+        row = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+        ones = [F.lit(int(x)).cast("bigint").alias(n) for n, x in (("_in_s", is_src), ("_in_t", not is_src))]
+        return df.select(*[k.alias(j) for k, j in zip(own_keys, joined)], row.alias("_s" if is_src else "_t"), *ones)
+
+    stacked = side(src, src_keys, True).unionByName(side(tgt, tgt_keys, False), allowMissingColumns=True)
+    met = stacked.groupBy(*joined).agg(
+        F.sum("_in_s").alias("in_src_rows"), F.sum("_in_t").alias("in_tgt_rows"), F.first("_s", ignorenulls=True).alias("_s"), F.first("_t", ignorenulls=True).alias("_t")
+    )
+    return met.select(
+        *[F.coalesce(F.col(f"_s.k{i}"), F.col(f"_t.k{i}").cast(src.schema[k].dataType)).alias(k) for i, k in enumerate(keys)],
+        (F.col("in_src_rows") > 0).alias("in_src"),
+        (F.col("in_tgt_rows") > 0).alias("in_tgt"),
+        *[F.col(f"_s.c{i}").alias(f"s_{c}") for i, c in enumerate(cols)],
+        *[F.col(f"_t.c{i}").alias(f"t_{c}") for i, c in enumerate(cols)],
+        "in_src_rows",
+        "in_tgt_rows",
+    )
+
+
 def compared_columns(pairs: DataFrame) -> list[str]:
     return [c[2:] for c in pairs.columns if c.startswith("s_") and f"t_{c[2:]}" in pairs.columns]
 
@@ -108,15 +137,20 @@ def _same(pairs: DataFrame, c: str, tol: float) -> Column:
 
 
 def row_status(pairs: DataFrame, tol: float = TOLERANCE) -> Column:
-    """same, changed, missing (not in target) or extra (not in source)."""
+    """same, changed, missing (not in target), extra (not in source), or repeated: a declared key on several rows of a side."""
     all_same = F.lit(True)
     for c in compared_columns(pairs):
         all_same = all_same & _same(pairs, c, tol)
     return (
-        F.when(~F.col("in_tgt"), "missing").when(~F.col("in_src"), "extra").when(all_same, "same").otherwise("changed")
+        F.when(_repeats(pairs), "repeated").when(~F.col("in_tgt"), "missing").when(~F.col("in_src"), "extra").when(all_same, "same").otherwise("changed")
     )
 
 
+def _repeats(pairs: DataFrame) -> Column:
+    counted = {"in_src_rows", "in_tgt_rows"} <= set(pairs.columns)
+    return (F.col("in_src_rows") > 1) | (F.col("in_tgt_rows") > 1) if counted else F.lit(False)
+
+
 def reconcile(
     src: DataFrame,
     tgt: DataFrame,
@@ -126,7 +160,7 @@ def reconcile(
     unique_keys: bool = False,
     order: list[str] | None = None,
 ) -> DataFrame:
-    """One status per aligned row, over every row of both tables."""
+    """One status per aligned row, over every row of both tables; one per key where ``unique_keys`` is declared."""
     pairs = pair_rows(src, tgt, keys, compare, unique_keys, order)
     return pairs.select(*keys, row_status(pairs, tol).alias("status"))
 
@@ -145,7 +179,10 @@ def extra_rows(src: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def field_diffs(pairs: DataFrame, tol: float = TOLERANCE, keys: list[str] | None = None) -> DataFrame:
-    """One row per differing field of rows present on both sides, values shortened for reading."""
+    """One row per differing field of rows present on both sides, values shortened for reading.
+
+    A declared key that repeats names no single pair of rows, so its fields are not compared.
+    """
     keys = keys or [c for c in pairs.columns if not c.startswith(("s_", "t_", "in_"))]
     entries = []
     for c in compared_columns(pairs):
@@ -162,7 +199,7 @@ def field_diffs(pairs: DataFrame, tol: float = TOLERANCE, keys: list[str] | None
         )
     if not entries:
         raise ValueError("the tables share no column besides the key")
-    both = pairs.filter(F.col("in_src") & F.col("in_tgt"))
+    both = pairs.filter(F.col("in_src") & F.col("in_tgt") & ~_repeats(pairs))
     return both.select(*keys, F.explode(F.array_compact(F.array(*entries))).alias("d")).select(*keys, "d.*")
 
 
@@ -282,7 +319,9 @@ def table_facts(
             F.lit(name).alias("table_name"), F.lit(True).alias("target_exists"), *FACTS[1:6],
             *[zero.alias(c) for c in FACTS[6:8]], none.alias("error"),
         )
-    pairs = pair_rows(src, tgt, keys, None, unique_keys, order)
+    if unique_keys:
+        return _declared_key_facts(name, src, tgt, keys, tol)
+    pairs = pair_rows(src, tgt, keys, None, False, order)
     seen = pairs.select("in_src", "in_tgt", row_status(pairs, tol).alias("status"), F.lit(False).alias("null_src"), F.lit(False).alias("null_tgt"))
 
     def unkeyed(df: DataFrame, is_src: bool) -> DataFrame:
@@ -291,22 +330,40 @@ def table_facts(
         )
 
     stacked = seen.unionAll(unkeyed(src, True)).unionAll(unkeyed(tgt, False))
-    target_total = F.count_if("in_tgt")
     out = stacked.agg(
         F.count_if("in_src").alias("source_rows"),
-        target_total.alias("target_rows"),
         F.count_if(F.col("status").isin("same", "changed")).alias("compared_rows"),
         F.count_if(F.col("status") == "missing").alias("missing_rows"),
         F.count_if(F.col("status") == "extra").alias("extra_rows"),
         F.count_if(F.col("status") == "changed").alias("changed_rows"),
         F.count_if("null_src").alias("null_key_rows"),
-    ).select(
-        F.lit(name).alias("table_name"), F.lit(True).alias("target_exists"), *FACTS[1:8], none.alias("error")
-    )
-    if unique_keys:
-        return out
+    ).select(F.lit(name).alias("table_name"), F.lit(True).alias("target_exists"), "*", none.alias("error"))
     total = tgt.agg(F.count("*").alias("target_rows")).select(F.lit(name).alias("table_name"), "target_rows")
-    return out.drop("target_rows").join(total, "table_name").select("table_name", *FACTS)
+    return out.join(total, "table_name").select("table_name", *FACTS)
+
+
+def _declared_key_facts(name: str, src: DataFrame, tgt: DataFrame, keys: list[str], tol: float) -> DataFrame:
+    """Counts of one table under a declared key, all from one grouping; keys that repeat make the row an error."""
+    pairs = _stacked_pairs(src, tgt, keys, common_columns(src, tgt, keys))
+    status, keyed = F.col("status"), F.col("keyed")
+    seen = pairs.select("in_src_rows", "in_tgt_rows", _not_null(keys).alias("keyed"), row_status(pairs, tol).alias("status"))
+    total = lambda c, when=F.lit(True): F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("bigint")
+    counted = seen.agg(
+        total("in_src_rows").alias("source_rows"),
+        total("in_tgt_rows").alias("target_rows"),
+        F.count_if(keyed & status.isin("same", "changed")).alias("compared_rows"),
+        *[F.count_if(keyed & (status == s)).alias(f"{s}_rows") for s in ("missing", "extra", "changed")],
+        total("in_src_rows", ~keyed).alias("null_key_rows"),
+        F.count_if(keyed & (F.col("in_src_rows") > 1)).alias("_in_s"),
+        F.count_if(keyed & (F.col("in_tgt_rows") > 1)).alias("_in_t"),
+    )
+    said = [F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" keys repeat in the {side}"))) for c, side in (("_in_s", "source"), ("_in_t", "target"))]
+    error = F.nullif(F.concat_ws("; ", *said), F.lit(""))
+    facts = counted.withColumn("error", error)
+    return facts.select(
+        F.lit(name).alias("table_name"), F.lit(True).alias("target_exists"),
+        *[F.when(F.col("error").isNull(), F.col(c)).otherwise(0).cast("bigint").alias(c) for c in FACTS[1:8]], "error",
+    )
 
 
 VERDICT = (
@@ -320,23 +377,44 @@ def validate_tables(spark: SparkSession, tables: dict[str, tuple]) -> DataFrame:
 
     ``order`` may be left out where keys are unique.
 
-    Tables are judged one after the other, so one that fails gets the verdict
-    ``error`` and the others go on. A declared key that repeats on either side is
-    such an error, as its rows could not be aligned one to one.
+    All tables are judged in one job. If it fails for a reason that lies in the data
+    or the tables, they are judged one after the other, so that one that fails gets
+    the verdict ``error`` and the others go on; lost executors, memory and other
+    failures of the cluster are raised. A declared key that repeats on either side is
+    an error of its table too, as its rows could not be aligned one to one.
     """
-    rows = []
+    rows: dict[int, tuple] = {}
+    planned: dict[int, DataFrame] = {}
+
+    def failed(i: int, e: Exception) -> None:
+        name, (_, tgt, *_) = list(tables.items())[i]
+        rows[i] = (name, tgt is not None, *[0] * 7, str(e).splitlines()[0], i)
+
     for i, (name, (src, tgt, keys, unique, *order)) in enumerate(tables.items()):
         try:
-            if tgt is not None and keys and unique:
-                for side, df in (("source", src), ("target", tgt)):
-                    n = repeated_keys(df, keys).count()
-                    if n:
-                        raise ValueError(f"{n} keys repeat in the {side}")
-            found = table_facts(name, src, tgt, keys, unique_keys=unique, order=order[0] if order else None).first()  # one row of counts
-            rows.append((*found, i))
-        except Exception as e:
-            rows.append((name, tgt is not None, *[0] * 7, str(e).splitlines()[0], i))
-    return table_status(spark.createDataFrame(rows, VERDICT))
+            planned[i] = table_facts(name, src, tgt, keys, unique_keys=unique, order=order[0] if order else None).withColumn("table_no", F.lit(i))
+        except (AnalysisException, ValueError) as e:
+            failed(i, e)
+    try:
+        if planned:
+            rows |= {r["table_no"]: tuple(r) for r in reduce(DataFrame.unionByName, planned.values()).collect()}  # one row a table
+    except PySparkException as whole:
+        if not _lies_in_the_data(whole):
+            raise
+        for i, facts in planned.items():
+            try:
+                rows[i] = tuple(facts.first())
+            except PySparkException as e:
+                if not _lies_in_the_data(e):
+                    raise
+                failed(i, e)
+    return table_status(spark.createDataFrame([rows[i] for i in sorted(rows)], VERDICT))
+
+
+def _lies_in_the_data(e: PySparkException) -> bool:
+    """An error with a SQL state that is not one of the engine's own: a value, a file or a name, not a lost machine."""
+    state = e.getSqlState()
+    return isinstance(e, AnalysisException) or bool(state) and not state.startswith(("XX", "53", "58"))
 
 
 def validate_report(verdicts: DataFrame) -> DataFrame:
