@@ -109,7 +109,11 @@ def join(parts: Column) -> Column:
 
 def mask_literals(sql: Column, family: str | None = None) -> Column:
     """The text with literals and comments blanked, same length, line breaks kept."""
-    blank = lambda t: F.when(is_code(t, family), t).otherwise(F.regexp_replace(t, r"[^\n]", " "))
+
+    def blank(t: Column) -> Column:
+        lines = F.array_join(F.transform(F.split(t, "\n"), lambda s: F.repeat(F.lit(" "), F.char_length(s))), "\n")
+        return F.when(is_code(t, family), t).when(F.contains(t, F.lit("\n")), lines).otherwise(F.repeat(F.lit(" "), F.char_length(t)))
+
     return join(F.transform(tokens(sql, family), blank))
 
 

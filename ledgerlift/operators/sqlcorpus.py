@@ -16,6 +16,7 @@ from ledgerlift.functions.values import sql_text
 from ledgerlift.operators import fixed_rules as fr
 from ledgerlift.operators import fixed_types as fx
 from ledgerlift.operators.typemap import split_lines
+from ledgerlift.session import spread
 
 ADVICE = dict(split_lines(fr.ADVICE))
 FAMILIES = {"mysql": fx.MYSQL_FAMILY, "postgres": fx.POSTGRES_FAMILY}
@@ -23,6 +24,7 @@ MOVE = "struct<chars:int,breaks:int,tail:int>"
 HIT = f"struct<at:{MOVE},hit_len:int>"
 CHUNK = 64  # matches laid out at a time
 PAGE = 256  # characters of a page of the written text
+FEW_HITS = 16  # up to so many snippets are cut from the text itself
 
 
 def family_of(source: str | None) -> str | None:
@@ -89,7 +91,7 @@ def _hits(code: Column, pattern: Column) -> Column:
         return F.transform(moves, lambda m: F.struct(m["gap"].alias("gap"), m["hit"].alias("hit"), _then(m["gap"], m["hit"]).alias("both")))
 
     def place(all_steps: Column) -> Column:
-        firsts = F.sequence(F.lit(1), F.size(all_steps), F.lit(CHUNK))
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(all_steps), F.lit(1)), F.lit(CHUNK))
         chunks = F.transform(firsts, lambda i: F.slice(all_steps, i, F.lit(CHUNK)))
         whole = F.transform(chunks, lambda c: F.aggregate(c, _start(), lambda at, x: _then(at, x["both"])))
         wide = F.transform(whole, lambda w: F.struct(_start().alias("gap"), w.alias("hit"), w.alias("both")))
@@ -103,17 +105,18 @@ def _snippets(written: Column, found: Column) -> Column:
     kept = ("rule_id", "category", "severity", "suggestion")
 
     def cut(pages: Column, f: Column) -> Column:
-        page = F.floor(f["hit"]["at"]["chars"] / PAGE).cast("int")
+        at, n = f["hit"]["at"]["chars"], f["hit"]["hit_len"]
+        page = F.floor(at / PAGE).cast("int")
         near = F.concat(F.get(pages, page), F.coalesce(F.get(pages, page + 1), F.lit("")))
-        n = f["hit"]["hit_len"]
-        shown = F.substring(near, f["hit"]["at"]["chars"] % PAGE + 1, F.when(n > fr.SNIPPET_LIMIT, fr.SNIPPET_KEEP).otherwise(n))
+        shown_len = F.when(n > fr.SNIPPET_LIMIT, fr.SNIPPET_KEEP).otherwise(n)
+        shown = F.when(pages.isNull(), F.substring(written, at + 1, shown_len)).otherwise(F.substring(near, at % PAGE + 1, shown_len))
         return F.struct(
             (f["hit"]["at"]["breaks"] + 1).alias("line_no"), (f["hit"]["at"]["tail"] + 1).alias("column_no"), *[f[k].alias(k) for k in kept],
             F.trim(F.when(n > fr.SNIPPET_LIMIT, F.concat(shown, F.lit("..."))).otherwise(shown)).alias("snippet"),
         )
 
     pages = F.regexp_extract_all(written, F.lit(rf"[\s\S]{{1,{PAGE}}}"), F.lit(0))
-    return let(found, lambda all_found: let(F.when(F.size(all_found) > 0, pages), lambda p: F.transform(all_found, lambda f: cut(p, f))))
+    return let(found, lambda hits: let(F.when(F.size(hits) > FEW_HITS, pages), lambda p: F.transform(hits, lambda f: cut(p, f))))
 
 
 def _rules(target: str) -> Column:
@@ -125,9 +128,9 @@ def _rules(target: str) -> Column:
     return F.expr(sql_text(facts))
 
 
-def _matching(rules: Column, code: Column) -> Column:
-    """Rules whose keyword is in the code (a cheap look) and whose pattern then matches."""
-    return F.filter(rules, lambda r: F.exists(r["words"], lambda w: F.contains(code, w)) & F.rlike(code, r["pattern"]))
+def _possible(rules: Column, code: Column) -> Column:
+    """Rules whose keyword is in the code, a cheap look before a pattern is tried."""
+    return F.filter(rules, lambda r: F.exists(r["words"], lambda w: F.contains(code, w)))
 
 
 def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool = False, source: str | None = None) -> DataFrame:
@@ -145,11 +148,11 @@ def audit_sql(df: DataFrame, target: str, text: str = "sql", keep_clean: bool =
         return F.transform(_hits(code, r["pattern"]), lambda h: F.struct(*facts, h.alias("hit")))
 
     keep = [c for c in df.columns if c != text]
-    masked = df.select(*keep, F.col(text).alias("_written"), _masked(text, source).alias("_code"))
-    found = _snippets(F.col("_written"), F.flatten(F.transform(_matching(_rules(target), code), findings)))
-    spread = F.explode_outer(found) if keep_clean else F.explode(found)
+    masked = spread(df).select(*keep, F.col(text).alias("_written"), _masked(text, source).alias("_code"))
+    found = _snippets(F.col("_written"), F.flatten(F.transform(_possible(_rules(target), code), findings)))
+    each = F.explode_outer(found) if keep_clean else F.explode(found)
     shown = ("line_no", "column_no", "rule_id", "category", "severity", "snippet", "suggestion")
-    return masked.select(*keep, spread.alias("_f")).select(*keep, *[F.col(f"_f.{n}").alias(n) for n in shown])
+    return masked.select(*keep, each.alias("_f")).select(*keep, *[F.col(f"_f.{n}").alias(n) for n in shown])
 
 
 def _masked(text: str, source: str | None) -> Column:
@@ -163,8 +166,8 @@ def _count_hits(pattern: str):
 def rule_match(df: DataFrame, target: str, text: str = "sql", source: str | None = None) -> DataFrame:
     """Scripts and the rules that hit their code at least once."""
     keep = [c for c in df.columns if c != text]
-    rows = df.select(*keep, _masked(text, source).alias("_code"))
-    hit = F.transform(_matching(_rules(target), F.col("_code")), lambda r: r["rule_id"])
+    rows = spread(df).select(*keep, _masked(text, source).alias("_code"))
+    hit = F.transform(F.filter(_possible(_rules(target), F.col("_code")), lambda r: F.rlike("_code", r["pattern"])), lambda r: r["rule_id"])
     return rows.select(*keep, F.explode(F.array_distinct(hit)).alias("rule_id"))
 
 
@@ -177,15 +180,15 @@ def audit_summary(df: DataFrame, target: str, key: str = "script_id", text: str
         return let(F.regexp_count("_code", r["pattern"]), lambda n: F.struct(*[(total[s] + F.when(r["severity"] == s, n).otherwise(0)).alias(s) for s in levels]))
 
     lines = (F.char_length(text) - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    rows = df.select(key, lines.alias("_lines"), _masked(text, source).alias("_code"))
-    counted = rows.select(key, "_lines", F.aggregate(_matching(_rules(target), F.col("_code")), zero, add).alias("_n"))
+    rows = spread(df).select(key, lines.alias("_lines"), _masked(text, source).alias("_code"))
+    counted = rows.select(key, "_lines", F.aggregate(_possible(_rules(target), F.col("_code")), zero, add).alias("_n"))
     return counted.groupBy(key).agg(*[F.coalesce(F.sum(f"_n.{s}"), F.lit(0)).alias(f"{s}s") for s in levels], F.max("_lines").alias("total_lines"))
 
 
 def explode_statements(df: DataFrame, text: str = "sql", source: str | None = None) -> DataFrame:
     """One row per statement, numbered in script order; blank pieces are left out."""
     keep = [c for c in df.columns if c != text]
-    cut = df.select(*keep, F.posexplode(split_statements(F.col(text), family_of(source))).alias("_i", "_s"))
+    cut = spread(df).select(*keep, F.posexplode(split_statements(F.col(text), family_of(source))).alias("_i", "_s"))
     return cut.select(*keep, (F.col("_i") + 1).alias("statement_no"), strip_white(F.col("_s")).alias("statement")).filter(F.col("statement") != "")
 
 
@@ -323,7 +326,7 @@ def rewrite_sql(df: DataFrame, source: str, target: str, text: str = "sql") -> D
     unfinished = strip_white(F.element_at("_p", -1)) != ""
     kept = F.when(unfinished, F.col("_p")).otherwise(F.slice("_p", F.lit(1), F.size("_p") - 1))
     out = F.array_join(F.transform(kept, lambda s: rewrite_statement(s, source, target)), ";\n")
-    cut = df.withColumn("_p", F.when(~ends_open(sql, family_of(source)), split_statements(sql, family_of(source))))
+    cut = spread(df).withColumn("_p", F.when(~ends_open(sql, family_of(source)), split_statements(sql, family_of(source))))
     closed = F.when(F.rtrim(sql, F.lit(" \t\r\n")).endswith(";"), F.concat(out, F.lit(";"))).otherwise(out)
     return cut.select(*[F.when(sql.rlike(r"\S") & F.col("_p").isNotNull(), closed).otherwise(sql).alias(c) if c == text else F.col(c) for c in df.columns])
 
@@ -342,7 +345,7 @@ def rewrite_changes(df: DataFrame, source: str, target: str, text: str = "sql")
     zero, family = F.lit(0), family_of(source)
     totals = {n: zero for n in names}
     parts = F.transform(split_statements(F.col(text), family), lambda s: tokens(s, family))
-    closed = df.select(*keep, F.when(ends_open(F.col(text), family), F.array().cast("array<array<string>>")).otherwise(parts).alias("_parts"))
+    closed = spread(df).select(*keep, F.when(ends_open(F.col(text), family), F.array().cast("array<array<string>>")).otherwise(parts).alias("_parts"))
     rows = closed.select(*keep, "_parts", F.transform("_parts", lambda p: _plain_code(p, family)).alias("_code"))
     if source == "mssql" and target != "mssql":
         single = F.filter(

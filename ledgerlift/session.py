@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlift") -> SparkSession:
@@ -59,3 +59,16 @@ def work_dir(spark: SparkSession, label: str) -> str:
 def default_buckets(spark: SparkSession) -> int:
     """How many ranges to cut a table into so that every core has work."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for work that is long per row.
+
+    A table of one file with one row group is one task. Only an input that comes from
+    its files in fewer tasks than there are cores is dealt out anew; a larger one, or
+    one that has been shuffled already, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
