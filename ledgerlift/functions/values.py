@@ -74,6 +74,17 @@ def is_json(c: Column) -> Column:
     return F.coalesce(in_list & in_object, F.lit(False))
 
 
+def parse_whole(c: Column, kind: str) -> Column:
+    """The text as one JSON value of type ``kind``, in one parse; NULL if it is not one, or if text goes on behind it.
+
+    The value is parsed as a field whose neighbour repeats the text's own hash, so a
+    text that closes the field itself does not have the neighbour where it belongs.
+    """
+    mark = F.xxhash64(c)
+    framed = F.concat(F.lit('{"v":'), c, F.lit('\n,"s":'), mark.cast("string"), F.lit("}"))
+    return let(F.from_json(framed, f"struct<v:{kind},s:bigint>"), lambda x: F.when(x["s"] == mark, x["v"]))
+
+
 def preview_value(c: Column, t: T.DataType | None = None) -> Column:
     """Short text for a report: NULL, a byte count, or the value cut to 50 characters."""
     if isinstance(t, T.BinaryType):

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlift.functions.values import decode_binary, is_json
+from ledgerlift.functions.values import decode_binary, is_json, let, parse_whole
+from ledgerlift.session import spread
 
 ID = "_id"
 SPARK_OF = {
@@ -19,6 +20,11 @@ def _is_object(c: Column) -> Column:
     return is_json(c) & F.coalesce(F.ltrim(c, F.lit(" \t\r\n")).startswith("{"), F.lit(False))
 
 
+def _whole(c: Column, kind: str) -> Column:
+    """A document in one parse. Only texts that this finds odd are looked at again, by the rule that rejects go by."""
+    return F.coalesce(parse_whole(c, kind), F.when(_is_object(c), F.from_json(c, kind)))
+
+
 def document_rejects(df: DataFrame, json_col: str) -> DataFrame:
     """Rows that hold no document, with the reason: missing, broken (not JSON, or text behind it) or not an object."""
     c = F.col(json_col)
@@ -35,9 +41,8 @@ def infer_document_schema(df: DataFrame, json_col: str, sample: int | None = Non
     fractions, any other mix to text; objects are JSON, arrays TEXT.
     """
     docs = df.select(json_col) if sample is None else df.select(json_col).limit(sample)
-    fields = F.from_json(json_col, "map<string,variant>")
-    listed = docs.filter(_is_object(F.col(json_col))).select(F.explode(fields).alias("field", "value"))
-    kind = F.regexp_extract(F.schema_of_variant("value"), r"^\w+", 0)
+    listed = spread(docs).select(F.explode(_whole(F.col(json_col), "map<string,variant>")).alias("field", "value"))
+    kind = F.substring_index(F.substring_index(F.schema_of_variant("value"), "<", 1), "(", 1)
     seen = listed.select("field", kind.alias("kind")).groupBy("field").agg(F.collect_set("kind").alias("kinds"))
     kinds = F.array_remove(F.coalesce("kinds", F.array()), "VOID")
 
@@ -78,7 +83,9 @@ def read_documents(df: DataFrame, json_col: str, fields: dict[str, str]) -> Data
             return F.coalesce(F.try_variant_get(c, "$", "string"), F.to_json(c)).alias(f)
         return c.alias(f)
 
-    parsed = df.filter(_is_object(F.col(json_col))).select(*kept, F.from_json(json_col, schema).alias("_doc"))
+    # A generator that gives one row or none: the parse is neither pushed into a filter nor repeated per field.
+    found = F.explode(let(_whole(F.col(json_col), schema.simpleString()), lambda v: F.when(v.isNotNull(), F.array(v))))
+    parsed = spread(df).select(*kept, found.alias("_doc"))
     return parsed.select(*kept, *[shown(f, t) for f, t in fields.items()])
 
 

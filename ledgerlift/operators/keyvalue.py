@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.functions.values import is_json
+from ledgerlift.functions.values import let, parse_whole
 from ledgerlift.operators.paging import number_rows
+from ledgerlift.session import spread
 
 DEFAULT_TABLE = "_default"
 
@@ -82,31 +83,30 @@ def explode_keyvalue(df: DataFrame, table: str) -> DataFrame:
     """
     key, kind, value = F.col("key"), F.col("type"), F.col("value")
     rest = F.when(key.contains(":"), F.substring(key, F.instr(key, ":") + 1, F.char_length(key))).otherwise(key)
-    whole_json = F.when(is_json(value), value)  # text that goes on behind a JSON value is no JSON
-    fields = F.from_json(whole_json, "map<string,string>")
-    items = F.from_json(whole_json, "array<string>")
-    scored = F.from_json(whole_json, "array<struct<Score:double,Member:string>>")
     none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
 
     def entry(field: Column, member: Column, score: Column) -> Column:
         return F.struct(field.alias("field"), member.alias("member"), score.alias("score"))
 
-    hash_entries = F.transform(F.map_entries(fields), lambda x: entry(x["key"], x["value"], none_d))
-    item_entries = F.transform(items, lambda x: entry(none_s, x, none_d))
-    zset_entries = F.transform(scored, lambda x: entry(none_s, x["Member"], x["Score"]))
-    filled = F.coalesce(F.size(fields) > 0, F.lit(False)), F.coalesce(F.size(items) > 0, F.lit(False))
-    is_zset = F.coalesce((F.size(scored) > 0) & scored[0]["Member"].isNotNull(), F.lit(False))
+    def parsed(shape: str, entries, otherwise: Column) -> Column:
+        """Entries of a value of that shape, from one parse; the other form if it has none."""
+        return let(parse_whole(value, shape), lambda v: F.when(F.coalesce(F.size(v) > 0, F.lit(False)), entries(v)).otherwise(otherwise))
+
     whole = F.array(entry(none_s, value, none_d))
     entries = (
-        F.when((kind == "hash") & filled[0], hash_entries)
-        .when(kind == "hash", F.array(entry(F.lit("value"), value, none_d)))
-        .when(kind.isin("list", "set") & filled[1], item_entries)
-        .when((kind == "zset") & is_zset, zset_entries)
+        F.when(kind == "hash", parsed("map<string,string>", lambda v: F.transform(F.map_entries(v), lambda x: entry(x["key"], x["value"], none_d)), F.array(entry(F.lit("value"), value, none_d))))
+        .when(kind.isin("list", "set"), parsed("array<string>", lambda v: F.transform(v, lambda x: entry(none_s, x, none_d)), whole))
+        .when(kind == "zset", let(
+            parse_whole(value, "array<struct<Score:double,Member:string>>"),
+            lambda v: F.when(F.coalesce((F.size(v) > 0) & F.get(v, F.lit(0))["Member"].isNotNull(), F.lit(False)), F.transform(v, lambda x: entry(none_s, x["Member"], x["Score"]))),
+        ))
         .otherwise(whole)
-    )
-    stored = F.when((kind == "zset") & ~is_zset, "string").when(kind.isin("hash", "list", "set", "zset"), kind).otherwise("string")
+    )
+    # A sorted set without members in its value is stored whole, as a string.
+    stored = F.when((kind == "zset") & F.col("_e").isNull(), "string").when(kind.isin("hash", "list", "set", "zset"), kind).otherwise("string")
     return (
-        df.filter(F.coalesce(key, F.lit("")) != "")
-        .select(F.concat(F.lit(f"{table}:"), rest).alias("key"), stored.alias("type"), F.posexplode(entries).alias("pos", "e"))
+        spread(df.filter(F.coalesce(key, F.lit("")) != ""))
+        .select(F.concat(F.lit(f"{table}:"), rest).alias("key"), "type", "value", F.explode(F.array(entries)).alias("_e"))
+        .select("key", stored.alias("type"), F.posexplode(F.coalesce("_e", whole)).alias("pos", "e"))
         .select("key", "type", "pos", "e.field", "e.member", "e.score")
     )

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlift.functions.values import literal
 from ledgerlift.session import default_buckets, ensure_checkpoint_dir
 
+SHORT_RANGES = 32_768  # keys that may be read in order at last
+DRAWN_KEYS = 128  # keys that cut the ranges of a round
 PLACE_BITS = 33  # monotonically_increasing_id: row place in the low bits, partition above
 
 
@@ -20,15 +24,112 @@ def keyset_page(df: DataFrame, key: str, last: Any, n: int) -> DataFrame:
     return rows.orderBy(key).limit(n)
 
 
+def _constant(values: tuple, types: list[T.DataType], names: list[str]) -> Column:
+    """A key as a constant struct, which Spark compares field by field, NULL first."""
+    return F.struct(*[literal(v, t).cast(t).alias(n) for v, t, n in zip(values, types, names)])
+
+
+def _key(df: DataFrame, cols: list[str]) -> tuple[Column, Callable[[tuple], Column]]:
+    """The key as one value that Spark compares, and how to write a constant one. NULL in a composite key comes first."""
+    types, names = [df.schema[c].dataType for c in cols], [f"k{i}" for i in range(len(cols))]
+    if len(cols) == 1:
+        return F.col(cols[0]), lambda v: literal(v[0], types[0]).cast(types[0])
+    return F.struct(*[F.col(c).alias(n) for c, n in zip(cols, names)]), lambda v: _constant(v, types, names)
+
+
+def _sorted_keys(keys: Iterable[tuple]) -> list[tuple]:
+    """Different keys in Spark's order: NULL first, NaN last."""
+    return sorted(set(keys), key=lambda k: [(v is not None, v != v, v if v is not None and v == v else 0) for v in k])
+
+
+def _place(key: Column, cuts: list[Column], first: int = 0) -> Column:
+    """2 i between cuts, 2 i + 1 on cut i, by halving."""
+    if not cuts:
+        return F.lit(2 * first)
+    m = len(cuts) // 2
+    return (
+        F.when(key == cuts[m], 2 * (first + m) + 1).when(key < cuts[m], _place(key, cuts[:m], first))
+        .otherwise(_place(key, cuts[m + 1 :], first + m + 1))
+    )
+
+
+def keys_at(df: DataFrame, cols: list[str], ranks: list[int], total: int | None = None, empty: int | None = None) -> dict[int, tuple[tuple, int]]:
+    """The key at each rank (from 1) of the order by ``cols``, and how many rows stand before that key.
+
+    Exact, with nothing sorted, shuffled or written but counts: a few keys drawn at
+    random cut the table into ranges, one pass counts the rows of each, and only the
+    ranges that hold a wanted rank are cut again, all in one pass, until they are
+    short enough together to be read in order. A cut is a range of its own, so a key
+    that repeats without end is an answer too. The driver sees drawn keys, counts and
+    at most SHORT_RANGES keys. ``total`` and ``empty``, the rows and those with a NULL
+    key, are counted unless given. Ranks outside the table are left out; NULL comes first.
+    """
+    key, constant = _key(df, cols)
+    rows = df.select(*cols)
+    total = df.count() if total is None else total
+    found: dict[int, tuple[tuple, int]] = {}
+    before = 0
+    if len(cols) == 1:
+        before = rows.filter(key.isNull()).count() if empty is None else empty
+        found = {r: ((None,), 0) for r in ranks if 1 <= r <= before}
+        rows = rows.filter(key.isNotNull())
+    wanted = sorted({r for r in ranks if before < r <= total})
+    ranges = [(None, None, before, total - before, wanted)] if wanted else []  # after, ahead of, rows before, rows, ranks
+
+    def inside(low: tuple | None, high: tuple | None) -> Column:
+        over = F.lit(True) if low is None else key > constant(low)
+        return over if high is None else over & (key < constant(high))
+
+    while ranges:
+        part = rows.filter(reduce(Column.__or__, [inside(low, high) for low, high, *_ in ranges]))
+        if sum(n for *_, n, _ in ranges) <= SHORT_RANGES:
+            listed, start = [tuple(r) for r in part.orderBy(*cols).collect()], 0
+            for _, _, before, n, own in ranges:
+                mine, start = listed[start : start + n], start + n
+                first = {k: i for i, k in reversed(list(enumerate(mine)))}
+                found |= {r: (mine[r - before - 1], before + first[mine[r - before - 1]]) for r in own}
+            break
+        drawn = [tuple(r) for r in part.orderBy(F.rand(7)).limit(DRAWN_KEYS).collect()]
+        cuts = _sorted_keys(drawn + [e for low, high, *_ in ranges for e in (low, high) if e is not None])
+        place = _place(key, [constant(c) for c in cuts])
+        counts = {r["place"]: r["n"] for r in part.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        at, rest = {c: i for i, c in enumerate(cuts)}, []
+        for low, high, before, _, own in ranges:
+            for i in range(0 if low is None else 2 * at[low] + 2, 2 * len(cuts) + 1 if high is None else 2 * at[high] + 1):
+                size = counts.get(i, 0)
+                here = [r for r in own if before < r <= before + size]
+                if here and i % 2:
+                    found |= {r: (cuts[i // 2], before) for r in here}
+                elif here:
+                    rest.append((cuts[i // 2 - 1] if i else None, cuts[i // 2] if i < 2 * len(cuts) else None, before, size, here))
+                before += size
+        ranges = rest
+    return found
+
+
 def offset_page(df: DataFrame, order_cols: list[str], offset: int, n: int) -> DataFrame:
-    """Rows ``offset+1 .. offset+n`` of a total order.
+    """Rows ``offset+1 .. offset+n`` of the order by ``order_cols``.
 
-    Rows are numbered over ranges, so no task gathers the rows before a deep page;
-    the page itself is the filter on those numbers.
+    The page's two border keys are found by counting; only rows between them are
+    read again, so only the page is sorted. Rows equal in all order columns stand in
+    any order among themselves.
     """
-    number = "_page_row"
-    numbered = number_rows(df, order_cols, number)
-    return numbered.filter((F.col(number) > offset) & (F.col(number) <= offset + n)).drop(number)
+    total = df.count()
+    last = min(offset + n, total)
+    if offset >= total or n < 1:
+        return df.limit(0)
+    ends = keys_at(df, order_cols, [offset + 1, last], total)
+    (low, before), (high, _) = ends[offset + 1], ends[last]
+    key, constant = _key(df, order_cols)
+    page = df
+    if low[0] is not None:
+        lead = df.schema[order_cols[0]].dataType  # alone, the leading column prunes the scan
+        page = page.filter((F.col(order_cols[0]) >= literal(low[0], lead)) & (F.col(order_cols[0]) <= literal(high[0], lead)))
+    if len(order_cols) > 1:
+        page = page.filter((key >= constant(low)) & (key <= constant(high)))
+    elif low[0] is None:
+        page = page.filter(key.isNull() if high[0] is None else key.isNull() | (key <= constant(high)))
+    return page.orderBy(*order_cols).offset(offset - before).limit(n)
 
 
 def incremental_rows(df: DataFrame, key: str, last: Any) -> DataFrame:
@@ -76,24 +177,25 @@ def number_rows(df: DataFrame, order_cols: list[str], name: str = "row_no", part
 
 
 def key_splits(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Exact ``ntile`` ranges of a key: tile, lowest and highest key, row count.
+    """Exact ``ntile`` ranges of a key: tile, lowest and highest key, row count. Tiles without rows are left out.
 
-    The row numbers are distributed, so no task sees the whole table; the tile
-    follows from the row number because ``ntile`` gives the first tiles one row more.
+    ``ntile`` gives the first tiles one row more, so the ranks of all borders are
+    known from the row count, and ``keys_at`` finds their keys without sorting or
+    writing the table. NULL keys stand first and are no border.
     """
-    total = df.count()
+    counted = df.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("filled")).first()
+    total, empty = counted["n"], counted["n"] - counted["filled"]
     small, longer = divmod(total, n)
-    head = longer * (small + 1)
-    rn = F.col("_rn")
-    if small == 0:
-        tile = rn
-    else:
-        tile = F.when(rn <= head, F.ceil(rn / (small + 1))).otherwise(longer + F.ceil((rn - head) / small))
-    return (
-        number_rows(df.select(key), [key], "_rn")
-        .groupBy(tile.cast("int").alias("tile"))
-        .agg(F.min(key).alias("lo_key"), F.max(key).alias("hi_key"), F.count("*").alias("n_rows"))
-    )
+    tiles, last = [], 0
+    for tile in range(1, min(n, total) + 1):
+        size = small + (tile <= longer)
+        tiles.append((tile, max(last + 1, empty + 1), last + size, size))
+        last += size
+    keys = keys_at(df, [key], [r for _, lo, hi, _ in tiles for r in (lo, hi) if lo <= hi], total, empty)
+    rows = [(tile, keys[lo][0][0] if lo <= hi else None, keys[hi][0][0] if lo <= hi else None, size) for tile, lo, hi, size in tiles]
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField("tile", T.IntegerType()), T.StructField("lo_key", kind), T.StructField("hi_key", kind), T.StructField("n_rows", T.LongType())])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def split_predicates(splits: DataFrame, key: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +40,16 @@ def null_key_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row by ``order`` wins. Aggregated map-side first, so a key with very many rows never meets in one task whole."""
+    """The last row by ``order`` wins, NULL before any value; rows equal in it go by their other columns.
+
+    Each task keeps one row a key before the shuffle (a group limit), so a key with very many rows never meets in one task whole.
+    """
     if not order:
         raise ValueError("which row is the later one needs an order")
     rest = [c for c in df.columns if c not in keys]
     lead = order + [c for c in rest if c not in order]
-    newest = F.max(F.struct(*[F.col(c) for c in lead])).alias("_row")
-    return df.groupBy(*keys).agg(newest).select(*[c if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    latest = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in lead])
+    return df.withColumn("_nth", F.row_number().over(latest)).filter("_nth = 1").select(*df.columns)
 
 
 def pair_rows(
