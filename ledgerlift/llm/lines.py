@@ -20,29 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlift.llm import prefixes as px
-from ledgerlift.llm.texts import hash_words, longs, pick, shingles, slices, spare, tick
+from ledgerlift.llm.texts import WordScan, hash_words, longs, pick, shingles, slices, spare, tick
 
 SHINGLE = 5
 SHARE = (4, 5)
 
 
-def _cut(texts: list[bytes | None]) -> tuple[list[list[bytes]], list[int], list[int]]:
-    """Words, owner and number of every line that has a word."""
-    words, owner, number = [], [], []
-    for i, t in enumerate(texts):
-        if t:
-            for j, line in enumerate(t.split(b"\n")):
-                w = line.split()
-                if w:
-                    words.append(w)
-                    owner.append(i)
-                    number.append(j)
-    return words, owner, number
-
-
 def _tokens(k: int):
     def tokens(texts: list[bytes | None]) -> np.ndarray:
-        return shingles(*hash_words(_cut(texts)[0]), k)[0]
+        scan = WordScan(texts)
+        return shingles(scan.hashes(), scan.lines()[0], k)[0]
 
     return tokens
 
@@ -53,16 +40,17 @@ def _describe(k: int, share: tuple[int, int], table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in slices(batch.column(1)):
-                words, owner, number = _cut(texts)
-                tokens, at, of = px.sorted_sets(*shingles(*hash_words(words), k))
+                scan = WordScan(texts)
+                begin, owner, number = scan.lines()
+                tokens, at, of = px.sorted_sets(*shingles(scan.hashes(), begin, k))
                 sizes, names = np.diff(at), px.set_names(tokens, at)
                 prefix, begins, _ = px.rare_prefixes(tokens, at, of, table, share)
-                first = np.zeros(len(words), bool)
+                first = np.zeros(len(owner), bool)
                 first[np.unique(names, return_index=True)[1]] = True
                 first &= sizes > 1  # a set of one token is similar to equal sets only
-                rows = pa.array(np.array(owner, np.int64) + start)
+                rows = pa.array(owner + start)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(number, pa.int32()), longs(names), pa.array(sizes, pa.int32()), px.lists_of(prefix, begins, first)],
+                    [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(number.astype(np.int32)), longs(names), pa.array(sizes, pa.int32()), px.lists_of(prefix, begins, first)],
                     ["doc_id", "row", "line", "class", "n", "prefix"],
                 )
 

@@ -139,6 +139,70 @@ def hash_words(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, starts
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SCAN_BYTES = 1 << 18  # bytes hashed at a time
+LONG_WORD = 256  # longer words are hashed one by one
+
+
+class WordScan:
+    """Words between ASCII white space of texts laid end to end, and their 64-bit hashes, without a Python object per word.
+
+    A word's hash is a polynomial in its bytes modulo 2**64, read off running sums:
+    (sum up to its end - sum up to its start) / base**start. It depends on the word
+    alone. Each text is followed by a line break of its own.
+    """
+
+    base = 0x9E3779B97F4A7C15
+    tables: tuple | None = None
+
+    def __init__(self, texts: list[bytes | None]):
+        self.buffer = np.frombuffer(b"\n".join([*(t or b"" for t in texts), b""]), np.uint8)
+        sizes = np.array([len(t or b"") + 1 for t in texts], np.int64)
+        self.text_ends = np.cumsum(sizes)
+        inside = np.empty(len(self.buffer) + 1, bool)
+        inside[0] = False
+        np.logical_not(_BLANK[self.buffer], out=inside[1:])
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = turns[::2], turns[1::2]  # the last byte is a blank, so every word ends
+
+    @classmethod
+    def _powers(cls) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if cls.tables is None:
+            up, down = np.full(SCAN_BYTES + 1, cls.base, np.uint64), np.full(SCAN_BYTES + 1, pow(cls.base, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+            cls.tables = np.multiply.accumulate(up), np.multiply.accumulate(down), letters
+        return cls.tables
+
+    def hashes(self) -> np.ndarray:
+        up, down, letters = self._powers()
+        out, i = np.zeros(len(self.starts), np.uint64), 0
+        while i < len(self.starts):
+            s = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.ends, s + SCAN_BYTES, side="right")))
+            e = min(int(self.ends[j - 1]), s + SCAN_BYTES)
+            sums = np.zeros(e - s + 1, np.uint64)
+            np.cumsum(letters[self.buffer[s:e]] * up[: e - s], out=sums[1:])
+            first, last = self.starts[i:j] - s, np.minimum(self.ends[i:j] - s, e - s)
+            out[i:j] = (sums[last] - sums[first]) * down[first]
+            i = j
+        lengths = self.ends - self.starts
+        out = mix(out + lengths.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.buffer[self.starts[i] : self.ends[i]].tobytes())
+        return out
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, text and number within it of every line that has a word; one more entry than lines for the words."""
+        breaks = np.flatnonzero(self.buffer == 0x0A)
+        line = np.searchsorted(breaks, self.starts)
+        new = np.flatnonzero(np.diff(line, prepend=-1))
+        line, owner = line[new], np.searchsorted(self.text_ends, self.starts[new], side="right")
+        before = np.concatenate([[0], np.searchsorted(breaks, self.text_ends[:-1])]).astype(np.int64)
+        return np.concatenate([new, [len(self.starts)]]).astype(np.int64), owner, line - before[owner] if len(owner) else line
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits."""
     x = x ^ (x >> np.uint64(30))
