@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlift.llm import prefixes as px
-from ledgerlift.llm.texts import WordScan, hash_words, longs, pick, shingles, slices, spare, tick
+from ledgerlift.llm.texts import WordScan, longs, pick, shingles, slices, spare, tick
 
 SHINGLE = 5
 SHARE = (4, 5)
@@ -80,7 +80,8 @@ def _verify(k: int, share: tuple[int, int]):
             keep = []
             for start, xs in slices(batch.column(2)):
                 ys = batch.column(3).slice(start, len(xs)).cast(pa.large_binary()).to_pylist()
-                tokens, at, _ = px.sorted_sets(*shingles(*hash_words([t.split() for xy in zip(xs, ys, strict=True) for t in xy]), k))
+                scan = WordScan([t for xy in zip(xs, ys, strict=True) for t in xy])
+                tokens, at, _ = px.sorted_sets(*shingles(scan.hashes(), scan.by_text(), k))
                 for i in range(0, 2 * len(xs), 2):
                     m, n = at[i + 1] - at[i], at[i + 2] - at[i + 1]
                     both = len(np.intersect1d(tokens[at[i] : at[i + 1]], tokens[at[i + 1] : at[i + 2]], assume_unique=True))

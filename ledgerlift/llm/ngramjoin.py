@@ -21,17 +21,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlift.llm import prefixes as px
-from ledgerlift.llm.texts import hash_words, longs, pick, shingles, slices, spare, tick, word_lists
+from ledgerlift.llm.texts import WordScan, longs, pick, shingles, slices, spare, tick
 
 SHINGLE = 3
 SHARE = (9, 10)
 
 
-def _tokens(k: int):
-    def tokens(texts: list[bytes | None]) -> np.ndarray:
-        return shingles(*hash_words(word_lists(texts, lower=True)), k)[0]
+def _shingled(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    scan = WordScan([t.lower() if t else t for t in texts])
+    return shingles(scan.hashes(), scan.by_text(), k)
+
 
-    return tokens
+def _tokens(k: int):
+    return lambda texts: _shingled(texts, k)[0]
 
 
 def _describe(k: int, share: tuple[int, int], table: np.ndarray):
@@ -40,7 +42,7 @@ def _describe(k: int, share: tuple[int, int], table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in slices(batch.column(1)):
-                tokens, at, owner = px.sorted_sets(*shingles(*hash_words(word_lists(texts, lower=True)), k))
+                tokens, at, owner = px.sorted_sets(*_shingled(texts, k))
                 sizes, names = np.diff(at), px.set_names(tokens, at)
                 prefix, begins, common = px.rare_prefixes(tokens, at, owner, table, share)
                 groups = np.zeros(len(texts), np.uint64)
@@ -66,7 +68,7 @@ def _verify(k: int, share: tuple[int, int]):
         last: tuple = (None, None)
 
         def of(text: bytes) -> np.ndarray:
-            return np.unique(shingles(*hash_words(word_lists([text], lower=True)), k)[0])
+            return np.unique(_shingled([text], k)[0])
 
         for batch in batches:
             keep = []

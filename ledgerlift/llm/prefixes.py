@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlift.llm.texts import mix, slices
+from ledgerlift.llm.texts import give_back, mix, slices
 from ledgerlift.session import work_dir
 
 TABLE_BITS = 20  # counters of the rarity table, whatever the input's size
@@ -97,10 +97,12 @@ def membership(keys: DataFrame) -> Callable[[pa.Array], pa.Array]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None
         for batch in batches:
-            bits = np.zeros(1 << FILTER_BITS, bool) if bits is None else bits
-            bits[places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))] = True
+            bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8) if bits is None else bits
+            p = places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            np.bitwise_or.at(bits, p >> 3, np.uint8(128) >> (p & 7).astype(np.uint8))
         if bits is not None:
-            yield _chunked(np.packbits(bits))
+            yield _chunked(bits)
+        give_back()
 
     body = np.frombuffer(_fold(keys.mapInArrow(run, "chunk int, slot int, body binary"), np.bitwise_or, np.uint8) or bytes((1 << FILTER_BITS) // 8), np.uint8)
 

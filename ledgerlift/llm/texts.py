@@ -193,6 +193,10 @@ class WordScan:
             out[i] = xxhash.xxh3_64_intdigest(self.buffer[self.starts[i] : self.ends[i]].tobytes())
         return out
 
+    def by_text(self) -> np.ndarray:
+        """First word of every text; one more entry than texts."""
+        return np.searchsorted(self.starts, np.concatenate([[0], self.text_ends])).astype(np.int64)
+
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, text and number within it of every line that has a word; one more entry than lines for the words."""
         breaks = np.flatnonzero(self.buffer == 0x0A)
