@@ -34,8 +34,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def letters(piece: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(piece.lower()) if piece.isascii() else ["".join(c for c in w if c.isalpha()) for w in _WORD.findall(piece.lower())]
+    """Runs of letters, lower-cased. Numeric signs such as fractions are no letters."""
+    words = _WORD.findall(piece.lower())
+    return words if piece.isascii() else [w for w in ("".join(filter(str.isalpha, x)) for x in words) if w]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

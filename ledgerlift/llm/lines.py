@@ -175,22 +175,22 @@ def repeated_lines(docs: DataFrame, doc_id: str, text: str, k: int, share: tuple
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
-    """The documents with all their columns and one more, ``dedup``: n_lines, n_removed and kept (the text left).
+    """The documents with all their columns and a last one, ``dedup``: n_lines, n_removed and kept (the text left).
 
     Lines without words always stay and are not counted. A NULL text stays NULL with
     no lines. Rows equal in doc_id and text keep and lose the same lines; rows that
     share a doc_id are in the order of their hash. A NULL doc_id comes first. Columns
-    of other names stay as they are; ``dedup`` must not be among them.
+    of other names stay as they are; where one is called ``dedup``, the last is ``_dedup``.
 
     Texts that surely lose nothing (by a membership filter of fixed size) are not
     shuffled.
     """
     row, maybe, gone = spare(docs, "__row"), spare(docs, "__maybe"), spare(docs, "__gone")
     lost = repeated_lines(docs, doc_id, text, k, share).toDF(row, gone)
-    drop = _drop_udf()
+    drop, result = _drop_udf(), spare(docs, "dedup")
     names = [F.col(tick(c)) for c in docs.columns]
     marked = docs.withColumn(row, F.xxhash64(F.col(tick(doc_id)), F.col(tick(text))))
     marked = marked.withColumn(maybe, px.membership(lost.select(row))(F.col(row)))
-    touched = marked.where(F.col(maybe)).join(lost, row, "left").select(*names, drop(F.col(tick(text)), F.col(gone)).alias("dedup"))
-    whole = marked.where(~F.col(maybe)).select(*names, drop(F.col(tick(text)), F.lit(None).cast("array<int>")).alias("dedup"))
+    touched = marked.where(F.col(maybe)).join(lost, row, "left").select(*names, drop(F.col(tick(text)), F.col(gone)).alias(result))
+    whole = marked.where(~F.col(maybe)).select(*names, drop(F.col(tick(text)), F.lit(None).cast("array<int>")).alias(result))
     return touched.union(whole)

@@ -276,3 +276,17 @@ def test_language(spark, docs, nothing):
     assert all(r.lang_pred in ("a", "b", "und") and 0 <= r.score <= 1 for r in found.values())
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(nothing.withColumn("lang", F.lit("x"))).count() == 0
+
+
+def test_numeric_signs_are_no_letters(spark):
+    ship(spark)
+    rows = [(i, f"plain words of text number {i}", "en") for i in range(40)] + [(100, "½ ① Ⅷ ²", "en"), (101, "½ plain words", "en")]
+    found = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert (found[100].lang_pred, found[100].accepted, found[101].lang_pred) == ("und", False, "en")
+    assert langid.letters("½ ① Ⅷ") == [] and langid.letters("½ ab Ⅷé") == ["ab", "é"]
+
+
+def test_line_dedup_keeps_a_column_of_its_name(spark, docs):
+    found = lines.dedup_lines(docs.withColumn("dedup", F.lit(7)))
+    assert found.columns == [*docs.columns, "dedup", "_dedup"]
+    same(found.select("dedup", "_dedup.n_lines").collect(), [(7, n) for (n,) in lines.dedup_lines(docs).select("dedup.n_lines").collect()])
