@@ -9,39 +9,51 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlift.llm import bpe, decontam, lines, ngramjoin, quality
 from ledgerlift.llm.prefixes import Workspace
 from ledgerlift.llm.queries import table, vocabulary
-from ledgerlift.llm.texts import ship
+from ledgerlift.llm.texts import ship, tick
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. NULL, empty and short texts fail them and go; repeated rows share a fate; an empty table stays empty."""
     ship(spark)
     return quality.keep_good(docs)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier; n_chars follows. A document with no line left goes."""
+    """Documents without lines that stand earlier; n_chars, if there, follows. A document with no line left goes.
+
+    Texts without words, NULL among them, lose nothing and stay. Rows equal in doc_id
+    and text lose the same lines; other columns, whatever their names, go along.
+    """
     ship(spark)
     found = lines.dedup_lines(docs)
-    left = found.where("dedup.n_removed = 0 OR dedup.n_removed < dedup.n_lines")
-    own = {"text": F.col("dedup.kept"), "n_chars": F.when(F.col("dedup.n_removed") > 0, F.length("dedup.kept").cast("bigint")).otherwise(F.col("n_chars"))}
-    return left.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])
+    result = F.col(tick(found.columns[-1]))
+    left = found.where((result["n_removed"] == 0) | (result["n_removed"] < result["n_lines"]))
+    own = {"text": result["kept"]}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(result["n_removed"] > 0, F.length(result["kept"]).cast("bigint")).otherwise(F.col("n_chars"))
+    return left.select(*[own.get(c, F.col(tick(c))).alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the smallest doc_id, NULL before all, of rows that share it one. Texts without words all stay."""
     ship(spark)
     return ngramjoin.keep_one_of_each(docs)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark. NULL and empty texts, and all texts where the benchmark is empty, stay."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with a checksum of what they decode to."""
+    """Token ids of each document, with a checksum of what they decode to, and its own columns but the text.
+
+    NULL and empty texts have no tokens. A column that has the name of a result is
+    left out; an empty table stays empty.
+    """
     ship(spark)
-    coded = bpe.tokenize(docs, vocabulary(), keep=("lang", "source", "n_chars"))
+    results = ("doc_id", "text", "n_tokens", "ids", "decoded", "decoded_sha256")
+    coded = bpe.tokenize(docs, vocabulary(), keep=tuple(c for c in docs.columns if c not in results))
     return coded.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
 
 
