@@ -18,10 +18,26 @@ DRAWN_KEYS = 128  # keys that cut the ranges of a round
 PLACE_BITS = 33  # monotonically_increasing_id: row place in the low bits, partition above
 
 
-def keyset_page(df: DataFrame, key: str, last: Any, n: int) -> DataFrame:
-    """The ``n`` rows after ``last`` in key order; ``last=None`` gives the first page."""
-    rows = df if last is None else df.filter(F.col(key) > literal(last, df.schema[key].dataType))
-    return rows.orderBy(key).limit(n)
+def keyset_page(df: DataFrame, key: str | list[str], last: Any, n: int) -> DataFrame:
+    """The ``n`` rows after ``last`` in key order; ``last=None`` gives the first page.
+
+    A key of several columns takes ``last`` as a tuple. NULL comes before any value,
+    in each column. A page may end between rows of one key only if keys repeat.
+    """
+    cols = [key] if isinstance(key, str) else key
+    return (df if last is None else rows_after(df, cols, (last,) if isinstance(key, str) else last)).orderBy(*cols).limit(n)
+
+
+def rows_after(df: DataFrame, cols: list[str], last: tuple) -> DataFrame:
+    """Rows strictly after a key in the order by ``cols``, NULL first. The leading column alone prunes the scan."""
+    if len(last) != len(cols):
+        raise ValueError(f"a key of {len(cols)} columns needs as many values")
+    lead, kind = F.col(cols[0]), df.schema[cols[0]].dataType
+    if len(cols) == 1:
+        return df.filter(lead.isNotNull() if last[0] is None else lead > literal(last[0], kind))
+    key, constant = _key(df, cols)
+    pruned = df if last[0] is None else df.filter(lead >= literal(last[0], kind))
+    return pruned.filter(key > constant(last))
 
 
 def _constant(values: tuple, types: list[T.DataType], names: list[str]) -> Column:
@@ -132,16 +148,18 @@ def offset_page(df: DataFrame, order_cols: list[str], offset: int, n: int) -> Da
     return page.orderBy(*order_cols).offset(offset - before).limit(n)
 
 
-def incremental_rows(df: DataFrame, key: str, last: Any) -> DataFrame:
-    """Rows written since the recorded high-water key.
+def incremental_rows(df: DataFrame, key: str | list[str], last: Any) -> DataFrame:
+    """Rows written since the recorded high-water key, which for several columns is a tuple.
 
-    The key filter stays plain, so it prunes the scan. A NULL key could never be
-    resumed past, so such a row is an error; looking for one is a pruned scan too.
+    The filter on the leading column stays plain, so it prunes the scan. A NULL there
+    could never be resumed past, so such a row is an error; looking for one is a
+    pruned scan too. In further columns NULL comes before any value.
     """
-    kind = df.schema[key].dataType
-    fail = F.raise_error(F.lit(f"key {key} is NULL")).cast(kind).alias(key)
-    unkeyed = df.filter(F.col(key).isNull()).select(*[fail if c == key else F.col(c) for c in df.columns])
-    newer = df.filter(F.col(key).isNotNull() if last is None else F.col(key) > literal(last, kind))
+    cols = [key] if isinstance(key, str) else key
+    lead = cols[0]
+    fail = F.raise_error(F.lit(f"key {lead} is NULL")).cast(df.schema[lead].dataType).alias(lead)
+    unkeyed = df.filter(F.col(lead).isNull()).select(*[fail if c == lead else F.col(c) for c in df.columns])
+    newer = df.filter(F.col(lead).isNotNull()) if last is None else rows_after(df, cols, (last,) if isinstance(key, str) else last)
     return newer.unionByName(unkeyed)
 
 

@@ -39,6 +39,25 @@ def keyset_page(spark, sf):
     return pg.keyset_page(read_table(spark, sf, "orders"), "o_orderkey", 500, 100)
 
 
+_LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("keyset_page_composite", f"SELECT {', '.join(d.LINE_COLS)} FROM lineitem WHERE (l_orderkey, l_linenumber, l_partkey, l_suppkey) > (500, 2, 100, 5) ORDER BY {', '.join(_LINE_KEY)} LIMIT 100")
+def keyset_page_composite(spark, sf):
+    return pg.keyset_page(read_table(spark, sf, "lineitem").select(*d.LINE_COLS), _LINE_KEY, (500, 2, 100, 5), 100)
+
+
+@query(
+    "incremental_points",
+    f"""WITH p AS ({d.sql_of('events', d.WIDE_POINTS)}) SELECT * FROM p
+    WHERE tag_user > 'u5' OR tag_user = 'u5' AND time > (SELECT max(ts) FROM events WHERE event_id <= 1000)""",
+)
+def incremental_points(spark, sf):
+    """Points after (tag, time): times that are NULL come first within their tag."""
+    last = read_table(spark, sf, "events").filter("event_id <= 1000").agg(F.max("ts")).first()[0]
+    return pg.incremental_rows(d.derive(spark, sf, "events", d.WIDE_POINTS), ["tag_user", "time"], ("u5", last))
+
+
 @query("offset_page", f"SELECT {ORDER_COLS} FROM orders ORDER BY o_custkey, o_orderkey LIMIT 100 OFFSET 500")
 def offset_page(spark, sf):
     return pg.offset_page(read_table(spark, sf, "orders"), ["o_custkey", "o_orderkey"], 500, 100)
@@ -341,6 +360,24 @@ def last_per_key(spark, sf):
     return rec.last_per_key(lines, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey"])
 
 
+_TWICE = "o_orderkey % 61 = 4"  # keys that stand twice in the source, thrice in the target
+
+
+@query(
+    "reconcile_declared_repeats",
+    f"""WITH rs AS (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE {_TWICE}),
+    rt AS (SELECT * FROM ({d.ORDERS_TGT_SQL}) UNION ALL SELECT * FROM ({d.ORDERS_TGT_SQL}) WHERE {_TWICE} UNION ALL SELECT * FROM ({d.ORDERS_TGT_SQL}) WHERE o_orderkey % 61 IN (4, 5)),
+    {_PAIRS.removeprefix("WITH ")}, n AS (SELECT o_orderkey, count(*) AS n FROM rs GROUP BY ALL), m AS (SELECT o_orderkey, count(*) AS n FROM rt GROUP BY ALL)
+    SELECT o_orderkey, CASE WHEN n.n > 1 OR m.n > 1 THEN 'repeated' ELSE status END AS status FROM st LEFT JOIN n USING (o_orderkey) LEFT JOIN m USING (o_orderkey)""",
+)
+def reconcile_declared_repeats(spark, sf):
+    """A declared key that repeats on either side or both is one row, named as such."""
+    source, target = read_table(spark, sf, "orders"), d.orders_tgt(spark, sf)
+    s = source.unionByName(source.filter(_TWICE))
+    t = target.unionByName(target.filter(_TWICE)).unionByName(target.filter("o_orderkey % 61 IN (4, 5)"))
+    return rec.reconcile(s, t, KEY, unique_keys=True)
+
+
 @query(
     "sample_compare",
     f"""{_PAIRS}, h AS (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000)

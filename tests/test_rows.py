@@ -1,5 +1,6 @@
 """Paging, splits, reconciliation and constraints on small tables with known answers."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -63,6 +64,70 @@ def test_pages_walk_the_whole_table(spark):
     assert [r[0] for r in pg.offset_page(df, ["id"], 20, 10).collect()] == [20, 21, 22]
 
 
+def test_pages_by_several_columns(spark):
+    rows = [(None, 1), (None, 1), (1, None), (1, 2), (1, 3), (2, None), (2, 0), (3, 9)]
+    df, last, seen = spark.createDataFrame(rows, "a int, b int").distinct(), None, []
+    while page := [tuple(r) for r in pg.keyset_page(df, ["a", "b"], last, 3).collect()]:
+        seen, last = seen + page, page[-1]
+    assert seen == [(None, 1), (1, None), (1, 2), (1, 3), (2, None), (2, 0), (3, 9)]
+    with pytest.raises(ValueError, match="as many values"):
+        pg.keyset_page(df, ["a", "b"], (1,), 3)
+    keyed = df.filter("a IS NOT NULL")
+    assert sorted(pg.incremental_rows(keyed, ["a", "b"], (1, 3)).collect(), key=str) == sorted(keyed.filter("a > 1").collect(), key=str)
+    with pytest.raises(Exception, match="key a is NULL"):
+        pg.incremental_rows(df, ["a", "b"], (1, 3)).collect()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_keys_at_any_rank(spark, seed, monkeypatch):
+    """Against a sorted list: repeats, a key that fills a third, NULL and NaN, text, several columns; many rounds."""
+    monkeypatch.setattr(pg, "SHORT_RANGES", 20)
+    monkeypatch.setattr(pg, "DRAWN_KEYS", 5)
+    r = random.Random(seed)
+    ints = [None if r.random() < 0.1 else 7 if r.random() < 0.33 else r.randint(-50, 5000) for _ in range(700)]
+    rows = [(i, r.choice("abü") + str(r.randint(0, 300)), r.choice([0.5, float("nan"), float(r.randint(0, 400))])) for i in ints]
+    df = spark.createDataFrame(rows, "i int, s string, d double").repartition(4)
+    for cols in (["i"], ["s"], ["d"], ["i", "s"], ["s", "d"]):
+        listed = [tuple(x) for x in df.select(*cols).orderBy(*cols).collect()]
+        found = pg.keys_at(df, cols, [-1, 0, 1, 2, 350, 351, 699, 700, 701])
+        assert sorted(found) == [1, 2, 350, 351, 699, 700]
+        for rank, (key, before) in found.items():
+            assert repr(key) == repr(listed[rank - 1]) and before == next(i for i, k in enumerate(listed) if repr(k) == repr(key))
+
+
+def test_pages_and_tiles_write_and_sort_nothing_whole(spark, sf):
+    orders = src.read_table(spark, sf, "orders")
+    plan = pg.offset_page(orders, ["o_custkey", "o_orderkey"], 500, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "TakeOrdered" in plan and "GreaterThanOrEqual(o_custkey" in plan
+    tiles = pg.key_splits(orders.withColumn("k", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey"))), "k", 3).orderBy("tile").collect()
+    assert [t.n_rows for t in tiles] == [500, 500, 500] and tiles[0].lo_key is None and tiles[2].hi_key == 1498
+
+
+def test_declared_keys_that_repeat(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (1, "z"), (2, "x"), (3, "x"), (None, "n")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (1, "y"), (1, "z"), (2, "y"), (4, "x")], "k int, v string")
+    out = rec.reconcile(a, b, ["k"], unique_keys=True)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "repeated"), (2, "changed"), (3, "missing"), (4, "extra")]
+    assert [r["k"] for r in rec.field_diffs(rec.pair_rows(a, b, ["k"], unique_keys=True), keys=["k"]).collect()] == [2]
+    hot = spark.range(100_000).selectExpr("IF(id < 90000, 1, id) AS k", "id AS v")
+    assert rec.reconcile(hot, hot, ["k"], unique_keys=True).groupBy("status").count().orderBy("status").collect() == [("repeated", 1), ("same", 10_000)]
+
+
+def test_last_row_limits_each_task_before_the_shuffle(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, None, "z"), (1, 1, "b"), (None, 5, "n"), (2, None, None)], "k int, o int, v string").repartition(3)
+    last = rec.last_per_key(df, ["k"], ["o"])
+    assert sorted(map(str, map(tuple, last.collect()))) == sorted(map(str, [(1, 1, "b"), (None, 5, "n"), (2, None, None)]))
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit [k#" in plan and ", Partial" in plan and "SortAggregate" not in plan
+
+
+def test_failures_of_the_cluster_are_raised(spark, monkeypatch):
+    a = spark.createDataFrame([(1, "x")], "k int, v string")
+    monkeypatch.setattr(rec, "_lies_in_the_data", lambda e: False)
+    with pytest.raises(Exception, match="unreadable"):
+        rec.validate_tables(spark, {"t": (a.withColumn("v", F.raise_error(F.lit("unreadable"))), a, ["k"], True)})
+
+
 def test_time_keys_keep_wall_time_in_any_zone(spark):
     df = spark.sql("SELECT timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, id) AS t FROM range(24)")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
