@@ -34,36 +34,36 @@ RULES = [
 ]
 
 # What to write instead, per rule.
-ADVICE = """
-backtick_name: quote names the target's way or not at all
-bracket_name: quote names the target's way or not at all
-limit_mssql: SELECT TOP n, or ORDER BY with OFFSET and FETCH
-limit_dameng: ROWNUM, or OFFSET with FETCH
-top: LIMIT n
-limit_pair: LIMIT count OFFSET start
-getdate: CURRENT_TIMESTAMP or NOW()
-last_identity: LAST_INSERT_ID(), or INSERT with RETURNING
-datediff: check units and argument order; subtract dates
-charindex: LOCATE, POSITION or STRPOS
-isnull: COALESCE
-last_insert_id: SCOPE_IDENTITY(), or INSERT with RETURNING
-on_duplicate_key: ON CONFLICT, or MERGE
-replace_into: ON CONFLICT; it deletes and inserts
-group_concat: STRING_AGG
-date_format: TO_CHAR with its own format letters
-if_call: CASE WHEN
-ifnull: COALESCE, or join with ||
-returning: read the id after the insert, or use OUTPUT
-on_conflict_mssql: MERGE
-nvl: COALESCE
-merge: the target's upsert form
-on_conflict_mysql: ON DUPLICATE KEY UPDATE
-identity_query: read new ids the target's way
-call: EXEC, or SELECT of a function
-exec: CALL, or SELECT of a function
-dollar_parameter: ?
-at_parameter: $n
-"""
+ADVICE = {
+    "backtick_name": "quote names the target's way or not at all",
+    "bracket_name": "quote names the target's way or not at all",
+    "limit_mssql": "SELECT TOP n, or ORDER BY with OFFSET and FETCH",
+    "limit_dameng": "ROWNUM, or OFFSET with FETCH",
+    "top": "LIMIT n",
+    "limit_pair": "LIMIT count OFFSET start",
+    "getdate": "CURRENT_TIMESTAMP or NOW()",
+    "last_identity": "LAST_INSERT_ID(), or INSERT with RETURNING",
+    "datediff": "check units and argument order; subtract dates",
+    "charindex": "LOCATE, POSITION or STRPOS",
+    "isnull": "COALESCE",
+    "last_insert_id": "SCOPE_IDENTITY(), or INSERT with RETURNING",
+    "on_duplicate_key": "ON CONFLICT, or MERGE",
+    "replace_into": "ON CONFLICT; it deletes and inserts",
+    "group_concat": "STRING_AGG",
+    "date_format": "TO_CHAR with its own format letters",
+    "if_call": "CASE WHEN",
+    "ifnull": "COALESCE, or join with ||",
+    "returning": "read the id after the insert, or use OUTPUT",
+    "on_conflict_mssql": "MERGE",
+    "nvl": "COALESCE",
+    "merge": "the target's upsert form",
+    "on_conflict_mysql": "ON DUPLICATE KEY UPDATE",
+    "identity_query": "read new ids the target's way",
+    "call": "EXEC, or SELECT of a function",
+    "exec": "CALL, or SELECT of a function",
+    "dollar_parameter": "?",
+    "at_parameter": "$n",
+}
 
 SNIPPET_LIMIT = 60
 SNIPPET_KEEP = 57

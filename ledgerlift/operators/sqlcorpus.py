@@ -15,10 +15,9 @@ from ledgerlift.functions.sqltokens import (
 from ledgerlift.functions.values import sql_text
 from ledgerlift.operators import fixed_rules as fr
 from ledgerlift.operators import fixed_types as fx
-from ledgerlift.operators.typemap import split_lines
 from ledgerlift.session import spread
 
-ADVICE = dict(split_lines(fr.ADVICE))
+ADVICE = fr.ADVICE
 FAMILIES = {"mysql": fx.MYSQL_FAMILY, "postgres": fx.POSTGRES_FAMILY}
 MOVE = "struct<chars:int,breaks:int,tail:int>"
 HIT = f"struct<at:{MOVE},hit_len:int>"

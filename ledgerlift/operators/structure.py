@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlift.operators import fixed_types as fx
-from ledgerlift.operators.typemap import UNKNOWN, neutral_kind, sections, spark_kind, type_changes
+from ledgerlift.operators.typemap import UNKNOWN, neutral_kind, spark_kind, type_changes
 
 SEVERITIES = ("ok", "info", "warning", "error")  # weakest first
 
@@ -328,7 +328,7 @@ def migration_guide(cat: DataFrame, tables: DataFrame, dialect: str) -> DataFram
                 F.lit("explicit inserts do not move the sequence; reset it after the copy").alias("message"),
             )
         )
-    hints = sections(fx.DIALECT_HINTS).get(family, [])
+    hints = fx.DIALECT_HINTS.get(family, [])
     if hints:
         schema = "category string, severity string, table_name string, object_name string, message string"
         rows = [("dialect", "info", "", "", h) for h in hints]

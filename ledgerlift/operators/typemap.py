@@ -13,24 +13,6 @@ from ledgerlift.functions.values import constant_map, let
 from ledgerlift.operators import fixed_types as fx
 
 
-def split_lines(text: str) -> list[tuple[str, str]]:
-    """``left: right`` lines of a fixed-value text."""
-    pairs = (line.split(":", 1) for line in text.strip().splitlines() if ":" in line)
-    return [(a.strip(), b.strip()) for a, b in pairs]
-
-
-def sections(text: str) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for line in filter(None, (x.strip() for x in text.splitlines())):
-        if line.startswith("["):
-            out[line.strip("[]")] = []
-        else:
-            out[next(reversed(out))].append(line)
-    return out
-
-
-KINDS = {kind: [n.strip() for n in names.split(",")] for kind, names in split_lines(fx.KIND_NAMES)}
-TYPES = {d: split_lines("\n".join(lines)) for d, lines in sections(fx.DIALECT_TYPES).items()}
 UNKNOWN = ""
 
 
@@ -40,7 +22,7 @@ def _pick(entries: dict[str, str], key: Column) -> Column:
 
 def neutral_kind(base_type: Column) -> Column:
     """Neutral kind of a type name: as written, without its parameters, without UNSIGNED or ZEROFILL. Empty if unknown."""
-    kinds = {n: kind for kind, names in KINDS.items() for n in names}
+    kinds = {n: kind for kind, names in fx.KIND_NAMES.items() for n in names}
     name = F.upper(F.trim(base_type))
     bare = F.regexp_replace(name, r"(?s)(?<=.)\s*\(.*", "")
     signed = F.regexp_replace(bare, r"\s*(?: UNSIGNED| ZEROFILL)\z", "")
@@ -62,17 +44,14 @@ def _variants() -> dict[str, Column]:
     }
 
 
-def _spec(template: str) -> dict[str, str]:
+def _spec(template: str | tuple[str, str]) -> dict[str, str]:
     """Parts of a type text: what stands before and after its parameter, the parameter, and the form without one."""
-    full, _, short = (x.strip() for x in template.partition("|"))
-    head, mark, tail = re.match(r"([^<]*)(<[^>]*>)?(.*)", full).groups()
-    mark = mark or ""
-    if mark.startswith("<n="):
-        short = mark[3:-1]
-    return {"head": head, "mark": mark[1:2], "tail": tail, "short": short}
+    full, short = (template, "") if isinstance(template, str) else template
+    head, mark, tail = re.match(r"([^{]*)(?:\{(n|p|u)\}(?:, \{s\})?)?(.*)", full).groups()
+    return {"head": head, "mark": mark or "", "tail": tail, "short": short}
 
 
-def _spec_map(entries: dict[str, str]) -> Column:
+def _spec_map(entries: dict[str, str | tuple[str, str]]) -> Column:
     return constant_map({k: _spec(t) for k, t in entries.items()})
 
 
@@ -80,7 +59,7 @@ def _fill(spec: Column) -> Column:
     """Type text with the row's length (n), precision and scale (p) or UNSIGNED mark (u) put in."""
     digits, scale, n = F.col("num_precision"), F.col("num_scale"), F.col("char_len")
     head, tail, short = spec["head"], spec["tail"], spec["short"]
-    sized = F.concat(head, F.when(n > 0, n.cast("string")).otherwise(short), tail)
+    sized = F.when(n > 0, F.concat(head, n.cast("string"), tail)).otherwise(short)
     pair = F.concat(head, digits.cast("string"), F.lit(", "), scale.cast("string"), tail)
     return (
         F.when(spec["mark"] == "", head)
@@ -97,19 +76,17 @@ def target_type(dialect: str, kind: Column) -> Column:
     Reads the catalog columns ``data_type, char_len, num_precision, num_scale,
     is_unsigned, is_auto, default_value`` of the row.
     """
-    lines = dict(TYPES[fx.SAME_TYPES_AS.get(dialect, dialect)])
-    other = lines.pop("other")
-    by_kind = {k.strip(): template for kinds, template in lines.items() for k in kinds.split(",")}
+    speaks = fx.SAME_TYPES_AS.get(dialect, dialect)
+    plain = dict(fx.DIALECT_TYPES[speaks])
     if dialect == "cockroachdb":
-        by_kind |= {"BLOB": "BYTES", "BINARY": "BYTES"}
+        plain |= {"BLOB": "BYTES", "BINARY": "BYTES"}
     tries: list[Column] = []
     for word, applies in _variants().items():
-        narrowed = {k.split()[0]: t for k, t in by_kind.items() if k.endswith(" " + word)}
+        narrowed = fx.NARROWED_TYPES.get(speaks, {}).get(word)
         if narrowed:
             tries.append(F.when(applies, F.try_element_at(_spec_map(narrowed), kind)))
-    plain = {k: t for k, t in by_kind.items() if " " not in k}
-    source, spare = F.col("data_type"), other.lstrip("= ")
-    fallback = F.when(source != "", source).otherwise(spare) if other.startswith("=") else F.lit(spare)
+    source, spare = F.col("data_type"), fx.OTHER_TYPE[speaks]
+    fallback = F.when(source != "", source).otherwise(spare) if speaks in fx.KEEP_UNKNOWN else F.lit(spare)
     spec = F.coalesce(*tries, F.try_element_at(_spec_map(plain), kind))
     return F.coalesce(let(spec, _fill), fallback)
 
@@ -120,7 +97,7 @@ def folded_type(c: Column) -> Column:
 
 
 def change_note(dialect: str, kind: Column) -> Column:
-    notes = {k.strip(): note for kinds, note in split_lines(fx.CHANGE_NOTES) for k in kinds.split(",")}
+    notes = dict(fx.CHANGE_NOTES)
     if dialect in fx.POSTGRES_FAMILY and dialect != "timescaledb":
         notes |= {"JSON": fx.JSON_NOTE_POSTGRES, "DATETIME": fx.TIME_NOTE_POSTGRES, "TIMESTAMP": fx.TIME_NOTE_POSTGRES}
     unsigned = fx.UNSIGNED_KEPT if dialect in ("mysql", "mariadb", "tidb", "oceanbase") else fx.UNSIGNED_LOST
@@ -148,8 +125,8 @@ def default_literal(c: Column) -> Column:
     v = F.trim(c)
     word = F.lower(F.trim(F.regexp_replace(v, r"\(\)\z", "")))
     chain = F.when(v == "", "").when(v.rlike(r"^-?\d+(\.\d+)?\z"), v)
-    for keyword, names in split_lines(fx.DEFAULT_KEYWORDS):
-        chain = chain.when(word.isin(*[n.strip() for n in names.split(",")]), keyword)
+    for keyword, names in fx.DEFAULT_KEYWORDS.items():
+        chain = chain.when(word.isin(*names), keyword)
     quoted = F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("''")), F.lit("'"))
     return chain.when(word.isin(*fx.DEFAULT_KEPT), v).when(v.startswith("'"), v).otherwise(quoted)
 

@@ -11,7 +11,17 @@ from ledgerlift.plans.registry import query
 from ledgerlift.sources.tables import read_table
 
 # ---- checking SQL pieces -----------------------------------------------------------
-_ALIASES = ", ".join(f"('{n}', '{k}')" for k, names in typemap.KINDS.items() for n in names)
+# Fixed values, stated once more so that the check does not lean on the operator's own table.
+_NAMES = """
+TINYINT TINYINT,INT1,BYTE; SMALLINT SMALLINT,INT2,SMALLSERIAL,SHORT; INT MEDIUMINT,INT,INTEGER,INT4,SERIAL,COUNTER,AUTOINCREMENT,IDENTITY,LONG;
+BIGINT BIGINT,INT8,BIGSERIAL; YEAR YEAR; DECIMAL DECIMAL,NUMERIC,NUMBER,MONEY,SMALLMONEY,CURRENCY; FLOAT REAL,FLOAT4,FLOAT,SINGLE; DOUBLE DOUBLE,DOUBLE PRECISION,FLOAT8;
+BOOLEAN BOOLEAN,BOOL,LOGICAL,YESNO; BIT BIT; CHAR CHAR,NCHAR,CHARACTER,BPCHAR; VARCHAR VARCHAR,NVARCHAR,CHARACTER VARYING,VARCHAR2,SQL_VARIANT,SYSNAME;
+TEXT TINYTEXT,TEXT,MEDIUMTEXT,LONGTEXT,CLOB,STRING,NTEXT,XML,MEMO,LONGCHAR; BLOB TINYBLOB,BLOB,MEDIUMBLOB,LONGBLOB,BYTEA,IMAGE,OLEOBJECT,LONGBINARY; BINARY BINARY,VARBINARY,RAW,ROWVERSION;
+DATE DATE; TIME TIME,TIME WITHOUT TIME ZONE; DATETIME DATETIME,DATETIME2,SMALLDATETIME; TIMESTAMP TIMESTAMP,TIMESTAMP WITHOUT TIME ZONE,TIMESTAMPTZ,TIMESTAMP WITH TIME ZONE,DATETIMEOFFSET;
+JSON JSON,JSONB; UUID UUID,UNIQUEIDENTIFIER,GUID; ENUM ENUM; SET SET
+"""
+_KIND_OF = {n: line.split()[0] for line in _NAMES.strip().split(";") for n in line.strip().split(" ", 1)[1].split(",")}
+_ALIASES = ", ".join(f"('{n}', '{k}')" for n, k in _KIND_OF.items())
 _BARE = "CASE WHEN strpos(upper(trim({c})), '(') > 1 THEN trim(left(upper(trim({c})), strpos(upper(trim({c})), '(') - 1)) ELSE upper(trim({c})) END"
 _SIGNED = "regexp_replace(" + _BARE + ", '( UNSIGNED| ZEROFILL)$', '')"
 KINDS_CTE = f"aliases AS (SELECT * FROM (VALUES {_ALIASES}) AS v(n, k))"
@@ -88,6 +98,26 @@ def neutral_kind(spark, sf):
     return d.cat_columns(spark, sf).select("table_name", "column_name", "base_type", kind)
 
 
+# Every known name and some unknown ones, in other cases, with parameters and with marks behind them.
+_ALL = ",".join([*_KIND_OF, "HYPERCUBE", "", "INTERVAL DAY"])
+_NAMED: d.Recipe = [
+    ("o_orderkey", "o_orderkey"),
+    ("bare", f"split_part('{_ALL}', ',', CAST(1 + o_orderkey % {_ALL.count(',') + 1} AS INT))"),
+]
+_FORMS: d.Recipe = [
+    ("o_orderkey", "o_orderkey"),
+    ("bare", "bare"),
+    ("base_type", "CASE WHEN bare = '' OR o_orderkey % 5 = 0 THEN bare WHEN o_orderkey % 5 = 1 THEN lower(bare) || '(12,3)' WHEN o_orderkey % 5 = 2 THEN ' ' || bare || ' (4)' WHEN o_orderkey % 5 = 3 THEN bare || ' unsigned' ELSE lower(bare) || ' ZEROFILL' END"),
+]
+_FORMS_SQL = f"SELECT {', '.join(f'{e} AS {n}' for n, e in _FORMS)} FROM ({d.sql_of('orders', _NAMED)})"
+
+
+@query("neutral_kind_names", f"WITH {KINDS_CTE} SELECT o_orderkey, base_type, coalesce(k, '') AS kind FROM ({_FORMS_SQL}) LEFT JOIN aliases ON n = bare")
+def neutral_kind_names(spark, sf):
+    forms = d.rows(d.derive(spark, sf, "orders", _NAMED), _FORMS)
+    return forms.select("o_orderkey", "base_type", typemap.neutral_kind(F.col("base_type")).alias("kind"))
+
+
 @query(
     "target_type",
     f"WITH {KINDS_CTE}, {A_CTE} SELECT table_name, column_name, " + ", ".join(f"{s} AS {n}" for n, s in DIALECT_SQL.items()) + " FROM a",
@@ -105,7 +135,7 @@ def _changes_sql(dialect: str, notes: dict[str, str]) -> str:
     )
 
 
-_NOTES = {k.strip(): n for ks, n in typemap.split_lines(fx.CHANGE_NOTES) for k in ks.split(",")}
+_NOTES = fx.CHANGE_NOTES
 _PG_NOTES = _NOTES | {"JSON": fx.JSON_NOTE_POSTGRES, "DATETIME": fx.TIME_NOTE_POSTGRES, "TIMESTAMP": fx.TIME_NOTE_POSTGRES}
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlift.operators import fixed_types as fx
 from ledgerlift.operators import naming, structure, typemap
 
 CAT = (
@@ -35,8 +36,8 @@ def test_kinds(spark, name, kind):
 
 
 def test_alias_list_is_complete():
-    assert len(typemap.KINDS) == 23 and sum(len(n) for n in typemap.KINDS.values()) == 88
-    assert len(typemap.TYPES) == 12
+    assert len(fx.KIND_NAMES) == 23 and sum(len(n) for n in fx.KIND_NAMES.values()) == 88
+    assert len(fx.DIALECT_TYPES) == 12 and set(fx.NARROWED_TYPES) < set(fx.OTHER_TYPE) == set(fx.DIALECT_TYPES)
 
 
 @pytest.mark.parametrize(
