@@ -39,15 +39,44 @@ def copy_orders(spark, sf):
     return spark.table(f"`{spec.database}`.`orders`")
 
 
-@query(
-    "copy_report",
-    "SELECT 0 AS table_no, 'orders' AS table_name, 'success' AS status, count(*) AS n_rows FROM orders UNION ALL SELECT 1, 'lineitem', 'success', count(*) FROM lineitem"
-    " UNION ALL SELECT 2, 'customer', 'success', count(*) FROM customer",
-)
+_ALL_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("copy_report", " UNION ALL ".join(f"SELECT {i} AS table_no, '{t}' AS table_name, 'success' AS status, count(*) AS n_rows FROM {t}" for i, t in enumerate(_ALL_TABLES)))
 def copy_report(spark, sf):
     spec = CopySpec(_database(spark), run_ts=RUN_TS, dialect="sqlite")
-    tables = [TableCopy(t, read_table(spark, sf, t)) for t in ("orders", "lineitem", "customer")]
-    return copy_tables(spark, tables, spec).select("table_no", "table_name", "status", "n_rows")
+    report = copy_tables(spark, [TableCopy(t, rows) for t, rows in d.tables_of(spark, sf).items()], spec)
+    spark.sql(f"DROP DATABASE `{spec.database}` CASCADE")  # the report is rows of its own
+    return report.select("table_no", "table_name", "status", "n_rows")
+
+
+_SUM = "CAST(sum(o_orderkey) AS BIGINT) AS key_sum"
+
+
+@query(
+    "copy_policies",
+    f"""WITH t AS ({d.ORDERS_TGT_SQL}), o AS (SELECT count(*) AS n, {_SUM} FROM orders), c AS (SELECT count(*) AS n, {_SUM} FROM t)
+    SELECT 'drop' AS policy, 'success' AS status, c.n AS written, c.n AS n_rows, c.key_sum, 0 AS snapshots FROM c
+    UNION ALL SELECT 'append', 'success', c.n, o.n + c.n, o.key_sum + c.key_sum, 0 FROM o, c
+    UNION ALL SELECT 'error', 'failed', 0, o.n, o.key_sum, 0 FROM o
+    UNION ALL SELECT 'backup', 'success', c.n, c.n, c.key_sum, 1 FROM c
+    UNION ALL SELECT 'backup, failing', 'rolled_back', 0, o.n, o.key_sum, 0 FROM o
+    UNION ALL SELECT 'append, failing', 'failed', 0, o.n, o.key_sum, 0 FROM o""",
+)
+def copy_policies(spark, sf):
+    """What each write policy leaves in a table that was there already, also where the copy fails half way."""
+    orders, copy = read_table(spark, sf, "orders"), d.orders_tgt(spark, sf)
+    failing = copy.withColumn("o_custkey", F.expr("CASE WHEN o_orderkey % 500 = 499 THEN raise_error('unreadable') ELSE o_custkey END").cast("bigint"))
+    found = []
+    for name, rows in [("drop", copy), ("append", copy), ("error", copy), ("backup", copy), ("backup, failing", failing), ("append, failing", failing)]:
+        db = _database(spark)
+        sinks.write_table(orders, db, "orders")
+        report = copy_tables(spark, [TableCopy("orders", rows)], CopySpec(db, policy=name.split(",")[0], run_ts=RUN_TS)).first()
+        left = spark.table(f"`{db}`.`orders`").agg(F.count(F.lit(1)), F.sum("o_orderkey")).first()
+        snapshots = naming.list_snapshots(sinks.catalog_tables(spark, db)).count()
+        found.append((name, report["status"], report["n_rows"], *left, snapshots))
+        spark.sql(f"DROP DATABASE `{db}` CASCADE")
+    return spark.createDataFrame(found, "policy string, status string, written bigint, n_rows bigint, key_sum bigint, snapshots int")
 
 
 COPY_FORMS = ("sqlite", "mongodb", "access")

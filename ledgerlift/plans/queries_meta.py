@@ -196,24 +196,38 @@ def cast_desktop(spark, sf):
 
 
 # ---- catalogs and their differences ----------------------------------------------------
-_STAT_TABLES = {"orders": "o_orderkey bigint,o_orderpriority varchar", "customer": "c_custkey bigint,c_nationkey int"}
+# The columns of all given tables; orders is the drifted copy.
+_TABLE_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+_KIND_BY_TYPE = {"int": "INT", "bigint": "BIGINT", "string": "TEXT", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP", "array<float>": "JSON"}
+
+
+def _catalog_sql(table: str, columns: str) -> str:
+    source = "t" if table == "orders" else table
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, CAST({i} AS INT) AS ordinal, '{_KIND_BY_TYPE[k]}' AS base_type, '{k}' AS data_type, CAST(NULL AS INT) AS num_precision,"
+        f" CAST(NULL AS INT) AS num_scale, count(*) > count({c}) AS is_nullable, count(*) AS n_rows FROM {source}"
+        for i, (c, k) in enumerate((x.split(" ") for x in columns.split(", ")), 1)
+    )
 
 
-@query(
-    "catalog_columns",
-    "WITH t AS (" + d.ORDERS_TGT_SQL + ") "
-    + " UNION ALL ".join(
-        f"SELECT 'orders' AS table_name, '{c}' AS column_name, CAST({i} AS INT) AS ordinal, '{k}' AS base_type, '{s}' AS data_type, CAST(NULL AS INT) AS num_precision,"
-        f" CAST(NULL AS INT) AS num_scale, count(*) > count({c}) AS is_nullable, count(*) AS n_rows FROM t"
-        for i, (c, k, s) in enumerate(
-            [("o_orderkey", "BIGINT", "bigint"), ("o_custkey", "BIGINT", "bigint"), ("o_orderstatus", "TEXT", "string"), ("o_totalprice", "DOUBLE", "double"),
-             ("o_orderdate", "TIMESTAMP", "timestamp_ntz"), ("o_orderpriority", "TEXT", "string")], 1)
-    )
-    + " UNION ALL SELECT 'embeddings', c, i, k, s, NULL, NULL, false, (SELECT count(*) FROM embeddings) FROM"
-    " (VALUES ('vec_id', 1, 'BIGINT', 'bigint'), ('embedding', 2, 'JSON', 'array<float>'), ('label', 3, 'INT', 'int')) AS v(c, i, k, s)",
-)
+@query("catalog_columns", f"WITH t AS ({d.ORDERS_TGT_SQL}) " + " UNION ALL ".join(_catalog_sql(t, c) for t, c in _TABLE_COLUMNS.items()))
 def catalog_columns(spark, sf):
-    return structure.build_catalog(spark, {"orders": d.orders_tgt(spark, sf), "embeddings": read_table(spark, sf, "embeddings")})
+    return structure.build_catalog(spark, {**d.tables_of(spark, sf), "orders": d.orders_tgt(spark, sf)})
 
 
 def _clean_sql(c: str) -> str:
