@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -369,6 +370,8 @@ def _declared_key_facts(name: str, src: DataFrame, tgt: DataFrame, keys: list[st
     )
 
 
+TABLES_AT_ONCE = 8
+
 VERDICT = (
     "table_name string, target_exists boolean, source_rows bigint, target_rows bigint, compared_rows bigint, missing_rows bigint,"
     " extra_rows bigint, changed_rows bigint, null_key_rows bigint, error string, table_no int"
@@ -380,9 +383,9 @@ def validate_tables(spark: SparkSession, tables: dict[str, tuple]) -> DataFrame:
 
     ``order`` may be left out where keys are unique.
 
-    All tables are judged in one job. If it fails for a reason that lies in the data
-    or the tables, they are judged one after the other, so that one that fails gets
-    the verdict ``error`` and the others go on; lost executors, memory and other
+    Each table is one job, several at a time, so small tables do not wait for large
+    ones. One that fails for a reason that lies in the data or the table gets the
+    verdict ``error`` and the others go on; lost executors, memory and other
     failures of the cluster are raised. A declared key that repeats on either side is
     an error of its table too, as its rows could not be aligned one to one.
     """
@@ -398,19 +401,15 @@ def validate_tables(spark: SparkSession, tables: dict[str, tuple]) -> DataFrame:
             planned[i] = table_facts(name, src, tgt, keys, unique_keys=unique, order=order[0] if order else None).withColumn("table_no", F.lit(i))
         except (AnalysisException, ValueError) as e:
             failed(i, e)
-    try:
-        if planned:
-            rows |= {r["table_no"]: tuple(r) for r in reduce(DataFrame.unionByName, planned.values()).collect()}  # one row a table
-    except PySparkException as whole:
-        if not _lies_in_the_data(whole):
-            raise
-        for i, facts in planned.items():
-            try:
-                rows[i] = tuple(facts.first())
-            except PySparkException as e:
-                if not _lies_in_the_data(e):
-                    raise
-                failed(i, e)
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        jobs = {i: pool.submit(inheritable_thread_target(facts.first)) for i, facts in planned.items()}  # one row a table
+    for i, job in jobs.items():
+        try:
+            rows[i] = tuple(job.result())
+        except PySparkException as e:
+            if not _lies_in_the_data(e):
+                raise
+            failed(i, e)
     return table_status(spark.createDataFrame([rows[i] for i in sorted(rows)], VERDICT))
 
 
