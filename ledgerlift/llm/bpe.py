@@ -20,6 +20,7 @@ emits the arcs' labels.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from ledgerlift.llm.texts import longs, pick, slices
+from ledgerlift.llm.texts import PACKED_BYTES, SLICE_BYTES, longs, pick, slices
 
 FINAL = 256  # added to a word's last byte: the end-of-word mark
 TABLE_ARCS = 200_000  # transitions a worker keeps before its table starts anew
@@ -291,9 +292,14 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def tokenize(
+    docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True, keep: tuple[str, ...] = (), digest: bool = False
+) -> DataFrame:
     """One row per document row: n_tokens, ids (packed little-endian unsigned 32-bit), decoded text.
 
+    ``digest`` gives decoded_sha256 (lowercase hex) in place of the decoded text, which
+    then need not travel back; texts are then coded in smaller slices.
+
     NULL and empty texts have no tokens and decode to an empty text. Rows are mapped
     one by one, without a shuffle; repeated rows and NULL ids pass through. Columns
     named in ``keep`` go along; their names must not be those of the result. The
@@ -303,17 +309,19 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         for batch in batches:
-            for start, rows in slices(batch.column(1)):
+            for start, rows in slices(batch.column(1), PACKED_BYTES if digest else SLICE_BYTES):
                 packed = coder.encode([t.decode() if t else "" for t in rows])
                 columns = [batch.column(0).slice(start, len(rows)), longs(np.array([len(p) // 4 for p in packed], np.int64)), pa.array(packed, pa.binary())]
-                if decode:
+                if digest:
+                    columns.append(pa.array([hashlib.sha256(coder.decode(p)).hexdigest() for p in packed], pa.string()))
+                elif decode:
                     columns.append(pa.array(map(coder.decode, packed), pa.binary()).cast(pa.string()))
                 columns += [batch.column(2 + i).slice(start, len(rows)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     own = [f"keep_{i}" for i in range(len(keep))]  # a column name may hold a dot
     source = pick(docs, doc_id=doc_id, text=text, **dict(zip(own, keep, strict=True)))
-    result = ["n_tokens bigint", "ids binary", *["decoded string"] * decode]
+    result = ["n_tokens bigint", "ids binary", *(["decoded_sha256 string"] if digest else ["decoded string"] * decode)]
     names = ["doc_id", *[r.split()[0] for r in result], *own]
     kinds = dict(source.dtypes)
     schema = ", ".join([f"doc_id {kinds['doc_id']}", *result, *[f"{c} {kinds[c]}" for c in own]])
