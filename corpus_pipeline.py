@@ -53,8 +53,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     results = ("doc_id", "text", "n_tokens", "ids", "decoded", "decoded_sha256")
-    coded = bpe.tokenize(docs, vocabulary(), keep=tuple(c for c in docs.columns if c not in results))
-    return coded.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
+    return bpe.tokenize(docs, vocabulary(), keep=tuple(c for c in docs.columns if c not in results), digest=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
