@@ -290,3 +290,10 @@ def test_line_dedup_keeps_a_column_of_its_name(spark, docs):
     found = lines.dedup_lines(docs.withColumn("dedup", F.lit(7)))
     assert found.columns == [*docs.columns, "dedup", "_dedup"]
     same(found.select("dedup", "_dedup.n_lines").collect(), [(7, n) for (n,) in lines.dedup_lines(docs).select("dedup.n_lines").collect()])
+
+
+def test_bpe_digests(spark, docs):
+    plain = bpe.tokenize(docs, vocabulary()).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256))
+    short = bpe.tokenize(docs, vocabulary(), digest=True, keep=("class",))
+    assert short.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256", "class"]
+    same(short.drop("class").collect(), plain.collect())
