@@ -66,9 +66,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     A table of one file with one row group is one task. Only an input that comes from
     its files in fewer tasks than there are cores is dealt out anew; a larger one, or
-    one that has been shuffled already, stays as it is.
+    one that has been shuffled already or is a stream, stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+    if df.isStreaming or df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
         return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -276,3 +276,18 @@ def test_rewrite_leaves_literals_and_comments(spark):
     sql = "SELECT s FROM ship -- NVL(p, q)\nWHERE sign IN ('TOP 4', \"GETDATE()\");"
     assert rewrite(spark, sql, "mssql", "mysql") == sql
     assert sc.rewrite_changes(scripts(spark, sql), "mssql", "mysql").first()[1:] == (0, 0, 0, 0)
+
+
+def test_short_inputs_are_spread_and_streams_left_alone(spark, sf, tmp_path):
+    from ledgerlift.session import spread
+
+    one = spark.read.parquet(f"{sf}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(one).rdd.getNumPartitions() == cores and spread(spark.range(100, numPartitions=cores + 3)).rdd.getNumPartitions() == cores + 3
+    grouped = one.groupBy("lang").count()
+    assert spread(grouped) is grouped
+    scripts(spark, "SELECT NVL(a, b)").write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema("script_id int, sql string").parquet(str(tmp_path / "s"))
+    query = sc.audit_sql(stream, "postgres").writeStream.format("memory").queryName("audited").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.awaitTermination()
+    assert [r["rule_id"] for r in spark.table("audited").collect()] == ["nvl"]
