@@ -333,20 +333,31 @@ def reconcile_keyless(spark, sf):
     return rec.reconcile_keyless(read_table(spark, sf, "lineitem"), d.lineitem_tgt(spark, sf))
 
 
+_LATER = ["l_shipdate", "l_quantity"]
+_LATEST = ", ".join(f"{c} DESC NULLS LAST" for c in _LATER + [c for c in d.LINE_COLS if c not in ("l_orderkey", "l_linenumber", *_LATER)])
+_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_LINE_SAME = " AND ".join(
+    f"(s.{c} IS NOT DISTINCT FROM t.{c} OR coalesce(abs(s.{c} - t.{c}) < 0.000000001, false))" if c in _NUMBERS
+    else f"rtrim(s.{c}, ' ') IS NOT DISTINCT FROM rtrim(t.{c}, ' ')" if c in ("l_returnflag", "l_linestatus")
+    else f"s.{c} IS NOT DISTINCT FROM t.{c}"
+    for c in d.LINE_COLS if c not in ("l_orderkey", "l_linenumber")
+)
+
+
 @query(
     "reconcile_repeated_keys",
-    f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem),
-    t AS (SELECT l_orderkey, l_linenumber, max((l_shipdate, l_quantity)) AS row FROM ({d.LINEITEM_TGT_SQL}) GROUP BY ALL),
+    f"""WITH s AS (SELECT * FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL),
+    t AS (SELECT * FROM ({d.LINEITEM_TGT_SQL}) WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LATEST}) = 1),
     j AS (SELECT coalesce(s.l_orderkey, t.l_orderkey) AS l_orderkey, coalesce(s.l_linenumber, t.l_linenumber) AS l_linenumber,
-     CASE WHEN t.l_orderkey IS NULL THEN 'missing' WHEN s.l_orderkey IS NULL THEN 'extra'
-      WHEN s.l_shipdate = t.row[1] AND abs(s.l_quantity - t.row[2]) < 0.000000001 THEN 'same' ELSE 'changed' END AS status
+     CASE WHEN t.l_orderkey IS NULL THEN 'missing' WHEN s.l_orderkey IS NULL THEN 'extra' WHEN {_LINE_SAME} THEN 'same' ELSE 'changed' END AS status
      FROM s FULL OUTER JOIN t ON s.l_orderkey = t.l_orderkey AND s.l_linenumber = t.l_linenumber)
     SELECT l_orderkey, l_linenumber, status, count(*) AS n_rows FROM j GROUP BY ALL""",
 )
 def reconcile_repeated_keys(spark, sf):
     keys = ["l_orderkey", "l_linenumber"]
     # Ties of the order fall to the other columns, so the last target row is one in all that is compared.
-    status = rec.reconcile(read_table(spark, sf, "lineitem"), d.lineitem_tgt(spark, sf), keys, order=["l_shipdate", "l_quantity"])
+    status = rec.reconcile(read_table(spark, sf, "lineitem"), d.lineitem_tgt(spark, sf), keys, order=_LATER)
     return status.groupBy(*keys, "status").agg(F.count("*").alias("n_rows"))
 
 

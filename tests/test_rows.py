@@ -313,3 +313,23 @@ def test_repeated_keys_are_compared_in_every_column(spark, sf, monkeypatch):
     changed = duck(sf).execute(f"SELECT count(*) FROM ({sql}) WHERE status = 'changed' AND l_orderkey % 53 < 7").fetchone()[0]
     assert changed > 100
     assert compare(spark, "reconcile_repeated_keys", reconcile_repeated_keys, sql, sf) is None
+
+
+def test_repeated_keys_follow_their_sql_through_ties_and_nulls(spark, sf, tmp_path):
+    import pathlib
+
+    from oracle import compare, duck
+
+    from ledgerlift.plans.queries_rows import reconcile_repeated_keys
+    from ledgerlift.plans import all_queries
+
+    for f in pathlib.Path(sf).glob("*.parquet"):
+        if f.stem != "lineitem":
+            (tmp_path / f.name).symlink_to(f)
+    rows = f"SELECT * FROM read_parquet('{sf}/lineitem.parquet')"
+    # Ties: the same key, date and quantity, but another part, price or supplier. Then missing values and keys.
+    ties = f"SELECT * REPLACE (l_partkey + 1 AS l_partkey, l_extendedprice + 5 AS l_extendedprice) FROM ({rows}) WHERE l_orderkey % 3 = 0"
+    odd = f"SELECT * REPLACE (l_suppkey + 1 AS l_suppkey, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_shipdate END AS l_shipdate, CASE WHEN l_orderkey % 7 = 1 THEN NULL ELSE l_quantity END AS l_quantity, CASE WHEN l_orderkey % 7 = 2 THEN NULL ELSE l_orderkey END AS l_orderkey, CASE WHEN l_orderkey % 7 = 3 THEN 'nan'::DOUBLE ELSE l_tax END AS l_tax) FROM ({rows}) WHERE l_orderkey % 5 = 0"
+    lone = f"SELECT * REPLACE (l_orderkey + 1000000 AS l_orderkey, NULL AS l_shipdate, NULL AS l_returnflag) FROM ({rows}) WHERE l_orderkey % 11 = 0"
+    duck(sf).execute(f"COPY (({rows}) UNION ALL ({ties}) UNION ALL ({odd}) UNION ALL ({lone})) TO '{tmp_path}/lineitem.parquet'")
+    assert compare(spark, "reconcile_repeated_keys", reconcile_repeated_keys, all_queries()[1]["reconcile_repeated_keys"], str(tmp_path)) is None
