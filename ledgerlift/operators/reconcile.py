@@ -94,8 +94,8 @@ def pair_rows(
         F.lit(True).alias("in_tgt"),
     )
     t = last_per_key(t, joined, [f"_o_{c}" for c in extra_order])
-    found = s.join(t, joined, "left_outer")
-    alone = t.join(s.select(*joined).distinct(), joined, "left_anti")
+    found = s.join(t.hint("merge"), joined, "left_outer")
+    alone = t.join(s.select(*joined).distinct().hint("merge"), joined, "left_anti")
     both = found.unionByName(alone, allowMissingColumns=True)
     return both.select(
         *[F.coalesce(F.col(f"_s_{k}"), F.col(f"_t_{k}").cast(src.schema[k].dataType)).alias(k) for k in keys],
@@ -169,17 +169,23 @@ def reconcile(
     return pairs.select(*keys, row_status(pairs, tol).alias("status"))
 
 
-def missing_rows(src: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:
-    """Source rows whose key the target lacks. Target keys are collapsed before the join."""
+def missing_rows(src: DataFrame, tgt: DataFrame, keys: list[str], unique_keys: bool = False) -> DataFrame:
+    """Source rows whose key the target lacks.
+
+    Target keys are collapsed before the join, so that a key on very many rows does not
+    meet in one task. Under ``unique_keys`` (declared for the target) that collapses nothing,
+    so it is left out; keys that repeat after all give the same rows. The keys are never sent
+    whole to every executor: files pack keys so well that a table of many rows looks small.
+    """
     src_keys, tgt_keys = _join_keys(src, tgt, keys)
     joined = [f"_k{i}" for i in range(len(keys))]
     s = src.filter(_not_null(keys)).select("*", *[k.alias(j) for k, j in zip(src_keys, joined)])
-    t = tgt.filter(_not_null(keys)).select(*[k.alias(j) for k, j in zip(tgt_keys, joined)]).distinct()
-    return s.join(t, joined, "left_anti").select(*src.columns)
+    t = tgt.filter(_not_null(keys)).select(*[k.alias(j) for k, j in zip(tgt_keys, joined)])
+    return s.join((t if unique_keys else t.distinct()).hint("merge"), joined, "left_anti").select(*src.columns)
 
 
-def extra_rows(src: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:
-    return missing_rows(tgt, src, keys)
+def extra_rows(src: DataFrame, tgt: DataFrame, keys: list[str], unique_keys: bool = False) -> DataFrame:
+    return missing_rows(tgt, src, keys, unique_keys)
 
 
 def field_diffs(pairs: DataFrame, tol: float = TOLERANCE, keys: list[str] | None = None) -> DataFrame:

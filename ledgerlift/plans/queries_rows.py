@@ -287,12 +287,12 @@ def reconcile_changed(spark, sf):
 
 @query("reconcile_missing", f"WITH t AS ({d.ORDERS_TGT_SQL}) SELECT {ORDER_COLS} FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM t)")
 def reconcile_missing(spark, sf):
-    return rec.missing_rows(read_table(spark, sf, "orders"), d.orders_tgt(spark, sf), KEY)
+    return rec.missing_rows(read_table(spark, sf, "orders"), d.orders_tgt(spark, sf), KEY, unique_keys=True)
 
 
 @query("reconcile_extra", f"WITH t AS ({d.ORDERS_TGT_SQL}) SELECT {ORDER_COLS} FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def reconcile_extra(spark, sf):
-    return rec.extra_rows(read_table(spark, sf, "orders"), d.orders_tgt(spark, sf), KEY)
+    return rec.extra_rows(read_table(spark, sf, "orders"), d.orders_tgt(spark, sf), KEY, unique_keys=True)
 
 
 @query(

@@ -333,3 +333,21 @@ def test_repeated_keys_follow_their_sql_through_ties_and_nulls(spark, sf, tmp_pa
     lone = f"SELECT * REPLACE (l_orderkey + 1000000 AS l_orderkey, NULL AS l_shipdate, NULL AS l_returnflag) FROM ({rows}) WHERE l_orderkey % 11 = 0"
     duck(sf).execute(f"COPY (({rows}) UNION ALL ({ties}) UNION ALL ({odd}) UNION ALL ({lone})) TO '{tmp_path}/lineitem.parquet'")
     assert compare(spark, "reconcile_repeated_keys", reconcile_repeated_keys, all_queries()[1]["reconcile_repeated_keys"], str(tmp_path)) is None
+
+
+def test_keys_of_a_whole_table_are_not_broadcast(spark, sf):
+    from ledgerlift.plans import all_queries
+
+    for name in ("reconcile_extra", "reconcile_missing", "reconcile_repeated_keys"):
+        plan = all_queries()[0][name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, name
+
+
+def test_missing_rows_under_a_declared_key_that_repeats(spark):
+    from ledgerlift.operators.reconcile import extra_rows, missing_rows
+
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (3, "v"), (None, "n")], "k long, c string")
+    b = spark.createDataFrame([(2, "y"), (2, "w"), (4, "u"), (4, "t"), (None, "m")], "k long, c string")
+    for unique in (False, True):
+        assert sorted(map(tuple, missing_rows(a, b, ["k"], unique).collect())) == [(1, "x"), (3, "v")]
+        assert sorted(map(tuple, extra_rows(a, b, ["k"], unique).collect())) == [(4, "t"), (4, "u")]
