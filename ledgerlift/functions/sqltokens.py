@@ -117,17 +117,30 @@ def mask_literals(sql: Column, family: str | None = None) -> Column:
     return join(F.transform(tokens(sql, family), blank))
 
 
+def statement_tokens(parts: Column, family: str | None = None) -> Column:
+    """Tokens of a text as one array for each statement, cut at semicolons in code, which are left out."""
+
+    def grouped(pieces: Column) -> Column:
+        ends = F.filter(F.transform(pieces, lambda t, i: F.when(t == ";", i + 1)), lambda i: i.isNotNull())
+        firsts, lasts = F.concat(F.array(F.lit(0)), ends), F.concat(ends, F.array(F.size(pieces) + 1))
+        return F.zip_with(firsts, lasts, lambda i, j: F.slice(pieces, i + 1, j - i - 1))
+
+    cut = F.transform(parts, lambda t: F.when(is_code(t, family) & ~is_name(t, family), F.regexp_extract_all(t, F.lit("[^;]++|;"), F.lit(0))).otherwise(F.array(t)))
+    return let(F.flatten(cut), grouped)
+
+
 def split_statements(sql: Column, family: str | None = None) -> Column:
     """Array of statements, cut at semicolons in code. Comments, literals and quoted names stay as written."""
-    mark, escape = "\u0001\u0003", "\u0001\u0002"
-    safe = F.replace(sql, F.lit("\u0001"), F.lit(escape))
-    cut = join(map_code(tokens(safe, family), lambda t: F.when(is_name(t, family), t).otherwise(F.replace(t, F.lit(";"), F.lit(mark))), family))
-    return F.transform(F.split(cut, mark), lambda s: F.replace(s, F.lit(escape), F.lit("\u0001")))
+    return F.transform(statement_tokens(tokens(sql, family), family), join)
 
 
 def ends_open(sql: Column, family: str | None = None) -> Column:
     """Whether the text ends inside a string, a quoted name or a block comment."""
-    last = F.try_element_at(tokens(sql, family), F.lit(-1))
+    return let(F.try_element_at(tokens(sql, family), F.lit(-1)), lambda last: stays_open(last, family))
+
+
+def stays_open(last: Column, family: str | None = None) -> Column:
+    """Whether a text's last token lacks its end."""
     start = F.left(last, F.lit(1))
     text = r"^'[^']*'\z", r'^"[^"]*"\z'
     one, two = (CLOSED["'"], CLOSED['"']) if family == "mysql" else text

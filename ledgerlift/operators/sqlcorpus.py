@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlift.functions.sqltokens import (
     WHITE, ascii_upper, ends_open, is_code, is_comment, is_name, join, let, map_code, mask_literals, needles, split_statements, sql_pattern,
-    strip_white, tokens, upper_pattern,
+    statement_tokens, stays_open, strip_white, tokens, upper_pattern,
 )
 from ledgerlift.functions.values import sql_text
 from ledgerlift.operators import fixed_rules as fr
@@ -313,6 +313,24 @@ def _rewrite_tokens(parts: Column, source: str, target: str) -> Column:
     return let(limits, with_limits)
 
 
+def _rewritten_script(sql: Column, source: str, target: str, if_open) -> Column:
+    """A script with every statement rewritten, its tokens found once; ``if_open`` says what becomes of one that stays open."""
+    family = family_of(source)
+
+    def statements(text: Column, found: Column) -> Column:
+        blank_end = F.forall(F.element_at(found, -1), lambda t: strip_white(t) == "")
+        kept = F.when(blank_end, F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+        out = F.array_join(F.transform(kept, lambda p: _rewrite_tokens(p, source, target)), ";\n")
+        return F.when(F.rtrim(text, F.lit(" \t\r\n")).endswith(";"), F.concat(out, F.lit(";"))).otherwise(out)
+
+    def script(text: Column, parts: Column) -> Column:
+        written = F.exists(parts, lambda t: strip_white(t) != "")
+        whole = F.when(written, let(statement_tokens(parts, family), lambda found: statements(text, found))).otherwise(text)
+        return if_open(stays_open(F.try_element_at(parts, F.lit(-1)), family), whole, text)
+
+    return let(sql, lambda text: let(tokens(text, family), lambda parts: script(text, parts)))
+
+
 def rewrite_sql(df: DataFrame, source: str, target: str, text: str = "sql") -> DataFrame:
     """Scripts with every statement rewritten, joined by ``;`` and a line break as the converter prints them.
 
@@ -321,20 +339,20 @@ def rewrite_sql(df: DataFrame, source: str, target: str, text: str = "sql") -> D
     """
     if source == target:
         return df
-    sql = F.col(text)
-    unfinished = strip_white(F.element_at("_p", -1)) != ""
-    kept = F.when(unfinished, F.col("_p")).otherwise(F.slice("_p", F.lit(1), F.size("_p") - 1))
-    out = F.array_join(F.transform(kept, lambda s: rewrite_statement(s, source, target)), ";\n")
-    cut = spread(df).withColumn("_p", F.when(~ends_open(sql, family_of(source)), split_statements(sql, family_of(source))))
-    closed = F.when(F.rtrim(sql, F.lit(" \t\r\n")).endswith(";"), F.concat(out, F.lit(";"))).otherwise(out)
-    return cut.select(*[F.when(sql.rlike(r"\S") & F.col("_p").isNotNull(), closed).otherwise(sql).alias(c) if c == text else F.col(c) for c in df.columns])
+    out = _rewritten_script(F.col(text), source, target, lambda is_open, whole, written: F.when(is_open, written).otherwise(whole))
+    return spread(df).select(*[out.alias(c) if c == text else F.col(c) for c in df.columns])
 
 
 def convert_scripts(df: DataFrame, source: str, target: str, text: str = "sql") -> tuple[DataFrame, DataFrame]:
     """(scripts rewritten, scripts that cannot be cut with certainty, with a reason)."""
+    rows = spread(df)
     is_open = ends_open(F.col(text), family_of(source))
-    rejected = df.filter(is_open).withColumn("reason", F.lit("a quote, a quoted name or a comment never closes"))
-    return rewrite_sql(df.filter(~is_open), source, target, text), rejected
+    rejected = rows.filter(is_open).withColumn("reason", F.lit("a quote, a quoted name or a comment never closes"))
+    if source == target:
+        return rows.filter(~is_open), rejected
+    # None or one result a script: a filter would have the tokens found a second time.
+    out = _rewritten_script(F.col(text), source, target, lambda opened, whole, _: F.when(opened, F.array().cast("array<string>")).otherwise(F.array(whole)))
+    return rows.select(*[F.explode(out).alias(c) if c == text else F.col(c) for c in df.columns]), rejected
 
 
 def rewrite_changes(df: DataFrame, source: str, target: str, text: str = "sql") -> DataFrame:
@@ -343,8 +361,9 @@ def rewrite_changes(df: DataFrame, source: str, target: str, text: str = "sql")
     names = ["top_to_limit", "now_calls", "coalesce_calls", "quoted_names"]
     zero, family = F.lit(0), family_of(source)
     totals = {n: zero for n in names}
-    parts = F.transform(split_statements(F.col(text), family), lambda s: tokens(s, family))
-    closed = spread(df).select(*keep, F.when(ends_open(F.col(text), family), F.array().cast("array<array<string>>")).otherwise(parts).alias("_parts"))
+    none = F.array().cast("array<array<string>>")
+    parts = let(tokens(F.col(text), family), lambda t: F.when(stays_open(F.try_element_at(t, F.lit(-1)), family), none).otherwise(statement_tokens(t, family)))
+    closed = spread(df).select(*keep, parts.alias("_parts"))
     rows = closed.select(*keep, "_parts", F.transform("_parts", lambda p: _plain_code(p, family)).alias("_code"))
     if source == "mssql" and target != "mssql":
         single = F.filter(

@@ -291,3 +291,24 @@ def test_short_inputs_are_spread_and_streams_left_alone(spark, sf, tmp_path):
     query = sc.audit_sql(stream, "postgres").writeStream.format("memory").queryName("audited").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination()
     assert [r["rule_id"] for r in spark.table("audited").collect()] == ["nvl"]
+
+
+def test_a_rewrite_finds_the_tokens_of_a_script_once(spark):
+    from ledgerlift.functions.sqltokens import TOKENS
+
+    rows = spark.range(0, 64, 1, 16).selectExpr("id AS script_id", "concat('SELECT IFNULL(a, ', id, ');') AS sql")
+    for df in (sc.convert_scripts(rows, "mysql", "postgres")[0], sc.rewrite_sql(rows, "mysql", "postgres")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(TOKENS["mysql"][:30]) == 1
+        assert sorted(r["sql"] for r in df.collect())[0] == "SELECT COALESCE(a, 0);"
+
+
+def test_ends_of_scripts_are_kept_by_a_rewrite(spark):
+    texts = {
+        "": "", "  ": "  ", ";": ";", ";;": ";\n;", "select 1;;": "select 1;\n;", "select 1;\f": "select 1", "\u0001;\u0003": "\u0001;\n\u0003",
+        "select top 3 a from t -- c;": "select a from t -- c;\nLIMIT 3;", "select [a;b] ; \n": "select `a;b] ; \n".replace("]", "`").replace(" ; \n", " ;"),
+    }
+    df = spark.createDataFrame(list(texts.items()) + [(None, None)], "sql string, want string")
+    got = sc.convert_scripts(df, "mssql", "mysql")[0].collect()
+    assert len(got) == len(texts) + 1
+    assert [r["sql"] for r in got if r["sql"] != r["want"]] == []
