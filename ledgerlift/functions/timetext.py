@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 PLAIN_DATETIME = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?\z"
 ZONE_NAME_DATETIME = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?) [+-]\d{4} [A-Z]+(?: m=[+-][\d.]+)?\z"
 OFFSET_DATETIME = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+[+-]\d{2}:?\d{2}\z"
+SHORTEST_ZONED = len("2024-01-01 00:00:00 +0000")  # shorter text fits neither of the two above
 LOOSE_DATE = r"^\d{4}-\d{1,2}-\d{1,2}\z"
 LOOSE_DATETIME = (
     r"^(\d{4}-\d{1,2}-\d{1,2})[T ](\d{1,2}:\d{1,2}:\d{1,2})"
@@ -25,7 +26,8 @@ def looks_like_datetime(c: Column) -> Column:
 def normalize_datetime_text(c: Column) -> Column:
     """Drop a numeric offset or a zone name and keep the wall time; leave other text alone."""
     return (
-        F.when(c.rlike(OFFSET_DATETIME), F.translate(F.regexp_extract(c, OFFSET_DATETIME, 1), "T", " "))
+        F.when(F.octet_length(c) < SHORTEST_ZONED, c)
+        .when(c.rlike(OFFSET_DATETIME), F.translate(F.regexp_extract(c, OFFSET_DATETIME, 1), "T", " "))
         .when(c.rlike(ZONE_NAME_DATETIME), F.regexp_extract(c, ZONE_NAME_DATETIME, 1))
         .otherwise(c)
     )

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from functools import reduce
 
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.operators import naming, reports
@@ -88,9 +92,9 @@ COPY_KEYS = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "lineitem": No
     " UNION ALL ".join(f"SELECT '{form}' AS dialect, '{t}' AS table_name, 'match' AS status, count(*) AS compared_rows FROM {t}" for form in COPY_FORMS for t in COPY_KEYS),
 )
 def copy_then_reconcile(spark, sf):
-    """Whole tables copied into several stores' forms, then checked by the reconciliation."""
-    out = None
-    for form in COPY_FORMS:
+    """Whole tables copied into several stores' forms, then checked by the reconciliation. The forms share nothing and run side by side."""
+
+    def one(form):
         spec = CopySpec(_database(spark), run_ts=RUN_TS, dialect=form)
         sources = {t: read_table(spark, sf, t) for t in COPY_KEYS}
         copy_tables(spark, [TableCopy(t, rows) for t, rows in sources.items()], spec)
@@ -98,9 +102,12 @@ def copy_then_reconcile(spark, sf):
         shown = {t: rows if COPY_KEYS[t] else prepare_rows(rows, (), form) for t, rows in sources.items()}
         checks = {t: (rows, spark.table(f"`{spec.database}`.`{t}`"), COPY_KEYS[t], COPY_KEYS[t] is not None) for t, rows in shown.items()}
         found = validate_tables(spark, checks).select(F.lit(form).alias("dialect"), "table_name", "status", "compared_rows")
-        out = found if out is None else out.unionByName(found)
         spark.sql(f"DROP DATABASE `{spec.database}` CASCADE")  # the verdicts are rows of their own
-    return out
+        return found
+
+    with ThreadPoolExecutor(len(COPY_FORMS)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(one), form) for form in COPY_FORMS]
+    return reduce(DataFrame.unionByName, [job.result() for job in jobs])
 
 
 @query("copy_faults", "SELECT o_orderkey, 'o_totalprice' AS column_name FROM orders WHERE o_orderkey % 97 = 3 UNION ALL SELECT o_orderkey, 'o_orderdate' FROM orders WHERE o_orderkey % 83 = 11")

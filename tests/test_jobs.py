@@ -142,3 +142,29 @@ def test_shared_folder_follows_the_session():
 
 def test_shared_folder_is_kept(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_forms_of_a_copy_run_side_by_side(spark, sf, monkeypatch):
+    import threading
+
+    from ledgerlift.plans import queries_jobs
+
+    meet, whole = threading.Barrier(len(queries_jobs.COPY_FORMS), timeout=60), queries_jobs.copy_tables
+
+    def copy_together(*args):
+        meet.wait()  # breaks unless all forms copy at the same time
+        return whole(*args)
+
+    monkeypatch.setattr(queries_jobs, "copy_tables", copy_together)
+    rows = queries_jobs.copy_then_reconcile(spark, sf).collect()
+    assert len(rows) == 9 and {r["status"] for r in rows} == {"match"}
+
+
+def test_the_shortest_zoned_texts_are_cleaned(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlift.functions.timetext import normalize_datetime_text
+
+    texts = {"2024-01-01 00:00:00 +0000": "2024-01-01 00:00:00", "2024-01-01T00:00:00\t+0000": "2024-01-01 00:00:00", "2024-01-01 00:00:00 +0000 Z": "2024-01-01 00:00:00", "2024-01-01 00:00:00 +000": "2024-01-01 00:00:00 +000", "": "", "N": "N"}
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", normalize_datetime_text(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in got} == {**texts, None: None}
