@@ -12,9 +12,18 @@ from ledgerlift.llm.queries import table, vocabulary
 from ledgerlift.llm.texts import ship, tick
 
 
+BATCH_BYTES = 4 << 20  # of a batch handed to a Python worker; Spark's own limit of 10,000 texts is tens of MB on both sides
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every stage needs of the session: this package on the executors, and batches of texts that stay small."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. NULL, empty and short texts fail them and go; repeated rows share a fate; an empty table stays empty."""
-    ship(spark)
+    prepare(spark)
     return quality.keep_good(docs)
 
 
@@ -24,7 +33,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Texts without words, NULL among them, lose nothing and stay. Rows equal in doc_id
     and text lose the same lines; other columns, whatever their names, go along.
     """
-    ship(spark)
+    prepare(spark)
     found = lines.dedup_lines(docs)
     result = F.col(tick(found.columns[-1]))
     left = found.where((result["n_removed"] == 0) | (result["n_removed"] < result["n_lines"]))
@@ -36,7 +45,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest doc_id, NULL before all, of rows that share it one. Texts without words all stay."""
-    ship(spark)
+    prepare(spark)
     return ngramjoin.keep_one_of_each(docs)
 
 
@@ -51,7 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     NULL and empty texts have no tokens. A column that has the name of a result is
     left out; an empty table stays empty.
     """
-    ship(spark)
+    prepare(spark)
     results = ("doc_id", "text", "n_tokens", "ids", "decoded", "decoded_sha256")
     return bpe.tokenize(docs, vocabulary(), keep=tuple(c for c in docs.columns if c not in results), digest=True)
 

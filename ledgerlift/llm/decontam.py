@@ -136,12 +136,13 @@ class Searcher:
         turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
         owner = np.searchsorted(starts, turn[::2], side="right") - 1
         local = (turn - np.repeat(starts[owner], 2)).astype(np.int64)
+        n_hit = np.bincount(owner, weights=local[1::2] - local[::2], minlength=len(texts))
         cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)) * 2)]).astype(np.int32)
         runs = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(local, pa.int64()))
-        return [longs(sizes), runs, pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+        return [longs(sizes), longs(n_hit), runs, pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
 
 
-_MATCH = "struct<n_words:bigint,runs:array<bigint>,items:array<string>>"
+_MATCH = "struct<n_words:bigint,n_hit:bigint,runs:array<bigint>,items:array<string>>"
 
 
 def _covered(runs: pa.Array) -> pa.Array:
@@ -182,13 +183,14 @@ def find_contamination(
     for part, name in enumerate(found):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == part)
         search = Searcher([(r["item"], r["body"].encode() if r["body"] is not None else None) for r in mine.collect()], window)
-        rows = rows.withColumn(name, text_udf(search, _MATCH, ["n_words", "runs", "items"])(body))
+        rows = rows.withColumn(name, text_udf(search, _MATCH, ["n_words", "n_hit", "runs", "items"])(body))
         if parts > 1:
             rows = settle(rows)
     matches = [F.col(name) for name in found]
     n_words = matches[0]["n_words"]
+    # Words that several parts hit count once; one part's own count needs no second Python worker for each task.
     runs = F.flatten(F.array(*[m["runs"] for m in matches]))
-    out = rows.withColumn(hits, F.arrow_udf(_covered_udf(), "bigint")(runs))
+    out = rows.withColumn(hits, matches[0]["n_hit"] if parts == 1 else F.arrow_udf(_covered_udf(), "bigint")(runs))
     hit = F.col(hits)
     names = F.array_sort(F.array_distinct(F.flatten(F.array(*[m["items"] for m in matches]))))
     fields = [n_words.alias("n_words"), hit.alias("n_hit"), names.alias("items"), ((hit > 0) & (20 * hit >= n_words)).alias("contaminated")]

@@ -6,7 +6,7 @@ from brute_rows import brute, data
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlift.llm.queries import vocabulary
+from ledgerlift.llm.queries import table, vocabulary
 
 
 def expected(rows, benchmark):
@@ -69,3 +69,21 @@ def test_stages_keep_the_columns(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         nothing = stage(spark, docs.limit(0), folder[0])
         assert nothing.columns == docs.columns and nothing.count() == 0
+
+
+def test_decontamination_takes_one_python_worker_a_task(spark, sf):
+    docs = table(spark, sf, "documents")
+    plan = corpus_pipeline.clean_documents(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_pipeline_hands_texts_over_in_small_batches(spark, sf):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def size(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    docs = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    corpus_pipeline.prepare(spark)
+    assert docs.select(F.arrow_udf(size, "bigint")("text").alias("n")).agg(F.max("n")).first()[0] <= 2 * corpus_pipeline.BATCH_BYTES
