@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlift.functions.values import TOLERANCE, literal, normalize_key, preview_value, values_equal
+from ledgerlift.functions.values import TEMPORAL, TOLERANCE, is_number, literal, normalize_key, preview_value, values_equal
 from ledgerlift.operators.paging import sample_rows
 
 
@@ -231,8 +232,8 @@ def sample_compare(
     return reconcile(head, tgt.filter(F.col(key) <= literal(last, tgt.schema[key].dataType)), keys, tol=tol, unique_keys=unique_keys)
 
 
-def _multiset(a: DataFrame, b: DataFrame, trim: bool = True) -> DataFrame:
-    """Each distinct row of two tables over their common columns with its count on both sides, in one grouping."""
+def _stacked_rows(a: DataFrame, b: DataFrame, trim: bool = True) -> tuple[DataFrame, list[str]]:
+    """The rows of two tables over their common columns, one under the other, with ``_l`` and ``_r`` saying whose each is."""
     cols = [c for c in a.columns if c in set(b.columns)]
 
     def side(df: DataFrame, left: int) -> DataFrame:
@@ -241,10 +242,62 @@ def _multiset(a: DataFrame, b: DataFrame, trim: bool = True) -> DataFrame:
         ]
         return df.select(*shown, F.lit(left).cast("long").alias("_l"), F.lit(1 - left).cast("long").alias("_r"))
 
-    stacked = side(a, 1).unionByName(side(b, 0))
+    return side(a, 1).unionByName(side(b, 0)), cols
+
+
+def _count_rows(stacked: DataFrame, cols: list[str]) -> DataFrame:
     return stacked.groupBy(*cols).agg(F.sum("_l").alias("source_count"), F.sum("_r").alias("target_count"))
 
 
+def _multiset(a: DataFrame, b: DataFrame, trim: bool = True) -> DataFrame:
+    """Each distinct row of two tables over their common columns with its count on both sides, in one grouping."""
+    return _count_rows(*_stacked_rows(a, b, trim))
+
+
+DIGEST_PARTS = 1 << 16
+
+
+def _has_digest(t: T.DataType) -> bool:
+    """Types whose hash sees all of a value; inside nested ones it passes over NULL, and other collations call different text equal."""
+    return is_number(t) or isinstance(t, (*TEMPORAL, T.BooleanType, T.BinaryType)) or t == T.StringType()
+
+
+def _hashed_form(c: Column, t: T.DataType) -> Column:
+    """What of a value goes into its row's hash. Longer ones go by their SHA-256: of two words or more, values that meet in xxhash64 under every salt are easily made."""
+    if not isinstance(t, (T.StringType, T.BinaryType)) and not (isinstance(t, T.DecimalType) and t.precision > 18):
+        return c
+    raw = c.cast("string").cast("binary") if isinstance(t, T.DecimalType) else c.cast("binary")
+    return F.when(F.octet_length(raw) > 8, F.sha2(raw, 256).cast("binary")).otherwise(raw)
+
+
+def _multiset_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Counts of both sides as in ``_multiset``, summed up where the sides agree, so that rows that agree are never shuffled.
+
+    Each row has two 64-bit hashes of all its columns, salted anew in every call; the
+    first also deals the rows into parts. A part whose row count and sums of hashes are
+    the same on both sides is one row of the result; the rows of all other parts are
+    grouped whole. So a difference that is reported is always one of rows; one that is
+    not there to see needs sums of 128 bits to meet by chance.
+    """
+    stacked, cols = _stacked_rows(a, b)
+    kinds = {c: stacked.schema[c].dataType for c in cols}
+    if not all(_has_digest(t) for t in kinds.values()):
+        return _count_rows(stacked, cols).select("source_count", "target_count")
+    hashed = [_hashed_form(F.col(c), t) for c, t in kinds.items()] + [F.isnull(c) for c in cols]  # a hash passes over NULL
+    marked = stacked.select("*", *[F.xxhash64(F.lit(secrets.randbits(63)), *hashed).alias(h) for h in ("_h1", "_h2")])
+    marked = marked.withColumn("_part", F.shiftrightunsigned("_h1", 65 - DIGEST_PARTS.bit_length()))
+    halves = [x for h in ("_h1", "_h2") for x in (F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    parts = marked.groupBy("_part").agg(
+        F.sum("_l").alias("source_count"), F.sum("_r").alias("target_count"),
+        F.array(*[F.try_sum((F.col("_l") - F.col("_r")) * x) for x in halves]).alias("_gap"),
+    )
+    none = F.array(*[F.lit(0).cast("long")] * len(halves))
+    alike = F.coalesce((F.col("source_count") == F.col("target_count")) & (F.col("_gap") == none), F.lit(False))
+    unlike = parts.filter(~alike).select("_part")  # at most DIGEST_PARTS numbers
+    rest = _count_rows(marked.join(F.broadcast(unlike), "_part", "left_semi"), cols)
+    return parts.filter(alike).select("source_count", "target_count").unionByName(rest.select("source_count", "target_count"))
+
+
 def reconcile_keyless(a: DataFrame, b: DataFrame, trim: bool = True) -> DataFrame:
     """Multiset difference of two tables without a key: each differing row with its count on both sides.
 
@@ -322,7 +375,7 @@ def table_facts(
     if not keys:
         l, r = F.col("source_count"), F.col("target_count")
         total = lambda c: F.coalesce(F.sum(c), zero)
-        return _multiset(src, tgt).agg(
+        return _multiset_counts(src, tgt).agg(
             total(l).alias("source_rows"), total(r).alias("target_rows"), total(F.least(l, r)).alias("compared_rows"),
             total(F.greatest(l - r, zero)).alias("missing_rows"), total(F.greatest(r - l, zero)).alias("extra_rows"),
         ).select(

@@ -6,6 +6,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from ledgerlift.plans import derived as d
 from ledgerlift.plans.copyjob import CopySpec, TableCopy, copy_tables, prepare_rows, run_row
 from ledgerlift.plans.queries_rows import DATES_SQL, ORDER_COLS, _norm_sql
 from ledgerlift.plans.registry import query
+from ledgerlift.session import shuffles_removed
 from ledgerlift.sources import sinks
 from ledgerlift.sources.tables import read_table
 
@@ -92,7 +94,12 @@ COPY_KEYS = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "lineitem": No
     " UNION ALL ".join(f"SELECT '{form}' AS dialect, '{t}' AS table_name, 'match' AS status, count(*) AS compared_rows FROM {t}" for form in COPY_FORMS for t in COPY_KEYS),
 )
 def copy_then_reconcile(spark, sf):
-    """Whole tables copied into several stores' forms, then checked by the reconciliation. The forms share nothing and run side by side."""
+    """Whole tables copied into several stores' forms, then checked by the reconciliation.
+
+    The forms share nothing and are copied side by side. They are checked one after
+    another, so that what is shuffled lies on disk for one form at a time.
+    """
+    checking = Lock()
 
     def one(form):
         spec = CopySpec(_database(spark), run_ts=RUN_TS, dialect=form)
@@ -101,11 +108,12 @@ def copy_then_reconcile(spark, sf):
         # A table without a key is compared in the form that the copy gives it.
         shown = {t: rows if COPY_KEYS[t] else prepare_rows(rows, (), form) for t, rows in sources.items()}
         checks = {t: (rows, spark.table(f"`{spec.database}`.`{t}`"), COPY_KEYS[t], COPY_KEYS[t] is not None) for t, rows in shown.items()}
-        found = validate_tables(spark, checks).select(F.lit(form).alias("dialect"), "table_name", "status", "compared_rows")
-        spark.sql(f"DROP DATABASE `{spec.database}` CASCADE")  # the verdicts are rows of their own
+        with checking:
+            found = validate_tables(spark, checks).select(F.lit(form).alias("dialect"), "table_name", "status", "compared_rows")
+            spark.sql(f"DROP DATABASE `{spec.database}` CASCADE")  # the verdicts are rows of their own
         return found
 
-    with ThreadPoolExecutor(len(COPY_FORMS)) as pool:
+    with shuffles_removed(spark), ThreadPoolExecutor(len(COPY_FORMS)) as pool:
         jobs = [pool.submit(inheritable_thread_target(one), form) for form in COPY_FORMS]
     return reduce(DataFrame.unionByName, [job.result() for job in jobs])
 

@@ -160,6 +160,34 @@ def test_forms_of_a_copy_run_side_by_side(spark, sf, monkeypatch):
     assert len(rows) == 9 and {r["status"] for r in rows} == {"match"}
 
 
+def test_checks_of_forms_take_turns_and_leave_no_shuffles(spark, sf, monkeypatch):
+    import time
+
+    from ledgerlift.plans import queries_jobs
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in (str(p.getName()) for p in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles())) if f.startswith("shuffle_")}
+    before, seen, running, whole = shuffles(), [], [], queries_jobs.validate_tables
+
+    def check(*args):
+        running.append(1)
+        seen.append((len(running), spark.conf.get(name)))
+        try:
+            return whole(*args)
+        finally:
+            running.pop()
+
+    monkeypatch.setattr(queries_jobs, "validate_tables", check)
+    was = spark.conf.get(name)
+    queries_jobs.copy_then_reconcile(spark, sf)
+    assert seen == [(1, "true")] * len(queries_jobs.COPY_FORMS) and spark.conf.get(name) == was
+    until = time.time() + 20  # files go a moment after their query
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+
+
 def test_the_shortest_zoned_texts_are_cleaned(spark):
     from pyspark.sql import functions as F
 

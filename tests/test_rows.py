@@ -170,6 +170,49 @@ def test_a_table_equals_itself(spark, sf):
     assert [r[0] for r in rec.reconcile(orders, orders, ["o_orderkey"], unique_keys=True).select("status").distinct().collect()] == ["same"]
 
 
+def test_rows_that_agree_are_not_shuffled(spark, sf):
+    lines = src.read_table(spark, sf, "lineitem")
+    facts = rec.table_facts("lineitem", lines, lines, None)
+    row = facts.collect()[0]
+    assert row["source_rows"] == row["target_rows"] == row["compared_rows"] == lines.count() and row["missing_rows"] == row["extra_rows"] == 0
+    final = facts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final and "hashpartitioning(_part" in final and "hashpartitioning(l_" not in final
+
+
+@pytest.mark.parametrize("parts", [2, 4, 1 << 16])
+def test_keyless_counts_are_those_of_whole_rows(spark, monkeypatch, parts):
+    monkeypatch.setattr(rec, "DIGEST_PARTS", parts)
+    kinds = "a string, b string, x double"
+    nan = float("nan")
+    left = spark.createDataFrame([("a", None, 1.0), ("a", None, 1.0), ("b", "c", 0.0), ("t ", "u", nan), ("", None, None), ("p", "q", 1.0), ("p", "q", 1.0), ("r", "s", 1.0)], kinds)
+    right = spark.createDataFrame([("a", None, 1.0), (None, "a", 1.0), ("b", "c", -0.0), ("t", "u", nan), (None, "", None), ("p", "q", 1.0), ("r", "s", 1.0), ("r", "s", 1.0), ("c", "b", 0.0)], kinds)
+    fact = rec.table_facts("t", left, right, None).first()
+    assert [fact[c] for c in ("source_rows", "target_rows", "compared_rows", "missing_rows", "extra_rows")] == [8, 9, 5, 3, 4]
+    deep = [df.withColumn("d", F.array("x")) for df in (left, right)]  # nested values have no digest
+    assert [rec.table_facts("t", *deep, None).first()[c] for c in ("compared_rows", "missing_rows", "extra_rows")] == [5, 3, 4]
+    many = spark.range(3000).selectExpr("id % 500 AS k", "IF(id % 7 = 0, NULL, id % 3) AS v")
+    other = many.withColumn("v", F.expr("IF(k = 77, v + 1, v)"))
+    whole = rec._multiset(many, other).selectExpr("sum(least(source_count, target_count)) AS n").first()["n"]
+    assert rec.table_facts("t", many, other, None).first()["compared_rows"] == whole < 3000
+    assert rec.table_facts("t", many.limit(0), other.limit(0), None).first()["source_rows"] == 0
+
+
+def test_values_that_meet_in_the_hash_are_told_apart(spark):
+    p1, p2, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+    turn = lambda x, n: (x << n | x >> 64 - n) & full
+    mixed = lambda w: turn(w * p2 & full, 31) * p1 & full
+    unmixed = lambda k: turn(k * pow(p1, -1, 1 << 64) & full, 33) * pow(p2, -1, 1 << 64) & full
+    words = [int.from_bytes(t, "little") for t in (b"ledger 1", b"entry 22")]
+    other = [unmixed(mixed(words[0]) ^ 1 << 36), unmixed(mixed(words[1]) ^ 1 << 63)]
+    a, b = (spark.createDataFrame([(b"".join(w.to_bytes(8, "little") for w in ws),)], "v binary") for ws in (words, other))
+    for salt in (1, 2, 3):
+        assert a.select(F.xxhash64(F.lit(salt), "v")).first() == b.select(F.xxhash64(F.lit(salt), "v")).first()
+    fact = rec.table_facts("t", a, b, None).first()
+    assert (fact["compared_rows"], fact["missing_rows"], fact["extra_rows"]) == (0, 1, 1)
+    wide = [spark.sql(f"SELECT CAST('{n}' AS DECIMAL(38,0)) AS v, X'0102' AS w") for n in ("12345678901234567890123", "12345678901234567890124")]
+    assert [rec.table_facts("t", wide[0], w, None).first()["compared_rows"] for w in wide] == [1, 0]
+
+
 def test_repeated_keys_do_not_multiply(spark):
     # One key holds most rows on both sides: a plain join would give 900 * 900 pairs.
     src_rows = spark.range(1000).selectExpr("CASE WHEN id < 900 THEN 1 ELSE id END AS k", "id AS v")
